@@ -16,26 +16,57 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 CHUNK_BITS = 8  # cuts are 2**CHUNK_BITS bytes apart on average
-CACHE_BYTES = 96_000_000  # kept pieces of one Python worker
+CACHE_BYTES = 48_000_000  # kept pieces of one Python worker
+CACHE_WORDS = 150_000  # kept words of one Python worker
 END_TEXT, END_ID = "<|endoftext|>", 50256
 
+#: The vocabulary's split for texts of plain characters only, where Python's classes and the vocabulary's agree.
+PLAIN = re.compile(r"[\t\n\r\x20-~À-ÖØ-öø-ÿ]*")
+PLAIN_WORD = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
-class Piece:
-    """An encoded piece: its ids, the same as text, and the bytes that they decode to."""
+class Piece(NamedTuple):
+    """An encoded piece: how many ids, the ids as text, and the bytes that they decode to."""
+
+    n: int
+    joined: str
+    decoded: bytes
+
+    @property
+    def ids(self) -> list[int]:
+        return [int(x) for x in self.joined.split(",")] if self.n else []
+
+
+class Words(dict):
+    """word -> (ids as text, decoded bytes), worked out when first asked for.
 
-    __slots__ = ("decoded", "ids", "joined", "n")
+    When full, it becomes the older generation, from which words in use come back.
+    """
 
-    def __init__(self, ids: list[int], joined: str, decoded: bytes):
-        self.ids, self.joined, self.decoded, self.n = np.array(ids, dtype=np.int32), joined, decoded, len(ids)
+    def __init__(self, bpe):
+        super().__init__()
+        self.bpe, self.older = bpe, {}
+
+    def __missing__(self, word: str) -> tuple[str, bytes]:
+        if (made := self.older.get(word)) is None:
+            ids = self.bpe.encode_ordinary(word)
+            made = (",".join(map(str, ids)), self.bpe.decode_bytes(ids))
+        if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = made
+        return made
 
 
 class Codec:
@@ -47,24 +78,36 @@ class Codec:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.names = [str(i) for i in range(END_ID + 1)]
+        self.words = Words(self.bpe)
         self.kept: dict[bytes, Piece] = {}
         self.size = 0
 
+    def part(self, text: str) -> tuple[str, bytes]:
+        if PLAIN.fullmatch(text):
+            found = list(map(self.words.__getitem__, PLAIN_WORD.findall(text)))
+            return ",".join([x for x, _ in found]), b"".join([x for _, x in found])
+        ids = self.bpe.encode_ordinary(text)
+        return ",".join(map(str, ids)), self.bpe.decode_bytes(ids)
+
     def piece(self, raw: bytes) -> Piece:
         if (known := self.kept.get(raw)) is not None:
             return known
-        ids: list[int] = []
-        out = []
-        for k, part in enumerate(raw.decode().split(END_TEXT)):
-            if k:
-                ids.append(END_ID)
-                out.append(END_TEXT.encode())
-            own = self.bpe.encode_ordinary(part)
-            ids += own
-            out.append(self.bpe.decode_bytes(own))
-        made = Piece(ids, ",".join(map(self.names.__getitem__, ids)), b"".join(out))
-        self.size += 400 + 2 * len(raw) + 8 * len(ids)
+        text = raw.decode()
+        if END_TEXT in text:
+            ids, out = [], []
+            for k, part in enumerate(text.split(END_TEXT)):
+                if k:
+                    ids.append(str(END_ID))
+                    out.append(END_TEXT.encode())
+                if part:
+                    own, back = self.part(part)
+                    ids.append(own)
+                    out.append(back)
+            joined, decoded = ",".join(ids), b"".join(out)
+        else:
+            joined, decoded = self.part(text)
+        made = Piece(joined.count(",") + 1 if joined else 0, joined, decoded)
+        self.size += 300 + 2 * len(raw) + len(joined)
         if self.size > CACHE_BYTES:
             self.kept, self.size = {}, 0
         self.kept[raw] = made
@@ -89,21 +132,25 @@ def boundaries(data: bytes, starts: np.ndarray, bits: int = CHUNK_BITS) -> np.nd
     b = np.frombuffer(data, dtype=np.uint8)
     n = len(b)
     if n < 16:
-        return np.unique(starts)
+        return _sorted_unique(starts)
     cuts = []
     for k in range(8):  # the eight alignments of an 8-byte window
         view = np.frombuffer(data, dtype="<u8", offset=k, count=(n - k) // 8)
         hashed = (view * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
         cuts.append(np.flatnonzero(hashed == 0) * 8 + k)
-    cut = np.unique(np.concatenate(cuts))
+    cut = _sorted_unique(np.concatenate(cuts))
     printable = (b > 0x20) & (b < 0x7F)
-    safe = np.flatnonzero((b[1:-1] == 0x20) & printable[:-2] & printable[2:]) + 1
     # a text's own ends are safe as well
-    safe = np.union1d(safe, starts)
+    safe = _sorted_unique(np.concatenate([np.flatnonzero((b[1:-1] == 0x20) & printable[:-2] & printable[2:]) + 1, starts]))
     at = np.searchsorted(safe, cut, "right") - 1
     low = safe[at]
     high = np.where(low == cut, cut, safe[np.minimum(at + 1, len(safe) - 1)])
-    return np.unique(np.concatenate([starts, low, high]))
+    return _sorted_unique(np.concatenate([starts, low, high]))
+
+
+def _sorted_unique(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
 def encode_texts(texts: list[str | None], coder: Codec, bits: int = CHUNK_BITS) -> Iterator[list[Piece]]:
@@ -138,7 +185,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
         for pdf in batches:
             texts = pdf[text_col].tolist()
             for s in _slices(texts):
-                ids = [np.concatenate([p.ids for p in x]) if x else np.zeros(0, np.int32) for x in encode_texts(texts[s], coder)]
+                ids = [[i for p in x for i in p.ids] for x in encode_texts(texts[s], coder)]
                 yield pd.DataFrame({id_col: pdf[id_col].iloc[s], "ids": ids})
 
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {dict(docs.dtypes)[id_col]}, ids array<int>")
@@ -149,8 +196,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ran
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = codec(ranks_path)
-        names = [*coder.bpe.token_byte_values()]
-        table = [coder.bpe.decode_bytes([i]) for i in range(len(names))] + [END_TEXT.encode()]
+        table = [coder.bpe.decode_bytes([i]) for i in range(END_ID)] + [END_TEXT.encode()]
         for pdf in batches:
             texts = [b"".join(map(table.__getitem__, x)).decode("utf-8", "replace") if x is not None else "" for x in pdf[ids_col]]
             yield pd.DataFrame({id_col: pdf[id_col], "text": texts})
@@ -171,7 +217,8 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
                 for pieces in encode_texts(texts[s], coder):
                     n.append(sum(p.n for p in pieces))
                     ids.append(sha(",".join([p.joined for p in pieces]).encode()).hexdigest())
-                    back.append(sha(b"".join([p.decoded for p in pieces]).decode("utf-8", "replace").encode()).hexdigest())
+                    text = b"".join([p.decoded for p in pieces]).decode("utf-8", "replace")
+                    back.append(sha(text.encode()).hexdigest())
             yield pd.DataFrame({id_col: pdf[id_col], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": back})
 
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
