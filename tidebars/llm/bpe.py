@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,14 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 CHUNK_BITS = 8  # cuts are 2**CHUNK_BITS bytes apart on average
-CACHE_BYTES = 48_000_000  # kept pieces of one Python worker
-CACHE_WORDS = 150_000  # kept words of one Python worker
+CACHE_BYTES = 96_000_000  # kept pieces of one Python worker
 END_TEXT, END_ID = "<|endoftext|>", 50256
 
-#: The vocabulary's split for texts of plain characters only, where Python's classes and the vocabulary's agree.
-PLAIN = re.compile(r"[\t\n\r\x20-~À-ÖØ-öø-ÿ]*")
-PLAIN_WORD = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
@@ -48,27 +42,6 @@ class Piece(NamedTuple):
         return [int(x) for x in self.joined.split(",")] if self.n else []
 
 
-class Words(dict):
-    """word -> (ids as text, decoded bytes), worked out when first asked for.
-
-    When full, it becomes the older generation, from which words in use come back.
-    """
-
-    def __init__(self, bpe):
-        super().__init__()
-        self.bpe, self.older = bpe, {}
-
-    def __missing__(self, word: str) -> tuple[str, bytes]:
-        if (made := self.older.get(word)) is None:
-            ids = self.bpe.encode_ordinary(word)
-            made = (",".join(map(str, ids)), self.bpe.decode_bytes(ids))
-        if len(self) >= CACHE_WORDS:
-            self.older = dict(self)
-            self.clear()
-        self[word] = made
-        return made
-
-
 class Codec:
     """Encodes the pieces of one vocabulary; what it has encoded it keeps, up to ``CACHE_BYTES``."""
 
@@ -78,16 +51,13 @@ class Codec:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.words = Words(self.bpe)
+        self.names = [str(i) for i in range(END_ID)]
         self.kept: dict[bytes, Piece] = {}
         self.size = 0
 
     def part(self, text: str) -> tuple[str, bytes]:
-        if PLAIN.fullmatch(text):
-            found = list(map(self.words.__getitem__, PLAIN_WORD.findall(text)))
-            return ",".join([x for x, _ in found]), b"".join([x for _, x in found])
         ids = self.bpe.encode_ordinary(text)
-        return ",".join(map(str, ids)), self.bpe.decode_bytes(ids)
+        return ",".join(map(self.names.__getitem__, ids)), self.bpe.decode_bytes(ids)
 
     def piece(self, raw: bytes) -> Piece:
         if (known := self.kept.get(raw)) is not None:
