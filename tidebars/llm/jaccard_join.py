@@ -275,9 +275,18 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows of a component other than its smallest doc_id's; of repeated rows one stays."""
-    found = classes(docs, percent).groupBy("doc_id").agg(F.min("component_id").alias("least"))
-    good = found.filter(F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("k"))
-    return docs.join(written(good, "kept-ids"), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi").dropDuplicates(["doc_id"])
+    found = classes(docs, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    good = written(found.groupBy("doc_id", "row_key").agg(F.count("*").alias("times")), "kept-rows")
+    keyed = docs.withColumn("row_key__", F.xxhash64("text"))
+
+    def rows(of: DataFrame) -> DataFrame:
+        own = of.select(F.col("doc_id").alias("k_id__"), F.col("row_key").alias("k_key__"))
+        return keyed.join(own, F.col("doc_id").eqNullSafe(F.col("k_id__")) & (F.col("row_key__") == F.col("k_key__")), "left_semi")
+
+    out = rows(good)
+    if not good.filter("times > 1").isEmpty():  # only repeated rows need a shuffle to drop all but one
+        out = rows(good.filter("times = 1")).unionByName(rows(good.filter("times > 1")).dropDuplicates(["doc_id", "row_key__"]))
+    return out.select(*docs.columns)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -89,19 +89,23 @@ def _hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Co
     high = F.least(drawn, good, (F.ceil(mean) + spread).cast("long"))
     k = F.sequence(low, F.greatest(low, high))
     logs = F.transform(k, lambda x: -(_ln_gamma(x + 1.0) + _ln_gamma(good - x + 1.0) + _ln_gamma(drawn - x + 1.0) + _ln_gamma(total - good - drawn + x + 1.0)))
-    mass = F.aggregate(F.array(logs), F.array().cast("array<double>"), lambda _, v: F.transform(v, lambda x: F.exp(x - F.array_max(v))))
-    return F.aggregate(
-        F.array(mass),
+    # one-element arrays bind what the inner folds use again and again
+    mass = F.aggregate(
+        F.transform(F.array(logs), lambda v: F.struct(v.alias("v"), F.array_max(v).alias("top"))),
+        F.array().cast("array<double>"),
+        lambda _, s: F.transform(s["v"], lambda x: F.exp(x - s["top"])),
+    )
+    below = F.aggregate(
+        F.transform(F.array(mass), lambda p: F.struct(p.alias("p"), (u * F.aggregate(p, F.lit(0.0), lambda a, x: a + x)).alias("goal"))),
         F.lit(0).cast("long"),
-        lambda _, p: F.aggregate(
-            p,
-            F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("below")),
-            # counts the outcomes whose cumulative mass stays at or below u
-            lambda acc, x: F.struct(
-                (acc["sum"] + x).alias("sum"), (acc["below"] + F.when(acc["sum"] + x <= u * F.aggregate(p, F.lit(0.0), lambda a, b: a + b), 1).otherwise(0)).alias("below")
-            ),
-        )["below"],
-    ) + low
+        lambda _, s: F.aggregate(
+            s["p"],
+            F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n")),
+            # counts the outcomes whose cumulative mass stays at or below the goal
+            lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), (acc["n"] + F.when(acc["sum"] + x <= s["goal"], 1).otherwise(0)).alias("n")),
+        )["n"],
+    )
+    return F.least(low + below, F.greatest(low, high))
 
 
 def _dealer(seed: int, level: int) -> Callable[[Column, Column], Column]:
