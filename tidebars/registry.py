@@ -1,7 +1,346 @@
-"""Queries over the given tables, and their SQL."""
+"""Queries over the given tables, and DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidebars.operators import bands, bars, breakout, folds, metrics, resampling, selection, trades
+from tidebars.plans import market as m
+
+DIGITS = 6
+
+
+class Query(NamedTuple):
+    plan: Callable[..., DataFrame]
+    exact: Sequence[str]  # columns that are returned as they are
+    rounded: Sequence[str] = ()  # doubles, returned with DIGITS decimals
+    source: str | None = None  # the SQL relation with the same columns
+    digits: int = DIGITS
+
+
+BANDS = tuple(f"band_{n}_{s}_{e}" for n in ("ae", "fe") for s in ("pos", "neg") for e in ("center", "upper", "lower"))
+WIDE = tuple(f"{x}_{b}" for b in bars.NAMES for x in "ohlc")
+OHLCV = ("open", "high", "low", "close", "volume")
+TARGET = tuple(f"{x}_{b}" for b in ("pre_target_1", "pre_target_2", "target") for x in "ohlc")
+
+_HIT = """CASE WHEN bar_ts >= force_exit THEN 'force_exit' WHEN o <= st THEN 'stop_open' WHEN o >= tg THEN 'take_profit'
+  WHEN lo <= st THEN 'stop_loss' WHEN hi >= tg THEN 'take_profit' END"""
+
+
+def _sigma_terms(n: int) -> str:
+    k = 0.34 / (1.34 + (n + 1) / (n - 1))
+    w = f"OVER (PARTITION BY symbol ORDER BY session ROWS {n - 1} PRECEDING)"
+    return f"""CASE WHEN count(ron) {w} = {n} AND count(roc) {w} = {n} AND count(rs) {w} = {n} THEN
+      sqrt(var_samp(ron) {w} + {k} * var_samp(roc) {w} + {1 - k} * avg(rs) {w}) END"""
+
+
+def _lagged(x: str, n: int, agg: str = "avg", order: str = "session") -> str:
+    w = f"OVER (PARTITION BY symbol ORDER BY {order} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    return f"CASE WHEN count({x}) {w} = {n} THEN {agg}({x}) {w} END"
+
+
+_PIVOT = ", ".join(
+    f"first(open ORDER BY ts) FILTER (bucket = '{b}') AS o_{b}, max(high) FILTER (bucket = '{b}') AS h_{b}, min(low) FILTER (bucket = '{b}') AS l_{b}, last(close ORDER BY ts) FILTER (bucket = '{b}') AS c_{b}"
+    for b in bars.NAMES
+)
+_HIGH, _LOW = (", ".join(f"{x}_{b}" for b in bars.NAMES) for x in "hl")
+_EDGES = ", ".join(
+    f"o_ref {'+' if s == 'pos' else '-'} mu_{n} {dict(center='', upper='+ delta', lower='- delta')[e]} AS band_{n}_{s}_{e}" for n in ("ae", "fe") for s in ("pos", "neg") for e in ("center", "upper", "lower")
+)
+
+
+def _slot(n: int) -> str:
+    if n == 1:
+        parts = [f"{x}_pre_target_1 AS {x}_pre_target_1, {x}_pre_target_2 AS {x}_pre_target_2, {x}_target_1 AS {x}_target" for x in "ohlc"]
+    else:
+        first = {"o": "o_pre_target_1", "h": "greatest(h_pre_target_1, h_pre_target_2)", "l": "least(l_pre_target_1, l_pre_target_2)", "c": "c_pre_target_2"}
+        parts = [f"{first[x]} AS {x}_pre_target_1, {x}_target_1 AS {x}_pre_target_2, {x}_target_2 AS {x}_target" for x in "ohlc"]
+    return f"SELECT symbol, session, {n} AS target_slot, c_target_2 AS daily_close, o_pre_target_1 AS o_ref, {', '.join(parts)} FROM wide"
+
+
+def _channel(name: str, n: int, mode: str = "both") -> str:
+    """From bars to priced trades of a channel of n bars, as a chain of relations that end in ``name``."""
+    short = "FALSE" if mode == "long" else "close < rl"
+    return f"""
+{name}_p AS (
+  SELECT *, {_lagged('high', n, 'max', 'ts')} AS rh, {_lagged('low', n, 'min', 'ts')} AS rl,
+    coalesce(max(ts) FILTER (hour(ts) * 60 + minute(ts) <= 990) OVER (PARTITION BY symbol, session), min(ts) OVER (PARTITION BY symbol, session)) AS force_exit,
+    lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS entry_ts, lead(open) OVER (PARTITION BY symbol ORDER BY ts) AS entry_open, lead(session) OVER (PARTITION BY symbol ORDER BY ts) AS nxt
+  FROM tagged
+), {name}_g AS (
+  SELECT *, CASE WHEN side > 0 THEN rl ELSE rh END AS stop, abs(close - CASE WHEN side > 0 THEN rl ELSE rh END) AS risk0 FROM (
+    SELECT *, CASE WHEN close > rh THEN 1 WHEN {short} THEN -1 END AS side FROM {name}_p WHERE ts < force_exit AND rh IS NOT NULL AND rl IS NOT NULL
+  ) WHERE side IS NOT NULL
+), {name}_s AS (
+  SELECT symbol, session, ts, side, close, stop, close + side * 1.5 * risk0 AS target, close + side * risk0 AS trig, close AS moved_stop, force_exit, entry_ts, entry_open, nxt
+  FROM {name}_g WHERE risk0 > 0
+), {name}_e AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, session ORDER BY ts) AS rn FROM {name}_s) WHERE rn = 1 AND nxt = session AND entry_ts < force_exit
+), {name}_b AS (
+  SELECT e.*, b.ts AS bar_ts, b.close AS bar_close, side * b.open AS o, CASE WHEN side > 0 THEN b.high ELSE -b.low END AS hi, CASE WHEN side > 0 THEN b.low ELSE -b.high END AS lo
+  FROM {name}_e e JOIN tagged b ON b.symbol = e.symbol AND b.session = e.session AND b.ts >= e.entry_ts
+), {name}_m AS (
+  SELECT *, side * target AS tg, side * CASE WHEN bar_ts > touched THEN moved_stop ELSE stop END AS st FROM (
+    SELECT *, min(bar_ts) FILTER (hi >= side * trig) OVER (PARTITION BY symbol, session, ts) AS touched FROM {name}_b)
+), {name}_h AS (
+  SELECT *, {_HIT} AS how FROM {name}_m
+), {name}_x AS (
+  SELECT symbol, session, ts, min(bar_ts) FILTER (how IS NOT NULL) AS exit_ts, arg_min(how, bar_ts) FILTER (how IS NOT NULL) AS how,
+    arg_min(side * CASE how WHEN 'force_exit' THEN o WHEN 'stop_open' THEN o WHEN 'stop_loss' THEN st ELSE tg END, bar_ts) FILTER (how IS NOT NULL) AS exit_level,
+    max(bar_ts) AS last_ts, arg_max(bar_close, bar_ts) AS last_close
+  FROM {name}_h GROUP BY ALL
+), {name}_o AS (
+  SELECT e.symbol, e.session, e.ts, e.side, e.stop, e.entry_ts, e.entry_open + side * 0.25 AS entry_price, coalesce(x.exit_ts, last_ts) AS exit_ts,
+    coalesce(CASE how WHEN 'stop_open' THEN 'stop_loss' ELSE how END, 'final_bar') AS reason, coalesce(exit_level, last_close) - side * 0.25 AS exit_price
+  FROM {name}_e e JOIN {name}_x x USING (symbol, session, ts)
+), {name} AS (
+  SELECT *, side * (exit_price - entry_price) AS gross_points, side * (exit_price - entry_price) - 0.2 AS net_points, abs(entry_price - stop) AS risk,
+    side * (exit_price - entry_price) / nullif(abs(entry_price - stop), 0) AS gross_r, (side * (exit_price - entry_price) - 0.2) / nullif(abs(entry_price - stop), 0) AS net_r
+  FROM {name}_o
+)"""
+
+
+CHAIN = (
+    f"""
+bars30 AS (
+  SELECT event_type AS symbol, date_trunc('hour', e.ts) + INTERVAL 30 MINUTE * (minute(e.ts) // 30) AS ts,
+    first(value ORDER BY e.ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY e.ts, event_id) AS close, count(*)::DOUBLE AS volume
+  FROM events e GROUP BY 1, 2
+), local AS (
+  SELECT * REPLACE (ts - INTERVAL 5 HOUR AS ts) FROM bars30
+), placed AS (
+  SELECT *, CAST(CASE WHEN hour(ts) >= 17 THEN ts::DATE + 1 ELSE ts::DATE END AS DATE) AS session,
+    CASE WHEN mi >= 510 AND mi < 780 THEN 'target_1' WHEN mi >= 780 AND mi < 1020 THEN 'target_2' WHEN mi >= 180 AND mi < 510 THEN 'pre_target_2' WHEN mi >= 1080 OR mi < 180 THEN 'pre_target_1' END AS bucket
+  FROM (SELECT *, hour(ts) * 60 + minute(ts) AS mi FROM local)
+), tagged AS (
+  SELECT symbol, ts, session, bucket, open, high, low, close, volume FROM placed
+  WHERE bucket IS NOT NULL AND (symbol, session) IN (SELECT (symbol, session) FROM placed WHERE bucket IS NOT NULL GROUP BY symbol, session HAVING count(DISTINCT bucket) = 4)
+), wide AS (
+  SELECT symbol, session, {_PIVOT}, first(open ORDER BY ts) FILTER (bucket = 'pre_target_1') AS o_ref FROM tagged GROUP BY symbol, session
+), valid AS (
+  SELECT * FROM wide WHERE isodow(session) < 6 AND session BETWEEN DATE '2024-01-01' AND DATE '2024-12-31' AND session NOT IN (DATE '2024-01-01', DATE '2024-01-15')
+), slots AS ({_slot(1)} UNION ALL {_slot(2)}
+), returns AS (
+  SELECT *, ln(o_pre_target_1 / lag(c_target_2) OVER (PARTITION BY symbol ORDER BY session)) AS ron, ln(c_target_2 / o_pre_target_1) AS roc,
+    ln(greatest({_HIGH}) / o_pre_target_1) * ln(greatest({_HIGH}) / c_target_2) + ln(least({_LOW}) / o_pre_target_1) * ln(least({_LOW}) / c_target_2) AS rs,
+    ln(c_pre_target_2 / o_pre_target_1) AS roct, ln(greatest(h_pre_target_1, h_pre_target_2) / o_pre_target_1) * ln(greatest(h_pre_target_1, h_pre_target_2) / c_pre_target_2)
+      + ln(least(l_pre_target_1, l_pre_target_2) / o_pre_target_1) * ln(least(l_pre_target_1, l_pre_target_2) / c_pre_target_2) AS rst
+  FROM wide
+), today AS (SELECT symbol, session, sqrt(ron * ron + roct * roct + rst) AS sigma_today FROM returns
+), vol AS (SELECT *, {_sigma_terms(m.N_VOL)} AS sigma FROM returns
+), tau AS (
+  SELECT *, abs(ln(c_target_2 / o_ref)) / nullif(sigma, 0) AS z_body, sigma / nullif({_lagged('sigma', m.N_BAND)}, 0) AS z_sigma FROM vol
+), dir AS (
+  SELECT *, CASE WHEN strong AND c_target_2 > o_ref THEN 'bullish' WHEN strong AND c_target_2 < o_ref THEN 'bearish' ELSE 'neutral' END AS direction FROM (
+    SELECT *, CASE WHEN z_sigma IS NOT NULL THEN z_body > least(greatest(0.4 * pow(z_sigma, -0.5), 0.26), 1.75) END AS strong, greatest({_HIGH}) - o_ref AS up, o_ref - least({_LOW}) AS down FROM tau)
+), eps AS (
+  SELECT *, CASE direction WHEN 'bullish' THEN down WHEN 'bearish' THEN up ELSE greatest(up, down) END / nullif(sigma, 0) AS ae,
+    CASE direction WHEN 'bullish' THEN up WHEN 'bearish' THEN down ELSE greatest(up, down) END / nullif(sigma, 0) AS fe FROM dir
+), mu AS (
+  SELECT *, {_lagged('ae', m.N_BAND)} * lag(sigma) OVER (PARTITION BY symbol ORDER BY session) AS mu_ae, {_lagged('fe', m.N_BAND)} * lag(sigma) OVER (PARTITION BY symbol ORDER BY session) AS mu_fe,
+    0.1 * lag(sigma) OVER (PARTITION BY symbol ORDER BY session) * o_ref AS delta FROM eps
+), banded AS (SELECT symbol, session, direction, sigma, {_EDGES} FROM mu
+), overlays AS (SELECT symbol, session, overlay, level FROM (UNPIVOT banded ON COLUMNS('band_.*') INTO NAME overlay VALUE level)
+), opening AS (
+  SELECT symbol, session, max(high) AS range_high, min(low) AS range_low, max(ts) AS range_end, (max(high) + min(low)) / 2 AS range_mid
+  FROM tagged WHERE hour(ts) * 60 + minute(ts) >= 510 AND hour(ts) * 60 + minute(ts) < 570 GROUP BY symbol, session
+), spans AS (
+  SELECT *, {_lagged('session_range', 5)} AS atr_session FROM (SELECT symbol, session, max(high) - min(low) AS session_range FROM tagged GROUP BY symbol, session)
+), tr AS (
+  SELECT *, sum((high + low + close) / 3 * volume) OVER s / nullif(sum(volume) OVER s, 0) AS vwap,
+    greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS true_range, row_number() OVER w - 1 AS k
+  FROM tagged WINDOW s AS (PARTITION BY symbol, session ORDER BY ts ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY symbol ORDER BY ts)
+), rma AS (
+  SELECT a.symbol, a.ts, sum(CASE WHEN b.k = 0 THEN 1 ELSE 1 / 14.0 END * pow(13 / 14.0, a.k - b.k) * b.true_range) AS rma
+  FROM tr a JOIN tr b ON a.symbol = b.symbol AND b.k <= a.k AND (a.k - b.k < 700) WHERE a.k >= 13 GROUP BY ALL
+), rules AS (
+  SELECT t.*, rma * 2 AS atr_stop, range_high, range_low, range_end,
+    coalesce(max(t.ts) FILTER (hour(t.ts) * 60 + minute(t.ts) <= 990) OVER (PARTITION BY t.symbol, t.session), min(t.ts) OVER (PARTITION BY t.symbol, t.session)) AS force_exit,
+    sum((t.ts > range_end)::INT) OVER (PARTITION BY t.symbol, t.session ORDER BY t.ts ROWS UNBOUNDED PRECEDING) AS idx
+  FROM tr t LEFT JOIN rma ON rma.symbol = t.symbol AND rma.ts = t.ts LEFT JOIN opening o ON o.symbol = t.symbol AND o.session = t.session
+), range_signals AS (
+  SELECT symbol, session, ts, side, stop, target FROM (
+    SELECT *, close + side * 1.5 * abs(close - stop) AS target FROM (
+      SELECT *, CASE WHEN side > 0 THEN low - atr_stop ELSE high + atr_stop END AS stop FROM (
+        SELECT *, CASE WHEN close > range_high THEN 1 WHEN close < range_low THEN -1 END AS side FROM rules WHERE ts > range_end AND idx <= 8 AND ts < force_exit) WHERE side IS NOT NULL)
+    WHERE abs(close - stop) > 0)
+), {_channel("ch", 10).strip()}, channel_signals AS (SELECT symbol, session, ts, side, stop, target, trig AS trigger_level FROM ch_s
+), booked AS (
+  SELECT *, lag(cash_after, 1, 100000.0) OVER (PARTITION BY symbol ORDER BY exit_ts) AS cash_before FROM (
+    SELECT *, 1.0::DOUBLE AS units, 100000 + sum(net_points) OVER (PARTITION BY symbol ORDER BY exit_ts ROWS UNBOUNDED PRECEDING) AS cash_after FROM ch)
+), compounded AS (
+  SELECT symbol, session, exit_ts, 100000 * exp(sum(ln(1 + 0.01 * net_r)) OVER (PARTITION BY symbol ORDER BY exit_ts ROWS UNBOUNDED PRECEDING)) AS cash_after FROM ch
+), curve AS (
+  SELECT symbol, ts, session, coalesce(last_value(known IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 100000) AS cash, held AS in_position, floating FROM (
+    SELECT b.symbol, b.ts, b.session, coalesce((b.ts >= t.entry_ts AND b.ts < t.exit_ts)::INT, 0) AS held,
+      CASE WHEN b.ts >= t.exit_ts THEN cash_after WHEN b.ts >= t.entry_ts THEN cash_before END AS known, CASE WHEN b.ts >= t.entry_ts AND b.ts < t.exit_ts THEN t.side * (b.close - t.entry_price) ELSE 0 END AS floating
+    FROM tagged b LEFT JOIN booked t ON t.symbol = b.symbol AND t.session = b.session)
+), eq AS (SELECT symbol, ts, session, cash, cash + floating AS equity, in_position FROM curve
+), eqr AS (
+  SELECT *, equity / lag(equity, 1, 100000.0) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r, equity / greatest(100000, max(equity) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM eq
+), bar_fig AS (
+  SELECT symbol, last(equity ORDER BY ts) AS final_equity, greatest(epoch(max(ts) - min(ts)) / (365.25 * 86400), 1 / 365.25) AS years, count(r) AS n, avg(r) AS mean, stddev_pop(r) AS sd, stddev_pop(r) FILTER (r < 0) AS dn,
+    min(dd) * 100 AS max_drawdown_pct, avg(in_position) * 100 AS exposure_pct FROM eqr GROUP BY symbol
+), trade_fig AS (
+  SELECT symbol, count(*) AS trades, coalesce(sum(net_points) FILTER (net_points > 0), 0) AS gross_profit, coalesce(-sum(net_points) FILTER (net_points < 0), 0) AS gross_loss, avg(net_points) AS expectancy, sum(net_points) AS net_pnl,
+    100.0 * count(*) FILTER (net_points > 0) / count(*) AS win_rate_pct FROM ch GROUP BY symbol
+), fig AS (
+  SELECT symbol, coalesce(trades, 0) AS trades, final_equity, (final_equity / 100000 - 1) * 100 AS total_return_pct, (pow(final_equity / 100000, 1 / years) - 1) * 100 AS cagr_pct,
+    mean / nullif(sd, 0) * sqrt(n / years) AS sharpe, mean / nullif(dn, 0) * sqrt(n / years) AS sortino, max_drawdown_pct, exposure_pct, gross_profit, gross_loss, expectancy, net_pnl, win_rate_pct,
+    gross_profit / nullif(gross_loss, 0) AS profit_factor FROM bar_fig LEFT JOIN trade_fig USING (symbol)
+), year_end AS (
+  SELECT symbol, year, end_equity, lag(end_equity, 1, 100000.0) OVER (PARTITION BY symbol ORDER BY year) AS start_equity FROM (SELECT symbol, year(ts) AS year, last(equity ORDER BY ts) AS end_equity FROM eq GROUP BY ALL)
+), year_fig AS (
+  SELECT y.symbol, y.year::INT AS year, coalesce(t.trades, 0) AS trades, start_equity, end_equity, (end_equity / start_equity - 1) * 100 AS return_pct, d.dd AS max_drawdown_pct, coalesce(t.net_pnl, 0) AS net_pnl
+  FROM year_end y JOIN (
+    SELECT symbol, year, min(equity / greatest(start_equity, peak) - 1) * 100 AS dd FROM (
+      SELECT e.symbol, y.year, e.equity, y.start_equity, max(e.equity) OVER (PARTITION BY e.symbol, y.year ORDER BY e.ts ROWS UNBOUNDED PRECEDING) AS peak FROM eq e JOIN year_end y ON y.symbol = e.symbol AND y.year = year(e.ts)) GROUP BY ALL
+  ) d ON d.symbol = y.symbol AND d.year = y.year LEFT JOIN (SELECT symbol, year(exit_ts) AS year, count(*) AS trades, sum(net_points) AS net_pnl FROM ch GROUP BY ALL) t ON t.symbol = y.symbol AND t.year = y.year
+), day_ret AS (
+  SELECT symbol, session, e / lag(e, 1, 100000.0) OVER (PARTITION BY symbol ORDER BY session) - 1 AS ret FROM (SELECT symbol, session, last(equity ORDER BY ts) AS e FROM eq GROUP BY ALL)
+), day_path AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol ORDER BY session ROWS UNBOUNDED PRECEDING)) AS path FROM day_ret
+), day_fig AS (
+  SELECT symbol, count(*) AS sessions, avg(ret) / nullif(stddev_pop(ret), 0) * sqrt(252) AS sharpe, avg(ret) / nullif(sqrt(avg(pow(least(ret, 0), 2))), 0) * sqrt(252) AS sortino, min(path / greatest(1, peak) - 1) AS max_drawdown, last(path ORDER BY session) AS growth
+  FROM (SELECT *, max(path) OVER (PARTITION BY symbol ORDER BY session ROWS UNBOUNDED PRECEDING) AS peak FROM day_path) GROUP BY symbol
+), hold AS (
+  SELECT symbol, entry_price, exit_price, exit_price - entry_price - 0.2 AS net_pnl FROM (
+    SELECT symbol, max(open) FILTER (k = 2) + 0.25 AS entry_price, last(close ORDER BY ts) - 0.25 AS exit_price, first(session ORDER BY ts) = max(session) FILTER (k = 2) AS same
+    FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM tagged) GROUP BY symbol) WHERE same
+), """
+    + ", ".join(f"{_channel(f'sw{n}{mode}', n, mode).strip()}" for n in m.CHANNELS for mode in ("both", "long"))
+    + """, swept AS ("""
+    + " UNION ALL ".join(f"SELECT symbol, {n} AS channel_bars, '{mode}' AS side_mode, session, net_points, net_r FROM sw{n}{mode}" for n in m.CHANNELS for mode in ("both", "long"))
+    + """), sweep AS (
+  SELECT symbol, channel_bars, side_mode, count(*) AS trades, avg(net_points) AS expectancy, sum(net_points) AS net_pnl, 100.0 * count(*) FILTER (net_points > 0) / count(*) AS win_rate_pct FROM swept GROUP BY ALL
+), fold_days AS (SELECT symbol, session, row_number() OVER (PARTITION BY symbol ORDER BY session) - 1 AS i FROM (SELECT DISTINCT symbol, session FROM tagged)
+), session_folds AS (
+  SELECT d.symbol, f.fold::INT AS fold, CASE WHEN i < f.fold * 4 + 8 THEN 'train' ELSE 'test' END AS role, session FROM fold_days d, range(200) f(fold)
+  WHERE i >= f.fold * 4 AND i < f.fold * 4 + 12 AND f.fold * 4 + 12 <= (SELECT count(*) FROM fold_days x WHERE x.symbol = d.symbol)
+), chosen AS (
+  SELECT s.symbol, s.fold, s.role, p.params, coalesce(sum(net_r), 0) AS r FROM session_folds s CROSS JOIN (SELECT unnest([6, 10, 14])::VARCHAR AS params) p
+  LEFT JOIN swept w ON w.symbol = s.symbol AND w.session = s.session AND w.side_mode = 'both' AND w.channel_bars::VARCHAR = p.params GROUP BY ALL
+), best AS (SELECT symbol, fold, first(params ORDER BY r DESC, params) AS best FROM chosen WHERE role = 'train' GROUP BY ALL
+), days AS (
+  SELECT o_orderpriority AS symbol, o_orderdate::DATE AS session, arg_max(o_totalprice, o_orderkey) AS close FROM orders GROUP BY ALL
+), history AS (
+  SELECT *, coalesce(least(greatest(ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY session)), -1.0), 1.0) / 10, 0.0) AS ret FROM days
+), month_folds AS (
+  SELECT symbol, (row_number() OVER (PARTITION BY symbol, role, session ORDER BY k) + base - 1)::INT AS fold, role, session FROM (SELECT h.symbol, k, role, session, k AS base FROM (
+    SELECT h.symbol, h.session, f.k, r.role, (min(session) OVER (PARTITION BY h.symbol) + INTERVAL 1 MONTH * (f.k * 12 + r.a))::DATE AS fa, (min(session) OVER (PARTITION BY h.symbol) + INTERVAL 1 MONTH * (f.k * 12 + r.z))::DATE AS fz,
+      (min(session) OVER (PARTITION BY h.symbol) + INTERVAL 1 MONTH * (f.k * 12 + 30))::DATE AS whole, max(session) OVER (PARTITION BY h.symbol) AS latest
+    FROM history h, range(12) f(k), (VALUES ('search', 0, 12), ('calibration', 12, 18), ('gate', 18, 24), ('test', 24, 30)) r(role, a, z)) h WHERE session >= fa AND session < fz AND whole <= latest + 1) QUALIFY TRUE
+), vol20 AS (
+  SELECT symbol, session, CASE WHEN count(r) OVER w = 20 THEN stddev_pop(r) OVER w END AS volatility FROM (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY session)) AS r FROM history)
+  WINDOW w AS (PARTITION BY symbol ORDER BY session ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)
+), limits AS (SELECT symbol, quantile_cont(volatility, 1 / 3.0) AS lower, quantile_cont(volatility, 2 / 3.0) AS upper FROM vol20 GROUP BY symbol
+), labelled AS (
+  SELECT v.symbol, session, volatility, CASE WHEN volatility <= lower THEN 'low' WHEN volatility <= upper THEN 'normal' WHEN volatility > upper THEN 'high' ELSE 'unknown' END AS regime FROM vol20 v JOIN limits USING (symbol)
+), cands AS (
+  SELECT symbol, session, 'as_is' AS candidate, ret FROM history UNION ALL SELECT symbol, session, 'turned', -ret FROM history UNION ALL SELECT symbol, session, 'no_monday', CASE WHEN isodow(session) = 1 THEN 0 ELSE ret END FROM history
+), moments AS (SELECT symbol, candidate, avg(ret) AS gm, avg(ret * ret) AS gq FROM cands GROUP BY ALL
+), per AS (
+  SELECT c.symbol, c.candidate, regime, count(*) AS sessions, count(*) FILTER (ret <> 0) AS trades, avg(ret) AS rm, avg(ret * ret) AS rq FROM cands c JOIN labelled l ON l.symbol = c.symbol AND l.session = c.session WHERE regime <> 'unknown' GROUP BY ALL
+), regime_scores AS (
+  SELECT symbol, candidate, regime, sessions, trades, CASE WHEN sessions >= 20 AND trades >= 5 AND v > 0 THEN mm / sqrt(v) * sqrt(252) END AS score FROM (
+    SELECT *, greatest(w * rq + (1 - w) * gq - mm * mm, 0) AS v FROM (SELECT *, sessions / (sessions + 10.0) AS w, sessions / (sessions + 10.0) * rm + (1 - sessions / (sessions + 10.0)) * gm AS mm FROM per JOIN moments USING (symbol, candidate)))
+), library AS (
+  SELECT symbol, regime, coalesce(first(candidate ORDER BY score DESC, candidate) FILTER (score IS NOT NULL), 'as_is') AS candidate FROM regime_scores GROUP BY ALL
+), numbered AS (
+  SELECT l.symbol, l.session, NULLIF(l.regime, 'unknown') AS regime, coalesce(b.candidate, 'as_is') AS goal, row_number() OVER (PARTITION BY l.symbol ORDER BY l.session) AS k FROM labelled l LEFT JOIN library b ON b.symbol = l.symbol AND b.regime = l.regime
+), routes AS (
+  SELECT symbol, session, k, CASE WHEN regime IS NULL OR goal = 'as_is' THEN 'as_is' ELSE 'as_is' END AS candidate, CASE WHEN regime IS NOT NULL AND goal <> 'as_is' THEN regime END AS pending, CASE WHEN regime IS NOT NULL AND goal <> 'as_is' THEN 1 ELSE 0 END AS n FROM numbered WHERE k = 1
+  UNION ALL
+  SELECT symbol, session, k, CASE WHEN regime IS NULL THEN 'as_is' WHEN goal <> active AND c >= 2 THEN goal ELSE active END, CASE WHEN regime IS NULL OR goal = active OR c >= 2 THEN NULL ELSE regime END, CASE WHEN regime IS NULL OR goal = active OR c >= 2 THEN 0 ELSE c END
+  FROM (SELECT x.*, r.candidate AS active, CASE WHEN r.pending = x.regime THEN r.n + 1 ELSE 1 END AS c FROM routes r JOIN numbered x ON x.symbol = r.symbol AND x.k = r.k + 1)
+), blocks AS (
+  SELECT symbol || '|' || candidate AS key, year(session) - 1995 AS block, avg(ret) AS mean, stddev_pop(ret) AS sd, count(*) FILTER (ret <> 0) AS t FROM cands GROUP BY ALL
+), cand_path AS (
+  SELECT key, min(path / greatest(1, peak) - 1) AS dd FROM (SELECT key, path, max(path) OVER (PARTITION BY key ORDER BY session ROWS UNBOUNDED PRECEDING) AS peak FROM (
+    SELECT symbol || '|' || candidate AS key, session, exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol, candidate ORDER BY session ROWS UNBOUNDED PRECEDING)) AS path FROM cands)) GROUP BY key
+), block_scores AS (
+  SELECT key, 'eligible' AS reason, quantile_cont(sh, 0.5) - 0.5 * (quantile_cont(sh, 0.75) - quantile_cont(sh, 0.25)) - abs(any_value(dd)) AS score, any_value(dd) AS max_drawdown
+  FROM (SELECT key, mean / sd * sqrt(252) AS sh FROM blocks) JOIN cand_path USING (key) GROUP BY key
+), gaps AS (SELECT symbol, median(g) AS minutes FROM (SELECT symbol, epoch(ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts)) / 60 AS g FROM bars30) GROUP BY symbol
+), hours2 AS (
+  SELECT symbol, date_trunc('day', ts) + INTERVAL 2 HOUR * (hour(ts) // 2) AS ts, first(open ORDER BY b.ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY b.ts) AS close, sum(volume) AS volume FROM bars30 b GROUP BY 1, 2
+)"""
+)
+
+ALL: dict[str, Query] = {
+    "bars_30m": Query(m.bars30, ("symbol", "ts"), OHLCV, "bars30"),
+    "bars_2h_from_30m": Query(lambda s, d: bars.wider(m.bars30(s, d), "2 hours"), ("symbol", "ts"), OHLCV, "hours2"),
+    "bar_spacing": Query(lambda s, d: bars.spacing(m.bars30(s, d)), ("symbol",), ("minutes",), "gaps"),
+    "tagged_bars": Query(m.tagged, ("symbol", "ts", "session", "bucket"), OHLCV, "tagged"),
+    "session_wide": Query(m.wide, ("symbol", "session"), (*WIDE, "o_ref"), "wide"),
+    "calendar_sessions": Query(m.valid, ("symbol", "session"), ("o_ref",), "valid"),
+    "target_rows": Query(lambda s, d: bars.target_rows(m.wide(s, d)), ("symbol", "session", "target_slot"), ("daily_close", "o_ref", *TARGET), "slots"),
+    "volatility": Query(m.sigma_rows, ("symbol", "session"), ("sigma",), "vol"),
+    "volatility_today": Query(lambda s, d: bands.with_volatility(m.wide(s, d), mode="today"), ("symbol", "session"), ("sigma_today",), "today"),
+    "session_bands": Query(m.banded, ("symbol", "session", "direction"), ("sigma", *BANDS), "banded"),
+    "band_overlays": Query(lambda s, d: bands.band_overlays(m.banded(s, d)), ("symbol", "session", "overlay"), ("level",), "overlays"),
+    "opening_ranges": Query(lambda s, d: breakout.opening_range(m.tagged(s, d), 510, 570), ("symbol", "session", "range_end"), ("range_high", "range_low", "range_mid"), "opening"),
+    "session_ranges": Query(lambda s, d: breakout.session_ranges(m.tagged(s, d), 5), ("symbol", "session"), ("session_range", "atr_session"), "spans"),
+    "vwap_true_range": Query(lambda s, d: breakout.with_true_range(breakout.with_vwap(m.tagged(s, d))), ("symbol", "ts"), ("vwap", "true_range"), "tr", 8),
+    "wilder_average": Query(
+        lambda s, d: breakout.recurrence(breakout.with_true_range(m.tagged(s, d)), "true_range", "rma", ["symbol"], "ts", 14).filter("rma IS NOT NULL"), ("symbol", "ts"), ("rma",), "rma"
+    ),
+    "channel_signals": Query(lambda s, d: m.signals(s, d).withColumnRenamed("trigger", "trigger_level"), ("symbol", "session", "ts", "side"), ("stop", "target", "trigger_level"), "channel_signals"),
+    "range_signals": Query(lambda s, d: m.signals(s, d, m.RANGE), ("symbol", "session", "ts", "side"), ("stop", "target"), "range_signals"),
+    "channel_trades": Query(m.closed, ("symbol", "session", "ts", "side", "entry_ts", "exit_ts", "reason"), ("entry_price", "exit_price", "gross_points", "net_points", "risk", "gross_r", "net_r"), "ch"),
+    "trade_ledger": Query(m.booked, ("symbol", "session", "exit_ts"), ("units", "cash_before", "cash_after"), "booked"),
+    "compounded_ledger": Query(lambda s, d: m.booked(s, d, "current"), ("symbol", "session", "exit_ts"), ("cash_after",), "compounded"),
+    "equity_curve": Query(m.curve, ("symbol", "ts", "session", "in_position"), ("cash", "equity"), "eq"),
+    "performance": Query(
+        m.all_figures,
+        ("symbol", "trades"),
+        ("final_equity", "total_return_pct", "cagr_pct", "sharpe", "sortino", "max_drawdown_pct", "exposure_pct", "gross_profit", "gross_loss", "expectancy", "net_pnl", "win_rate_pct", "profit_factor"),
+        "fig",
+    ),
+    "yearly_performance": Query(
+        lambda s, d: metrics.yearly(m.curve(s, d), m.booked(s, d), m.CASH, ["symbol"]), ("symbol", "year", "trades"), ("start_equity", "end_equity", "return_pct", "max_drawdown_pct", "net_pnl"), "year_fig"
+    ),
+    "session_returns": Query(m.daily_returns, ("symbol", "session"), ("ret",), "day_ret"),
+    "daily_performance": Query(lambda s, d: metrics.daily_figures(m.daily_returns(s, d), ["symbol"]), ("symbol", "sessions"), ("sharpe", "sortino", "max_drawdown", "growth"), "day_fig"),
+    "buy_and_hold": Query(lambda s, d: trades.buy_and_hold(m.tagged(s, d), costs=m.COSTS), ("symbol",), ("entry_price", "exit_price", "net_pnl"), "hold"),
+    "parameter_sweep": Query(m.sweep, ("symbol", "channel_bars", "side_mode", "trades"), ("expectancy", "net_pnl", "win_rate_pct"), "sweep"),
+    "session_folds": Query(lambda s, d: folds.session_folds(m.tagged(s, d), 8, 4, 4, ["symbol"]), ("symbol", "fold", "role", "session"), (), "session_folds"),
+    "fold_choices": Query(m.chosen, ("symbol", "fold", "role", "params"), ("r",), "chosen"),
+    "best_parameters": Query(
+        lambda s, d: folds.best(m.chosen(s, d).filter("role = 'train'").withColumnRenamed("r", "score"), ["symbol", "fold"], "params").withColumnRenamed("params", "best"), ("symbol", "fold", "best"), (), "best"
+    ),
+    "month_folds": Query(m.month_folds, ("symbol", "fold", "role", "session"), (), "month_folds"),
+    "regime_labels": Query(m.labelled, ("symbol", "session", "regime"), ("volatility",), "labelled"),
+    "regime_scores": Query(m.regime_scores, ("symbol", "candidate", "regime", "sessions", "trades"), ("score",), "regime_scores"),
+    "regime_library": Query(m.regime_library, ("symbol", "regime", "candidate"), (), "library"),
+    "routing_schedule": Query(m.routing, ("symbol", "session", "candidate"), (), "routes"),
+    "block_scores": Query(m.block_scores, ("key", "reason"), ("score", "max_drawdown"), "block_scores"),
+    "walk_forward": Query(m.walk, ("symbol", "fold", "params", "optimised"), ("result",)),
+    "router_gate": Query(m.gated, ("symbol", "accepted", "reason"), ("mean_diff", "low", "high")),
+    "monte_carlo": Query(m.monte_carlo, ("symbol", "method", "sims"), ("least", "p05", "median", "p95", "most")),
+    "state_filter": Query(m.state_filter, ("symbol", "ts", "part", "state", "status", "allowed"), ("net_r",)),
+    "content_fingerprint": Query(m.content, ("rows", "hash_sum", "digest")),
+}
 FLAGSHIP = "session_bands"
+
+
+def _plan(q: Query) -> Callable[..., DataFrame]:
+    # dates leave as text, which reads the same everywhere
+    def run(spark, sf_dir: str) -> DataFrame:
+        exact = [F.col(c).cast("string").alias(c) if c == "session" else F.col(c) for c in q.exact]
+        return q.plan(spark, sf_dir).select(*exact, *[F.round(c, q.digits).alias(c) for c in q.rounded])
+
+    return run
+
+
+def _sql(q: Query) -> str:
+    exact = [f"CAST({c} AS VARCHAR) AS {c}" if c == "session" else c for c in q.exact]
+    columns = ", ".join([*exact, *[f"round(CAST({c} AS DOUBLE), {q.digits}) AS {c}" for c in q.rounded]])
+    return f"WITH RECURSIVE {CHAIN.strip()} SELECT {columns} FROM {q.source}"
+
+
+QUERIES = {name: _plan(q) for name, q in ALL.items()}
+ORACLES = {name: _sql(q) for name, q in ALL.items() if q.source}
