@@ -120,7 +120,7 @@ def boundaries(data: bytes, starts: np.ndarray, bits: int = CHUNK_BITS) -> np.nd
 
 def _sorted_unique(x: np.ndarray) -> np.ndarray:
     x = np.sort(x)
-    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def encode_texts(texts: list[str | None], coder: Codec, bits: int = CHUNK_BITS) -> Iterator[list[Piece]]:
