@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.operators import bands, bars, breakout, folds, metrics, regimes, resampling, selection, trades
+from tidebars.operators import bands, bars, breakout, folds, metrics, regimes, reports, resampling, selection, trades
 from tidebars.operators.breakout import Rules
 from tidebars.operators.trades import Costs
 from tidebars.sources.tables import fingerprint, load, renamed
@@ -193,3 +193,32 @@ def walk(spark, sf) -> DataFrame:
 
 def content(spark, sf) -> DataFrame:
     return fingerprint(bars30(spark, sf)).select("rows", "hash_sum", "digest")
+
+
+def out_of_sample(spark, sf) -> DataFrame:
+    """Cash after every session of the routed and the general policy, at normal and at stressed costs."""
+    return reports.policy_capital(reports.policies(routing(spark, sf), candidates(spark, sf), "as_is", ["symbol"]), CASH, ["symbol"])
+
+
+def fold_results(spark, sf) -> DataFrame:
+    """(symbol, fold, params, ret, trades) of every channel length in the folds' test parts, a risk of 1% a trade."""
+    scored = chosen(spark, sf).filter("role = 'test'")
+    return scored.select("symbol", "fold", "params", (F.col("r") * 0.01).alias("ret"), F.lit(1).alias("trades"))
+
+
+def order_months(spark, sf) -> DataFrame:
+    """Volume-weighted price bars a day of the line items, by return flag."""
+    li = renamed(load(spark, f"{sf}/lineitem.parquet"), {"symbol": "l_returnflag", "ts": "l_shipdate", "amount": "l_extendedprice", "volume": "l_quantity", "order": "l_orderkey", "line": "l_linenumber"})
+    rows = li.withColumn("price", F.col("amount") / F.col("volume")).withColumn("seq", F.struct("order", "line"))
+    return bars.resample(rows, "1 day")
+
+
+def holdings(spark, sf) -> DataFrame:
+    """Folds compounded: cash at the start and end of each, by symbol and channel length."""
+    return folds.carried_capital(fold_results(spark, sf), CASH, ["symbol", "params"])
+
+
+def best_lengths(spark, sf) -> DataFrame:
+    """(symbol, fold, channel_bars): the channel length that each fold's training part chose."""
+    scored = chosen(spark, sf).filter("role = 'train'").withColumn("score", folds.objective(F.col("r")))
+    return folds.best(scored, ["symbol", "fold"], "params").select("symbol", "fold", F.col("params").alias("channel_bars"))

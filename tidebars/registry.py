@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.operators import bands, bars, breakout, folds, metrics, resampling, selection, trades
+from tidebars.operators import bands, bars, breakout, folds, metrics, reports, selection, trades
 from tidebars.plans import market as m
 
 DIGITS = 6
@@ -267,6 +267,24 @@ bars30 AS (
 ), gaps AS (SELECT symbol, median(g) AS minutes FROM (SELECT symbol, epoch(ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts)) / 60 AS g FROM bars30) GROUP BY symbol
 ), hours2 AS (
   SELECT symbol, date_trunc('day', ts) + INTERVAL 2 HOUR * (hour(ts) // 2) AS ts, first(open ORDER BY b.ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY b.ts) AS close, sum(volume) AS volume FROM bars30 b GROUP BY 1, 2
+), line_days AS (
+  SELECT l_returnflag AS symbol, date_trunc('day', l_shipdate)::TIMESTAMP AS ts, first(p ORDER BY l_shipdate, l_orderkey, l_linenumber) AS open, max(p) AS high, min(p) AS low,
+    last(p ORDER BY l_shipdate, l_orderkey, l_linenumber) AS close, sum(l_quantity) AS volume FROM (SELECT *, l_extendedprice / l_quantity AS p FROM lineitem) GROUP BY 1, 2
+), policy_rows AS (
+  SELECT d.symbol, d.policy, k.cost, d.session, d.candidate, CASE WHEN c.ret IS NULL OR c.ret = 0 THEN 0 ELSE c.ret - k.off END AS ret FROM (
+    SELECT symbol, session, 'regime' AS policy, candidate FROM routes UNION ALL SELECT symbol, session, 'general', 'as_is' FROM routes) d
+  CROSS JOIN (VALUES ('normal', 0.0), ('stress', 0.0005)) k(cost, off) LEFT JOIN cands c ON c.symbol = d.symbol AND c.session = d.session AND c.candidate = d.candidate
+), policy_growth AS (SELECT symbol, policy, cost, exp(sum(ln(1 + ret))) AS growth FROM policy_rows GROUP BY ALL
+), fold_cash AS (
+  SELECT *, lag(end_cash, 1, 100000.0) OVER (PARTITION BY symbol, params ORDER BY fold) AS start_cash FROM (
+    SELECT symbol, params, fold, 100000 * exp(sum(ln(1 + r * 0.01)) OVER (PARTITION BY symbol, params ORDER BY fold ROWS UNBOUNDED PRECEDING)) AS end_cash FROM chosen WHERE role = 'test')
+), fold_sum AS (
+  SELECT symbol, params, count(DISTINCT fold) AS folds, count(*) FILTER (r > 0) AS winning_folds, avg(r * 0.01) AS mean_return, median(r * 0.01) AS median_return, min(r * 0.01) AS worst_return FROM chosen WHERE role = 'test' GROUP BY ALL
+), moves AS (
+  SELECT symbol, fold, best, coalesce((best <> lag(best) OVER (PARTITION BY symbol ORDER BY fold))::INT, 0) AS moved FROM best
+), stable AS (
+  SELECT symbol, 'channel_bars' AS parameter, count(*) AS distinct_values, first(best ORDER BY n DESC, best) AS most_common, max(n) / sum(n) AS share, sum(moved)::BIGINT AS changes
+  FROM (SELECT symbol, best, count(*) AS n, sum(moved) AS moved FROM moves GROUP BY ALL) GROUP BY symbol
 )"""
 )
 
@@ -318,6 +336,15 @@ ALL: dict[str, Query] = {
     "regime_library": Query(m.regime_library, ("symbol", "regime", "candidate"), (), "library"),
     "routing_schedule": Query(m.routing, ("symbol", "session", "candidate"), (), "routes"),
     "block_scores": Query(m.block_scores, ("key", "reason"), ("score", "max_drawdown"), "block_scores"),
+    "lineitem_daily_bars": Query(m.order_months, ("symbol", "ts"), OHLCV, "line_days", 8),
+    "out_of_sample_policies": Query(m.out_of_sample, ("symbol", "policy", "cost", "session", "candidate"), ("ret",), "policy_rows"),
+    "policy_capital": Query(
+        lambda s, d: m.out_of_sample(s, d).groupBy("symbol", "policy", "cost").agg(F.max_by("cash", "session").alias("growth")).withColumn("growth", F.col("growth") / m.CASH),
+        ("symbol", "policy", "cost"), ("growth",), "policy_growth",
+    ),
+    "fold_capital": Query(m.holdings, ("symbol", "params", "fold"), ("start_cash", "end_cash"), "fold_cash"),
+    "fold_summary": Query(lambda s, d: reports.fold_summary(m.fold_results(s, d), ["symbol", "params"]), ("symbol", "params", "folds", "winning_folds"), ("mean_return", "median_return", "worst_return"), "fold_sum"),
+    "parameter_stability": Query(lambda s, d: folds.stability(m.best_lengths(s, d), ["symbol"], ["channel_bars"]), ("symbol", "parameter", "distinct_values", "most_common", "changes"), ("share",), "stable"),
     "walk_forward": Query(m.walk, ("symbol", "fold", "params", "optimised"), ("result",)),
     "router_gate": Query(m.gated, ("symbol", "accepted", "reason"), ("mean_diff", "low", "high")),
     "monte_carlo": Query(m.monte_carlo, ("symbol", "method", "sims"), ("least", "p05", "median", "p95", "most")),
