@@ -4,8 +4,10 @@ Documents with equal shingle sets are one node. Shingles are ordered from rare t
 by their hash bucket's document count, over all documents. Two sets whose Jaccard
 similarity reaches the threshold share a shingle in their prefixes under that order.
 
-1. Nodes that agree on one of four MinHash values are compared with the value's smallest
-   node, their leader; links of that kind gather large groups as stars.
+1. Nodes that agree on one of four MinHash values are compared with the value's leader,
+   the node whose shingles are the most common ones on average: in a group of altered
+   copies that is the original, to which all are nearest. Links of that kind gather large
+   groups as stars.
 2. Lists of the prefix shingles give the pairs that are not connected yet. A list is
    sorted by set size, so only the blocks of it within the size ratio are looked at, and
    positions in the prefix bound the overlap. Entries of one component are skipped.
@@ -84,7 +86,7 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def sets_table(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, row_key (hash of the text), node (hash of the set), n, and, once a set and task, MinHashes and prefix."""
+    """doc_id, row_key (hash of the text), node (hash of the set), n, and, once a set and task, how common its shingles are, MinHashes and prefix."""
     counts = docs.sparkSession.sparkContext.broadcast(document_counts(docs))  # 8 MB
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,12 +94,13 @@ def sets_table(docs: DataFrame, percent: int) -> DataFrame:
         for pdf in batches:
             texts = pdf["text"].tolist()
             for s in sliced(texts):
-                node, size, mins, prefix = [], [], [], []
+                node, size, common, mins, prefix = [], [], [], [], []
                 for h in shingle_sets(texts[s]):
                     size.append(len(h))
                     key = int.from_bytes(hashlib.md5(h.tobytes()).digest()[:8], "little", signed=True) if len(h) else None
                     node.append(key)
                     if key is None or key in seen:
+                        common.append(None)
                         mins.append(None)
                         prefix.append(None)
                         continue
@@ -105,21 +108,30 @@ def sets_table(docs: DataFrame, percent: int) -> DataFrame:
                         seen.clear()
                     seen.add(key)
                     p = len(h) - least_overlap(len(h), percent) + 1
-                    by = np.lexsort((h, order[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))[:p]
+                    seen_in = order[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                    by = np.lexsort((h, seen_in))[:p]
+                    common.append(float(np.log1p(seen_in).mean()))
                     mins.append([mixed(h ^ x).min().view(np.int64) for x in SEEDS])
                     prefix.append(h[by].view(np.int64))
                 own = pdf[["doc_id", "row_key"]].iloc[s]
-                yield own.assign(node=pd.array(node, dtype="Int64"), n=size, mins=mins, prefix=prefix)
+                yield own.assign(node=pd.array(node, dtype="Int64"), n=size, common=common, mins=mins, prefix=prefix)
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("row_key"))
     kind = dict(docs.dtypes)["doc_id"]
-    return written(keyed.mapInPandas(run, f"doc_id {kind}, row_key long, node long, n int, mins array<long>, prefix array<long>"), "sets")
+    return written(keyed.mapInPandas(run, f"doc_id {kind}, row_key long, node long, n int, common double, mins array<long>, prefix array<long>"), "sets")
 
 
 def _alike(n: Column, m: Column, shared: Column, percent: int) -> Column:
     return 100 * shared >= percent * (n + m - shared)
 
 
+def _in_buckets(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key may be among ``wanted``: those of its hash buckets, a table of at most 2**KEY_BITS numbers."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << KEY_BITS)).cast("int")
+    some = F.broadcast(wanted.select(bucket(F.col(wanted.columns[0])).alias("bucket__")).distinct())
+    return rows.withColumn("bucket__", bucket(F.col(key))).join(some, "bucket__", "left_semi").drop("bucket__")
+
+
 def overlaps(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b, shared) for (a, b) pairs of nodes, from the texts of one document each.
 
@@ -128,16 +140,15 @@ def overlaps(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
     own = sets.filter("prefix IS NOT NULL").select("node", "doc_id", "row_key").join(wanted, F.col("node") == F.col("w"), "left_semi")
-    own = own.groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select("node", F.col("r.doc_id").alias("r_id"), F.col("r.row_key").alias("r_key"))
-    own = written(own, "jaccard-nodes")
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << KEY_BITS)).cast("int")
-    some = F.broadcast(own.select(bucket(F.col("r_key")).alias("k")).distinct())  # at most 2**KEY_BITS numbers
-    texts = docs.select("doc_id", "text").withColumn("row_key", F.xxhash64("text"))
-    texts = texts.withColumn("k", bucket(F.col("row_key"))).join(some, "k", "left_semi").drop("k")
-    texts = texts.join(own, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("row_key") == F.col("r_key"))).select("node", "text")
-    left = texts.select(F.col("node").alias("l"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("r"), F.col("text").alias("text_b"))
-    joined = pairs.select("a", "b").join(right, F.col("b") == F.col("r")).join(left, F.col("a") == F.col("l")).select("a", "b", "text_a", "text_b")
+    own = written(own.groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("r")), "jaccard-nodes")
+    texts = docs.select(F.struct("doc_id", F.xxhash64("text").alias("row_key")).alias("r"), "text")
+    texts = _in_buckets(texts, "r.row_key", own.select("r.row_key"))
+    a, b = own.select(F.col("node").alias("a"), F.col("r").alias("r_a")), own.select(F.col("node").alias("b"), F.col("r").alias("r_b"))
+    # the pairs carry the rows that stand for their nodes, so each side takes its texts in one join
+    both = pairs.select("a", "b").join(a, "a").join(b, "b")
+    right = texts.select(F.col("r").alias("r_b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("r").alias("r_a"), F.col("text").alias("text_a"))
+    joined = both.join(right, "r_b").join(left, "r_a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, kept = None, None
@@ -155,11 +166,13 @@ def overlaps(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def star_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every node b with the smallest node a of each of its MinHash values, where their sizes allow a link."""
-    keyed = sets.filter("mins IS NOT NULL").select("node", "n", F.posexplode("mins").alias("k", "v"))
-    lead = keyed.groupBy("k", "v").agg(F.min(F.struct("n", "node")).alias("lead")).select(F.col("k").alias("lk"), F.col("v").alias("lv"), "lead")
+    """(a, b): every node b with the leader a of each of its MinHash values, where their sizes allow a link."""
+    keyed = sets.filter("mins IS NOT NULL").select("node", "n", "common", F.posexplode("mins").alias("k", "v"))
+    lead = keyed.groupBy("k", "v").agg(F.max(F.struct("common", "node", "n")).alias("lead")).select(F.col("k").alias("lk"), F.col("v").alias("lv"), "lead.node", "lead.n")
+    lead = lead.withColumnRenamed("node", "a").withColumnRenamed("n", "m")
     met = keyed.join(lead, (F.col("k") == F.col("lk")) & (F.col("v") == F.col("lv")))
-    return met.filter((F.col("lead.node") != F.col("node")) & (100 * F.col("lead.n") >= percent * F.col("n"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+    fits = (100 * F.col("m") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("m"))
+    return met.filter((F.col("a") != F.col("node")) & fits).select("a", F.col("node").alias("b")).distinct()
 
 
 def run_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,8 +204,15 @@ def list_pairs(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     ``known``: (node, component, lead) of the nodes that step 1 linked.
     """
     own = known.select(F.col("node").alias("k"), "component", "lead")
-    rows = sets.filter("prefix IS NOT NULL").join(own, F.col("node") == F.col("k"), "left")
-    rows = rows.select("node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("lead", "node").alias("lead"), F.posexplode("prefix").alias("pos", "h"))
+    rows = sets.filter("prefix IS NOT NULL").select("node", "n", "prefix")
+    # only nodes that may be known are moved to their component; the others, the most, are components of their own
+    bucket = F.pmod(F.xxhash64("node"), F.lit(1 << KEY_BITS)).cast("int")
+    some = F.broadcast(known.select(bucket.alias("bucket__")).distinct())
+    rows = rows.withColumn("bucket__", bucket)
+    maybe = rows.join(some, "bucket__", "left_semi").join(own, F.col("node") == F.col("k"), "left")
+    alone = rows.join(some, "bucket__", "left_anti").select("node", "n", "prefix", F.col("node").alias("component"), F.col("node").alias("lead"))
+    rows = alone.unionByName(maybe.select("node", "n", "prefix", F.coalesce("component", "node").alias("component"), F.coalesce("lead", "node").alias("lead")))
+    rows = rows.select("node", "n", "component", "lead", F.posexplode("prefix").alias("pos", "h"))
     rows = rows.repartition(F.col("h")).sortWithinPartitions("h", "n", "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
