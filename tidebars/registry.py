@@ -285,6 +285,13 @@ bars30 AS (
 ), stable AS (
   SELECT symbol, 'channel_bars' AS parameter, count(*) AS distinct_values, first(best ORDER BY n DESC, best) AS most_common, max(n) / sum(n) AS share, sum(moved)::BIGINT AS changes
   FROM (SELECT symbol, best, count(*) AS n, sum(moved) AS moved FROM moves GROUP BY ALL) GROUP BY symbol
+), tests AS (SELECT symbol, fold, params, r FROM chosen WHERE role = 'test'
+), walked AS (
+  SELECT b.symbol, b.fold, b.best AS params, TRUE AS optimised, t.r AS result FROM best b JOIN tests t ON t.symbol = b.symbol AND t.fold = b.fold AND t.params = b.best WHERE b.fold = 0
+  UNION ALL
+  SELECT n.symbol, n.fold, n.p, n.renew, t.r FROM (
+    SELECT b.symbol, b.fold, CASE WHEN w.result < 0 THEN b.best ELSE w.params END AS p, w.result < 0 AS renew FROM walked w JOIN best b ON b.symbol = w.symbol AND b.fold = w.fold + 1
+  ) n JOIN tests t ON t.symbol = n.symbol AND t.fold = n.fold AND t.params = n.p
 )"""
 )
 
@@ -345,7 +352,7 @@ ALL: dict[str, Query] = {
     "fold_capital": Query(m.holdings, ("symbol", "params", "fold"), ("start_cash", "end_cash"), "fold_cash"),
     "fold_summary": Query(lambda s, d: reports.fold_summary(m.fold_results(s, d), ["symbol", "params"]), ("symbol", "params", "folds", "winning_folds"), ("mean_return", "median_return", "worst_return"), "fold_sum"),
     "parameter_stability": Query(lambda s, d: folds.stability(m.best_lengths(s, d), ["symbol"], ["channel_bars"]), ("symbol", "parameter", "distinct_values", "most_common", "changes"), ("share",), "stable"),
-    "walk_forward": Query(m.walk, ("symbol", "fold", "params", "optimised"), ("result",)),
+    "walk_forward": Query(m.walk, ("symbol", "fold", "params", "optimised"), ("result",), "walked"),
     "router_gate": Query(m.gated, ("symbol", "accepted", "reason"), ("mean_diff", "low", "high")),
     "monte_carlo": Query(m.monte_carlo, ("symbol", "method", "sims"), ("least", "p05", "median", "p95", "most")),
     "state_filter": Query(m.state_filter, ("symbol", "ts", "part", "state", "status", "allowed"), ("net_r",)),
