@@ -142,6 +142,19 @@ def test_mix_meets_its_targets(spark, tmp_path):
         assert abs(taken[s] - want[s]) <= max(60, 0.02 * want[s])
 
 
+def test_mix_rows_are_the_copies_taken(spark, tmp_path):
+    rows = [(i, f"{'w ' * (1 + i % 7)}", "ab"[i % 3 == 0], i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size__ long").withColumnRenamed("size__", "size")
+    plans = source_mix.plan(source_mix.word_sizes(df), 4, 32, 7)
+    want = {r["doc_id"]: len(r["shards__"]) for r in source_mix.assign(source_mix.word_sizes(df).withColumnRenamed("size", "size__"), plans, 7).collect()}
+    mixed = source_mix.mix(df, 4, 32)
+    assert collections.Counter(r["doc_id"] for r in mixed.collect()) == {k: n for k, n in want.items() if n}
+    source_mix.write_shards(mixed, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == sum(want.values())
+    with pytest.raises(ValueError, match="already"):
+        source_mix.mix(df.withColumn("shard", F.lit(1)))
+
+
 def test_quotas_are_exact_and_shards_even(spark):
     q = spark.createDataFrame([("a", 300), ("b", 7), (None, 33), ("z", 0)], "source string, quota long")
     out = source_mix.split_quotas(q, 8, 3).collect()

@@ -225,15 +225,18 @@ def word_sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
 
 
-def mix(docs: DataFrame, shards: int = 16, block_docs: int = 256, seed: int = 7) -> DataFrame:
-    """The mixed rows: every row of ``docs`` once for each time it is taken, with all its columns and its ``shard``.
+def mix(docs: DataFrame, shards: int = 16, block_docs: int = 256, seed: int = 7, shard_col: str = "shard") -> DataFrame:
+    """The mixed rows: every row of ``docs`` once for each time it is taken, with all its columns and its shard.
 
-    A shard's rows are in no order yet; ``write_shards`` shuffles each locally.
+    A shard's rows are in no order yet; ``write_shards`` shuffles each locally. A column of ``docs`` that has the
+    shard column's name is refused.
     """
+    if shard_col in docs.columns:
+        raise ValueError(f"there is a column {shard_col} already")
     plans = plan(word_sizes(docs), shards, block_docs, seed)
     rows = docs.withColumn("size__", n_words(F.col("text")))
     out = assign(rows, plans, seed).drop(*HELPERS, "size__", "source_size__", "target__")
-    return out.select(*docs.columns, F.explode("shards__").alias("shard"))
+    return out.select(*docs.columns, F.explode("shards__").alias(shard_col))
 
 
 def write_shards(mixed: DataFrame, path: str, seed: int = 7) -> None:
