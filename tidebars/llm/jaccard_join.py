@@ -16,9 +16,9 @@ similarity reaches the threshold share a shingle in their prefixes under that or
    what it lacks. Only partners that the bounds leave open are compared themselves.
 
 The sets are compared exactly, on their 64-bit shingle hashes. Components then follow
-from the links. No pair inside a component found in step 1 is built, and no list is held
-whole: lists stream through tasks, and the entries that stay in memory are those within
-the size ratio of the current one.
+from the links. No pair inside a component found in step 1 is built. Lists stream through
+the tasks one after another; one list, five numbers an entry, is in memory at a time, and
+equal sets are one entry a task in it.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are
 linked with nothing; repeated rows are linked (they have equal sets); rows that share a
