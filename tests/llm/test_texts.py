@@ -155,6 +155,15 @@ def test_mix_rows_are_the_copies_taken(spark, tmp_path):
         source_mix.mix(df.withColumn("shard", F.lit(1)))
 
 
+def test_empty_tables_pass_every_stage(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
 def test_quotas_are_exact_and_shards_even(spark):
     q = spark.createDataFrame([("a", 300), ("b", 7), (None, 33), ("z", 0)], "source string, quota long")
     out = source_mix.split_quotas(q, 8, 3).collect()
