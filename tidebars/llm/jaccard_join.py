@@ -118,7 +118,9 @@ def sets_table(docs: DataFrame, percent: int) -> DataFrame:
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("row_key"))
     kind = dict(docs.dtypes)["doc_id"]
-    return written(keyed.mapInPandas(run, f"doc_id {kind}, row_key long, node long, n int, common double, mins array<long>, prefix array<long>"), "sets")
+    out = written(keyed.mapInPandas(run, f"doc_id {kind}, row_key long, node long, n int, common double, mins array<long>, prefix array<long>"), "sets")
+    counts.destroy()
+    return out
 
 
 def _alike(n: Column, m: Column, shared: Column, percent: int) -> Column:
