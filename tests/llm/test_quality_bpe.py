@@ -51,6 +51,27 @@ def test_common_lines_deplete_and_copies_do_not(spark):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@pytest.mark.parametrize(("shared", "own"), [(10, 1), (20, 1), (15, 3)])
+def test_documents_that_share_lines_stay_different_witnesses(spark, shared, own):
+    random.seed(shared)
+    line = lambda: " ".join("".join(random.choices("abcdefghij", k=6)) for _ in range(6))
+    menu = [line() for _ in range(shared)]
+    texts = ["\n".join(menu + [line() for _ in range(own)]) for _ in range(60)]
+    plain = [" ".join(line() for _ in range(5)) for _ in range(40)]
+    left = {r["doc_id"]: (r["words_left"], r["kept"]) for r in quality_rules.judge(docs(spark, texts + plain)).collect()}
+    assert {left[i] for i in range(60)} == {(6 * own, False)}
+    assert {left[i] for i in range(60, 100)} == {(30, True)}
+
+
+def test_copies_count_neither_for_a_line_nor_for_the_host(spark):
+    random.seed(3)
+    line = lambda: " ".join("".join(random.choices("abcdefghij", k=6)) for _ in range(12))
+    menu = line()
+    texts = [menu + "\n" + line() for _ in range(14)] + [line()] * 3000  # 15 documents, 3014 rows
+    left = [r["words_left"] for r in quality_rules.judge(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert left[:14] == [12] * 14 and set(left[14:]) == {12}
+
+
 def test_quality_of_empty_table_repeats_and_null_source(spark):
     assert quality_rules.judge(docs(spark, [])).count() == 0
     t = " ".join(f"w{i}" for i in range(30))

@@ -3,8 +3,10 @@
 Everything is built from SQL functions. The cross-document part hashes each
 normalised line, counts the documents of each host (``source``) that hold it, takes
 lines above the host's limit out of the documents, and rejects documents of which
-too little is left. Copies of one document are one witness: documents are counted by
-family, the least line hash of a document, which copies and near copies share.
+too little is left. Copies of one document are one witness: a document counts by the set
+of its line hashes, so that shared lines cannot make one witness of different documents,
+and near copies count each. A host's size is counted in the same unit. (The registered
+query counts by ``LEAST_LINE``, as its SQL does.)
 
 Defined results: a null or empty text has no words and fails the base rules; a null
 source is a host of its own; repeated rows are judged alike and are one witness;
@@ -21,6 +23,8 @@ from tidebars.llm.durable import written
 from tidebars.llm.text import BLANK_RUN, BLANKS, words
 
 WINDOW = 5
+LINE_SET = "line set"  # documents are told apart by the set of their lines
+LEAST_LINE = "least line"  # by their least line hash only, and the limit is a share of the rows: what OP10_SQL states
 
 
 def _line_hash(line: Column) -> Column:
@@ -88,24 +92,33 @@ def features(docs: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
+def _witness(lines: Column, by: str) -> Column:
+    """What a document is told apart by when the documents that hold a line are counted."""
+    if by not in (LINE_SET, LEAST_LINE):
+        raise ValueError(f"witnesses are told apart by {LINE_SET!r} or {LEAST_LINE!r}, not by {by!r}")
+    hashes = F.transform(lines, lambda x: x["h"])
+    return F.array_min(hashes) if by == LEAST_LINE else F.xxhash64(F.array_sort(F.array_distinct(hashes)))
+
+
 def common_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """(source, h) of lines that more families of a host hold than the larger of ``min_docs`` and ``max_share`` of its rows."""
-    held = lines.groupBy("source", "h", "family").agg(F.lit(1).alias("one"))
-    counted = held.groupBy("source", "h").agg(F.count("*").alias("families")).filter(F.col("families") > min_docs)
-    limit = hosts.select(F.col("source").alias("host"), F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.col("rows")).alias("most"))
-    return counted.join(limit, F.col("source").eqNullSafe(F.col("host"))).filter(F.col("families") > F.col("most")).select("source", "h")
+    """(source, h) of lines that more witnesses of a host hold than the larger of ``min_docs`` and ``max_share`` of its size."""
+    held = lines.groupBy("source", "h", "witness").agg(F.lit(1).alias("one"))
+    counted = held.groupBy("source", "h").agg(F.count("*").alias("witnesses")).filter(F.col("witnesses") > min_docs)
+    limit = hosts.select(F.col("source").alias("host"), F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.col("size")).alias("most"))
+    return counted.join(limit, F.col("source").eqNullSafe(F.col("host"))).filter(F.col("witnesses") > F.col("most")).select("source", "h")
 
 
-def judge(docs: DataFrame, min_docs: int = 10, max_share: float = 0.01, min_left: float = 0.3) -> DataFrame:
+def judge(docs: DataFrame, min_docs: int = 10, max_share: float = 0.01, min_left: float = 0.3, witness: str = LINE_SET) -> DataFrame:
     """One row for each row of ``docs``: the counts, base_failed, words_left and kept.
 
     A document that passes the base rules is kept if the words outside common lines
     number 10 or more and at least ``min_left`` of all.
     """
-    seen = features(docs)
-    hosts = docs.groupBy("source").agg(F.count("*").alias("rows"))
-    lines = seen.select("doc_id", "row_key", "source", F.array_min(F.transform("lines", lambda x: x["h"])).alias("family"), F.posexplode("lines").alias("at", "line")).select(
-        "doc_id", "row_key", "source", "family", F.col("line.h").alias("h"), F.col("line.n").alias("n"), (F.col("at") == 0).cast("long").alias("first")
+    seen = written(features(docs), "quality-features")  # read three times below
+    known = seen.withColumn("witness", _witness(F.col("lines"), witness))
+    hosts = (seen if witness == LEAST_LINE else known.select("source", "witness").distinct()).groupBy("source").agg(F.count("*").alias("size"))
+    lines = known.select("doc_id", "row_key", "source", "witness", F.posexplode("lines").alias("at", "line")).select(
+        "doc_id", "row_key", "source", "witness", F.col("line.h").alias("h"), F.col("line.n").alias("n"), (F.col("at") == 0).cast("long").alias("first")
     )
     common = common_lines(lines, hosts, min_docs, max_share).select(F.col("source").alias("c_source"), F.col("h").alias("c_h"))
     # "first" counts how often the same row is there, so that repeated rows are not summed up
@@ -128,7 +141,7 @@ def judge(docs: DataFrame, min_docs: int = 10, max_share: float = 0.01, min_left
     )
 
 
-def filter_documents(docs: DataFrame, **limits: float) -> DataFrame:
+def filter_documents(docs: DataFrame, **limits: float | str) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns, each as often as it was there."""
     # written before it is filtered, else the filter is pushed down and the counts are worked out again in it
     verdicts = written(judge(docs, **limits).select("doc_id", "row_key", "kept"), "quality-verdicts")
@@ -139,7 +152,7 @@ def filter_documents(docs: DataFrame, **limits: float) -> DataFrame:
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
+    return judge(docs, witness=LEAST_LINE).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
 
 
 OP10_SQL = r"""
