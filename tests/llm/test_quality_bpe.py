@@ -63,6 +63,24 @@ def test_documents_that_share_lines_stay_different_witnesses(spark, shared, own)
     assert {left[i] for i in range(60, 100)} == {(30, True)}
 
 
+def test_common_lines_are_taken_out_of_kept_texts(spark):
+    random.seed(4)
+    line = lambda n=8: " ".join("".join(random.choices("abcdefghij", k=6)) for _ in range(n))
+    menu = [line(), line()]
+    own = [[line(30) for _ in range(4)] for _ in range(30)]
+    texts = ["\n".join([menu[0], *o[:2], "", menu[1].upper() + " ", *o[2:], " ", menu[0], ""]) for o in own]
+    want = ["\n".join([*o[:2], "", *o[2:], " ", ""]) for o in own]
+    plain = [line() + "\n\n" + line() + "\n" for _ in range(20)]
+    df = docs(spark, texts + plain)
+    got = {}
+    for r in quality_rules.filter_documents(df.union(df.filter("doc_id = 0"))).collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    assert got.pop(0) == [want[0]] * 2
+    assert got == {i: [x] for i, x in enumerate(want + plain) if i}
+    left = {r["doc_id"]: r["words_left"] for r in quality_rules.judge(df).collect()}
+    assert {i: len(WORD.findall(x[0])) for i, x in got.items()} == {i: n for i, n in left.items() if i}
+
+
 def test_copies_count_neither_for_a_line_nor_for_the_host(spark):
     random.seed(3)
     line = lambda: " ".join("".join(random.choices("abcdefghij", k=6)) for _ in range(12))

@@ -11,7 +11,8 @@ query counts by ``LEAST_LINE``, as its SQL does.)
 Defined results: a null or empty text has no words and fails the base rules; a null
 source is a host of its own; repeated rows are judged alike and are one witness;
 ties do not arise (limits are strict); an empty table gives an empty table; columns
-other than doc_id, text and source pass through ``filter_documents`` untouched.
+other than doc_id, text and source pass through ``filter_documents`` untouched (a column with
+the text's length too); blank lines stay where they are.
 """
 
 from __future__ import annotations
@@ -108,26 +109,26 @@ def common_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, max_share: f
     return counted.join(limit, F.col("source").eqNullSafe(F.col("host"))).filter(F.col("witnesses") > F.col("most")).select("source", "h")
 
 
-def judge(docs: DataFrame, min_docs: int = 10, max_share: float = 0.01, min_left: float = 0.3, witness: str = LINE_SET) -> DataFrame:
-    """One row for each row of ``docs``: the counts, base_failed, words_left and kept.
-
-    A document that passes the base rules is kept if the words outside common lines
-    number 10 or more and at least ``min_left`` of all.
-    """
+def _verdicts(docs: DataFrame, min_docs: int = 10, max_share: float = 0.01, min_left: float = 0.3, witness: str = LINE_SET) -> DataFrame:
+    """As ``judge``, with ``gone_at``: the sorted places of the document's common lines among its lines, null for none."""
     seen = written(features(docs), "quality-features")  # read three times below
     known = seen.withColumn("witness", _witness(F.col("lines"), witness))
     hosts = (seen if witness == LEAST_LINE else known.select("source", "witness").distinct()).groupBy("source").agg(F.count("*").alias("size"))
     lines = known.select("doc_id", "row_key", "source", "witness", F.posexplode("lines").alias("at", "line")).select(
-        "doc_id", "row_key", "source", "witness", F.col("line.h").alias("h"), F.col("line.n").alias("n"), (F.col("at") == 0).cast("long").alias("first")
+        "doc_id", "row_key", "source", "witness", "at", F.col("line.h").alias("h"), F.col("line.n").alias("n")
     )
     common = common_lines(lines, hosts, min_docs, max_share).select(F.col("source").alias("c_source"), F.col("h").alias("c_h"))
-    # "first" counts how often the same row is there, so that repeated rows are not summed up
+    # a set, so that repeated rows are not summed up
     taken = (
-        lines.join(common, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("h") == F.col("c_h")), "left")
+        lines.join(common, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("h") == F.col("c_h")))
         .groupBy("doc_id", "row_key")
-        .agg(F.sum(F.when(F.col("c_h").isNotNull(), F.col("n"))).alias("gone"), F.sum("first").alias("times"))
-        .filter(F.col("gone") > 0)
-        .select(F.col("doc_id").alias("t_id"), F.col("row_key").alias("t_key"), F.expr("gone div times").alias("gone"))
+        .agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("gone"))
+        .select(
+            F.col("doc_id").alias("t_id"),
+            F.col("row_key").alias("t_key"),
+            F.transform("gone", lambda x: x["at"]).alias("gone_at"),
+            F.aggregate("gone", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("gone"),
+        )
     )
     left = F.col("n_words") - F.coalesce(F.col("gone"), F.lit(0))
     return (
@@ -137,17 +138,50 @@ def judge(docs: DataFrame, min_docs: int = 10, max_share: float = 0.01, min_left
             "doc_id", "source", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
             left.alias("words_left"),
             (~F.col("base_failed") & (left >= 10) & (left >= min_left * F.col("n_words"))).alias("kept"),
+            "gone_at",
         )
     )
 
 
+def judge(docs: DataFrame, **limits: float | str) -> DataFrame:
+    """One row for each row of ``docs``: the counts, base_failed, words_left and kept.
+
+    A document that passes the base rules is kept if the words outside common lines
+    number 10 or more and at least ``min_left`` of all.
+    """
+    return _verdicts(docs, **limits).drop("gone_at")
+
+
+def without_lines(text: Column, gone_at: Column) -> Column:
+    """``text`` without the lines at the sorted places ``gone_at``, counted among its lines that are not blank.
+
+    Slices between those places are put together, so the work is linear in the lines.
+    """
+
+    def cut(acc: Column, parts: Column) -> Column:
+        n = F.size(parts)
+        full = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(parts, i).rlike("[^\\x20\\x09-\\x0D]"))
+        edges = F.aggregate(  # binds the places of full lines once
+            F.array(full), F.array().cast("array<int>"), lambda _, at: F.concat(F.array(F.lit(-1)), F.transform(gone_at, lambda g: F.get(at, g)), F.array(n))
+        )
+        return F.aggregate(
+            F.array(edges),
+            acc,
+            lambda _, e: F.flatten(F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda k: F.slice(parts, F.get(e, k) + 2, F.get(e, k + 1) - F.get(e, k) - 1))),
+        )
+
+    return F.array_join(F.aggregate(F.array(F.split(text, "\n")), F.array().cast("array<string>"), cut), "\n")
+
+
 def filter_documents(docs: DataFrame, **limits: float | str) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns, each as often as it was there."""
+    """The rows of ``docs`` that are kept, each as often as it was there, their texts without the common lines."""
     # written before it is filtered, else the filter is pushed down and the counts are worked out again in it
-    verdicts = written(judge(docs, **limits).select("doc_id", "row_key", "kept"), "quality-verdicts")
-    good = verdicts.filter("kept").select(F.col("doc_id").alias("k_id"), F.col("row_key").alias("k_key")).distinct()
+    verdicts = written(_verdicts(docs, **limits).select("doc_id", "row_key", "kept", "gone_at"), "quality-verdicts")
+    good = verdicts.filter("kept").select(F.col("doc_id").alias("k_id__"), F.col("row_key").alias("k_key__"), F.col("gone_at").alias("gone_at__")).distinct()
     keyed = docs.withColumn("row_key__", F.xxhash64("doc_id", "source", "text"))
-    return keyed.join(good, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("row_key__") == F.col("k_key")), "left_semi").drop("row_key__")
+    out = keyed.join(good, F.col("doc_id").eqNullSafe(F.col("k_id__")) & (F.col("row_key__") == F.col("k_key__")))
+    cleaned = F.when(F.col("gone_at__").isNotNull(), without_lines(F.col("text"), F.col("gone_at__"))).otherwise(F.col("text"))
+    return out.withColumn("text", cleaned).select(*docs.columns)
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
