@@ -68,6 +68,20 @@ def secrets_table(spark):
     return texts, spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
 
 
+def test_language_model_comes_from_all_grams(spark):
+    import numpy as np
+
+    rng = random.Random(5)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=110_000))  # over 90 000 different 4-grams, most of them once
+    key, n = np.unique(language_id.keys_of(*language_id.letters([text, text[:500]]))[0], return_counts=True)
+    rows = [(0, "x", text), (1, "x", text[:500])]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    whole = language_id._order(key, n)
+    assert len(model.hashes) == len(key) > 60_000
+    assert np.array_equal(model.orders[0][0].weight, whole.weight)
+    assert np.array_equal(model.orders[0][0].prob, whole.prob)
+
+
 def test_secrets_keep_all_pattern_findings(spark):
     texts, df = secrets_table(spark)
     for r in secret_scan.find_secrets(df).collect():

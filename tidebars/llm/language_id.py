@@ -1,10 +1,10 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Spark counts the 4-grams of all training texts, a language at a time: each task adds up
-its own counts, a shuffle adds those. The counts that the model keeps are bounded by
-``max_grams`` a language (a minimal count found from the counts' histogram), so what
-reaches the driver and the executors is bounded too. From them come the lower orders'
-continuation counts, discounts and back-off weights. A gram's key holds four UTF-16
+its own counts, a shuffle adds those. From all of them come the lower orders'
+continuation counts, discounts and back-off weights, and the model keeps every 4-gram,
+so it grows with the number of different ones: the driver and each Python worker hold it
+(``max_grams``, if given, leaves only a language's most frequent ones in the table). A gram's key holds four UTF-16
 units; keys are hashed by an odd multiplier and stored in sorted arrays, one for the
 4-grams of all languages with a log probability for each, and smaller ones to back off to.
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 4
-MAX_GRAMS = 60_000  # 4-grams that the model keeps of a language, at most about
+RESOLVED = 500_000  # 4-grams that are resolved at once
 CALIBRATION_ROWS = 2_000  # training rows that the scores are calibrated on, about
 SLICE = 2_000_000  # characters that are worked on at once
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -232,16 +232,26 @@ class Model(NamedTuple):
         return out
 
 
-def build(counts: pd.DataFrame) -> Model | None:
-    """The model from (lang, key, n)."""
+def _most_frequent(key: np.ndarray, n: np.ndarray, most: int | None) -> np.ndarray:
+    """The keys of the ``most`` highest counts, ties by key; all without a limit."""
+    return key if most is None or len(key) <= most else key[np.lexsort((key, -n))[:most]]
+
+
+def build(counts: pd.DataFrame, max_grams: int | None = None) -> Model | None:
+    """The model from (lang, key, n), discounts and all lower orders from all of it."""
     if counts.empty:
         return None
     langs, orders = sorted(counts["lang"].unique()), []
     vocabulary: set[int] = set()
+    tabled = []
     for lang in langs:
         own = counts[counts["lang"] == lang].sort_values("key")
         key, n = own["key"].to_numpy().view(np.uint64), own["n"].to_numpy()
         found = [_order(key, n)]
+        tabled.append(_most_frequent(key, n, max_grams))
+        if max_grams is not None:
+            at, _ = _find(found[0].grams, np.sort(tabled[-1] * MIX))
+            found[0] = found[0]._replace(grams=found[0].grams[at], prob=found[0].prob[at])
         for k in range(ORDER - 1, 0, -1):
             short = key & np.uint64((1 << 16 * k) - 1)  # the gram without its first unit
             key, n = np.unique(short, return_counts=True)  # continuation counts
@@ -249,13 +259,13 @@ def build(counts: pd.DataFrame) -> Model | None:
         vocabulary.update(key.tolist())
         orders.append(found)
     floor = 1.0 / (len(vocabulary) + 1)
-    keys = np.unique(counts["key"].to_numpy().view(np.uint64))
+    keys = np.unique(np.concatenate(tabled))
     bare = Model(langs, orders, floor, np.zeros(0, np.uint64), np.zeros((0, len(langs)), np.float32), np.zeros(0, np.int32))
     hashed = keys * MIX
     by = np.argsort(hashed)
     hashed = hashed[by]
     edges = np.arange(1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
-    return bare._replace(hashes=hashed, logs=bare.resolve(keys)[by], buckets=np.searchsorted(hashed, edges).astype(np.int32))
+    return bare._replace(hashes=hashed, logs=np.concatenate([bare.resolve(keys[i : i + RESOLVED]) for i in range(0, len(keys), RESOLVED)])[by], buckets=np.searchsorted(hashed, edges).astype(np.int32))
 
 
 def score_texts(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -274,24 +284,12 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.n
     return out, np.where(with_letters, sizes, 0)
 
 
-def train(rows: DataFrame, max_grams: int = MAX_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
+def train(rows: DataFrame, max_grams: int | None = None, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
     """The model of all rows of (doc_id, lang, text) that have a language and a text."""
     from tidebars.llm.durable import written
 
     counts = written(count_grams(rows), "lang-grams")
-    # the least count of a language that leaves at most max_grams: from the histogram of counts, capped at a bounded number of steps
-    step = F.least(F.col("n"), F.lit(1000))
-    histogram = counts.groupBy("lang", step.alias("step")).agg(F.count("*").alias("grams")).toPandas()
-    least = {}
-    for lang, own in histogram.groupby("lang"):
-        own = own.sort_values("step", ascending=False)
-        within = own[own["grams"].cumsum() <= max_grams]
-        least[lang] = int(within["step"].min()) if len(within) else 1001
-    if not least:
-        return None
-    limits = rows.sparkSession.createDataFrame(list(least.items()), "l string, least int")
-    kept = counts.join(limits, F.col("lang") == F.col("l")).filter(F.col("n") >= F.col("least")).select("lang", "key", "n").toPandas()
-    model = build(kept)
+    model = build(counts.toArrow().to_pandas(categories=["lang"]), max_grams)
     if model is None:
         return None
     usable = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
@@ -322,7 +320,7 @@ def calibrated(model: Model, fit: pd.DataFrame) -> Model:
 def entropies(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """For every row of ``docs`` the best language, its cross-entropy, its lead over the second, and the characters scored."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by max_grams a language
+    shared = spark.sparkContext.broadcast(model)  # as large as the training texts have different 4-grams
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
