@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidebars.llm import bpe, quality_rules
 
@@ -90,6 +91,58 @@ def test_copies_count_neither_for_a_line_nor_for_the_host(spark):
     assert left[:14] == [12] * 14 and set(left[14:]) == {12}
 
 
+def line_key(line):
+    return hashlib.md5(re.sub(r"[\x20\x09-\x0D]+", " ", line.strip(" \t\n\x0b\x0c\r").lower()).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("low", [True, False])
+def test_verdicts_do_not_hang_on_the_hash_of_a_shared_line(spark, low):
+    random.seed(7)
+    line = lambda n: " ".join("".join(random.choices("abcdefghij", k=6)) for _ in range(n))
+    shared = next(x for x in iter(lambda: line(12), None) if (line_key(x) < "01") == low)
+    texts = [shared + "\n" + line(4) for _ in range(500)]
+    kept = [r["kept"] for r in quality_rules.judge(docs(spark, texts)).collect()]
+    assert kept == [False] * 500
+
+
+def test_verdicts_equal_plain_python(spark):
+    random.seed(11)
+    line = lambda n: " ".join("".join(random.choices("abcdefghij", k=5)) for _ in range(n))
+    menus = [line(random.randint(1, 9)) for _ in range(12)]
+    rows = []
+    for i in range(240):
+        own = random.sample(menus, random.randint(0, 6)) + [line(random.randint(1, 12)) for _ in range(random.randint(0, 4))]
+        rows.append((i, "\n".join(own), random.choice(["a", "b", None])))
+    rows += [(240 + i, *rows[i % 7][1:]) for i in range(60)] + rows[:3] + [(900, None, "a"), (901, "", None), (902, line(30_000), "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hosts = {}
+    for _, t, s in rows:
+        hosts.setdefault(s, set()).add(t or "")
+    held = {s: {} for s in hosts}
+    for s, own in hosts.items():
+        for t in own:
+            for h in {line_key(x) for x in t.split("\n") if WORD.search(x)}:
+                held[s][h] = held[s].get(h, 0) + 1
+    want = {}
+    for i, t, s in rows:
+        n, _, _, _, repeated = counts(t) if i != 902 else (30_000, 0, 0, 0, 0)
+        gone = sum(len(WORD.findall(x)) for x in (t or "").split("\n") if WORD.search(x) and held[s][line_key(x)] > max(10, 0.01 * len(hosts[s])))
+        want[i] = (n - gone, n >= 10 and 100 * repeated <= 20 * n and n - gone >= 10 and n - gone >= 0.3 * n)
+    got = quality_rules.judge(df).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: (r["words_left"], r["kept"]) for r in got} == want
+    assert 20 < sum(k for _, k in want.values()) < 280
+
+
+def test_filter_lets_columns_of_any_name_pass(spark):
+    t = " ".join(f"w{i}" for i in range(30))
+    names = ("k_id", "k_key", "id", "key", "row", "own_id", "row_key", "row_key__", "h", "at", "gone_at", "kept", "lines")
+    df = docs(spark, [t, "short"]).select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    out = quality_rules.filter_documents(df)
+    assert out.columns == df.columns
+    assert [tuple(r) for r in out.collect()] == [tuple(df.first())]
+
+
 def test_quality_of_empty_table_repeats_and_null_source(spark):
     assert quality_rules.judge(docs(spark, [])).count() == 0
     t = " ".join(f"w{i}" for i in range(30))

@@ -1,18 +1,16 @@
 """Quality rules: in-document counts and lines that too many documents of a host share.
 
 Everything is built from SQL functions. The cross-document part hashes each
-normalised line, counts the documents of each host (``source``) that hold it, takes
-lines above the host's limit out of the documents, and rejects documents of which
-too little is left. Copies of one document are one witness: a document counts by the set
-of its line hashes, so that shared lines cannot make one witness of different documents,
-and near copies count each. A host's size is counted in the same unit. (The registered
-query counts by ``LEAST_LINE``, as its SQL does.)
+normalised line, counts the distinct documents of each host (``source``) that hold it,
+takes lines above the host's limit out of the documents, and rejects documents of which
+too little is left. Documents of one host with equal texts are one document; near copies
+count each. A host's size is counted in the same unit.
 
 Defined results: a null or empty text has no words and fails the base rules; a null
 source is a host of its own; repeated rows are judged alike and are one witness;
 ties do not arise (limits are strict); an empty table gives an empty table; columns
-other than doc_id, text and source pass through ``filter_documents`` untouched (a column with
-the text's length too); blank lines stay where they are.
+other than doc_id, text and source pass through ``filter_documents`` untouched, whatever
+their names (a column with the text's length too); blank lines stay where they are.
 """
 
 from __future__ import annotations
@@ -24,8 +22,10 @@ from tidebars.llm.durable import written
 from tidebars.llm.text import BLANK_RUN, BLANKS, words
 
 WINDOW = 5
-LINE_SET = "line set"  # documents are told apart by the set of their lines
-LEAST_LINE = "least line"  # by their least line hash only, and the limit is a share of the rows: what OP10_SQL states
+
+
+def _row_key() -> Column:
+    return F.xxhash64("doc_id", "source", "text")
 
 
 def _line_hash(line: Column) -> Column:
@@ -69,12 +69,13 @@ def _repeat_words(w: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, source, a row key, the counts of the base rules, and the lines with their hashes and words."""
+    """doc_id, source, keys of the row and of the text, the counts of the base rules, and the lines with their hashes and words."""
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     read = docs.select(
         "doc_id",
         "source",
-        F.xxhash64("doc_id", "source", "text").alias("row_key"),
+        _row_key().alias("row_key"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
         words(F.col("text")).alias("w"),
         F.coalesce(lines, F.array().cast("array<string>")).alias("lines"),
         F.coalesce(F.regexp_count("text", F.lit("[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"),
@@ -83,6 +84,7 @@ def features(docs: DataFrame) -> DataFrame:
         "doc_id",
         "source",
         "row_key",
+        "text_key",
         F.size("w").cast("long").alias("n_words"),
         F.aggregate("w", F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("word_chars"),
         "n_symbols",
@@ -93,31 +95,20 @@ def features(docs: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def _witness(lines: Column, by: str) -> Column:
-    """What a document is told apart by when the documents that hold a line are counted."""
-    if by not in (LINE_SET, LEAST_LINE):
-        raise ValueError(f"witnesses are told apart by {LINE_SET!r} or {LEAST_LINE!r}, not by {by!r}")
-    hashes = F.transform(lines, lambda x: x["h"])
-    return F.array_min(hashes) if by == LEAST_LINE else F.xxhash64(F.array_sort(F.array_distinct(hashes)))
-
+def common_lines(seen: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+    """(source, h) of lines that more distinct documents of a host hold than the larger of ``min_docs`` and ``max_share`` of them."""
+    # equal texts have equal lines, so the first of a group stands for all
+    texts = written(seen.groupBy("source", "text_key").agg(F.first(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")), "quality-texts")
+    size = texts.groupBy(F.col("source").alias("host")).agg(F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.count("*")).alias("most"))
+    counted = texts.select("source", F.explode("h").alias("h")).groupBy("source", "h").agg(F.count("*").alias("docs")).filter(F.col("docs") > min_docs)
+    return counted.join(size, F.col("source").eqNullSafe(F.col("host"))).filter(F.col("docs") > F.col("most")).select("source", "h")
 
-def common_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """(source, h) of lines that more witnesses of a host hold than the larger of ``min_docs`` and ``max_share`` of its size."""
-    held = lines.groupBy("source", "h", "witness").agg(F.lit(1).alias("one"))
-    counted = held.groupBy("source", "h").agg(F.count("*").alias("witnesses")).filter(F.col("witnesses") > min_docs)
-    limit = hosts.select(F.col("source").alias("host"), F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.col("size")).alias("most"))
-    return counted.join(limit, F.col("source").eqNullSafe(F.col("host"))).filter(F.col("witnesses") > F.col("most")).select("source", "h")
 
-
-def _verdicts(docs: DataFrame, min_docs: int = 10, max_share: float = 0.01, min_left: float = 0.3, witness: str = LINE_SET) -> DataFrame:
+def _verdicts(docs: DataFrame, min_docs: int = 10, max_share: float = 0.01, min_left: float = 0.3) -> DataFrame:
     """As ``judge``, with ``gone_at``: the sorted places of the document's common lines among its lines, null for none."""
     seen = written(features(docs), "quality-features")  # read three times below
-    known = seen.withColumn("witness", _witness(F.col("lines"), witness))
-    hosts = (seen if witness == LEAST_LINE else known.select("source", "witness").distinct()).groupBy("source").agg(F.count("*").alias("size"))
-    lines = known.select("doc_id", "row_key", "source", "witness", F.posexplode("lines").alias("at", "line")).select(
-        "doc_id", "row_key", "source", "witness", "at", F.col("line.h").alias("h"), F.col("line.n").alias("n")
-    )
-    common = common_lines(lines, hosts, min_docs, max_share).select(F.col("source").alias("c_source"), F.col("h").alias("c_h"))
+    common = written(common_lines(seen, min_docs, max_share).select(F.col("source").alias("c_source"), F.col("h").alias("c_h")), "quality-common")
+    lines = seen.select("doc_id", "row_key", "source", F.posexplode("lines").alias("at", "line")).select("doc_id", "row_key", "source", "at", F.col("line.h").alias("h"), F.col("line.n").alias("n"))
     # a set, so that repeated rows are not summed up
     taken = (
         lines.join(common, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("h") == F.col("c_h")))
@@ -132,7 +123,7 @@ def _verdicts(docs: DataFrame, min_docs: int = 10, max_share: float = 0.01, min_
     )
     left = F.col("n_words") - F.coalesce(F.col("gone"), F.lit(0))
     return (
-        seen.drop("lines")
+        seen.drop("lines", "text_key")
         .join(taken, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("row_key") == F.col("t_key")), "left")
         .select(
             "doc_id", "source", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -143,7 +134,7 @@ def _verdicts(docs: DataFrame, min_docs: int = 10, max_share: float = 0.01, min_
     )
 
 
-def judge(docs: DataFrame, **limits: float | str) -> DataFrame:
+def judge(docs: DataFrame, **limits: float) -> DataFrame:
     """One row for each row of ``docs``: the counts, base_failed, words_left and kept.
 
     A document that passes the base rules is kept if the words outside common lines
@@ -173,20 +164,20 @@ def without_lines(text: Column, gone_at: Column) -> Column:
     return F.array_join(F.aggregate(F.array(F.split(text, "\n")), F.array().cast("array<string>"), cut), "\n")
 
 
-def filter_documents(docs: DataFrame, **limits: float | str) -> DataFrame:
+def filter_documents(docs: DataFrame, **limits: float) -> DataFrame:
     """The rows of ``docs`` that are kept, each as often as it was there, their texts without the common lines."""
     # written before it is filtered, else the filter is pushed down and the counts are worked out again in it
     verdicts = written(_verdicts(docs, **limits).select("doc_id", "row_key", "kept", "gone_at"), "quality-verdicts")
-    good = verdicts.filter("kept").select(F.col("doc_id").alias("k_id__"), F.col("row_key").alias("k_key__"), F.col("gone_at").alias("gone_at__")).distinct()
-    keyed = docs.withColumn("row_key__", F.xxhash64("doc_id", "source", "text"))
-    out = keyed.join(good, F.col("doc_id").eqNullSafe(F.col("k_id__")) & (F.col("row_key__") == F.col("k_key__")))
-    cleaned = F.when(F.col("gone_at__").isNotNull(), without_lines(F.col("text"), F.col("gone_at__"))).otherwise(F.col("text"))
-    return out.withColumn("text", cleaned).select(*docs.columns)
+    good = verdicts.filter("kept").select(F.col("doc_id").alias("id"), F.col("row_key").alias("key"), "gone_at").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), _row_key().alias("own_key"))
+    cleaned = F.when(F.col("gone_at").isNotNull(), without_lines(F.col("row.text"), F.col("gone_at"))).otherwise(F.col("row.text"))
+    out = rows.join(good, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")))
+    return out.select(*[cleaned.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return judge(docs, witness=LEAST_LINE).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
+    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
 
 
 OP10_SQL = r"""
@@ -202,18 +193,16 @@ WITH d AS (
 ), rep AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM dup, range(5) r(k) GROUP BY doc_id
 ), lh AS (
-  SELECT doc_id, source, ('0x' || substr(md5(regexp_replace(lower(trim(l, E' \t\n\x0b\x0c\r')), '[\x20\x09-\x0D]+', ' ', 'g')), 1, 15))::BIGINT AS h,
+  SELECT doc_id, source, text, ('0x' || substr(md5(regexp_replace(lower(trim(l, E' \t\n\x0b\x0c\r')), '[\x20\x09-\x0D]+', ' ', 'g')), 1, 15))::BIGINT AS h,
          len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
-  FROM (SELECT doc_id, source, unnest(lines) AS l FROM d)
-), fam AS (
-  SELECT *, min(h) OVER (PARTITION BY doc_id) AS family FROM lh
+  FROM (SELECT doc_id, source, text, unnest(lines) AS l FROM d)
 ), hosts AS (
-  SELECT source, count(*) AS c FROM documents GROUP BY source
+  SELECT source, count(DISTINCT text) AS c FROM d GROUP BY source
 ), common AS (
-  SELECT f.source, h FROM (SELECT source, h, count(DISTINCT family) AS c FROM fam GROUP BY source, h) f
+  SELECT f.source, h FROM (SELECT source, h, count(DISTINCT text) AS c FROM lh GROUP BY source, h) f
   JOIN hosts ON f.source IS NOT DISTINCT FROM hosts.source WHERE f.c > greatest(10.0, 0.01 * hosts.c)
 ), gone AS (
-  SELECT doc_id, sum(n) AS gone FROM fam JOIN common c ON fam.source IS NOT DISTINCT FROM c.source AND fam.h = c.h GROUP BY doc_id
+  SELECT doc_id, sum(n) AS gone FROM lh JOIN common c ON lh.source IS NOT DISTINCT FROM c.source AND lh.h = c.h GROUP BY doc_id
 ), r AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
