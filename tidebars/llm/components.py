@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from tidebars.llm.durable import written
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component): for every node of (a, b) links the smallest node of its component.
 
     Alternating large-star and small-star rounds: each node hands its larger, then its
-    smaller neighbours to the smallest one, until all links are stars around the minima.
+    smaller neighbours to the smallest one, until a round changes no link: then all are stars
+    around the minima. There is no limit on rounds; their number grows with the logarithm of the nodes.
     Rounds are written, the neighbours of a node are never gathered, and a node with very
     many links is split by the joins. Links of a node to itself keep it as its own component.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
