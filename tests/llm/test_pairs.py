@@ -1,9 +1,12 @@
 """Jaccard join, top-k search, license scan and URL filter against brute force."""
 
+import collections
 import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tidebars.llm import components, jaccard_join, license_scan, topk_search, url_filter
 
@@ -145,7 +148,7 @@ def test_urls(spark):
         (1, "http://A.Example.org/es/x?y", None), (2, "https://example.org/en/12#z", "<a href='http://bad.example.com/'>"), (3, "http://x.com/fr/1", ""), (4, None, "<p>"), (5, "no scheme/x", "x"),
         (6, "http://bad.example.com/de/1", "<a href=//far.net/a>"), (7, "http://bad.example.com/en/1", None), (8, "http://far.net/", ""), (9, "http://good.org", "<img src='http://far.net/i'>"), (10, "http://com/fr/", ""),
     ]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("page_id", "page_id")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("x")).withColumn("trust", F.lit(1))
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df).collect()}
     assert got[1] == ("a.example.org", "/es/x", "example.org/es/", "block")
     assert got[2][2:] == ("example.org/en/1", "block")
@@ -160,3 +163,45 @@ def test_distrust_flows_against_links(spark):
     rows = [(1, "http://bad.com/de/1", "x"), (2, "http://hub.net/", "<a href='http://bad.com/'>"), (3, "http://ok.net/", "<a href='http://fine.com/'>"), (4, "http://fine.com/fr/1", "")]
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
+def test_scores_reach_hosts_behind_many_links_and_equal_plain_rounds(spark):
+    r = random.Random(3)
+    chain = [(f"c{i}.net", f"c{i + 1}.net", 1) for i in range(30)]
+    edges = chain + [(f"h{r.randrange(12)}.net", f"h{r.randrange(12)}.net", r.randint(1, 3)) for _ in range(30)]
+    edges = list({(a, b): n for a, b, n in edges if a != b}.items())
+    edges = [(a, b, n) for (a, b), n in edges]
+    seeds = [("c0.net", 3, 0), ("h1.net", 2, 5), ("h2.net", 0, 4), ("lone.net", 1, 1), ("c30.net", 0, 1)]
+    got = {x["host"]: (x["trust"], x["distrust"]) for x in url_filter.spread(spark.createDataFrame(seeds, "host string, trust long, distrust long"), spark.createDataFrame(edges, "src string, dst string, n long")).collect()}
+    hosts = {h for e in edges for h in e[:2]} | {s[0] for s in seeds}
+    for kind in (0, 1):
+        links = [(a, b, n) if kind == 0 else (b, a, n) for a, b, n in edges]
+        out = collections.Counter()
+        for a, _, n in links:
+            out[a] += n
+        v = {h: 0.0 for h in hosts} | {s[0]: s[1 + kind] / sum(x[1 + kind] for x in seeds) for s in seeds}
+        x = dict(v)
+        for _ in range(400):  # hosts without links give their part back to the seeds
+            lost = sum(x[h] for h in hosts if not out[h])
+            new = {h: 0.15 * v[h] + 0.85 * lost * v[h] for h in hosts}
+            for a, b, n in links:
+                new[b] += 0.85 * x[a] * n / out[a]
+            x = new
+        for h in hosts:
+            assert got[h][kind] == pytest.approx(x[h], rel=2e-4, abs=1e-12), h
+    assert got["c29.net"][0] > 0  # far behind its seed
+
+
+def test_equal_scores_allow_and_the_blocking_rule_wins_ties(spark):
+    rules = (("a.com", "/x/", "allow"), ("a.com", "/x/", "block"), ("b.com", "/ok", "allow"), ("b.com", "/no", "block"))
+    rows = [(1, "http://a.com/x/1", ""), (2, "http://b.com/ok", ""), (3, "http://b.com/no", ""), (4, "http://b.com/", ""), (4, "http://b.com/", "")]
+    got = sorted((x["page_id"], x["verdict"]) for x in url_filter.judge(spark.createDataFrame(rows[1:], "page_id long, url string, html string"), rules).collect())
+    assert got == [(2, "allow"), (3, "block"), (4, "allow"), (4, "allow")]
+    assert url_filter.judge(spark.createDataFrame(rows[:1], "page_id long, url string, html string"), rules).first()["verdict"] == "block"
+
+
+def test_long_chains_become_one_component(spark):
+    links = [(i, i + 1) for i in range(3000)]
+    random.Random(1).shuffle(links)
+    out = components.components(spark.createDataFrame(links, "a long, b long")).select("component").distinct().collect()
+    assert [x[0] for x in out] == [0]
