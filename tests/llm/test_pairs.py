@@ -116,15 +116,68 @@ def test_top_k_equals_brute_force(spark):
     assert topk_search.top_k(df.filter("vec_id < 3"), df.filter("vec_id = 0")).count() == 2
 
 
-def test_search_block_stops_early_and_is_exact():
+def check_block(q, q_ids, x, k, bars):
+    block = topk_search.Block(x, np.arange(len(x)), topk_search._working_type(q, x))
+    found, reads = topk_search.search_block(q, q_ids, block, k, bars)
+    for i, (rows, score) in enumerate(found):
+        want = x @ q[i]
+        order = [r for r in np.lexsort((np.arange(len(x)), -want)) if r != q_ids[i]][:k]
+        order = [r for r in order if np.isnan(bars[i]) or want[r] >= bars[i]]
+        assert [r for r in rows.tolist() if np.isnan(bars[i]) or want[r] >= bars[i]] == order
+        assert score.tolist() == want[rows].tolist()
+    return reads / len(x)
+
+
+def test_lists_are_left_early_where_winners_stand_out():
     rng = np.random.default_rng(5)
     x = rng.integers(-20, 20, (3000, 6))
-    x[:40] *= 4  # clear winners
-    q = x[:5]
-    for i, (rows, score) in enumerate(topk_search.search_block(q, np.arange(5), x, np.arange(3000), 10)):
-        want = x @ q[i]
-        order = [r for r in np.lexsort((np.arange(3000), -want)) if r != i][:10]
-        assert rows.tolist() == order and score.tolist() == want[order].tolist()
+    x[:40] = rng.integers(-3, 4, (40, 6)) + np.array([90, 80, 95, -85, 90, 99])  # one direction
+    share = check_block(x[:10], np.arange(10), x, 10, np.full(10, np.nan))
+    assert (share < 0.5).mean() > 0.5
+    far = check_block(-x[100:110], np.full(10, -1), x, 10, np.full(10, np.nan))
+    assert far.max() <= 1.0
+
+
+def test_lists_are_read_nearly_to_the_end_where_bounds_say_little():
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 8, (600, 64)).round().astype(int)
+    assert check_block(x[:8], np.arange(8), x, 2, np.full(8, np.nan)).min() >= 0.9
+
+
+def test_a_bar_from_elsewhere_ends_queries_sooner():
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 8, (4000, 32)).round().astype(int)
+    q = x[:30]
+    kth = np.sort(q @ x.T, axis=1)[:, -21].astype(float)
+    own, lent = check_block(q, np.arange(30), x, 20, np.full(30, np.nan)), check_block(q, np.arange(30), x, 20, kth)
+    assert lent.mean() < own.mean()
+
+
+@pytest.mark.parametrize("size", [3, 2**14, 2**24, 2**29])
+def test_blocks_are_exact_in_every_working_type(size):
+    rng = np.random.default_rng(size % 97)
+    x = rng.integers(-size, size, (1500, 8))
+    check_block(x[:5], np.arange(5), x, 4, np.full(5, np.nan))
+
+
+def test_scores_beyond_64_bits_are_refused():
+    x = np.full((3, 2), 2**31)
+    with pytest.raises(ValueError, match="64 bits"):
+        topk_search._working_type(x, x)
+
+
+def test_many_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK", 200)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 10)
+    rng = np.random.default_rng(9)
+    x = rng.integers(-9, 9, (1500, 5))
+    df = spark.createDataFrame([(i, [v / 64 for v in row.tolist()]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = topk_search.top_k(df, df.filter("vec_id % 30 = 0"), k=5).collect()
+    assert len(got) == 250
+    for i in range(0, 1500, 30):
+        score = x @ x[i]
+        order = [r for r in np.lexsort((np.arange(1500), -score)) if r != i][:5]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == i) == [(n + 1, r, score[r]) for n, r in enumerate(order)]
 
 
 def test_licenses_equal_brute_force(spark):
