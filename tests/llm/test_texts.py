@@ -21,7 +21,7 @@ def test_languages_are_learned_and_held_out(spark):
     text = lambda k: " ".join("".join(r.choices(sounds[k], k=3)) for _ in range(30))
     rows = [(i, text(k), k, "x") for i, k in enumerate(sorted(sounds) * 60)]
     df = spark.createDataFrame(rows + [(900, None, "aa", "x"), (901, "12 34 !", "aa", "x"), (902, "", None, "x"), (903, "\U00020000 \U00020001", None, "x")], "doc_id long, text string, lang string, source string")
-    model = language_id.train(df.filter("doc_id % 5 <> 1"), max_grams=500)
+    model = language_id.train(df.filter("doc_id % 5 <> 1"))
     got = {x["doc_id"]: x for x in language_id.identify(df, model).collect()}
     right = [got[i]["lang_pred"] == k for i, _, k, _ in rows]
     assert sum(right) / len(right) > 0.97
@@ -31,20 +31,80 @@ def test_languages_are_learned_and_held_out(spark):
     assert language_id.train(df.limit(0)) is None
 
 
-def test_model_probabilities_sum_to_one(spark):
+def plain_kneser_ney(texts):
+    """{lang: function of (three units, unit)} from plain dictionaries, and the vocabulary's size."""
+    vocabulary, tables = set(), {}
+    for lang, own in texts.items():
+        counts = collections.Counter()
+        for t in own:
+            u = "\0\0\0" + re.sub("[^a-z]+", "\0", t.lower()).lstrip("\0")
+            u += "" if u.endswith("\0") else "\0"
+            counts.update(u[i : i + 4] for i in range(len(u) - 3))
+        levels = {4: counts}
+        for k in (3, 2, 1):
+            levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
+        vocabulary |= set(levels[1])
+        tables[lang] = {}
+        for k, c in levels.items():
+            ones, twos = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+            d = ones / (ones + 2 * twos) if ones and twos else 0.5
+            total, kinds = collections.Counter(), collections.Counter()
+            for g, n in c.items():
+                total[g[:-1]] += n
+                kinds[g[:-1]] += 1
+            tables[lang][k] = (c, d, total, kinds)
+
+    def p(lang, context, x, k=4):
+        if k == 0:
+            return 1 / (len(vocabulary) + 1)
+        c, d, total, kinds = tables[lang][k]
+        context = context[len(context) - (k - 1) :]
+        if not total[context]:
+            return p(lang, context, x, k - 1)
+        return max(c[context + x] - d, 0) / total[context] + d * kinds[context] / total[context] * p(lang, context, x, k - 1)
+
+    return p, vocabulary
+
+
+def test_model_equals_plain_kneser_ney(spark):
     import numpy as np
-    import pandas as pd
 
-    texts = ["abcab cab", "abba cabba", "bacca"]
-    key = language_id.keys_of(*language_id.letters(texts))[0]
-    u, n = np.unique(key, return_counts=True)
-    model = language_id.build(pd.DataFrame({"lang": "x", "key": u.view(np.int64), "n": n}))
-    alphabet = [0, *map(ord, "abc")]
-    for context in ("abc", "bba", "ccc"):
-        c = np.uint64(int.from_bytes(context.encode("utf-16-be")) << 16)
-        keys = c | np.array(alphabet, dtype=np.uint64)
-        assert 0.8 < np.exp(model.resolve(keys)).sum() < 1.0001
-        assert np.allclose(model.logs_of(keys), model.resolve(keys))
+    r = random.Random(8)
+    texts = {lang: ["".join(r.choices(letters, k=r.randint(1, 60))) for _ in range(15)] for lang, letters in (("x", "aabbcd  "), ("y", "abceee f "), ("z", "q"))}
+    rows = [(lang, t) for lang, own in texts.items() for t in own]
+    model = language_id.train(spark.createDataFrame(rows, "lang string, text string"))  # too few rows to leave some out
+    p, vocabulary = plain_kneser_ney(texts)
+    grams = ["".join(r.choices("\0abcdefqz", k=4)) for _ in range(400)] + [("\0\0\0" + t)[:4] for _, t in rows if t[0] != " " and t[:1] != ""]
+    keys = np.array([int.from_bytes(g.encode("utf-16-be")) for g in grams], dtype=np.uint64)
+    want = np.log([[p(lang, g[:3], g[3]) for lang in "xyz"] for g in grams])
+    assert np.allclose(model.arrays.resolve(keys), want, atol=1e-5) and np.allclose(model.arrays.logs_of(keys), want, atol=1e-5)
+    for context in ("abc", "ee\0", "zzz"):  # what no text held has its share
+        assert sum(p("x", context, x) for x in [*vocabulary, "z"]) == pytest.approx(1)
+
+
+def test_models_too_large_for_workers_give_the_same(spark):
+    r = random.Random(4)
+    rows = [(i, "".join(r.choices("abcde  " if i % 2 else "abxyz ", k=r.randint(5, 80))), "xy"[i % 2], 0) for i in range(120)] + [(900, None, None, 0), (901, "??", None, 0), (902, "ab ab", None, 0), (902, "ab ab", None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, rid long")
+    small, large = language_id.train(df), language_id.train(df, model_cells=0)
+    assert small.arrays is not None and large.arrays is None
+    key = lambda x: (x["doc_id"], x["lang_pred"])
+    a, b = (sorted(language_id.identify(df, m).collect(), key=key) for m in (small, large))
+    assert list(map(key, a)) == list(map(key, b)) and len(a) == len(rows)
+    for x, y in zip(a, b, strict=True):
+        assert x["score"] == pytest.approx(y["score"], abs=1e-4) and x["cross_entropy"] == pytest.approx(y["cross_entropy"], abs=1e-4)
+
+
+def test_language_of_odd_tables(spark):
+    long = "and the other " * 60_000
+    rows = [(i, f"the one and the other {'x' * (i % 5)}", "en") for i in range(30)] + [(i + 30, f"der eine und die andere {'y' * (i % 5)}", "de") for i in range(30)]
+    df = spark.createDataFrame(rows + [(90, long, None), (90, long, None)], "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("best", "entropy", "key", "score")})
+    model = language_id.train(df)
+    got = [x["lang_pred"] for x in language_id.identify(df, model).filter("doc_id = 90").collect()]
+    assert got == ["en", "en"]
+    one = language_id.train(df.filter("lang = 'en'"))
+    assert {x["lang_pred"] for x in language_id.identify(df, one).collect()} == {"en"}
+    assert language_id.identify(df.limit(0), None).count() == 0
 
 
 PATTERN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -73,13 +133,9 @@ def test_language_model_comes_from_all_grams(spark):
 
     rng = random.Random(5)
     text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=110_000))  # over 90 000 different 4-grams, most of them once
-    key, n = np.unique(language_id.keys_of(*language_id.letters([text, text[:500]]))[0], return_counts=True)
-    rows = [(0, "x", text), (1, "x", text[:500])]
-    model = language_id.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
-    whole = language_id._order(key, n)
-    assert len(model.hashes) == len(key) > 60_000
-    assert np.array_equal(model.orders[0][0].weight, whole.weight)
-    assert np.array_equal(model.orders[0][0].prob, whole.prob)
+    key = np.unique(language_id.keys_of(*language_id.letters([text, text[:500]]))[0])
+    model = language_id.train(spark.createDataFrame([("x", text), ("x", text[:500])], "lang string, text string"))
+    assert model.tables.grams[-1].count() == len(model.arrays.logs) == len(key) > 60_000
 
 
 def test_secrets_keep_all_pattern_findings(spark):

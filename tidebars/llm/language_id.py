@@ -1,17 +1,21 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Spark counts the 4-grams of all training texts, a language at a time: each task adds up
-its own counts, a shuffle adds those. From all of them come the lower orders'
-continuation counts, discounts and back-off weights, and the model keeps every 4-gram,
-so it grows with the number of different ones: the driver and each Python worker hold it
-(``max_grams``, if given, leaves only a language's most frequent ones in the table). A gram's key holds four UTF-16
-units; keys are hashed by an odd multiplier and stored in sorted arrays, one for the
-4-grams of all languages with a log probability for each, and smaller ones to back off to.
+its own counts, a shuffle adds those. Continuation counts of the lower orders, discounts,
+context totals and back-off weights are worked out from all of them, as tables; nothing
+is left out, so the model grows with the training texts. For each order there is a table of
+grams with their interpolated probability in every language, and one of contexts with their
+back-off weights.
+
+Where these tables are small (at most ``MODEL_CELLS`` grams times languages, which is
+checked), each Python worker holds them as sorted hash arrays: a gram's key holds four
+UTF-16 units, keys are hashed by an odd multiplier. Larger models stay tables: the texts'
+grams are looked up in them by joins. Both ways give the same cross-entropies.
 
 A text's language is the one with the lowest cross-entropy a character. The score is the
-calibrated probability that it is right, by a logistic fit on a bounded part of the
-training rows; a text is ``rejected`` if that falls under ``min_score`` or the
-cross-entropy exceeds what nearly all rightly named texts have.
+calibrated probability that it is right, by a logistic fit on a bounded, hash-chosen part
+of the training texts that the model is not built from; a text is ``rejected`` if that falls
+under ``min_score`` or the cross-entropy exceeds what nearly all rightly named texts have.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; an empty
 table gives an empty table; without training rows everything is ``und``; repeated rows
@@ -32,9 +36,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebars.llm.durable import written
+
 ORDER = 4
-RESOLVED = 500_000  # 4-grams that are resolved at once
-CALIBRATION_ROWS = 2_000  # training rows that the scores are calibrated on, about
+MODEL_CELLS = 8_000_000  # grams times languages that are sent to the workers at most
+CALIBRATION_ROWS = 2_000  # training rows that the scores are calibrated on, about, and a tenth of all at most
+CALIBRATION_LEAST = 20  # rows that a language must have to give some for that
 SLICE = 2_000_000  # characters that are worked on at once
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BUCKET_BITS = 20
@@ -147,11 +154,58 @@ def count_grams(rows: DataFrame, flush: int = 1_500_000) -> DataFrame:
     return part.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
+def _per_language(df: DataFrame, key: str, value: str, langs: list[str], none: float) -> DataFrame:
+    """(key, value array): one entry a language, ``none`` where it has no row."""
+    packed = df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("lang", value))).alias("m"))  # one entry a language
+    return packed.select(key, F.transform(F.array(*map(F.lit, langs)), lambda x: F.coalesce(F.try_element_at("m", x), F.lit(none))).alias(value))
+
+
+class Tables(NamedTuple):
+    """The model as written tables, order 1 first: (key, p) with the interpolated probabilities, (context, weight); arrays have an entry a language."""
+
+    langs: list[str]
+    floor: float
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+
+
+def model_tables(counts: DataFrame) -> Tables | None:
+    """The model of (lang, key, n) counts of 4-grams."""
+    levels = [counts]
+    for k in range(ORDER - 1, 0, -1):  # how many different grams of the next order end in each
+        short = F.col("key").bitwiseAND(F.lit((1 << 16 * k) - 1))
+        levels.append(written(levels[-1].groupBy("lang", short.alias("key")).agg(F.count("*").alias("n")), "lang-level"))
+    levels.reverse()
+    langs = sorted(r["lang"] for r in levels[0].select("lang").distinct().collect())  # one row a language
+    if not langs:
+        return None
+    floor = 1.0 / (levels[0].select("key").distinct().count() + 1)
+    grams, contexts = [], []
+    for k, level in enumerate(levels, 1):
+        ones, twos = F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))
+        discount = level.groupBy("lang").agg(F.when((ones > 0) & (twos > 0), ones / (ones + 2 * twos)).otherwise(0.5).alias("d"))
+        level = level.withColumn("context", F.shiftrightunsigned("key", 16))
+        totals = level.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("types")).join(discount, "lang")
+        totals = written(totals.withColumn("weight", F.col("d") * F.col("types") / F.col("total")), "lang-contexts")
+        weights = written(_per_language(totals, "context", "weight", langs, 1.0), "lang-weights")
+        own = level.join(totals, ["lang", "context"]).withColumn("prob", F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total"))
+        own = _per_language(own, "key", "prob", langs, 0.0).withColumn("context", F.shiftrightunsigned("key", 16)).join(weights, "context")
+        if k == 1:
+            lower = F.transform("weight", lambda w: w * floor)
+        else:
+            below = grams[-1].select(F.col("key").alias("short"), F.col("p").alias("p_below"))
+            own = own.join(below, F.col("key").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1)) == F.col("short"))
+            lower = F.zip_with("weight", "p_below", lambda w, p: w * p)
+        grams.append(written(own.select("key", F.zip_with("prob", lower, lambda a, b: a + b).alias("p")), "lang-grams"))
+        contexts.append(weights)
+    return Tables(langs, floor, grams, contexts)
+
+
 class Order(NamedTuple):
-    """One order of one language: hashed grams with their discounted probabilities, hashed contexts with their back-off weights."""
+    """One order: sorted hashed grams with their probabilities, sorted hashed contexts with their back-off weights, a column a language."""
 
     grams: np.ndarray
-    prob: np.ndarray
+    p: np.ndarray
     contexts: np.ndarray
     weight: np.ndarray
 
@@ -164,108 +218,71 @@ def _find(table: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, table[at] == hashed
 
 
-def _order(key: np.ndarray, n: np.ndarray) -> Order:
-    """Interpolated Kneser-Ney parts from (gram, count): (c - D) / c(context) and D * types / c(context)."""
-    n = n.astype(float)
-    ones, twos = (n == 1).sum(), (n == 2).sum()
-    d = ones / (ones + 2 * twos) if ones and twos else 0.5
-    context = key >> np.uint64(16)
-    order = np.argsort(context, kind="stable")
-    c = context[order]
-    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-    total = np.add.reduceat(n[order], first) if len(c) else np.zeros(0)
-    types = np.diff(np.concatenate([first, [len(c)]]))
-    own = np.zeros(len(key))
-    own[order] = np.repeat(total, types)
-    prob = np.maximum(n - d, 0) / own if len(key) else np.zeros(0)
-    weight = d * types / total if len(c) else np.zeros(0)
-    hg, hc = key * MIX, c[first] * MIX
-    sg, sc = np.argsort(hg), np.argsort(hc)
-    return Order(hg[sg], prob[sg], hc[sc], weight[sc])
+def _sorted(rows: pd.DataFrame, key: str, value: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    hashed = rows[key].to_numpy(dtype=np.int64).view(np.uint64) * MIX
+    values = np.stack(rows[value].to_list()).astype(float) if len(rows) else np.zeros((0, width))
+    by = np.argsort(hashed)
+    return hashed[by], values[by]
 
 
 class Model(NamedTuple):
-    """All languages: their orders from 4 down to 1, and the table of resolved 4-grams."""
+    """What the workers hold of all languages: the orders from 1 to 4, and the logarithms of the last."""
 
     langs: list[str]
-    orders: list[list[Order]]
+    orders: list[Order]
     floor: float
-    hashes: np.ndarray
     logs: np.ndarray  # one row a 4-gram, one column a language
     buckets: np.ndarray
-    platt: tuple[float, float] = (1.0, 0.0)
-    max_entropy: float = math.inf
 
     def resolve(self, keys: np.ndarray) -> np.ndarray:
         """Log probabilities of the last unit after the three before it, in each language."""
-        out = np.zeros((len(keys), len(self.langs)), dtype=np.float32)
-        for j, orders in enumerate(self.orders):
-            p = np.full(len(keys), self.floor)
-            for k in range(1, ORDER + 1):
-                o = orders[ORDER - k]
-                gram = keys if k == ORDER else keys & np.uint64((1 << 16 * k) - 1)
-                # a shorter gram is told from a longer one that starts with zeros by its own table
-                at, hit = _find(o.grams, gram * MIX)
-                seen = np.where(hit, o.prob[at], 0.0) if len(o.grams) else np.zeros(len(keys))
-                at, hit = _find(o.contexts, (gram >> np.uint64(16)) * MIX)
-                back = np.where(hit, o.weight[at], 1.0) if len(o.contexts) else np.ones(len(keys))
-                p = seen + back * p
-            out[:, j] = np.log(p)
-        return out
+        p = np.full((len(keys), len(self.langs)), self.floor)
+        for k, o in enumerate(self.orders, 1):
+            gram = keys if k == ORDER else keys & np.uint64((1 << 16 * k) - 1)
+            # a shorter gram is told from a longer one that starts with zeros by its own table
+            at, hit = _find(o.grams, gram * MIX)
+            c, known = _find(o.contexts, (gram >> np.uint64(16)) * MIX)
+            back = np.where(known[:, None], o.weight[c], 1.0)
+            p = np.where(hit[:, None], o.p[at], back * p)
+        return np.log(p).astype(np.float32)
 
     def logs_of(self, keys: np.ndarray) -> np.ndarray:
-        """As ``resolve``, from the table; only grams that no language has are worked out."""
+        """As ``resolve``, from the table of 4-grams; only grams that no language has are worked out."""
+        hashes = self.orders[-1].grams
         hashed = keys * MIX
         at = self.buckets[hashed >> np.uint64(64 - BUCKET_BITS)].astype(np.int64)
-        last = len(self.hashes) - 1
-        open_ = np.flatnonzero(self.hashes[np.minimum(at, last)] < hashed)
+        last = len(hashes) - 1
+        open_ = np.flatnonzero(hashes[np.minimum(at, last)] < hashed)
         while len(open_):  # a bucket holds few
             at[open_] += 1
             open_ = open_[(at[open_] <= last)]
-            open_ = open_[self.hashes[at[open_]] < hashed[open_]]
+            open_ = open_[hashes[at[open_]] < hashed[open_]]
         at = np.minimum(at, last)
         out = self.logs[at]
-        missed = np.flatnonzero(self.hashes[at] != hashed)
+        missed = np.flatnonzero(hashes[at] != hashed)
         if len(missed):
             own, back = np.unique(keys[missed], return_inverse=True)
             out[missed] = self.resolve(own)[back]
         return out
 
 
-def _most_frequent(key: np.ndarray, n: np.ndarray, most: int | None) -> np.ndarray:
-    """The keys of the ``most`` highest counts, ties by key; all without a limit."""
-    return key if most is None or len(key) <= most else key[np.lexsort((key, -n))[:most]]
+def load(tables: Tables) -> Model:
+    """The tables as sorted hash arrays."""
+    orders = []
+    for grams, contexts in zip(tables.grams, tables.contexts, strict=True):
+        parts = _sorted(grams.toArrow().to_pandas(), "key", "p", len(tables.langs)), _sorted(contexts.toArrow().to_pandas(), "context", "weight", len(tables.langs))
+        orders.append(Order(*parts[0], *parts[1]))
+    edges = np.arange(1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
+    return Model(tables.langs, orders, tables.floor, np.log(orders[-1].p).astype(np.float32), np.searchsorted(orders[-1].grams, edges).astype(np.int32))
 
 
-def build(counts: pd.DataFrame, max_grams: int | None = None) -> Model | None:
-    """The model from (lang, key, n), discounts and all lower orders from all of it."""
-    if counts.empty:
-        return None
-    langs, orders = sorted(counts["lang"].unique()), []
-    vocabulary: set[int] = set()
-    tabled = []
-    for lang in langs:
-        own = counts[counts["lang"] == lang].sort_values("key")
-        key, n = own["key"].to_numpy().view(np.uint64), own["n"].to_numpy()
-        found = [_order(key, n)]
-        tabled.append(_most_frequent(key, n, max_grams))
-        if max_grams is not None:
-            at, _ = _find(found[0].grams, np.sort(tabled[-1] * MIX))
-            found[0] = found[0]._replace(grams=found[0].grams[at], prob=found[0].prob[at])
-        for k in range(ORDER - 1, 0, -1):
-            short = key & np.uint64((1 << 16 * k) - 1)  # the gram without its first unit
-            key, n = np.unique(short, return_counts=True)  # continuation counts
-            found.append(_order(key, n))
-        vocabulary.update(key.tolist())
-        orders.append(found)
-    floor = 1.0 / (len(vocabulary) + 1)
-    keys = np.unique(np.concatenate(tabled))
-    bare = Model(langs, orders, floor, np.zeros(0, np.uint64), np.zeros((0, len(langs)), np.float32), np.zeros(0, np.int32))
-    hashed = keys * MIX
-    by = np.argsort(hashed)
-    hashed = hashed[by]
-    edges = np.arange(1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
-    return bare._replace(hashes=hashed, logs=np.concatenate([bare.resolve(keys[i : i + RESOLVED]) for i in range(0, len(keys), RESOLVED)])[by], buckets=np.searchsorted(hashed, edges).astype(np.int32))
+class Trained(NamedTuple):
+    """The tables, their arrays where they are small, and the calibration."""
+
+    tables: Tables
+    arrays: Model | None
+    platt: tuple[float, float] = (1.0, 0.0)
+    max_entropy: float = math.inf
 
 
 def score_texts(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -284,22 +301,23 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.n
     return out, np.where(with_letters, sizes, 0)
 
 
-def train(rows: DataFrame, max_grams: int | None = None, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
-    """The model of all rows of (doc_id, lang, text) that have a language and a text."""
-    from tidebars.llm.durable import written
-
-    counts = written(count_grams(rows), "lang-grams")
-    model = build(counts.toArrow().to_pandas(categories=["lang"]), max_grams)
-    if model is None:
+def train(rows: DataFrame, calibration_rows: int = CALIBRATION_ROWS, model_cells: int = MODEL_CELLS) -> Trained | None:
+    """The model of all rows of (doc_id, lang, text) that have a language and a text, but for those that it is calibrated on."""
+    usable = rows.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("rows")).collect()  # one row a language
+    every = max(10, sum(r["rows"] for r in sizes) // calibration_rows)
+    # equal texts fall on the same side
+    out = (F.pmod(F.xxhash64(F.lit("calibration"), "text"), F.lit(every)) == 0) & F.col("lang").isin([r["lang"] for r in sizes if r["rows"] >= CALIBRATION_LEAST])
+    tables = model_tables(written(count_grams(usable.filter(~out)), "lang-counts"))
+    if tables is None:
         return None
-    usable = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
-    every = max(1, usable.count() // calibration_rows)
-    part = usable.filter(F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(every)) == 0)
-    fit = entropies(part, model).filter("characters > 0").select("lang", "best", "margin", "entropy", "characters").toPandas()
+    cells = len(tables.langs) * sum(t.count() for t in [*tables.grams, *tables.contexts])
+    model = Trained(tables, load(tables) if cells <= model_cells else None)
+    fit = entropies(usable.filter(out), model, ("lang",)).filter("characters > 0").select("lang", "best", "margin", "entropy", "characters").toPandas()
     return calibrated(model, fit)
 
 
-def calibrated(model: Model, fit: pd.DataFrame) -> Model:
+def calibrated(model: Trained, fit: pd.DataFrame) -> Trained:
     """With the logistic fit of being right on margin times root of length, and the entropy that 99.5% of the right ones keep under."""
     if len(fit) < 20:
         return model
@@ -317,10 +335,13 @@ def calibrated(model: Model, fit: pd.DataFrame) -> Model:
     return model._replace(platt=(float(a), float(b)) if np.isfinite(a) and a > 0 else (1.0, 0.0), max_entropy=float(right.quantile(0.995)) if len(right) else math.inf)
 
 
-def entropies(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
+def entropies(docs: DataFrame, model: Trained, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """For every row of ``docs`` the best language, its cross-entropy, its lead over the second, and the characters scored."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # as large as the training texts have different 4-grams
+    return _by_arrays(docs, model.arrays, keep) if model.arrays is not None else _by_joins(docs, model.tables, keep)
+
+
+def _by_arrays(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MODEL_CELLS numbers at most
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -342,7 +363,49 @@ def entropies(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
     return docs.select(*keep, "text").mapInPandas(run, schema)
 
 
-def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), min_score: float = 0.5) -> DataFrame:
+def _by_joins(docs: DataFrame, tables: Tables, keep: tuple[str, ...]) -> DataFrame:
+    """Each different 4-gram of the texts is resolved once, in joins with the tables; the rows add up what theirs have."""
+    types = dict(docs.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for s in _slices([len(x or "") for x in texts]):
+                units, begins = letters(texts[s])
+                keys, at = keys_of(units, begins)
+                grams, size = [], []
+                for a, b, own in zip(at, at[1:], (units[x:y].any() for x, y in zip(begins, begins[1:], strict=False)), strict=False):
+                    key, n = np.unique(keys[a:b], return_counts=True)
+                    size.append(b - a if own else 0)
+                    grams.append([{"key": k, "n": c} for k, c in zip(key.view(np.int64).tolist(), n.tolist(), strict=True)] if own else [])
+                yield pdf[[*keep, "rid"]].iloc[s].assign(grams=grams, characters=size)
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keep) + ", rid long, grams array<struct<key:long,n:long>>, characters long"
+    rows = written(docs.select(*keep, "text", F.monotonically_increasing_id().alias("rid")).mapInPandas(run, schema), "lang-rows")
+    own = rows.select("rid", F.inline("grams"))
+    p = F.array(*[F.lit(tables.floor)] * len(tables.langs))
+    found = own.select("key").distinct()
+    for k, (grams, contexts) in enumerate(zip(tables.grams, tables.contexts, strict=True), 1):
+        gram = F.col("key") if k == ORDER else F.col("key").bitwiseAND(F.lit((1 << 16 * k) - 1))
+        found = found.withColumn("gram", gram).join(grams.select(F.col("key").alias("gram"), F.col("p").alias("known")), "gram", "left")
+        found = found.withColumn("context", F.shiftrightunsigned("gram", 16)).join(contexts, "context", "left")
+        back = F.when(F.col("weight").isNull(), p).otherwise(F.zip_with("weight", p, lambda w, x: w * x))
+        found = found.select("key", F.coalesce("known", back).alias("p"))
+        p = F.col("p")
+    found = written(found.select(F.col("key").alias("k"), F.transform("p", lambda x: F.ln(x)).alias("logs")), "lang-resolved")
+    sums = [F.sum(F.col("n") * F.get("logs", F.lit(i))).alias(f"s{i}") for i in range(len(tables.langs))]
+    per = own.join(found, F.col("key") == F.col("k")).groupBy(F.col("rid").alias("r")).agg(*sums)
+    per = per.select("r", F.array(*[F.struct((-F.col(f"s{i}")).alias("h"), F.lit(i).alias("i"), F.lit(x).alias("lang")) for i, x in enumerate(tables.langs)]).alias("h"))
+    per = per.select("r", F.array_sort("h").alias("h"))
+    first, second = F.get("h", F.lit(0)), F.get("h", F.lit(1))
+    n = F.col("characters")
+    return rows.join(per, F.col("rid") == F.col("r"), "left").select(
+        *keep, F.coalesce(first["lang"], F.lit("und")).alias("best"), F.coalesce(first["h"] / n, F.lit(0.0)).alias("entropy"),
+        F.when(n > 0, F.coalesce((second["h"] - first["h"]) / n, F.lit(1.0))).otherwise(0.0).alias("margin"), "characters",
+    )
+
+
+def identify(docs: DataFrame, model: Trained | None, keep: tuple[str, ...] = ("doc_id",), min_score: float = 0.5) -> DataFrame:
     """``keep`` columns, lang_pred, score (0 to 1), cross_entropy and rejected for every row."""
     if model is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), F.lit(True).alias("rejected"))
