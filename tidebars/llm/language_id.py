@@ -36,6 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebars.llm.calibration import platt
 from tidebars.llm.durable import written
 
 ORDER = 4
@@ -323,16 +324,8 @@ def calibrated(model: Trained, fit: pd.DataFrame) -> Trained:
         return model
     x = fit["margin"].to_numpy() * np.sqrt(fit["characters"].to_numpy())
     y = (fit["best"] == fit["lang"]).to_numpy().astype(float)
-    goal = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-        w = p * (1 - p) + 1e-9
-        ga, gb, haa, hab, hbb = ((p - goal) * x).sum() + 1e-3 * a, (p - goal).sum(), (w * x * x).sum() + 1e-3, (w * x).sum(), w.sum() + 1e-6
-        det = haa * hbb - hab * hab
-        a, b = a - (hbb * ga - hab * gb) / det, b - (haa * gb - hab * ga) / det
     right = fit["entropy"][y == 1]
-    return model._replace(platt=(float(a), float(b)) if np.isfinite(a) and a > 0 else (1.0, 0.0), max_entropy=float(right.quantile(0.995)) if len(right) else math.inf)
+    return model._replace(platt=platt(x, y), max_entropy=float(right.quantile(0.995)) if len(right) else math.inf)
 
 
 def entropies(docs: DataFrame, model: Trained, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
