@@ -151,21 +151,55 @@ def test_quality_of_empty_table_repeats_and_null_source(spark):
     assert quality_rules.filter_documents(twice).count() == 2
 
 
-@pytest.mark.parametrize("bits", [1, 3, 8])
-def test_bpe_equals_the_library(bits):
+@pytest.fixture(scope="module")
+def library():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def check_bpe(library, texts, bits):
+    coder = bpe.Codec(*bpe_paths())
+    for text, parts in zip(texts, bpe.encode_texts(texts, coder, bits), strict=True):
+        want = library.encode(text or "", add_special_tokens=False).ids
+        assert [int(i) for p in parts if p.n for i in p.joined.split(",")] == want, text
+        assert b"".join(p.decoded for p in parts).decode("utf-8", "replace") == library.decode(want, skip_special_tokens=False)
+    return coder
+
+
+def bpe_paths():
+    bpe.codec()
+    return next(iter(bpe._CODECS))
+
+
+@pytest.mark.parametrize("bits", [1, 3, 8])
+def test_bpe_equals_the_library(library, bits):
     random.seed(bits)
-    parts = ["a", "b", " ", "  ", "\n", "é", "漢", "12", "'s", "<|endoftext|>", "<|endo", "😀", "　", "The", "!", "\x00", "ſ"]
-    texts = EDGE + ["".join(random.choices(parts, k=random.randint(0, 200))) for _ in range(300)]
-    coder = bpe.codec()
-    coder.kept = {}
-    for text, pieces in zip(texts, bpe.encode_texts(texts, coder, bits), strict=True):
-        want = lib.encode(text or "", add_special_tokens=False).ids
-        assert [i for p in pieces for i in p.ids] == want, text
-        assert b"".join(p.decoded for p in pieces).decode("utf-8", "replace") == lib.decode(want, skip_special_tokens=False)
+    parts = ["a", "b", " ", "  ", "\n", "é", "漢", "字", "12", "'s", "'re", "'", "<|endoftext|>", "<|endo", "😀", "\u3000", "The", "!", "\x00", "ſ", "\x85", "\t", "\x1c", "ﬁ", "\U000323B0", "٣", "한"]
+    check_bpe(library, EDGE + ["".join(random.choices(parts, k=random.randint(0, 200))) for _ in range(500)], bits)
+
+
+@pytest.mark.parametrize("bits", [2, 6])
+def test_bpe_of_texts_without_blanks_equals_the_library(library, bits):
+    random.seed(bits)
+    han = "".join(chr(random.randint(0x4E00, 0x9FA5)) for _ in range(3000))
+    code = "".join(random.choices(["function", "(", ")", "{", "}", ";", "var", "=", "x1", "'", "t", "&&", "0xFF", '"'], k=2000))
+    dotted = "。".join("".join(chr(random.randint(0x3041, 0x3093)) for _ in range(random.randint(1, 30))) for _ in range(100))
+    check_bpe(library, [han, code, dotted, "a" * 20_000, " " * 5000 + "x", "'" * 3000, "\n" * 2000 + "\t", "1" * 4000, "a1" * 3000, han + code + dotted], bits)
+
+
+def test_bpe_of_documents_equals_the_library(spark, library):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    coder = check_bpe(library, texts, bpe.CHUNK_BITS)
+    assert coder.made < coder.asked
+
+
+def test_chunks_without_blanks_are_shared(library):
+    random.seed(1)
+    dotted = "。".join("".join(chr(random.randint(0x4E00, 0x9FA5)) for _ in range(random.randint(5, 30))) for _ in range(400))
+    coder = check_bpe(library, ["前" + dotted, "另一个开头。" + dotted], bpe.CHUNK_BITS)
+    assert coder.made < 0.6 * coder.asked
 
 
 def test_bpe_round_trip_and_digest(spark):
@@ -182,10 +216,15 @@ def test_bpe_round_trip_and_digest(spark):
     assert bpe.digest(docs(spark, [])).count() == 0
 
 
-def test_bpe_keeps_shared_chunks():
-    coder = bpe.Codec(*next(iter(bpe._CODECS))) if bpe._CODECS else bpe.codec()
-    shared = " ".join(f"passage{i}" for i in range(400))
-    list(bpe.encode_texts(["Intro one. " + shared], coder))
-    before = len(coder.kept)
-    list(bpe.encode_texts(["Quite another beginning here: " + shared], coder))
-    assert len(coder.kept) - before < before / 3  # most pieces were there
+def test_kept_chunks_are_bounded(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    random.seed(2)
+    texts = [" ".join(random.choices(["alpha", "beta", "gamma", "delta"], k=300)) for _ in range(40)]
+    coder = check_bpe(library, texts + texts, 5)
+    assert coder.size <= 20_000
+
+
+def test_bpe_of_repeated_rows_and_clashing_columns(spark):
+    df = docs(spark, ["some words", "some words"]).withColumns({c: F.lit(1) for c in ("ids", "n_tokens", "ids_sha256")})
+    out = bpe.digest(df.union(df)).collect()
+    assert len(out) == 4 and len({r["ids_sha256"] for r in out}) == 1

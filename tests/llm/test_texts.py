@@ -366,4 +366,3 @@ def test_pipeline_against_plain_python(spark):
     assert collections.Counter(r["doc_id"] for r in last) == mixed
     for r in last[:20]:
         assert r["decoded_sha256"] == hashlib.sha256(masked[r["doc_id"]].encode()).hexdigest()
-    assert bpe.END_ID == 50256

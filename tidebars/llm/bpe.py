@@ -1,11 +1,17 @@
 """Byte-level BPE, with content-defined chunks that are encoded once and joined exactly.
 
 A text is cut where the hash of the eight bytes at a position has its low bits clear,
-so equal passages in different documents give equal chunks. A chunk's inner part is
-encoded once and kept; what lies around a cut is encoded again, in a window that grows
-on both sides until it ends at places where the encoding of the parts and of the whole
-agree for certain: a single blank between two printable ASCII characters, where the
-pre-tokenizer always starts a new piece and nothing on one side depends on the other.
+wherever that is, so equal passages in different documents give equal chunks. A chunk is
+encoded once for each Python worker that meets it, alone, as if it were a text. That is
+wrong around its ends, so every join is repaired: the ids around it are thrown away and the
+text there is encoded again, in a window that grows on both sides, over whole chunks if it
+must, until it ends at places where the encodings of the parts and of the whole agree for
+certain. Such a place is one between two characters at which the pre-tokenizer starts a new
+piece whatever stands around them: where a run of letters, digits or other signs ends, but
+for an apostrophe before a letter, which may go with it, and for runs of blanks, whose last
+one may go with what follows. Joins that are such places themselves need no repair.
+
+Added tokens of the vocabulary are split off before anything else, as the library does.
 
 Defined results: null is the empty text, which has no ids; repeated rows give repeated
 results; a text of any length is cut and encoded whole; an empty table gives an empty
@@ -16,124 +22,204 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-CHUNK_BITS = 8  # cuts are 2**CHUNK_BITS bytes apart on average
-CACHE_BYTES = 96_000_000  # kept pieces of one Python worker
-END_TEXT, END_ID = "<|endoftext|>", 50256
+CHUNK_BITS = 9  # cuts are 2**CHUNK_BITS bytes apart on average
+CACHE_BYTES = 96_000_000  # kept chunks of one Python worker
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str, str], Codec] = {}
 
+# Ranges of characters whose class every Unicode version since 2015 agrees on, where they are assigned.
+_SETTLED = ((0x00, 0x36F), (0x370, 0x52F), (0x3000, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFF01, 0xFF5E))
 
-class Piece(NamedTuple):
-    """An encoded piece: how many ids, the ids as text, and the bytes that they decode to."""
+
+@lru_cache(65536)
+def _kind(c: str) -> str:
+    """L, N, S or O as the pre-tokenizer sees a character; ? where that is not settled."""
+    code = ord(c)
+    category = unicodedata.category(c)
+    if category == "Cn" or not any(a <= code <= b for a, b in _SETTLED):
+        return "?"
+    if c in " \t\n\x0b\x0c\r\x85\xa0\u3000":
+        return "S"
+    return category[0] if category[0] in "LN" else "O"
+
+
+@lru_cache(65536)
+def is_border(a: str, b: str) -> bool:
+    """Whether a new piece starts between the characters ``a`` and ``b``, whatever stands around them."""
+    x, y = _kind(a), _kind(b)
+    return "?" not in (x, y) and x != y and x != "S" and not (a == "'" and y == "L")
+
+
+class Ids(NamedTuple):
+    """How many ids, the ids as text, and the bytes that they decode to."""
 
     n: int
     joined: str
     decoded: bytes
 
-    @property
-    def ids(self) -> list[int]:
-        return [int(x) for x in self.joined.split(",")] if self.n else []
+
+class Chunk(NamedTuple):
+    """A chunk encoded alone: its ids up to its first border, between the first and the last, and from there on, and the texts of both ends.
+
+    Without a border all of it is head.
+    """
+
+    first: str
+    last: str
+    head_text: str
+    tail_text: str | None
+    head: Ids
+    middle: Ids
+    tail: Ids
 
 
 class Codec:
-    """Encodes the pieces of one vocabulary; what it has encoded it keeps, up to ``CACHE_BYTES``."""
+    """Encodes with one vocabulary; chunks and windows that it has encoded it keeps, the latest ``CACHE_BYTES`` to twice as many."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, tokenizer_path: str):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(tokenizer_path, encoding="utf-8") as f:
+            self.added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.names = [str(i) for i in range(END_ID)]
-        self.kept: dict[bytes, Piece] = {}
-        self.size = 0
-
-    def part(self, text: str) -> tuple[str, bytes]:
-        ids = self.bpe.encode_ordinary(text)
-        return ",".join(map(self.names.__getitem__, ids)), self.bpe.decode_bytes(ids)
+        self.bytes_of = {i: b for b, i in ranks.items()} | {i: x.encode() for x, i in self.added.items()}
+        self.young: dict[bytes | str, Chunk | Ids] = {}
+        self.old: dict[bytes | str, Chunk | Ids] = {}
+        self.size = self.asked = self.made = 0
 
-    def piece(self, raw: bytes) -> Piece:
-        if (known := self.kept.get(raw)) is not None:
-            return known
+    def keep(self, key: bytes | str, made: Chunk | Ids, size: int) -> None:
+        self.size += 400 + 4 * size
+        if self.size > CACHE_BYTES:
+            self.young, self.old, self.size = {}, self.young, 0
+        self.young[key] = made
+
+    def known(self, key: bytes | str) -> Chunk | Ids | None:
+        if (x := self.young.get(key)) is None and (x := self.old.get(key)) is not None:
+            self.keep(key, x, len(key))
+        return x
+
+    def ids(self, tokens: list[int]) -> Ids:
+        return Ids(len(tokens), ",".join(map(str, tokens)), b"".join(map(self.bytes_of.__getitem__, tokens)))
+
+    def window(self, text: str) -> Ids:
+        """A text from border to border."""
+        if (x := self.known(text)) is None:
+            x = self.ids(self.bpe.encode_ordinary(text))
+            self.keep(text, x, len(text))
+        return x
+
+    def chunk(self, raw: bytes) -> Chunk:
+        self.asked += len(raw)
+        if (x := self.known(raw)) is not None:
+            return x
+        self.made += len(raw)
         text = raw.decode()
-        if END_TEXT in text:
-            ids, out = [], []
-            for k, part in enumerate(text.split(END_TEXT)):
-                if k:
-                    ids.append(str(END_ID))
-                    out.append(END_TEXT.encode())
-                if part:
-                    own, back = self.part(part)
-                    ids.append(own)
-                    out.append(back)
-            joined, decoded = ",".join(ids), b"".join(out)
+        tokens = self.bpe.encode_ordinary(text)
+        low = next((i for i in range(1, len(text)) if is_border(text[i - 1], text[i])), None)
+        none = Ids(0, "", b"")
+        if low is None:
+            x = Chunk(text[0], text[-1], text, None, self.ids(tokens), none, none)
         else:
-            joined, decoded = self.part(text)
-        made = Piece(joined.count(",") + 1 if joined else 0, joined, decoded)
-        self.size += 300 + 2 * len(raw) + len(joined)
-        if self.size > CACHE_BYTES:
-            self.kept, self.size = {}, 0
-        self.kept[raw] = made
-        return made
-
-
-def codec(ranks_path: str | None = None) -> Codec:
-    """The worker's codec for a vocabulary; the default is the installed public one."""
+            high = next(i for i in range(len(text) - 1, 0, -1) if is_border(text[i - 1], text[i]))
+            head, tail = text[:low], text[high:]
+            k = self.count(tokens, len(head.encode()))
+            m = len(tokens) - self.count(tokens[::-1], len(tail.encode()))
+            x = Chunk(text[0], text[-1], head, tail, self.ids(tokens[:k]), self.ids(tokens[k:m]), self.ids(tokens[m:]))
+        self.keep(raw, x, len(raw))
+        return x
+
+    def count(self, tokens: list[int], size: int) -> int:
+        """How many of the first tokens make up ``size`` bytes."""
+        k = 0
+        while size > 0:
+            size -= len(self.bytes_of[tokens[k]])
+            k += 1
+        if size:
+            raise ValueError("a token reaches over a border")
+        return k
+
+    def joined(self, chunks: list[bytes]) -> Iterator[Ids]:
+        """The ids of the whole that the chunks are cut from, in parts."""
+        wait, own, last = "", None, ""  # text whose end is still open; its ids, if one chunk's tail is all of it
+        for raw in chunks:
+            c = self.chunk(raw)
+            if wait and is_border(last, c.first):
+                yield own or self.window(wait)
+                wait, own = "", None
+            last = c.last
+            if c.tail_text is None:  # no border: the window grows over it
+                wait, own = wait + c.head_text, None if wait else c.head
+                continue
+            yield self.window(wait + c.head_text) if wait else c.head
+            yield c.middle
+            wait, own = c.tail_text, c.tail
+        if wait:
+            yield own or self.window(wait)
+
+
+def codec(ranks_path: str | None = None, tokenizer_path: str | None = None) -> Codec:
+    """The worker's codec for a vocabulary (and the tokenizer file that names its added tokens); the default is the installed public one."""
     import public_tokenizers
 
-    key = (ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    key = (ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
     if key not in _CODECS:
         _CODECS[key] = Codec(*key)
     return _CODECS[key]
 
 
-def boundaries(data: bytes, starts: np.ndarray, bits: int = CHUNK_BITS) -> np.ndarray:
-    """Where to cut ``data``, the concatenated texts that begin at ``starts`` (its end included).
-
-    Content-defined cuts, each widened to the nearest safe places on both sides.
-    """
-    b = np.frombuffer(data, dtype=np.uint8)
-    n = len(b)
+def cuts(data: bytes, bits: int = CHUNK_BITS) -> np.ndarray:
+    """Where the content says to cut ``data``, moved on to the start of a character."""
+    n = len(data)
     if n < 16:
-        return _sorted_unique(starts)
-    cuts = []
+        return np.zeros(0, np.int64)
+    found = []
     for k in range(8):  # the eight alignments of an 8-byte window
         view = np.frombuffer(data, dtype="<u8", offset=k, count=(n - k) // 8)
         hashed = (view * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-        cuts.append(np.flatnonzero(hashed == 0) * 8 + k)
-    cut = _sorted_unique(np.concatenate(cuts))
-    printable = (b > 0x20) & (b < 0x7F)
-    # a text's own ends are safe as well
-    safe = _sorted_unique(np.concatenate([np.flatnonzero((b[1:-1] == 0x20) & printable[:-2] & printable[2:]) + 1, starts]))
-    at = np.searchsorted(safe, cut, "right") - 1
-    low = safe[at]
-    high = np.where(low == cut, cut, safe[np.minimum(at + 1, len(safe) - 1)])
-    return _sorted_unique(np.concatenate([starts, low, high]))
-
-
-def _sorted_unique(x: np.ndarray) -> np.ndarray:
-    x = np.sort(x)
-    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
-
-
-def encode_texts(texts: list[str | None], coder: Codec, bits: int = CHUNK_BITS) -> Iterator[list[Piece]]:
-    """For each text its pieces in order; their ids and decoded bytes add up to the text's."""
-    raws = [(x or "").encode("utf-8", "replace") for x in texts]
+        found.append(np.flatnonzero(hashed == 0) * 8 + k)
+    cut = np.sort(np.concatenate(found))
+    b = np.frombuffer(data + b" ", dtype=np.uint8)
+    for _ in range(3):  # bytes inside a character
+        cut = cut + ((b[cut] & 0xC0) == 0x80)
+    return np.unique(cut)
+
+
+def encode_texts(texts: list[str | None], coder: Codec, bits: int = CHUNK_BITS) -> Iterator[list[Ids]]:
+    """For each text its ids in parts, which add up to the text's."""
+    parts, ends = [], []  # of all texts, added tokens apart
+    for x in texts:
+        x = x or ""
+        parts += coder.split.split(x) if coder.split is not None else [x]
+        ends.append(len(parts))
+    raws = [b"" if x in coder.added else x.encode("utf-8", "replace") for x in parts]
     starts = np.concatenate([[0], np.cumsum([len(r) for r in raws], dtype=np.int64)])
-    data = b"".join(raws)
-    cut = boundaries(data, starts, bits)
+    cut = np.unique(np.concatenate([starts, cuts(b"".join(raws), bits)]))
     first = np.searchsorted(cut, starts)
-    cut = cut.tolist()
-    for i in range(len(raws)):
-        own = cut[first[i] : first[i + 1] + 1]
-        yield [coder.piece(data[a:b]) for a, b in zip(own, own[1:], strict=False)]
+    own = []
+    for i, (part, raw) in enumerate(zip(parts, raws, strict=True)):
+        if part in coder.added:
+            own.append(coder.ids([coder.added[part]]))
+        elif raw:
+            at = (cut[first[i] : first[i + 1] + 1] - starts[i]).tolist()
+            own += coder.joined([raw[a:b] for a, b in zip(at, at[1:], strict=False)])
+        while ends and i + 1 == ends[0]:
+            ends.pop(0)
+            yield own
+            own = []
 
 
 def _slices(texts: list, most: int = 8_000_000) -> Iterator[slice]:
@@ -155,7 +241,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
         for pdf in batches:
             texts = pdf[text_col].tolist()
             for s in _slices(texts):
-                ids = [[i for p in x for i in p.ids] for x in encode_texts(texts[s], coder)]
+                ids = [[int(i) for p in x if p.n for i in p.joined.split(",")] for x in encode_texts(texts[s], coder)]
                 yield pd.DataFrame({id_col: pdf[id_col].iloc[s], "ids": ids})
 
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {dict(docs.dtypes)[id_col]}, ids array<int>")
@@ -166,9 +252,8 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ran
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = codec(ranks_path)
-        table = [coder.bpe.decode_bytes([i]) for i in range(END_ID)] + [END_TEXT.encode()]
         for pdf in batches:
-            texts = [b"".join(map(table.__getitem__, x)).decode("utf-8", "replace") if x is not None else "" for x in pdf[ids_col]]
+            texts = [b"".join(map(coder.bytes_of.__getitem__, x)).decode("utf-8", "replace") if x is not None else "" for x in pdf[ids_col]]
             yield pd.DataFrame({id_col: pdf[id_col], "text": texts})
 
     return encoded.select(id_col, ids_col).mapInPandas(run, f"{id_col} {dict(encoded.dtypes)[id_col]}, text string")
@@ -186,7 +271,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
             for s in _slices(texts):
                 for pieces in encode_texts(texts[s], coder):
                     n.append(sum(p.n for p in pieces))
-                    ids.append(sha(",".join([p.joined for p in pieces]).encode()).hexdigest())
+                    ids.append(sha(",".join([p.joined for p in pieces if p.n]).encode()).hexdigest())
                     text = b"".join([p.decoded for p in pieces]).decode("utf-8", "replace")
                     back.append(sha(text.encode()).hexdigest())
             yield pd.DataFrame({id_col: pdf[id_col], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": back})
