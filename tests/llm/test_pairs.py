@@ -196,6 +196,46 @@ def test_licenses_equal_brute_force(spark):
     assert license_scan.find_licenses(docs(spark, [])).count() == 0
 
 
+def test_bins_keep_their_promise():
+    for window, least in ((12, 1), (12, 4), (48, 17), (384, 150), (768, 250)):
+        b = license_scan.bins_of(window, least, 0.01)
+        need, rng, missed = -(-80 * least // 100), np.random.default_rng(least), 0
+        for _ in range(2000):
+            t = rng.integers(0, 2**62, least)
+            w = np.concatenate([t[:need], rng.integers(0, 2**62, window - 4 - need)])
+            low = lambda x: {int(h % b): int(h) for h in sorted(x.tolist(), reverse=True)}  # noqa: E731, B023
+            a, c = low(t), low(w)
+            missed += not any(c.get(k) == v for k, v in a.items())
+        assert missed / 2000 <= 0.02, (window, least)
+
+
+def test_license_texts_edited_and_embedded(spark):
+    r = random.Random(12)
+    names = dict(license_scan.TEMPLATES)
+    fill = lambda n: " ".join(f"w{r.randrange(900)}" for _ in range(n))
+    texts, want = [], set()
+    for name in ("MIT-text", "BSD-2-text", "BSD-3-text", "ISC-text", "zlib-text"):
+        w = names[name].split()
+        for edits in (0, 3, 60):
+            own = list(w)
+            for _ in range(edits):
+                own[r.randrange(len(own))] = f"e{r.randrange(10**6)}"
+            texts.append(fill(r.randint(0, 900)) + "\n" + "\n".join(own) + "\n" + fill(300))
+    shingles = lambda t: {tuple(x[i : i + 5]) for x in [WORD.findall((t or "").lower())] for i in range(len(x) - 4)}
+    want = {(i, n) for i, t in enumerate(texts) for n, s in license_scan.TEMPLATES if 100 * len(shingles(t) & shingles(s)) >= 80 * len(shingles(s))}
+    df = docs(spark, texts).withColumns({c: F.lit(1) for c in ("template", "sh", "key", "row_key", "at", "h", "t", "class")})
+    got = [(x["doc_id"], x["template"]) for x in license_scan.find_licenses(df.union(df)).collect()]
+    assert sorted(got) == sorted(want) and len(want) >= 10
+
+
+def test_templates_are_a_table_and_short_ones_are_refused(spark):
+    table = license_scan.template_table(spark, [("own", "one two three four five six")])
+    got = license_scan.find_licenses(docs(spark, ["so One two three four five six it is", None], [None, 3]), table).collect()
+    assert [(x["doc_id"], x["template"], x["first_word"]) for x in got] == [(None, "own", 1)]
+    with pytest.raises(Exception, match="fewer than 5 words"):
+        license_scan.find_licenses(docs(spark, ["x"]), license_scan.template_table(spark, [("short", "one two")])).count()
+
+
 def test_urls(spark):
     rows = [
         (1, "http://A.Example.org/es/x?y", None), (2, "https://example.org/en/12#z", "<a href='http://bad.example.com/'>"), (3, "http://x.com/fr/1", ""), (4, None, "<p>"), (5, "no scheme/x", "x"),
