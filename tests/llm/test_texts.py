@@ -334,6 +334,73 @@ def test_all_visible_words_are_there(spark):
         assert mine == [w for w in words if w not in ("-", "|")]
 
 
+def drawn(r, depth=0):
+    """A random block as (html with optional end tags left out, its lines), worked out from the tree and not from the tags."""
+    word = lambda: "".join(r.choices("abcdefg", k=r.randint(1, 8)))
+    run = lambda: " ".join(word() for _ in range(r.randint(1, 6)))
+    kind = r.choice(["p", "h2", "pre", "table", "ul", "ol", "hidden", "quote"])
+    if kind in ("p", "h2"):
+        t = run()
+        return f"<{kind}>" + t.replace(" ", r.choice([" ", "\n  ", " <b> "])) + ("</h2>" if kind == "h2" else r.choice(["", "</p>"])), [t]
+    if kind == "hidden":
+        return f"<div hidden><p>{run()}<table><td>{word()}</table></div><script>var x = '<p>{word()}</p>';</script>", []
+    if kind == "pre":
+        lines = [" " * r.randint(0, 3) + word() for _ in range(r.randint(1, 3))]
+        return "<pre>" + "\n".join(lines) + "</pre>", lines
+    if kind == "quote":
+        t = run()
+        return f"<blockquote>{t}</blockquote>", ["  " + t]
+    if kind == "table":
+        rows = [[word() for _ in range(r.randint(1, 4))] for _ in range(r.randint(1, 4))]
+        wide = [max(len(x[c]) for x in rows if len(x) > c) for c in range(max(map(len, rows)))]
+        end = r.choice(["", "</td>"])
+        page = "<table>" + "".join("<tr>" + "".join(f"<td>{c}{end}" for c in x) for x in rows) + "</table>"
+        return page, [" | ".join(c.ljust(w) for c, w in zip(x, wide, strict=False)).rstrip() for x in rows]
+    page, lines = "", []
+    for k in range(r.randint(1, 4)):
+        t = run()
+        mark = f"{k + 1}. " if kind == "ol" else "- "
+        page += f"<li>{t}"
+        lines.append(mark + t)
+        if depth < 3 and r.random() < 0.3:
+            inner = None
+            while inner is None or not inner[0].startswith(("<ul", "<ol")):
+                inner = drawn(r, depth + 1)
+            page += inner[0]
+            lines += [" " * len(mark) + x for x in inner[1]]
+        page += r.choice(["", "</li>"])
+    return f"<{kind}>{page}</{kind}>", lines
+
+
+def test_layout_equals_what_random_trees_say():
+    r = random.Random(21)
+    for _ in range(1500):
+        blocks = [drawn(r) for _ in range(r.randint(0, 5))]
+        want = "\n\n".join("\n".join(x) for _, x in blocks if x)
+        page = r.choice(["<html><head><title>T</title><body>", "<body>", ""]) + r.choice(["", "\n", "<!-- c -->"]).join(x for x, _ in blocks)
+        assert html_text.extract(page) == want, page
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+
+    for page in ("<div>" * 20_000 + "x", "<div><p>" * 10_000 + "x", "<b>" * 20_000 + "</i>" * 20_000 + "x", "<p>word " * 100_000):
+        began = time.process_time()
+        assert html_text.extract(page)
+        assert time.process_time() - began < 2.5
+
+
+def test_script_ends_at_its_own_end_tag():
+    assert html_text.extract("<script>a </scripting> b</script>c") == "c"
+
+
+def test_html_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, "<p>a", 0), (1, "<p>a", 0), (None, None, 0), (2, "<p>" + "w " * 300_000, 0)], "page_id long, html string, text int")
+    got = sorted(((r["page_id"], len(r["text"])) for r in html_text.extract_text(df).collect()), key=str)
+    assert got == [(1, 1), (1, 1), (2, 599_999), (None, 0)]
+    assert html_text.extract_text(df.limit(0)).count() == 0
+
+
 def test_odd_pages_end():
     r = random.Random(8)
     bits = ["<p", "<", ">", "'", '"', "<table>", "<td", "</tr>", "<li>", "</ul>", "<pre>", "</pre>", "<script>", "<!--", "&amp", "x ", "<br/>", "<select><option>", "</p>", "<div hidden>", "</div>"]

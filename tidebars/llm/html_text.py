@@ -5,7 +5,10 @@ before a block, list items, table cells and rows, options) the builder adds it.
 not displayed is left out: head content, scripts, styles, templates, and elements that
 are hidden by attribute or inline style. The rest is laid out as text: blocks on lines of
 their own, paragraphs and headings apart by an empty line, list items marked and
-indented, preformatted text as it is, and table cells in aligned columns.
+indented, preformatted text as it is, and table cells in aligned columns. A column is padded
+to its widest cell, but to 200 characters at most: wider cells stand as they are.
+
+What is open is counted by name and scope, so an element costs the same at any depth.
 
 Defined results: null html and html without visible text give the empty text; unclosed
 and stray tags, comments and quotes end where a browser would end them or at the end of
@@ -17,7 +20,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,6 +62,7 @@ IMPLIED = {
 }
 HEAD_ONLY = frozenset("head title meta link base style script noscript template".split())
 SCOPE = frozenset({"table", "td", "th", "caption", "html"})
+REACHING = frozenset({"table", "tr", "thead", "tbody", "tfoot", "body", "html"})  # end tags that reach out of cells
 WIDEST = 200  # a column is padded to at most so many characters
 
 
@@ -154,6 +159,9 @@ class Builder:
         self.root = Element("#root")
         self.root.box = Box()
         self.stack = [self.root]
+        self.at: dict[str, list[int]] = {}  # where on the stack the elements of each name stand
+        self.scopes = [0]  # where those stand that an end tag does not reach across
+        self.tables: list[Element] = []
         self.boxes = [self.root.box]
         self.hidden = 0
         self.pre = 0
@@ -189,24 +197,41 @@ class Builder:
         self.hidden += e.hidden
         if not self.hidden:
             if e.name in BLOCK:
-                self.boxes[-1].gap(2 if e.name in PARAGRAPH and not (e.name in ("ul", "ol", "menu") and any(x.name == "li" for x in self.stack)) else 1)
+                self.boxes[-1].gap(self.strength(e.name))
             if e.name in ("li", "table", "td", "th", "pre", "caption", "blockquote", "dd"):
                 e.box = Box()
                 self.boxes.append(e.box)
             if e.name == "table":
                 e.rows = []
+                self.tables.append(e)
             if e.name == "tr" and (t := self.table()) is not None:
                 t.rows.append([])
             if e.name == "pre":
                 self.pre += 1
                 self.pre_text = [] if self.pre == 1 else self.pre_text
+        self.at.setdefault(e.name, []).append(len(self.stack))
+        if e.name in SCOPE:
+            self.scopes.append(len(self.stack))
         self.stack.append(e)
 
+    def strength(self, name: str) -> int:
+        """Of the break around a block: lists inside items stand close."""
+        return 2 if name in PARAGRAPH and not (name in ("ul", "ol", "menu") and self.at.get("li")) else 1
+
     def table(self) -> Element | None:
-        return next((x for x in reversed(self.stack) if x.rows is not None), None)
+        return self.tables[-1] if self.tables else None
+
+    def last(self, names: Iterable[str]) -> int:
+        """Where the innermost of the names stands on the stack, -1 if none is open."""
+        return max((self.at[x][-1] for x in names if self.at.get(x)), default=-1)
 
     def pop(self) -> None:
         e = self.stack.pop()
+        self.at[e.name].pop()
+        if e.name in SCOPE:
+            self.scopes.pop()
+        if e.rows is not None:
+            self.tables.pop()
         if self.hidden:
             self.hidden -= e.hidden
             return
@@ -233,7 +258,8 @@ class Builder:
                     out.gap(1)
                     out.fixed(aligned([r for r in e.rows if r]))
                 elif e.name == "li":
-                    owner = next((x for x in reversed(self.stack) if x.name in ("ul", "ol", "menu")), None)
+                    at = self.last(("ul", "ol", "menu"))
+                    owner = self.stack[at] if at > 0 else None
                     mark = "- "
                     if owner is not None and owner.n is not None:
                         mark = f"{owner.n}. "
@@ -245,7 +271,7 @@ class Builder:
                 else:
                     out.fixed(lines)
         if e.name in BLOCK:
-            self.boxes[-1].gap(2 if e.name in PARAGRAPH and not (e.name in ("ul", "ol", "menu") and any(x.name == "li" for x in self.stack)) else 1)
+            self.boxes[-1].gap(self.strength(e.name))
 
     def close(self, name: str) -> None:
         if name == "br":
@@ -255,22 +281,14 @@ class Builder:
             if not self.hidden:
                 self.boxes[-1].gap(2)
             return
-        for k in range(len(self.stack) - 1, 0, -1):
-            found = self.stack[k].name
-            if found == name:
-                while len(self.stack) > k:
-                    self.pop()
-                return
-            if found in SCOPE and name not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html"):
-                return  # a stray end tag inside a cell closes nothing outside
+        at = self.last((name,))
+        # a stray end tag inside a cell closes nothing outside
+        if at > 0 and (name in REACHING or at >= self.scopes[-1]):
+            while len(self.stack) > at:
+                self.pop()
 
     def in_scope(self, name: str) -> bool:
-        for x in reversed(self.stack):
-            if x.name == name:
-                return True
-            if x.name in SCOPE:
-                return False
-        return False
+        return self.last((name,)) >= max(self.scopes[-1], 1)
 
     def close_in_scope(self, name: str) -> None:
         if self.in_scope(name):
@@ -284,12 +302,13 @@ class Builder:
 
     def close_until(self, ended: set[str], limits: set[str]) -> None:
         """Close up to the outermost of ``ended`` that no element of ``limits`` stands above."""
+        limit = max(self.last(limits), 0)
         at = None
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].name in limits:
-                break
-            if self.stack[k].name in ended:
-                at = k
+        for x in ended:
+            places = self.at.get(x) or []
+            k = bisect_right(places, limit)
+            if k < len(places):
+                at = places[k] if at is None else min(at, places[k])
         while at is not None and len(self.stack) > at:
             self.pop()
 
@@ -334,7 +353,9 @@ def extract(page: str | None) -> str:
         if name in RAW:
             low = page.lower() if low is None else low
             low = low if len(low) == len(page) else page
-            end = low.find("</" + name, at)
+            end = at
+            while (end := low.find("</" + name, end)) >= 0 and low[end + len(name) + 2 : end + len(name) + 3] not in ("", ">", "/", " ", "\t", "\n", "\f"):
+                end += 1  # a longer name
             end = len(page) if end < 0 else end
             b.data(html.unescape(page[at:end]) if name in ("textarea", "title") else page[at:end])
             at = end
