@@ -60,6 +60,31 @@ def test_jaccard_equals_brute_force(spark):
     assert got == want
 
 
+def test_long_lists_in_parts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LIST", 4)
+    r = random.Random(14)
+    texts = []
+    for g in range(3):  # short texts out of few words: their shingles are common, and their lists long
+        base = [f"g{g}w{i}" for i in range(8)]
+        texts += [" ".join(r.sample(base, 8)) if k % 3 else " ".join(base + [f"x{k}"] * (k % 2)) for k in range(40)]
+    base = " ".join(f"s{r.randrange(40)}" for _ in range(60))
+    texts += [varied(k, base, k % 4) for k in range(40)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.classes(docs(spark, texts)).collect()}
+    assert got == brute(texts)
+
+
+def test_jaccard_of_odd_rows(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    long = " ".join(f"v{i % 90_001}" for i in range(120_000))
+    names = ("row", "own_id", "own_key", "id", "key", "node", "n", "h", "cell", "parts")
+    df = docs(spark, [base, base + " more", long, long + " end", None, "alone here with five words"], [None, 7, 3, 4, None, None]).withColumns({c: F.lit(1) for c in names})
+    got = {(x["doc_id"], x["n_shingles"]): x["component_id"] for x in jaccard_join.classes(df).collect()}
+    assert got[(3, 90_001)] == 3 and got[(4, 90_002)] == 3 and got[(None, 56)] == 7 and got[(7, 57)] == 7
+    assert got[(None, 0)] is None and got[(None, 1)] is None
+    out = jaccard_join.keep_one(df)
+    assert out.columns == df.columns and sorted(str(x["doc_id"]) for x in out.collect()) == ["3", "7", "None", "None"]
+
+
 def test_jaccard_keeps_one(spark):
     base = " ".join(f"w{i}" for i in range(60))
     df = docs(spark, [base, base, "other text of its own here", None, "other text of its own here"], [5, 3, 9, 11, 9])

@@ -18,12 +18,14 @@ similarity reaches the threshold share a shingle in their prefixes under that or
 The sets are compared exactly, on their 64-bit shingle hashes. Components then follow
 from the links. No pair inside a component found in step 1 is built. Lists stream through
 the tasks one after another; one list, five numbers an entry, is in memory at a time, and
-equal sets are one entry a task in it.
+equal sets are one entry a task in it. A list of more than ``LIST`` entries is dealt to
+parts, and each two parts are a list of their own, of at most about twice as many.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are
 linked with nothing; repeated rows are linked (they have equal sets); rows that share a
-doc_id are told apart by their text; an empty table gives an empty table; other columns
-pass through ``keep_one`` untouched.
+doc_id are told apart by their text, and a null doc_id is smaller than none, so it names a
+component only where it is alone; texts of any length are read whole; an empty table gives
+an empty table; other columns, of any name, pass through ``keep_one`` untouched.
 """
 
 from __future__ import annotations
@@ -45,6 +47,7 @@ PERCENT = 80
 BUCKET_BITS, CHUNK = 20, 1 << 13
 KEY_BITS = 20  # buckets of the filter before the texts of nodes are fetched
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
+LIST = 200_000  # entries of a list in one task's memory, about
 SEEN = 2_000_000  # sets that a task remembers in order not to list them twice
 
 
@@ -86,15 +89,16 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def sets_table(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, row_key (hash of the text), node (hash of the set), n, and, once a set and task, how common its shingles are, MinHashes and prefix."""
+    """doc_id, row_key (hash of the text), node (hash of the set), n, and, once a set and task, how common its shingles are, MinHashes, prefix, and which of the prefix may have long lists."""
     counts = docs.sparkSession.sparkContext.broadcast(document_counts(docs))  # 8 MB
+    longest = LIST
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order, seen = counts.value, set()
         for pdf in batches:
             texts = pdf["text"].tolist()
             for s in sliced(texts):
-                node, size, common, mins, prefix = [], [], [], [], []
+                node, size, common, mins, prefix, hot = [], [], [], [], [], []
                 for h in shingle_sets(texts[s]):
                     size.append(len(h))
                     key = int.from_bytes(hashlib.md5(h.tobytes()).digest()[:8], "little", signed=True) if len(h) else None
@@ -103,6 +107,7 @@ def sets_table(docs: DataFrame, percent: int) -> DataFrame:
                         common.append(None)
                         mins.append(None)
                         prefix.append(None)
+                        hot.append(None)
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
@@ -113,12 +118,13 @@ def sets_table(docs: DataFrame, percent: int) -> DataFrame:
                     common.append(float(np.log1p(seen_in).mean()))
                     mins.append([mixed(h ^ x).min().view(np.int64) for x in SEEDS])
                     prefix.append(h[by].view(np.int64))
+                    hot.append(h[by[seen_in[by] > longest]].view(np.int64))
                 own = pdf[["doc_id", "row_key"]].iloc[s]
-                yield own.assign(node=pd.array(node, dtype="Int64"), n=size, common=common, mins=mins, prefix=prefix)
+                yield own.assign(node=pd.array(node, dtype="Int64"), n=size, common=common, mins=mins, prefix=prefix, hot=hot)
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("row_key"))
     kind = dict(docs.dtypes)["doc_id"]
-    out = written(keyed.mapInPandas(run, f"doc_id {kind}, row_key long, node long, n int, common double, mins array<long>, prefix array<long>"), "sets")
+    out = written(keyed.mapInPandas(run, f"doc_id {kind}, row_key long, node long, n int, common double, mins array<long>, prefix array<long>, hot array<long>"), "sets")
     counts.destroy()
     return out
 
@@ -177,11 +183,12 @@ def star_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return met.filter((F.col("a") != F.col("node")) & fits).select("a", F.col("node").alias("b")).distinct()
 
 
-def run_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def run_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, percent: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of the pairs of one list, sorted by size, that may be linked and are of different components.
 
     The entries of the most frequent component meet only those of the others. For each
-    entry the list is skipped to the block within the size ratio.
+    entry the list is skipped to the block within the size ratio. With ``side`` only entries of
+    different sides meet.
     """
     names, of = np.unique(comp, return_inverse=True)
     main = of == np.bincount(of).argmax()
@@ -193,6 +200,8 @@ def run_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray
         j = np.arange(a, b)
         need = -(-percent * (n[i] + n[j]) // (100 + percent))
         good = (comp[j] != comp[i]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+        if side is not None:
+            good &= side[j] != side[i]
         j = j[good]
         j = j[main[j] | (j > i)] if len(names) != len(node) else j[j > i]
         out_i.append(np.full(len(j), i))
@@ -215,45 +224,65 @@ def list_pairs(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     alone = rows.join(some, "bucket__", "left_anti").select("node", "n", "prefix", F.col("node").alias("component"), F.col("node").alias("lead"))
     rows = alone.unionByName(maybe.select("node", "n", "prefix", F.coalesce("component", "node").alias("component"), F.coalesce("lead", "node").alias("lead")))
     rows = rows.select("node", "n", "component", "lead", F.posexplode("prefix").alias("pos", "h"))
-    rows = rows.repartition(F.col("h")).sortWithinPartitions("h", "n", "node")
+    # a cell is one list, or two parts of a long one: how many parts there are, and which two
+    cell = F.lit(0).cast("long")
+    long = sets.select(F.explode("hot").alias("long_h")).groupBy("long_h").agg(F.count("*").alias("size")).filter(F.col("size") > LIST)
+    long = written(long.select("long_h", F.ceil(F.col("size") / LIST).cast("long").alias("parts")), "long-lists")
+    if not long.isEmpty():
+        own = F.pmod("node", "parts")
+        other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        rows = rows.join(long, F.col("h") == F.col("long_h"), "left").withColumn("other", other)
+        cell = F.when(F.col("parts").isNull(), cell).otherwise(F.shiftleft("parts", 40) + F.shiftleft(F.least(own, "other"), 20) + F.greatest(own, "other"))
+    rows = rows.withColumn("cell", cell).select("node", "n", "component", "lead", "pos", "h", "cell")
+    rows = rows.repartition(F.col("h"), F.col("cell")).sortWithinPartitions("h", "cell", "n", "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+        def starts(pdf: pd.DataFrame) -> np.ndarray:
+            h, cell = pdf["h"].to_numpy(), pdf["cell"].to_numpy()
+            return np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (cell[1:] != cell[:-1])]))
 
         def pairs(pdf: pd.DataFrame) -> pd.DataFrame | None:
-            h = pdf["h"].to_numpy()
-            comp = pdf["component"].to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            size = np.diff(np.concatenate([first, [len(h)]]))
+            comp, cell = pdf["component"].to_numpy(), pdf["cell"].to_numpy()
+            first = starts(pdf)
+            size = np.diff(np.concatenate([first, [len(pdf)]]))
             lowest, highest = np.minimum.reduceat(comp, first), np.maximum.reduceat(comp, first)
             open_ = np.flatnonzero((size > 1) & (lowest != highest))
             if not len(open_):
                 return None
             node, n, pos, lead = (pdf[c].to_numpy().astype(np.int64) for c in ("node", "n", "pos", "lead"))
             left, right = [], []
-            two = open_[size[open_] == 2]  # by far the most
+            two = open_[(size[open_] == 2) & (cell[first[open_]] == 0)]  # by far the most
             i, j = first[two], first[two] + 1
             need = -(-percent * (n[i] + n[j]) // (100 + percent))
             good = (100 * n[i] >= percent * n[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
             left.append(i[good])
             right.append(j[good])
-            for k in open_[size[open_] > 2]:
+            for k in open_[(size[open_] > 2) | (cell[first[open_]] != 0)]:
                 s = slice(first[k], first[k] + size[k])
-                i, j = run_pairs(node[s], n[s], pos[s], comp[s], percent)
+                c, side = int(cell[first[k]]), None
+                if c and (c >> 20) & 0xFFFFF != c & 0xFFFFF:  # two different parts: the pairs inside either are elsewhere
+                    side = node[s] % (c >> 40)
+                i, j = run_pairs(node[s], n[s], pos[s], comp[s], percent, side)
                 left.append(i + first[k])
                 right.append(j + first[k])
             i, j = np.concatenate(left), np.concatenate(right)
             own = pd.DataFrame({"a": node[i], "b": lead[j]})
             return own.drop_duplicates()
 
+        held: list[pd.DataFrame] = []  # the list that the last batch ended in
         for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            h = pdf["h"].to_numpy()
-            cut = int(np.searchsorted(h, h[-1], "left")) if len(h) else 0
-            rest = pdf.iloc[cut:]
-            if cut and (found := pairs(pdf.iloc[:cut])) is not None:
+            if not len(pdf):
+                continue
+            cut = int(starts(pdf)[-1])
+            same = bool(held) and (held[-1][["h", "cell"]].iloc[-1].tolist() == pdf[["h", "cell"]].iloc[0].tolist())
+            if cut == 0 and same:
+                held.append(pdf)
+                continue
+            done = pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
+            held = [pdf.iloc[cut:]]
+            if len(done) and (found := pairs(done)) is not None:
                 yield found
-        if rest is not None and len(rest) and (found := pairs(rest)) is not None:
+        if held and (found := pairs(pd.concat(held, ignore_index=True))) is not None:
             yield found
 
     return rows.mapInPandas(run, "a long, b long").distinct()
@@ -299,16 +328,16 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows of a component other than its smallest doc_id's; of repeated rows one stays."""
     found = classes(docs, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     good = written(found.groupBy("doc_id", "row_key").agg(F.count("*").alias("times")), "kept-rows")
-    keyed = docs.withColumn("row_key__", F.xxhash64("text"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
 
     def rows(of: DataFrame) -> DataFrame:
-        own = of.select(F.col("doc_id").alias("k_id__"), F.col("row_key").alias("k_key__"))
-        return keyed.join(own, F.col("doc_id").eqNullSafe(F.col("k_id__")) & (F.col("row_key__") == F.col("k_key__")), "left_semi")
+        own = of.select(F.col("doc_id").alias("id"), F.col("row_key").alias("key"))
+        return keyed.join(own, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left_semi")
 
     out = rows(good)
     if not good.filter("times > 1").isEmpty():  # only repeated rows need a shuffle to drop all but one
-        out = rows(good.filter("times = 1")).unionByName(rows(good.filter("times > 1")).dropDuplicates(["doc_id", "row_key__"]))
-    return out.select(*docs.columns)
+        out = rows(good.filter("times = 1")).unionByName(rows(good.filter("times > 1")).dropDuplicates(["own_id", "own_key"]))
+    return out.select("row.*")
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
