@@ -267,6 +267,10 @@ def test_mix_rows_are_the_copies_taken(spark, tmp_path):
     assert collections.Counter(r["doc_id"] for r in mixed.collect()) == {k: n for k, n in want.items() if n}
     source_mix.write_shards(mixed, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == sum(want.values())
+    ids = [r["doc_id"] for r in mixed.filter("shard = 0").collect()]
+    assert ids != sorted(ids) and ids == [r["doc_id"] for r in source_mix.mix(df.repartition(7), 4, 32).filter("shard = 0").collect()]
+    clashing = df.withColumns({c: F.lit(1) for c in ("row", "order", "turn", "size__", "s__", "block__", "shards__")})
+    assert source_mix.mix(clashing, 4, 32, shard_col=None).columns == clashing.columns
     with pytest.raises(ValueError, match="already"):
         source_mix.mix(df.withColumn("shard", F.lit(1)))
 
@@ -280,6 +284,22 @@ def test_empty_tables_pass_every_stage(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
 
 
+def test_many_blocks_of_one_source_are_dealt_by_cells(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source_mix, "CELL", 4)
+    r = random.Random(6)
+    rows = [(i, "w " * r.randint(1, 30), "a" if i % 3 else f"b{i % 5}") for i in range(1200)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = source_mix.op3_source_mix(spark, str(tmp_path), block_docs=8).collect()
+    taken, target = collections.Counter(), {}
+    for x in got:
+        taken[rows[x["doc_id"]][2]] += x["taken"]
+        target[rows[x["doc_id"]][2]] = x["target"]
+        assert len(x["orders"]) == len(x["shards"]) and x["taken"] == x["size"] * len(x["shards"])
+    assert all(abs(taken[s] - t) <= 40 for s, t in target.items())
+    copies = collections.Counter(s for x in got for s in x["shards"])
+    assert len(copies) == 16 and max(copies.values()) < 3 * min(copies.values())
+
+
 def test_quotas_are_exact_and_shards_even(spark):
     q = spark.createDataFrame([("a", 300), ("b", 7), (None, 33), ("z", 0)], "source string, quota long")
     out = source_mix.split_quotas(q, 8, 3).collect()

@@ -6,17 +6,19 @@ a permuted order, then documents of the one block that the target cuts in two. T
 exact block quotas of all sources stand at the root of a binary tree over the output
 shards; each node deals its quotas to its two halves by a multivariate hypergeometric
 draw, so the leaves hold what a global shuffle would give them. Each leaf takes the next
-blocks of every source's permuted sequence, disjoint from the other leaves', and orders
-its documents by a hash.
+blocks of every source's permuted sequence, disjoint from the other leaves', and shuffles
+its documents locally: it orders them by a hash, in ``PIECES`` pieces.
 
 Only SQL functions are used, and all randomness is a hash of a seed, so reruns agree
 whatever the partitioning. What is joined to the documents is small and written first:
-one row a source, one row a block, and the documents of one block a source.
+one row a source, one row a block, and the documents of one block a source. Running sums
+over the blocks of a source go by cells of about ``CELL`` blocks, so no source is one task's
+work; only what has one entry a source is (sources number in the thousands, not millions).
 
 Defined results: a null source is a source (the last in order); a text that is null or
 has no words has size 0 and takes part with no words; rows equal in doc_id, source and
 size are one unit and are taken equally often; an empty table gives an empty table;
-other columns pass through ``mix`` untouched.
+other columns, of any name, pass through ``mix`` untouched.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from tidebars.llm.text import n_words
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
+CELL = 1024
+PIECES = 64
 
 
 def _uniform(*parts: Column) -> Column:
@@ -162,6 +166,18 @@ def _cut_block(units: DataFrame) -> DataFrame:
     return out.withColumn("extra", F.col("extra") + last.cast("int")).select("source", "doc_id", "size", "extra")
 
 
+def _running(rows: DataFrame, u: Column, ties: list[str], value: str, out: str) -> DataFrame:
+    """``rows`` (source, n_blocks and others) with the running sum of ``value`` in each source, in the order of ``u`` in [0, 1), then ``ties``."""
+    rows = rows.withColumn("u_", u).withColumn("cell", F.floor(F.col("u_") * F.ceil(F.col("n_blocks") / CELL)))
+    sums = rows.groupBy("source", "cell").agg(F.sum(value).alias("part"))
+    before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # one row a cell
+    sums = sums.select(F.col("source").alias("c_source"), F.col("cell").alias("c_cell"), F.coalesce(F.sum("part").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source", "cell").orderBy("u_", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("inside", F.sum(value).over(inside))
+    joined = rows.join(sums, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("cell") == F.col("c_cell")))
+    return joined.withColumn(out, F.col("before") + F.col("inside")).drop("u_", "cell", "inside", "before", "c_source", "c_cell")
+
+
 def plan(sizes: DataFrame, shards: int, block_docs: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For (doc_id, source, size): the written tables of sources, of blocks with the shards of their draws, and of cut blocks."""
     units = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")).withColumn("u", _uniform(F.lit(seed), F.col("doc_id"), F.col("size")))
@@ -169,32 +185,32 @@ def plan(sizes: DataFrame, shards: int, block_docs: int, seed: int) -> tuple[Dat
     sources = written(targets(units, block_docs), "mix-sources")
     own = sources.select(F.col("source").alias("s"), "n_blocks", "source_size", "target")
     placed = units.join(own, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.floor(F.col("u") * F.col("n_blocks")))
-    blocks = placed.groupBy("source", "block").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    order = Window.partitionBy("source").orderBy(_uniform(F.lit(seed), F.lit("block"), F.col("source"), F.col("block")), "block")
+    blocks = placed.groupBy("source", "block").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("n_blocks").alias("n_blocks"))
+    blocks = _running(blocks, _uniform(F.lit(seed), F.lit("block"), F.col("source"), F.col("block")), ["block"], "words", "end")
     passes = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
     blocks = (
         blocks.withColumn("passes", F.least(passes, F.lit(MOST_REPEATS).cast("long")))
         .withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-        .withColumn("end", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("whole", (F.col("end") <= F.col("rest")) & (F.col("words") > 0))
         .withColumn("need", F.when(~F.col("whole") & (F.col("end") - F.col("words") < F.col("rest")) & (F.col("words") > 0), F.col("rest") - (F.col("end") - F.col("words"))))
     )
-    blocks = written(blocks.select("source", "block", "passes", "whole", "need"), "mix-blocks")
+    blocks = written(blocks.select("source", "block", "n_blocks", "passes", "whole", "need"), "mix-blocks")
 
     draws = blocks.withColumn("draws", F.expr("passes + CASE WHEN whole OR need IS NOT NULL THEN 1L ELSE 0L END"))
     leaves = split_quotas(draws.groupBy("source").agg(F.sum("draws").alias("quota")), shards, seed)
     ends = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    leaves = leaves.withColumn("to", F.sum("quota").over(ends)).select(F.col("source").alias("s"), "shard", (F.col("to") - F.col("quota")).alias("from"), "to")
-    drawn = draws.filter("draws > 0").select("source", "block", F.explode(F.expr("sequence(1L, draws)")).alias("turn"))
-    permuted = Window.partitionBy("source").orderBy(_uniform(F.lit(seed), F.lit("draw"), F.col("source"), F.col("block"), F.col("turn")), "block", "turn")
-    drawn = drawn.withColumn("at", F.row_number().over(permuted) - 1)
+    leaves = leaves.withColumn("to", F.sum("quota").over(ends)).groupBy(F.col("source").alias("s")).agg(F.array_sort(F.collect_list("to")).alias("ends"))  # one entry a shard
+    drawn = draws.filter("draws > 0").select("source", "block", "n_blocks", F.explode(F.expr("sequence(1L, draws)")).alias("turn")).withColumn("one", F.lit(1).cast("long"))
+    drawn = _running(drawn, _uniform(F.lit(seed), F.lit("draw"), F.col("source"), F.col("block"), F.col("turn")), ["block", "turn"], "one", "nth")
+    shard = F.size(F.filter("ends", lambda e: e < F.col("nth")))
     homes = (
-        drawn.join(leaves, F.col("source").eqNullSafe(F.col("s")) & (F.col("at") >= F.col("from")) & (F.col("at") < F.col("to")))
+        drawn.join(written(leaves, "mix-leaves"), F.col("source").eqNullSafe(F.col("s")))
+        .select("source", "block", "turn", shard.alias("shard"))
         .groupBy("source", "block")
         .agg(F.sort_array(F.collect_list(F.struct("turn", "shard"))).alias("homes"))  # at most MOST_REPEATS
         .select(F.col("source").alias("h_source"), F.col("block").alias("h_block"), F.transform("homes", lambda x: x["shard"]).alias("shards"))
     )
-    blocks_homed = blocks.join(homes, F.col("source").eqNullSafe(F.col("h_source")) & (F.col("block") == F.col("h_block")), "left").drop("h_source", "h_block")
+    blocks_homed = blocks.join(homes, F.col("source").eqNullSafe(F.col("h_source")) & (F.col("block") == F.col("h_block")), "left").drop("h_source", "h_block", "n_blocks")
     blocks_homed = written(blocks_homed, "mix-homes")
     cut = blocks.filter("need IS NOT NULL").select(F.col("source").alias("c_source"), F.col("block").alias("c_block"), "need")
     part = written(_cut_block(placed.join(cut, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("block") == F.col("c_block")))), "mix-part")
@@ -218,31 +234,34 @@ def assign(rows: DataFrame, plans: tuple[DataFrame, DataFrame, DataFrame], seed:
     return out.withColumn("shards__", F.slice(F.coalesce(col("homes__"), F.array().cast("array<int>")), F.lit(1), copies.cast("int")))
 
 
-HELPERS = ("s__", "n_blocks__", "block__", "b_source__", "b_block__", "passes__", "whole__", "homes__", "p_source__", "p_id__", "p_size__", "extra__")
-
-
 def word_sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
 
 
-def mix(docs: DataFrame, shards: int = 16, block_docs: int = 256, seed: int = 7, shard_col: str = "shard") -> DataFrame:
-    """The mixed rows: every row of ``docs`` once for each time it is taken, with all its columns and its shard.
+def _order(seed: int, shard: Column, turn: Column) -> Column:
+    """Where a copy of a document stands in its shard."""
+    return F.xxhash64(F.lit(seed), F.lit("order"), shard, F.col("doc_id"), F.col("size__"), turn)
+
+
+def mix(docs: DataFrame, shards: int = 16, block_docs: int = 256, seed: int = 7, shard_col: str | None = "shard") -> DataFrame:
+    """The mixed rows: every row of ``docs`` once for each time it is taken, with all its columns and, unless ``shard_col`` is None, its shard.
 
-    A shard's rows are in no order yet; ``write_shards`` shuffles each locally. A column of ``docs`` that has the
-    shard column's name is refused.
+    A piece of a shard is in one partition, in the order of its hash. A column of ``docs`` that has the shard
+    column's name is refused.
     """
     if shard_col in docs.columns:
         raise ValueError(f"there is a column {shard_col} already")
     plans = plan(word_sizes(docs), shards, block_docs, seed)
-    rows = docs.withColumn("size__", n_words(F.col("text")))
-    out = assign(rows, plans, seed).drop(*HELPERS, "size__", "source_size__", "target__")
-    return out.select(*docs.columns, F.explode("shards__").alias(shard_col))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size__"))
+    out = assign(rows, plans, seed).select("row", "doc_id", "size__", F.posexplode("shards__").alias("turn", "shard"))
+    out = out.select("row", "shard", _order(seed, F.col("shard"), F.col("turn")).alias("order"))
+    out = out.repartition("shard", F.pmod("order", F.lit(PIECES))).sortWithinPartitions("shard", "order")
+    return out.select("row.*") if shard_col is None else out.select("row.*", F.col("shard").alias(shard_col))
 
 
-def write_shards(mixed: DataFrame, path: str, seed: int = 7) -> None:
-    """Write the mix, one folder a shard, each shard's rows in an order that a hash gives."""
-    order = F.xxhash64(F.lit(seed), F.col("shard"), F.col("doc_id"), F.monotonically_increasing_id())
-    mixed.repartitionByRange("shard", order).sortWithinPartitions("shard", order).write.partitionBy("shard").parquet(path)
+def write_shards(mixed: DataFrame, path: str) -> None:
+    """Write the mix, one folder a shard, its rows in their order."""
+    mixed.write.partitionBy("shard").parquet(path)
 
 
 def op3_source_mix(spark, sf_dir: str, shards: int = 16, block_docs: int = 256, seed: int = 7) -> DataFrame:
@@ -251,4 +270,5 @@ def op3_source_mix(spark, sf_dir: str, shards: int = 16, block_docs: int = 256,
     return rows.select(
         "doc_id", F.col("size__").alias("size"), F.col("source_size__").alias("source_size"), F.col("target__").alias("target"),
         (F.col("size__") * F.size("shards__")).alias("taken"), F.col("shards__").alias("shards"),
+        F.transform("shards__", lambda x, k: _order(seed, x, k)).alias("orders"),
     )
