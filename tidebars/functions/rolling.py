@@ -44,20 +44,24 @@ def clipped(x: Column, low: float, high: float) -> Column:
 
 
 def recurrence(df: DataFrame, x: str, out: str, keys: Sequence[str], order: str, length: int, chunk: int = 256) -> DataFrame:
-    """Wilder's average: y = y' + (x - y') / length from the first x on, null before ``length`` rows.
+    """Wilder's average: y = y' + (x - y') / length from the first x on, null before ``length`` values of x.
 
     Rows are cut into chunks. Inside one the recurrence has a closed form, a weighted
     running sum; from chunk to chunk a fold over one (rows, value) pair a chunk carries it.
-    Null x counts as the value before (the average stays).
+    A null x is no step: the average stays as it was.
     """
-    a, keep = 1.0 / length, 1.0 - 1.0 / length
     w = over(keys, order)
-    ranked = df.withColumn("_k", F.row_number().over(w) - 1).withColumn("_chunk", F.floor(F.col("_k") / chunk)).withColumn("_i", F.col("_k") % chunk)
-    inside = over([*keys, "_chunk"], "_i").rowsBetween(Window.unboundedPreceding, 0)
-    # the first row of all stands for itself, so its weight is 1 and not a
-    own = F.when(F.col("_k") == 0, F.col(x)).otherwise(a * F.col(x))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    if length == 1:
+        return df.withColumn(out, F.last(x, ignorenulls=True).over(upto))
+    a, keep = 1.0 / length, 1.0 - 1.0 / length
+    ranked = df.withColumn("_k", F.count(x).over(upto) - 1)
+    ranked = ranked.withColumn("_chunk", F.floor(F.col("_k") / chunk)).withColumn("_i", F.pmod(F.col("_k"), F.lit(chunk)))
+    inside = over([*keys, "_chunk"], order).rowsBetween(Window.unboundedPreceding, 0)
+    # the first value of all stands for itself, so its weight is 1 and not a
+    own = F.when(F.col(x).isNull(), 0.0).when(F.col("_k") == 0, F.col(x)).otherwise(a * F.col(x))
     ranked = ranked.withColumn("_b", F.pow(F.lit(keep), F.col("_i")) * F.sum(own * F.pow(F.lit(keep), -F.col("_i"))).over(inside))
-    chunks = ranked.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"), F.max_by("_b", "_i").alias("_last"))
+    chunks = ranked.filter("_k >= 0").groupBy(*keys, "_chunk").agg(F.count(x).alias("_n"), F.max_by("_b", F.col(order)).alias("_last"))
     carried = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_n", "_last"))).alias("_all"))
     step = lambda acc, c: F.struct(
         F.concat(acc["out"], F.array(F.struct(c["_chunk"].alias("_chunk"), acc["y"].alias("_carry")))).alias("out"),
@@ -65,6 +69,6 @@ def recurrence(df: DataFrame, x: str, out: str, keys: Sequence[str], order: str,
     )
     start = F.struct(F.array().cast("array<struct<_chunk:bigint,_carry:double>>").alias("out"), F.lit(0.0).alias("y"))
     carried = carried.select(*keys, F.inline(F.aggregate("_all", start, step)["out"]))
-    joined = ranked.join(carried, [*keys, "_chunk"])
+    joined = ranked.join(carried, [*keys, "_chunk"], "left")
     y = F.col("_b") + F.pow(F.lit(keep), F.col("_i") + 1) * F.col("_carry")
     return joined.withColumn(out, F.when(F.col("_k") >= length - 1, y)).drop("_k", "_chunk", "_i", "_b", "_carry")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebars.sources.tables import require_columns
@@ -65,8 +65,8 @@ def tag_buckets(df: DataFrame, buckets: Sequence[tuple[str, int, int]] = BUCKETS
 
 def whole_sessions(df: DataFrame, keys: Sequence[str] = KEYS, n_buckets: int = len(BUCKETS)) -> DataFrame:
     """Rows of sessions that hold all buckets."""
-    whole = df.groupBy(*keys, "session").agg(F.countDistinct("bucket").alias("n")).filter(F.col("n") == n_buckets).drop("n")
-    return df.join(whole, [*keys, "session"], "left_semi")
+    held = F.size(F.collect_set("bucket").over(Window.partitionBy(*keys, "session")))  # a handful of names
+    return df.withColumn("_held", held).filter(F.col("_held") == n_buckets).drop("_held")
 
 
 def calendar(spark, first: date, last: date, holidays: Sequence[date] = ()) -> DataFrame:

@@ -18,13 +18,17 @@ SIDE_MODES = {"both": "both", "long": "long", "long_only": "long", "short": "sho
 
 @dataclass(frozen=True)
 class Rules:
-    """What a strategy trades on; a variant is one with other flags."""
+    """What a strategy trades on; a variant is one with other flags.
+
+    What the signals read may be columns (a table of parameters joined to the bars), and ``channel_bars`` may be
+    several lengths, which stand in one pass under each other, told apart by a column of that name.
+    """
 
     kind: str = "channel"  # or opening_range
     range_start: int = 510
     range_end: int = 570
     entry_bars: int = 8
-    channel_bars: int = 10
+    channel_bars: int | Sequence[int] = 10
     force_exit: int = 990
     atr_sessions: int = 5
     atr_buffer: float = 0.05
@@ -73,6 +77,18 @@ def with_channel(bars: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFra
     return out.withColumn("range_mid", (F.col("range_high") + F.col("range_low")) / 2)
 
 
+def with_channels(bars: DataFrame, lengths: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:
+    """The channels of several lengths: every bar once for each, with ``channel_bars``."""
+    w = over(keys, "ts")
+    each = []
+    for n in sorted(set(lengths)):
+        high, low = full(F.max, F.col("high"), w, n, lag=1), full(F.min, F.col("low"), w, n, lag=1)
+        bars = bars.withColumns({f"_h{n}": high, f"_l{n}": low})
+        each.append(F.struct(F.lit(n).alias("channel_bars"), F.col(f"_h{n}").alias("range_high"), F.col(f"_l{n}").alias("range_low"), ((F.col(f"_h{n}") + F.col(f"_l{n}")) / 2).alias("range_mid")))
+    plain = [c for c in bars.columns if not c.startswith(("_h", "_l"))]
+    return bars.select(*plain, F.inline(F.array(*each)))
+
+
 def with_force_exit(bars: DataFrame, minute: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """``force_exit``: the session's last bar at or before the minute of day, else its first bar."""
     w = Window.partitionBy(*keys, "session")
@@ -81,18 +97,20 @@ def with_force_exit(bars: DataFrame, minute: int, keys: Sequence[str] = KEYS) ->
 
 
 def prepare(bars: DataFrame, rules: Rules, bands: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Bars with all that the signals read, and ``entry_allowed``."""
+    """Bars with all that the signals read, ``entry_allowed``, and the next bar's time, open and session."""
     out = recurrence(with_true_range(with_vwap(bars, keys), keys), "true_range", "rma", keys, "ts", rules.atr_length)
     out = out.withColumn("atr_stop", F.col("rma") * rules.atr_multiple).drop("rma")
+    w = over(keys, "ts")
+    out = with_force_exit(out.withColumns({f"next_{c}": F.lead(c).over(w) for c in ("ts", "open", "session")}), rules.force_exit, keys)
     out = out.join(session_ranges(bars, rules.atr_sessions, keys), [*keys, "session"], "left")
     if bands is not None:
         out = out.join(bands.select(*keys, "session", *GATE), [*keys, "session"], "left")
     else:
         out = out.withColumns({c: F.lit(None).cast("double") for c in GATE})
     if rules.kind == "channel":
-        out = with_force_exit(with_channel(out, rules.channel_bars, keys), rules.force_exit, keys)
+        out = with_channel(out, rules.channel_bars, keys) if isinstance(rules.channel_bars, int) else with_channels(out, rules.channel_bars, keys)
         return out.withColumn("entry_allowed", F.col("range_high").isNotNull() & F.col("range_low").isNotNull())
-    out = with_force_exit(out.join(opening_range(bars, rules.range_start, rules.range_end, keys), [*keys, "session"], "left"), rules.force_exit, keys)
+    out = out.join(opening_range(bars, rules.range_start, rules.range_end, keys), [*keys, "session"], "left")
     after = F.coalesce(F.col("ts") > F.col("range_end"), F.lit(False))
     index = F.sum(after.cast("int")).over(over([*keys, "session"], "ts").rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn("entry_allowed", after & (index <= rules.entry_bars))
@@ -108,36 +126,38 @@ def band_gate(price: Column) -> tuple[Column, Column]:
     return F.coalesce(known & up, F.lit(False)), F.coalesce(known & down, F.lit(False))
 
 
-def signals(prepared: DataFrame, rules: Rules, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row a breakout bar: side, stop, target, break-even levels, force_exit.
+def _column(x: object) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def signals(prepared: DataFrame, rules: Rules, keys: Sequence[str] = KEYS, variant: Sequence[str] = ()) -> DataFrame:
+    """One row a breakout bar (and variant): side, stop, target, break-even levels, force_exit, the next bar's time, open and session.
 
     Signals on a bar at or after its forced exit, without a known stop, or with no distance to it are none.
     """
     close = F.col("close")
-    buffer = rules.atr_buffer * F.col("atr_session") if rules.use_atr_buffer else F.lit(0.0)
-    long, short = close > F.col("range_high") + buffer, close < F.col("range_low") - buffer
-    if rules.use_vwap:
-        long, short = long & (close > F.col("vwap")), short & (close < F.col("vwap"))
-    if rules.use_bands:
-        up, down = band_gate(close)
-        long, short = long & up, short & down
-    mode = SIDE_MODES[rules.side_mode.strip().lower()]
-    long, short = (F.coalesce(x, F.lit(False)) if mode in ("both", s) else F.lit(False) for x, s in ((long, "long"), (short, "short")))
+    buffer = F.when(_column(rules.use_atr_buffer), _column(rules.atr_buffer) * F.col("atr_session")).otherwise(0.0)
+    free_of_vwap, free_of_bands = ~_column(rules.use_vwap), ~_column(rules.use_bands)
+    up, down = band_gate(close)
+    long = (close > F.col("range_high") + buffer) & (free_of_vwap | (close > F.col("vwap"))) & (free_of_bands | up)
+    short = (close < F.col("range_low") - buffer) & (free_of_vwap | (close < F.col("vwap"))) & (free_of_bands | down)
+    mode = rules.side_mode if isinstance(rules.side_mode, Column) else F.lit(SIDE_MODES[rules.side_mode.strip().lower()])
+    long, short = (F.coalesce(x & mode.isin("both", s), F.lit(False)) for x, s in ((long, "long"), (short, "short")))
     side = F.when(long, 1).when(short, -1)
     s = F.col("side")
     boundary = F.when(s > 0, F.col("range_low")).otherwise(F.col("range_high"))
-    stop = boundary if rules.stop == "boundary" else F.when(s > 0, F.col("low") - F.col("atr_stop")).otherwise(F.col("high") + F.col("atr_stop"))
+    stop = F.when(_column(rules.stop) == "boundary", boundary).otherwise(F.when(s > 0, F.col("low") - F.col("atr_stop")).otherwise(F.col("high") + F.col("atr_stop")))
     risk = F.abs(close - F.col("stop"))
     out = prepared.filter("entry_allowed AND ts < force_exit").withColumn("side", side).filter("side IS NOT NULL")
-    out = out.withColumn("stop", stop).withColumn("risk", risk).filter("risk > 0").withColumn("target", close + s * rules.reward * F.col("risk"))
-    nothing = F.lit(None).cast("double")
-    out = out.withColumn("trigger", close + s * rules.break_even_at * F.col("risk") if rules.break_even else nothing)
-    out = out.withColumn("moved_stop", close + s * rules.break_even_offset if rules.break_even else nothing)
-    return out.select(*keys, "session", "ts", "side", "close", "stop", "target", "trigger", "moved_stop", "force_exit")
+    out = out.withColumn("stop", stop).withColumn("risk", risk).filter("risk > 0").withColumn("target", close + s * _column(rules.reward) * F.col("risk"))
+    even = _column(rules.break_even)
+    out = out.withColumn("trigger", F.when(even, close + s * _column(rules.break_even_at) * F.col("risk")))
+    out = out.withColumn("moved_stop", F.when(even, close + s * _column(rules.break_even_offset)))
+    return out.select(*keys, *variant, "session", "ts", "side", "close", "stop", "target", "trigger", "moved_stop", "force_exit", "next_ts", "next_open", "next_session")
 
 
 def first_of_session(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The first signal of every session."""
+    """The first signal of every session; with variants, their columns belong to the keys."""
     return df.withColumn("_n", F.row_number().over(over([*keys, "session"], "ts"))).filter("_n = 1").drop("_n")
 
 

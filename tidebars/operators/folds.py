@@ -13,15 +13,29 @@ from tidebars.functions.rolling import over
 def session_folds(sessions: DataFrame, train: int, test: int, step: int, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, fold, role, session): ``train`` sessions, then ``test``, moving on by ``step``; whole folds only."""
     w = over(keys, "session") if keys else Window.orderBy("session")
-    dense = sessions.select(*keys, "session").distinct().withColumn("i", F.row_number().over(w) - 1)
-    last = dense.groupBy(*keys).agg(F.max("i").alias("most"))
-    starts = last.filter(F.col("most") + 1 >= train + test).select(*keys, F.posexplode(F.expr(f"sequence(0, most + 1 - {train + test}, {step})")).alias("fold", "start"))
-    near = dense.join(F.broadcast(starts), list(keys)) if keys else dense.join(F.broadcast(starts), F.lit(True))
-    at = F.col("i") - F.col("start")
+    whole = Window.partitionBy(*keys)
+    dense = sessions.select(*keys, "session").distinct().withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(whole))
+    # the folds that a session is in, by arithmetic
+    low = F.greatest(F.lit(0), F.ceil((F.col("i") - (train + test - 1)) / step)).cast("int")
+    high = F.least(F.floor(F.col("i") / step), F.floor((F.col("n") - (train + test)) / step)).cast("int")
+    near = dense.withColumn("fold", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))))
+    at = F.col("i") - F.col("fold") * step
     role = F.when((at >= 0) & (at < train), "train").when((at >= train) & (at < train + test), "test")
     return near.select(*keys, "fold", role.alias("role"), "session").filter("role IS NOT NULL")
 
 
+def role_folds(sessions: DataFrame, roles: Sequence[tuple[str, int]], step: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, fold, role, session): roles of so many sessions one after another, moving on by ``step``; whole folds only."""
+    total = sum(n for _, n in roles)
+    spans = session_folds(sessions, total, 0, step, keys)
+    at = F.row_number().over(over([*keys, "fold"], "session")) - 1
+    role, start = F.lit(None).cast("string"), 0
+    for name, n in roles:
+        role = F.when(at >= start, name).otherwise(role)
+        start += n
+    return spans.select(*keys, "fold", role.alias("role"), "session")
+
+
 def month_folds(sessions: DataFrame, roles: Sequence[tuple[str, int]], step: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """(keys, fold, role, session): roles of so many months one after another, moving on by ``step`` months.
 
@@ -102,11 +116,15 @@ def neighbours(params: DataFrame, ranges: dict[str, tuple[float, float, float]])
     return identified(out, [*others, *ranges])
 
 
-def neighbour_scores(near: DataFrame, scores: DataFrame) -> DataFrame:
-    """(of, median_score, usable): the median of a set's neighbours; one without a score spoils it."""
-    joined = near.join(scores.select("params_id", "score"), "params_id", "left")
-    bad = F.count(F.when(F.col("score").isNull() | (F.col("score") == float("-inf")), 1)) > 0
-    return joined.groupBy("of").agg(F.median("score").alias("median_score"), (~bad).alias("usable"))
+def neighbour_scores(near: DataFrame, scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, of, median_score, usable): the median over the rows of ``near`` (by, of, params_id); without a score counts as minus infinity.
+
+    A set is usable if that median is finite, so a few neighbours without a score do not spoil it.
+    """
+    joined = near.join(scores.select(*by, "params_id", "score"), [*by, "params_id"], "left")
+    low = F.lit(float("-inf"))
+    middle = F.median(F.coalesce("score", low))
+    return joined.groupBy(*by, "of").agg(middle.alias("median_score")).withColumn("usable", F.col("median_score") > low)
 
 
 def objective(value: Column, lower_is_better: bool = False) -> Column:

@@ -17,7 +17,9 @@ def _indexed(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFr
 
 
 def _draw(seed: int, *parts: str | Column) -> Column:
-    return F.xxhash64(F.lit(seed), *[F.col(p) if isinstance(p, str) else p for p in parts])
+    """60 bits of an MD5, which other engines can repeat."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def bootstrap_trades(trades: DataFrame, by: Sequence[str], simulations: int, seed: int = 1, pnl: str = "net_pnl", order: Sequence[str] = ("exit_ts",)) -> DataFrame:

@@ -36,14 +36,14 @@ def regimes(volatility: DataFrame, limits: DataFrame, by: Sequence[str]) -> Data
 def block_scores(returns: DataFrame, trades: DataFrame, blocks: DataFrame, by: Sequence[str], min_total: int = 1, min_block: int = 1) -> DataFrame:
     """(by, score, eligible, reason, max_drawdown): the median of the blocks' Sharpe ratios less half their quartile range and the drawdown.
 
-    ``returns``: (by, session, ret); ``trades``: (by, session); ``blocks``: (session, block).
+    ``returns``: (by, session, ret); ``trades``: (by, session); ``blocks``: (session, block), with keys of ``by`` where blocks differ by them.
     The first fault met, block after block, is the reason.
     """
     hits = trades.groupBy(*by, "session").agg(F.count("*").alias("_t"))
-    rows = returns.join(blocks, "session").join(hits, [*by, "session"], "left")
+    rows = returns.join(blocks, [*[c for c in by if c in blocks.columns], "session"]).join(hits, [*by, "session"], "left")
     per = rows.groupBy(*by, "block").agg(F.avg("ret").alias("_m"), F.stddev_pop("ret").alias("_s"), F.coalesce(F.sum("_t"), F.lit(0)).alias("_t"))
-    wanted = blocks.select("block").distinct()
-    per = returns.select(*by).distinct().join(F.broadcast(wanted)).join(per, [*by, "block"], "left")
+    wanted = [F.lit(r["block"]) for r in blocks.select("block").distinct().collect()]  # spans of a calendar, few
+    per = returns.select(*by).distinct().withColumn("block", F.explode(F.array(*wanted))).join(per, [*by, "block"], "left")
     name = F.concat(F.lit("block_"), F.col("block").cast("string"))
     fault = (
         F.when(F.col("_m").isNull(), F.concat(name, F.lit("_has_no_returns")))
@@ -79,28 +79,32 @@ def regime_scores(returns: DataFrame, trades: DataFrame, regime: DataFrame, by:
     return every.select(*by, "candidate", "regime", "sessions", "trades", score.alias("score"), reason.alias("reason"))
 
 
-def library(scores: DataFrame, by: Sequence[str], general: str) -> DataFrame:
-    """(by, regime, candidate, reason): the best candidate of each regime, equals by name, or the general one."""
+def _general(x: str | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def library(scores: DataFrame, by: Sequence[str], general: str | Column) -> DataFrame:
+    """(by, regime, candidate, reason): the best candidate of each regime, equals by name, or the general one (a name, or a column of ``scores``)."""
     chosen = F.min_by(F.when(F.col("score").isNotNull(), F.col("candidate")), F.when(F.col("score").isNotNull(), F.struct(-F.col("score"), F.col("candidate"))))
-    out = scores.groupBy(*by, "regime").agg(chosen.alias("candidate"))
-    return out.select(*by, "regime", F.coalesce("candidate", F.lit(general)).alias("candidate"), F.when(F.col("candidate").isNull(), "fallback_no_eligible_candidate").otherwise("selected").alias("reason"))
+    out = scores.groupBy(*by, "regime").agg(chosen.alias("candidate"), F.first(_general(general)).alias("_g"))
+    return out.select(*by, "regime", F.coalesce("candidate", "_g").alias("candidate"), F.when(F.col("candidate").isNull(), "fallback_no_eligible_candidate").otherwise("selected").alias("reason"))
 
 
-def route(regime: DataFrame, chosen: DataFrame, by: Sequence[str], general: str, confirm: int = 2) -> DataFrame:
+def route(regime: DataFrame, chosen: DataFrame, by: Sequence[str], general: str | Column, confirm: int = 2) -> DataFrame:
     """(by, session, candidate): the candidate in use, changed once a regime that wants another has stood ``confirm`` sessions.
 
-    An unknown regime goes back to the general candidate at once. The state is folded over one entry a session and key.
+    An unknown regime goes back to the general candidate (a name, or a column of ``regime``) at once. The state is folded over one entry a session and key.
     """
     rows = regime.join(chosen.select(*by, "regime", F.col("candidate").alias("_goal")), [*by, "regime"], "left")
     known = F.col("regime").isin(*REGIMES)
-    rows = rows.select(*by, "session", F.when(known, F.col("regime")).alias("_r"), F.coalesce("_goal", F.lit(general)).alias("_g"))
-    all_ = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("session", "_r", "_g"))).alias("_all"))
+    rows = rows.select(*by, "session", F.when(known, F.col("regime")).alias("_r"), F.coalesce("_goal", _general(general)).alias("_g"), _general(general).alias("_d"))
+    all_ = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("session", "_r", "_g"))).alias("_all"), F.first("_d").alias("_d"))
 
     def step(acc: Column, x: Column) -> Column:
         unknown, same = x["_r"].isNull(), x["_g"] == acc["active"]
         n = F.when(acc["pending"] == x["_r"], acc["n"] + 1).otherwise(1)
         switch = ~unknown & ~same & (n >= confirm)
-        active = F.when(unknown, F.lit(general)).when(switch, x["_g"]).otherwise(acc["active"])
+        active = F.when(unknown, F.col("_d")).when(switch, x["_g"]).otherwise(acc["active"])
         idle = unknown | same | switch
         entry = F.struct(x["session"].alias("session"), active.alias("candidate"))
         return F.struct(
@@ -109,7 +113,7 @@ def route(regime: DataFrame, chosen: DataFrame, by: Sequence[str], general: str,
 
     kind = dict(regime.dtypes)["session"]
     start = F.struct(
-        F.array().cast(f"array<struct<session:{kind},candidate:string>>").alias("out"), F.lit(general).alias("active"), F.lit(None).cast("string").alias("pending"), F.lit(0).alias("n")
+        F.array().cast(f"array<struct<session:{kind},candidate:string>>").alias("out"), F.col("_d").alias("active"), F.lit(None).cast("string").alias("pending"), F.lit(0).alias("n")
     )
     return all_.select(*by, F.inline(F.aggregate("_all", start, step)["out"]))
 

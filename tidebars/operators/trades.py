@@ -28,12 +28,16 @@ class Costs:
     factor: float = 1.0  # of both costs, for stress tests
 
 
-def entries(signals: DataFrame, bars: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Signals with entry time and price: the next bar's open, in the same session and before the forced exit; others go."""
-    w = over(keys, "ts")
-    following = bars.select(*keys, "ts", F.lead("ts").over(w).alias("entry_ts"), F.lead("open").over(w).alias("entry_open"), F.lead("session").over(w).alias("_next"))
-    out = signals.join(following, [*keys, "ts"])
-    return out.filter((F.col("_next") == F.col("session")) & (F.col("entry_ts") < F.col("force_exit"))).drop("_next")
+def entries(signals: DataFrame, bars: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Signals with entry time and price: the next bar's open, in the same session and before the forced exit; others go.
+
+    Signals of prepared bars know their next bar; for others it is looked up in ``bars``.
+    """
+    if "next_ts" not in signals.columns:
+        w = over(keys, "ts")
+        signals = signals.join(bars.select(*keys, "ts", *[F.lead(c).over(w).alias(f"next_{c}") for c in ("ts", "open", "session")]), [*keys, "ts"])
+    out = signals.filter((F.col("next_session") == F.col("session")) & (F.col("next_ts") < F.col("force_exit"))).drop("next_session")
+    return out.withColumnRenamed("next_ts", "entry_ts").withColumnRenamed("next_open", "entry_open")
 
 
 def fallback_levels(df: DataFrame, stop_points: float | None, target_points: float | None) -> DataFrame:
@@ -43,9 +47,10 @@ def fallback_levels(df: DataFrame, stop_points: float | None, target_points: flo
     return df.withColumn("stop", F.coalesce("stop", stop)).withColumn("target", F.coalesce("target", target))
 
 
-def exits(entered: DataFrame, bars: DataFrame, keys: Sequence[str] = KEYS, stop_first: bool = True) -> DataFrame:
+def exits(entered: DataFrame, bars: DataFrame, keys: Sequence[str] = KEYS, stop_first: bool = True, variant: Sequence[str] = ()) -> DataFrame:
     """Entered signals with exit_ts, exit_price and reason; a trade that nothing ends leaves at the session's last close."""
-    trade = [*keys, "session", "ts"]
+    trade = [*keys, *variant, "session", "ts"]
+    rest = [c for c in entered.columns if c not in trade]
     b = bars.select(*keys, "session", F.col("ts").alias("bar_ts"), "open", "high", "low", F.col("close").alias("bar_close"))
     s = F.col("side")
     rows = entered.join(b, [*keys, "session"]).filter("bar_ts >= entry_ts")
@@ -73,12 +78,12 @@ def exits(entered: DataFrame, bars: DataFrame, keys: Sequence[str] = KEYS, stop_
     )
     rows = rows.withColumn("_hit", hit)
     found = rows.groupBy(*trade).agg(
+        F.first(F.struct(*rest)).alias("_own"),  # the same in all rows of a trade
         F.min_by(F.when(F.col("_hit").isNotNull(), F.struct(F.col("bar_ts").alias("ts"), "_hit")), F.when(F.col("_hit").isNotNull(), F.col("bar_ts"))).alias("first"),
         F.max_by(F.struct(F.col("bar_ts").alias("ts"), F.struct(F.col("bar_close").alias("price"), F.lit("final_bar").alias("reason")).alias("_hit")), "bar_ts").alias("last"),
     )
     end = F.coalesce("first", "last")
-    found = found.select(*trade, end["ts"].alias("exit_ts"), end["_hit"]["price"].alias("exit_level"), end["_hit"]["reason"].alias("reason"))
-    return entered.join(found, trade)
+    return found.select(*trade, "_own.*", end["ts"].alias("exit_ts"), end["_hit"]["price"].alias("exit_level"), end["_hit"]["reason"].alias("reason"))
 
 
 def outcomes(exited: DataFrame, costs: Costs = Costs()) -> DataFrame:
@@ -92,12 +97,20 @@ def outcomes(exited: DataFrame, costs: Costs = Costs()) -> DataFrame:
 
 
 def units(mode: str, base: Column, risk: Column, risk_share: float = 0.01, fixed: float = 1.0, point_value: float = 1.0, most: float | None = None) -> Column:
-    """Units of a trade: fixed, or the share of ``base`` put at risk; capped, never negative, null without a stop distance."""
+    """Units of a trade: fixed, or the share of ``base`` put at risk; capped, never negative.
+
+    A null or zero stop distance gives null units, so the row stays to be seen; ``without_distance`` names such trades.
+    """
     n = F.lit(fixed) if mode == "fixed" else F.when(risk > 0, risk_share * base / (risk * point_value))
     n = n if most is None else F.least(n, F.lit(most))
     return F.when(n.isNotNull(), F.greatest(n, F.lit(0.0)))
 
 
+def without_distance(trades: DataFrame) -> DataFrame:
+    """The trades whose size a risk share cannot be worked out for: no stop, or none that is away from the entry."""
+    return trades.filter(F.col("risk").isNull() | ~(F.col("risk") > 0))
+
+
 def ledger(trades: DataFrame, cash: float, by: Sequence[str], mode: str = "fixed", risk_share: float = 0.01, costs: Costs = Costs(), fixed: float = 1.0, most: float | None = None) -> DataFrame:
     """Trades with units, profit and the cash before and after each, for every key in ``by``.
 
@@ -167,5 +180,36 @@ def buy_and_hold(bars: DataFrame, keys: Sequence[str] = KEYS, costs: Costs = Cos
     return out.withColumn("net_pnl", n * ((F.col("exit_price") - F.col("entry_price")) * costs.point_value - 2 * costs.commission))
 
 
+def hold_equity(bars: DataFrame, held: DataFrame, cash: float, keys: Sequence[str] = KEYS, costs: Costs = Costs(), n: float = 1.0) -> DataFrame:
+    """(keys, ts, session, equity, in_position) of a ``buy_and_hold`` trade for every bar; keys without one keep their cash."""
+    rows = bars.select(*keys, "ts", "session", "close").join(held.select(*keys, "entry_ts", "exit_ts", "entry_price", "net_pnl"), list(keys), "left")
+    inside = F.coalesce((F.col("ts") >= F.col("entry_ts")) & (F.col("ts") < F.col("exit_ts")), F.lit(False))
+    floating = n * ((F.col("close") - F.col("entry_price")) * costs.point_value - costs.commission)
+    won = F.when(inside, floating).when(F.col("ts") >= F.col("exit_ts"), F.col("net_pnl")).otherwise(0.0)
+    return rows.select(*keys, "ts", "session", (cash + won).alias("equity"), inside.cast("int").alias("in_position"))
+
+
+def replay(bars: DataFrame, trades: DataFrame, sessions: DataFrame, cash: float, by: Sequence[str], share: float = 0.01, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
+    """Session after session on the cash that is there: (by, session, cash_before, cash_after, ret, trades), and (by, session, ts, equity) bar by bar.
+
+    ``sessions``: (by, session) to go through; ``trades``: at most one for each of them, sized by ``share`` of the cash at risk.
+    Growth is relative to a session's cash, so the bars need no cash to be known: that multiplies in later.
+    """
+    own = trades.select(*by, "session", "side", "entry_ts", "exit_ts", "entry_price", "risk", "net_r")
+    days = sessions.select(*by, "session").distinct().join(own, [*by, "session"], "left")
+    gain = F.greatest(1 + share * F.coalesce("net_r", F.lit(0.0)), F.lit(0.0))
+    w = over(by, "session")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    grown = F.coalesce(F.exp(F.sum(F.ln(F.when(gain > 0, gain))).over(before)), F.lit(1.0))
+    days = days.withColumn("cash_before", F.when(F.coalesce(F.min(gain).over(before), F.lit(1.0)) > 0, cash * grown).otherwise(0.0)).withColumn("cash_after", F.col("cash_before") * gain)
+    rows = days.join(bars.select(*keys, "session", "ts", "close"), [*keys, "session"])
+    open_ = (F.col("ts") >= F.col("entry_ts")) & (F.col("ts") < F.col("exit_ts"))
+    floating = 1 + share * ratio(F.col("side") * (F.col("close") - F.col("entry_price")), F.col("risk"))
+    relative = F.when(open_, floating).when(F.col("ts") >= F.col("exit_ts"), gain).otherwise(1.0)
+    curve = rows.select(*by, "session", "ts", (F.col("cash_before") * relative).alias("equity"))
+    ret = F.when(F.col("cash_before") > 0, F.col("cash_after") / F.col("cash_before") - 1).otherwise(0.0)
+    return days.select(*by, "session", "cash_before", "cash_after", ret.alias("ret"), F.col("entry_ts").isNotNull().cast("int").alias("trades")), curve
+
+
 def source_tag(df: DataFrame, bands: bool, regime: bool) -> DataFrame:
     return df.withColumn("source", F.lit(("band" if bands else "raw") + ("_hmm" if regime else "")))

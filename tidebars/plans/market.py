@@ -7,10 +7,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebars.functions.rolling import over
 from tidebars.operators import bands, bars, breakout, folds, metrics, regimes, reports, resampling, selection, trades
 from tidebars.operators.breakout import Rules
 from tidebars.operators.trades import Costs
-from tidebars.sources.tables import fingerprint, load, renamed
+from tidebars.sources.tables import fingerprint, load, materialize, renamed, scratch, source_version
 
 CHANNEL = Rules(kind="channel", channel_bars=10, break_even=True)
 RANGE = Rules(kind="opening_range", stop="atr", entry_bars=8)
@@ -18,6 +19,13 @@ COSTS = Costs(slippage=0.25, commission=0.1)
 CASH = 100_000.0
 N_VOL, N_BAND = 5, 5
 CHANNELS = (6, 10, 14)
+SWEEP = {"channel_bars": CHANNELS, "side_mode": ("both", "long")}
+GATES = {"channel_bars": (10,), "use_bands": (False, True), "use_vwap": (False, True), "use_atr_buffer": (False, True)}
+ROBUST = {"channel_bars": (4, 6, 8, 10, 12, 14), "reward": (1.0, 1.5, 2.0)}
+ROBUST_STEPS = {"channel_bars": (4, 14, 2), "reward": (1.0, 2.0, 0.5)}
+ROLES = (("search", 8), ("calibration", 4), ("gate", 4), ("test", 4))
+SHARE = 0.01
+SIMULATIONS = 1000
 
 
 def ticks(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,8 +37,14 @@ def bars30(spark, sf) -> DataFrame:
     return bars.resample(ticks(spark, sf), "30 minutes")
 
 
+def derived(spark, sf, name: str, source: str, plan) -> DataFrame:
+    """A derived table of a source, built once for each state of it."""
+    return materialize(spark, f"{scratch(spark)}/{name}", source_version(spark, f"{sf}/{source}.parquet"), plan)
+
+
 def tagged(spark, sf) -> DataFrame:
-    return bars.tagged_bars(bars30(spark, sf))
+    """The tagged bars, which are far fewer than the ticks and which all that follows reads."""
+    return derived(spark, sf, "tagged-bars", "events", lambda: bars.tagged_bars(bars30(spark, sf)))
 
 
 def wide(spark, sf) -> DataFrame:
@@ -63,7 +77,7 @@ def closed(spark, sf, rules: Rules = CHANNEL, costs: Costs = COSTS) -> DataFrame
     """Trades: the first signal of each session, entered, left and priced."""
     b = tagged(spark, sf)
     taken = breakout.first_of_session(signals(spark, sf, rules))
-    return trades.outcomes(trades.exits(trades.entries(taken, b), b), costs)
+    return trades.outcomes(trades.exits(trades.entries(taken), b), costs)
 
 
 def booked(spark, sf, mode: str = "fixed", rules: Rules = CHANNEL) -> DataFrame:
@@ -83,27 +97,44 @@ def daily_returns(spark, sf) -> DataFrame:
     return metrics.session_returns(c, c.select("symbol", "session"), CASH, ["symbol"])
 
 
-def sweep(spark, sf) -> DataFrame:
-    """Figures of every channel length and side mode: indicators once a length, then trades."""
+def grid_trades(spark, sf, values: dict, factors: tuple[float, ...] = (1.0,), rules: Rules = CHANNEL) -> DataFrame:
+    """The trades of every parameter set of a grid, and of every cost level, in one pass over the bars.
+
+    Indicators are worked out once for each channel length; sets are joined to the bars as a table, and costs to the trades.
+    """
+    params = folds.grid(spark, values, most=10_000)  # so many may be sent to all tasks
+    names = [*values, "params_id"]
+    own = replace(rules, **{k: F.col(k) for k in values if k != "channel_bars"}, channel_bars=tuple(values["channel_bars"]))
     b = tagged(spark, sf)
-    out = None
-    for n in CHANNELS:
-        rules = replace(CHANNEL, channel_bars=n)
-        ready = breakout.prepare(b, rules)
-        for mode in ("both", "long"):
-            own = replace(rules, side_mode=mode)
-            t = trades.outcomes(trades.exits(trades.entries(breakout.first_of_session(breakout.signals(ready, own)), b), b), COSTS)
-            t = t.withColumn("channel_bars", F.lit(n)).withColumn("side_mode", F.lit(mode))
-            out = t if out is None else out.unionByName(t)
-    return metrics.trade_figures(out, ["symbol", "channel_bars", "side_mode"], "net_points")
+    ready = breakout.prepare(b, own, banded(spark, sf) if any(values.get("use_bands", ())) else None)
+    rows = ready.filter("entry_allowed AND ts < force_exit").join(F.broadcast(params), "channel_bars")
+    taken = breakout.first_of_session(breakout.signals(rows, own, variant=names), ["symbol", "params_id"])
+    left = trades.exits(trades.entries(taken), b, variant=names)
+    return trades.outcomes(left.withColumn("factor", F.explode(F.array(*map(F.lit, factors)))), replace(COSTS, factor=F.col("factor")))
+
+
+def sweep(spark, sf) -> DataFrame:
+    """Figures of every channel length and side mode."""
+    return metrics.trade_figures(grid_trades(spark, sf, SWEEP), ["symbol", *SWEEP], "net_points")
+
+
+def gated_trades(spark, sf) -> DataFrame:
+    """Trades with and without each gate, at normal and double costs."""
+    return grid_trades(spark, sf, GATES, (1.0, 2.0))
+
+
+def ablation(spark, sf) -> DataFrame:
+    """Figures of every combination of gates, and what each makes against none."""
+    own = [c for c in GATES if c != "channel_bars"]
+    label = F.concat_ws("+", *[F.when(F.col(c), c.removeprefix("use_")) for c in own])
+    found = gated_trades(spark, sf).withColumn("variant", F.when(label == "", "raw").otherwise(label))
+    return reports.compared(metrics.trade_figures(found, ["symbol", "factor", "variant"], "net_points"), ["symbol", "factor"], "raw", "net_pnl")
 
 
 def history(spark, sf) -> DataFrame:
     """(symbol, session, close, ret): each priority's last order value a day, and the log change squeezed into +-10%."""
     o = renamed(load(spark, f"{sf}/orders.parquet"), {"symbol": "o_orderpriority", "ts": "o_orderdate", "price": "o_totalprice", "seq": "o_orderkey"})
     day = o.groupBy("symbol", F.to_date("ts").alias("session")).agg(F.max_by("price", "seq").alias("close"))
-    from tidebars.functions.rolling import over
-
     step = F.ln(F.col("close") / F.lag("close").over(over(["symbol"], "session")))
     return day.withColumn("ret", F.coalesce(F.least(F.greatest(step, F.lit(-1.0)), F.lit(1.0)) / 10, F.lit(0.0)))
 
@@ -150,11 +181,11 @@ def block_scores(spark, sf) -> DataFrame:
 
 def gated(spark, sf) -> DataFrame:
     routed = selection.routed_returns(candidates(spark, sf), routing(spark, sf), ["symbol"])
-    return selection.gate(routed.select("symbol", "session", "ret"), candidates(spark, sf).filter("candidate = 'as_is'").select("symbol", "session", "ret"), ["symbol"], 200)
+    return selection.gate(routed.select("symbol", "session", "ret"), candidates(spark, sf).filter("candidate = 'as_is'").select("symbol", "session", "ret"), ["symbol"], SIMULATIONS)
 
 
 def monte_carlo(spark, sf) -> DataFrame:
-    sims = resampling.simulations(booked(spark, sf), ["symbol"], CASH, 200)
+    sims = resampling.simulations(booked(spark, sf), ["symbol"], CASH, SIMULATIONS)
     return resampling.method_summary(sims, ["symbol"])
 
 
@@ -170,14 +201,8 @@ def state_filter(spark, sf) -> DataFrame:
 
 def chosen(spark, sf) -> DataFrame:
     """The best channel length of every session fold's training part, and what every length makes in its test part."""
-    b = tagged(spark, sf)
-    parts = []
-    for n in CHANNELS:
-        rules = replace(CHANNEL, channel_bars=n)
-        t = trades.outcomes(trades.exits(trades.entries(breakout.first_of_session(breakout.signals(breakout.prepare(b, rules), rules)), b), b), COSTS)
-        parts.append(t.select("symbol", "session", F.lit(str(n)).alias("params"), "net_r"))
-    results = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    spans = folds.session_folds(b.select("symbol", "session"), 8, 4, 4, ["symbol"])
+    results = grid_trades(spark, sf, {"channel_bars": CHANNELS}).select("symbol", "session", F.col("channel_bars").cast("string").alias("params"), "net_r")
+    spans = folds.session_folds(tagged(spark, sf).select("symbol", "session"), 8, 4, 4, ["symbol"])
     every = spans.select("symbol", "fold", "role").distinct().select("*", F.explode(F.array(*[F.lit(str(n)) for n in CHANNELS])).alias("params"))
     scored = spans.join(results, ["symbol", "session"]).groupBy("symbol", "fold", "role", "params").agg(F.sum("net_r").alias("r"))
     return every.join(scored, ["symbol", "fold", "role", "params"], "left").fillna({"r": 0.0})
@@ -222,3 +247,128 @@ def best_lengths(spark, sf) -> DataFrame:
     """(symbol, fold, channel_bars): the channel length that each fold's training part chose."""
     scored = chosen(spark, sf).filter("role = 'train'").withColumn("score", folds.objective(F.col("r")))
     return folds.best(scored, ["symbol", "fold"], "params").select("symbol", "fold", F.col("params").alias("channel_bars"))
+
+
+# -- the robust walk-forward: search, neighbours, calibration, gate, test ----------------------
+
+
+def robust_trades(spark, sf) -> DataFrame:
+    """The trades of the whole search space at normal and stressed costs, built once for each state of the ticks."""
+    return derived(spark, sf, "robust-trades", "events", lambda: grid_trades(spark, sf, ROBUST, (1.0, 2.0)))
+
+
+def roles(spark, sf) -> DataFrame:
+    return folds.role_folds(tagged(spark, sf).select("symbol", "session"), ROLES, ROLES[-1][1], ["symbol"])
+
+
+def candidate_days(spark, sf) -> DataFrame:
+    """(symbol, fold, role, params_id, session, ret, traded): what each set makes of its cash in each session of each role."""
+    t = robust_trades(spark, sf).filter("factor = 1").select("symbol", "params_id", "session", "net_r")
+    every = roles(spark, sf).join(t.select("symbol", "params_id").distinct(), "symbol")  # sets that never trade are not eligible
+    rows = every.join(t, ["symbol", "params_id", "session"], "left")
+    return rows.select("symbol", "fold", "role", "params_id", "session", F.coalesce(SHARE * F.col("net_r"), F.lit(0.0)).alias("ret"), F.col("net_r").isNotNull().alias("traded"))
+
+
+def search_scores(spark, sf) -> DataFrame:
+    """Each set's score over the two halves of each fold's search sessions."""
+    own = candidate_days(spark, sf).filter("role = 'search'")
+    half = ROLES[0][1] // 2
+    days = roles(spark, sf).filter("role = 'search'")
+    blocks = days.withColumn("block", F.when(F.row_number().over(over(["symbol", "fold"], "session")) <= half, 1).otherwise(2)).select("symbol", "fold", "session", "block")
+    return selection.block_scores(own.select("symbol", "fold", "params_id", "session", "ret"), own.filter("traded").select("symbol", "fold", "params_id", "session"), blocks, ["symbol", "fold", "params_id"], 2, 1)
+
+
+def finalists(spark, sf, shortlist: int = 4) -> DataFrame:
+    """(symbol, fold, params_id, median_score, rank): the best sets of each fold by the median of their own and their neighbours' scores."""
+    scores = search_scores(spark, sf)
+    params = folds.grid(spark, ROBUST)
+    near = folds.neighbours(params, ROBUST_STEPS).select("of", "params_id").unionByName(params.select(F.col("params_id").alias("of"), "params_id"))
+    short = folds.top(scores.filter("eligible"), shortlist, ["symbol", "fold"]).select("symbol", "fold", F.col("params_id").alias("of"))
+    found = folds.neighbour_scores(short.join(near, "of"), scores, ["symbol", "fold"]).filter("usable")
+    return folds.top(found.select("symbol", "fold", F.col("of").alias("params_id"), F.col("median_score").alias("score")), shortlist, ["symbol", "fold"])
+
+
+def robust_routes(spark, sf) -> DataFrame:
+    """(symbol, fold, role, session, candidate, general): the set in use in each gate and test session, by the regime's library."""
+    keys = ["symbol", "fold"]
+    final = finalists(spark, sf)
+    general = final.filter("rank = 1").select(*keys, F.col("params_id").alias("general"))
+    vol = selection.session_volatility(selection.last_closes(tagged(spark, sf)), n=4)
+    by_role = roles(spark, sf).join(vol, ["symbol", "session"])
+    limits = selection.thresholds(by_role.filter("role = 'search'"), keys)
+    tags = selection.regimes(by_role, limits, keys).join(general, keys)
+    days = candidate_days(spark, sf).join(final.select(*keys, "params_id"), [*keys, "params_id"]).filter("role = 'calibration'").withColumnRenamed("params_id", "candidate")
+    scores = selection.regime_scores(
+        days.select(*keys, "candidate", "session", "ret"), days.filter("traded").select(*keys, "candidate", "session"), tags.filter("role = 'calibration'").select(*keys, "session", "regime"), keys, 1, 1, 5.0
+    )
+    chosen = selection.library(scores.join(general, keys), keys, F.col("general"))
+    own = [*keys, "role"]
+    routed = tags.filter("role IN ('gate', 'test')").select(*own, "session", "regime", "general")
+    per_role = chosen.select(*keys, "regime", "candidate").withColumn("role", F.explode(F.array(F.lit("gate"), F.lit("test"))))
+    return selection.route(routed, per_role, own, F.col("general")).join(general, keys)
+
+
+def gate_replay(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The router and the general set on real capital through the gate sessions: by session, and bar by bar."""
+    own = ["symbol", "fold", "policy"]
+    pair = F.inline(F.array(F.struct(F.lit("router").alias("policy"), F.col("candidate").alias("params_id")), F.struct(F.lit("general").alias("policy"), F.col("general").alias("params_id"))))
+    decided = robust_routes(spark, sf).filter("role = 'gate'").select("symbol", "fold", "session", pair)
+    taken = decided.join(robust_trades(spark, sf).filter("factor = 1"), ["symbol", "params_id", "session"])
+    return trades.replay(tagged(spark, sf), taken, decided, CASH, own, SHARE)
+
+
+def replayed(spark, sf) -> DataFrame:
+    return gate_replay(spark, sf)[0]
+
+
+def robust_gate(spark, sf, least_trades: int = 1) -> DataFrame:
+    """(symbol, fold, accepted, reason, ...): whether the router beat the general set, by bootstrap, trades and drawdowns at every close."""
+    keys = ["symbol", "fold"]
+    days, curve = gate_replay(spark, sf)
+    of = lambda p: days.filter(F.col("policy") == p).select(*keys, "session", "ret")
+    verdict = selection.gate(of("router"), of("general"), keys, SIMULATIONS, ROLES[2][1])
+    falls = metrics.with_drawdown(curve, CASH, [*keys, "policy"], order="ts").groupBy(*keys).pivot("policy", ["router", "general"]).agg(F.min("drawdown"))
+    falls = falls.select(*keys, F.col("router").alias("router_drawdown"), F.col("general").alias("general_drawdown"))
+    count = days.groupBy(*keys, "policy").agg(F.sum("trades").alias("n")).groupBy(*keys).agg(F.min("n").alias("trades"))
+    out = verdict.join(falls, keys).join(count, keys)
+    reason = (
+        F.when(F.col("trades") < least_trades, "insufficient_gate_trades")
+        .when(F.col("accepted") & (F.col("router_drawdown") < F.col("general_drawdown") - 1e-12), "worse_close_marked_drawdown")
+        .otherwise(F.col("reason"))
+    )
+    return out.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "accepted")
+
+
+def robust_walk(spark, sf) -> DataFrame:
+    """(symbol, policy, cost, fold, session, candidate, routed, ret, cash): every out-of-sample decision, and the cash that it led to, carried from fold to fold.
+
+    Folds without a finalist hold cash; folds whose gate did not accept the router trade the general set.
+    """
+    keys = ["symbol", "fold"]
+    tests = roles(spark, sf).filter("role = 'test'").drop("role")
+    decided = tests.join(robust_routes(spark, sf).filter("role = 'test'").select(*keys, "session", "candidate", "general"), [*keys, "session"], "left").join(robust_gate(spark, sf).select(*keys, "accepted"), keys, "left")
+    ok = F.coalesce("accepted", F.lit(False))
+    both = F.inline(
+        F.array(
+            F.struct(F.lit("general").alias("policy"), F.coalesce("general", F.lit("cash")).alias("candidate"), F.lit(False).alias("routed")),
+            F.struct(F.lit("regime").alias("policy"), F.coalesce(F.when(ok, F.col("candidate")).otherwise(F.col("general")), F.lit("cash")).alias("candidate"), ok.alias("routed")),
+        )
+    )
+    levels = F.inline(F.array(F.struct(F.lit("normal").alias("cost"), F.lit(1.0).alias("factor")), F.struct(F.lit("stress").alias("cost"), F.lit(2.0).alias("factor"))))
+    rows = decided.select(*keys, "session", both).select("*", levels)
+    made = robust_trades(spark, sf).select("symbol", F.col("params_id").alias("candidate"), "session", "factor", (SHARE * F.col("net_r")).alias("ret"))
+    rows = rows.join(made, ["symbol", "candidate", "session", "factor"], "left").fillna({"ret": 0.0})
+    return reports.policy_capital(rows.drop("factor"), CASH, ["symbol"])
+
+
+def walk_figures(spark, sf) -> DataFrame:
+    """The older walk-forward as one curve: figures of the chosen lengths' test sessions, stitched from fold to fold."""
+    picked = walk(spark, sf).select("symbol", "fold", F.col("params").cast("int").alias("channel_bars"))
+    tests = folds.session_folds(tagged(spark, sf).select("symbol", "session"), 8, 4, 4, ["symbol"]).filter("role = 'test'").drop("role")
+    decided = tests.join(picked, ["symbol", "fold"])
+    taken = decided.join(grid_trades(spark, sf, {"channel_bars": CHANNELS}), ["symbol", "channel_bars", "session"])
+    days, curve = trades.replay(tagged(spark, sf), taken, decided, CASH, ["symbol"], SHARE)
+    flags = curve.join(taken.select("symbol", "session", "entry_ts", "exit_ts"), ["symbol", "session"], "left")
+    curve = flags.select("symbol", "session", "ts", "equity", F.coalesce((F.col("ts") >= F.col("entry_ts")) & (F.col("ts") < F.col("exit_ts")), F.lit(False)).cast("int").alias("in_position"))
+    booked_ = days.filter("trades = 1").select("symbol", "session", (F.col("cash_after") - F.col("cash_before")).alias("net_pnl"))
+    return metrics.figures(curve, booked_, CASH, ["symbol"])

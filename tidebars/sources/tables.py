@@ -47,14 +47,26 @@ def fingerprint(df: DataFrame, ordered_by: Sequence[str] = ()) -> DataFrame:
 
     Without ``ordered_by`` the order of rows does not count; with it, the rank of each row goes into its hash.
     """
+    schema = F.lit(df.schema.json())
+    rows = df.select(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("h")) if not ordered_by else _ranked(df, ordered_by)
+    found = rows.agg(F.count("*").alias("rows"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("hash_sum"), F.bit_xor("h").alias("hash_xor"))
+    return found.withColumn("digest", F.sha2(F.concat_ws("|", schema, F.col("rows").cast("string"), F.coalesce("hash_sum", F.lit("")), F.coalesce(F.col("hash_xor").cast("string"), F.lit(""))), 256))
+
+
+def _ranked(df: DataFrame, ordered_by: Sequence[str]) -> DataFrame:
+    """(h): each row's hash with its rank, numbered inside sorted partitions and moved on by the rows of those before."""
+    import uuid
+
     from pyspark.sql import Window
 
-    if ordered_by:
-        df = df.withColumn("_rank", F.row_number().over(Window.orderBy(*ordered_by)))
-    h = F.xxhash64(*df.columns)
-    found = df.agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum"), F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in df.columns)}))").alias("hash_xor"))
-    schema = F.lit(df.drop("_rank").schema.json())
-    return found.withColumn("digest", F.sha2(F.concat_ws("|", schema, F.col("rows").cast("string"), F.coalesce("hash_sum", F.lit("")), F.coalesce(F.col("hash_xor").cast("string"), F.lit(""))), 256))
+    path = f"{scratch(df.sparkSession)}/ranked-{uuid.uuid4().hex}"  # sorted once: a second sort may cut its ranges elsewhere
+    id_ = F.monotonically_increasing_id()
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    df.orderBy(*ordered_by).select(F.shiftright(id_, 33).alias("part"), id_.bitwiseAND(F.lit((1 << 33) - 1)).alias("i"), whole.alias("row")).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return rows.join(sizes, "part").select(F.xxhash64(F.col("offset") + F.col("i"), "row").alias("h"))
 
 
 def composite_fingerprint(frames: Sequence[DataFrame], settings: dict) -> str:
@@ -65,6 +77,30 @@ def composite_fingerprint(frames: Sequence[DataFrame], settings: dict) -> str:
     return hashlib.sha256(json.dumps([parts, settings], sort_keys=True, default=str).encode()).hexdigest()
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder for derived tables: the cluster's ``spark.checkpoint.dir``; a temporary one only in a local session that names none."""
+    import tempfile
+
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tidebars-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def source_version(spark: SparkSession, path: str) -> str:
+    """A digest of what a source holds by its name, size, number of files and last change, from the file system alone."""
+    import hashlib
+
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = fs.getContentSummary(hadoop)
+    parts = [path, held.getLength(), held.getFileCount(), fs.getFileStatus(hadoop).getModificationTime()]
+    return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
+
+
 def materialize(spark: SparkSession, path: str, digest: str, plan: Callable[[], DataFrame]) -> DataFrame:
     """A derived table: read if it was built under ``digest``, else built and written.
 
