@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -20,6 +21,7 @@ class Query(NamedTuple):
     rounded: Sequence[str] = ()  # doubles, returned with DIGITS decimals
     source: str | None = None  # the SQL relation with the same columns
     digits: int = DIGITS
+    more: str = ""  # relations after the chain's that the source needs
 
 
 BANDS = tuple(f"band_{n}_{s}_{e}" for n in ("ae", "fe") for s in ("pos", "neg") for e in ("center", "upper", "lower"))
@@ -62,18 +64,18 @@ def _slot(n: int) -> str:
     return f"SELECT symbol, session, {n} AS target_slot, c_target_2 AS daily_close, o_pre_target_1 AS o_ref, {', '.join(parts)} FROM wide"
 
 
-def _channel(name: str, n: int, mode: str = "both") -> str:
+def _channel(name: str, n: int, mode: str = "both", source: str = "tagged", long: str = "close > rh", short: str = "close < rl") -> str:
     """From bars to priced trades of a channel of n bars, as a chain of relations that end in ``name``."""
-    short = "FALSE" if mode == "long" else "close < rl"
+    short = "FALSE" if mode == "long" else short
     return f"""
 {name}_p AS (
   SELECT *, {_lagged('high', n, 'max', 'ts')} AS rh, {_lagged('low', n, 'min', 'ts')} AS rl,
     coalesce(max(ts) FILTER (hour(ts) * 60 + minute(ts) <= 990) OVER (PARTITION BY symbol, session), min(ts) OVER (PARTITION BY symbol, session)) AS force_exit,
     lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS entry_ts, lead(open) OVER (PARTITION BY symbol ORDER BY ts) AS entry_open, lead(session) OVER (PARTITION BY symbol ORDER BY ts) AS nxt
-  FROM tagged
+  FROM {source}
 ), {name}_g AS (
   SELECT *, CASE WHEN side > 0 THEN rl ELSE rh END AS stop, abs(close - CASE WHEN side > 0 THEN rl ELSE rh END) AS risk0 FROM (
-    SELECT *, CASE WHEN close > rh THEN 1 WHEN {short} THEN -1 END AS side FROM {name}_p WHERE ts < force_exit AND rh IS NOT NULL AND rl IS NOT NULL
+    SELECT *, CASE WHEN {long} THEN 1 WHEN {short} THEN -1 END AS side FROM {name}_p WHERE ts < force_exit AND rh IS NOT NULL AND rl IS NOT NULL
   ) WHERE side IS NOT NULL
 ), {name}_s AS (
   SELECT symbol, session, ts, side, close, stop, close + side * 1.5 * risk0 AS target, close + side * risk0 AS trig, close AS moved_stop, force_exit, entry_ts, entry_open, nxt
@@ -104,6 +106,32 @@ def _channel(name: str, n: int, mode: str = "both") -> str:
 )"""
 
 
+def _gated(bands: bool, vwap: bool, buffer: bool) -> str:
+    """The channel with some of the gates."""
+    room = "0.05 * atr_session" if buffer else "0"
+    known = " AND ".join(f"{c} IS NOT NULL" for c in breakout.GATE)
+    long, short = [f"close > rh + {room}"], [f"close < rl - {room}"]
+    if vwap:
+        long, short = [*long, "close > vwap"], [*short, "close < vwap"]
+    if bands:
+        long, short = [*long, known, "band_ae_pos_upper < close AND close < band_fe_pos_lower"], [*short, known, "band_fe_neg_upper < close AND close < band_ae_neg_lower"]
+    return _channel(f"g{bands:d}{vwap:d}{buffer:d}", 10, source="gated", long=" AND ".join(long), short=" AND ".join(short)).strip()
+
+
+_FLAGS = [(a, b, c) for a in (False, True) for b in (False, True) for c in (False, True)]
+
+
+def _drawn(seed: int, *parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(f'CAST({p} AS VARCHAR)' for p in parts)})), 1, 15))::BIGINT"
+
+
+def _paths(name: str, rows: str) -> str:
+    """Summaries of simulated (symbol, sim, step, pnl) rows."""
+    return f"""{name}_e AS (
+  SELECT symbol, sim, step, 100000 + sum(pnl) OVER (PARTITION BY symbol, sim ORDER BY step ROWS UNBOUNDED PRECEDING) AS equity FROM ({rows})
+), {name} AS (SELECT symbol, '{name}' AS method, sim, (last(equity ORDER BY step) / 100000 - 1) * 100 AS pct FROM {name}_e GROUP BY symbol, sim)"""
+
+
 CHAIN = (
     f"""
 bars30 AS (
@@ -213,7 +241,7 @@ bars30 AS (
 ), """
     + ", ".join(f"{_channel(f'sw{n}{mode}', n, mode).strip()}" for n in m.CHANNELS for mode in ("both", "long"))
     + """, swept AS ("""
-    + " UNION ALL ".join(f"SELECT symbol, {n} AS channel_bars, '{mode}' AS side_mode, session, net_points, net_r FROM sw{n}{mode}" for n in m.CHANNELS for mode in ("both", "long"))
+    + " UNION ALL ".join(f"SELECT symbol, {n} AS channel_bars, '{mode}' AS side_mode, session, net_points, net_r, side, entry_ts, exit_ts, entry_price, risk FROM sw{n}{mode}" for n in m.CHANNELS for mode in ("both", "long"))
     + """), sweep AS (
   SELECT symbol, channel_bars, side_mode, count(*) AS trades, avg(net_points) AS expectancy, sum(net_points) AS net_pnl, 100.0 * count(*) FILTER (net_points > 0) / count(*) AS win_rate_pct FROM swept GROUP BY ALL
 ), fold_days AS (SELECT symbol, session, row_number() OVER (PARTITION BY symbol ORDER BY session) - 1 AS i FROM (SELECT DISTINCT symbol, session FROM tagged)
@@ -295,6 +323,117 @@ bars30 AS (
 )"""
 )
 
+#: Relations that only some queries need, after those of the chain.
+GAPS = """
+gx AS (SELECT symbol, ts, CASE WHEN hour(ts) % 3 <> 0 THEN true_range END AS x FROM tr
+), gk AS (SELECT *, count(x) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS k FROM gx
+), gy AS (
+  SELECT a.symbol, a.k, sum(CASE WHEN b.k = 0 THEN 1 ELSE 1 / 14.0 END * pow(13 / 14.0, a.k - b.k) * b.x) AS rma
+  FROM (SELECT DISTINCT symbol, k FROM gk WHERE k >= 13) a JOIN gk b ON a.symbol = b.symbol AND b.x IS NOT NULL AND b.k <= a.k AND a.k - b.k < 700 GROUP BY ALL
+), rma_gaps AS (SELECT gk.symbol, gk.ts, rma FROM gk JOIN gy ON gy.symbol = gk.symbol AND gy.k = gk.k
+)"""
+GATED = (
+    """
+gated AS (
+  SELECT t.*, s.atr_session, v.vwap, """
+    + ", ".join(f"b.{c}" for c in breakout.GATE)
+    + """ FROM tagged t LEFT JOIN banded b ON b.symbol = t.symbol AND b.session = t.session
+  LEFT JOIN spans s ON s.symbol = t.symbol AND s.session = t.session LEFT JOIN tr v ON v.symbol = t.symbol AND v.ts = t.ts
+), """
+    + ", ".join(_gated(*f) for f in _FLAGS)
+    + """, gate_all AS ("""
+    + " UNION ALL ".join(f"SELECT {a} AS use_bands, {b} AS use_vwap, {c} AS use_atr_buffer, * FROM g{a:d}{b:d}{c:d}" for a, b, c in _FLAGS)
+    + """), gate_trades AS (
+  SELECT symbol, session, use_bands, use_vwap, use_atr_buffer, k.factor, side, entry_ts, exit_ts, gross_points + 0.5 - 0.5 * k.factor - 0.2 * k.factor AS net_points FROM gate_all CROSS JOIN (VALUES (1.0), (2.0)) k(factor)
+), gate_fig AS (
+  SELECT symbol, factor::DOUBLE AS factor, coalesce(nullif(concat_ws('+', CASE WHEN use_bands THEN 'bands' END, CASE WHEN use_vwap THEN 'vwap' END, CASE WHEN use_atr_buffer THEN 'atr_buffer' END), ''), 'raw') AS variant,
+    count(*) AS trades, sum(net_points) AS net_pnl FROM gate_trades GROUP BY ALL
+), ablation AS (SELECT g.*, g.net_pnl - r.net_pnl AS net_pnl_difference FROM gate_fig g LEFT JOIN gate_fig r ON r.symbol = g.symbol AND r.factor = g.factor AND r.variant = 'raw'
+)"""
+)
+AT_RISK = """
+at_risk AS (
+  SELECT *, lag(cash_after, 1, 100000.0) OVER (PARTITION BY symbol ORDER BY exit_ts) AS cash_before FROM (
+    SELECT *, 1000 / risk AS units, 100000 + sum(1000 / risk * net_points) OVER (PARTITION BY symbol ORDER BY exit_ts ROWS UNBOUNDED PRECEDING) AS cash_after FROM ch)
+)"""
+SIMS = (
+    """
+sim_rows AS (SELECT symbol, cash_after - cash_before AS pnl, row_number() OVER (PARTITION BY symbol ORDER BY exit_ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM booked
+), sim_steps AS (SELECT symbol, n, sim, unnest(range(n)) AS step FROM (SELECT DISTINCT symbol, n FROM sim_rows) CROSS JOIN range("""
+    + str(m.SIMULATIONS)
+    + """) r(sim)
+), """
+    + _paths("bootstrap", f"SELECT s.symbol, sim, step, pnl FROM sim_steps s JOIN sim_rows r ON r.symbol = s.symbol AND r.i = {_drawn(1, 's.symbol', 'sim', 'step')} % s.n")
+    + ", "
+    + ", ".join(
+        _paths(
+            name,
+            f"SELECT * FROM (SELECT r.symbol, sim, r.n, row_number() OVER (PARTITION BY r.symbol, sim ORDER BY {_drawn(seed, 'r.symbol', 'sim', 'r.i')}, r.i) - 1 AS step, pnl FROM sim_rows r CROSS JOIN range({m.SIMULATIONS}) x(sim)) "
+            f"WHERE step < greatest(1, round_even({keep} * n, 0))",
+        )
+        for name, seed, keep in (("reshuffle", 1, 1.0), ("dropout", 2, 0.9))
+    )
+    + """, sims AS (
+  SELECT symbol, method, count(*) AS sims, min(pct) AS least, quantile_cont(pct, 0.05) AS p05, quantile_cont(pct, 0.5) AS median, quantile_cont(pct, 0.95) AS p95, max(pct) AS most
+  FROM (SELECT * FROM bootstrap UNION ALL SELECT * FROM reshuffle UNION ALL SELECT * FROM dropout) GROUP BY symbol, method
+)"""
+)
+GATE = (
+    """
+routed_ret AS (SELECT r.symbol, r.session, coalesce(c.ret, 0) AS ret FROM routes r LEFT JOIN cands c ON c.symbol = r.symbol AND c.session = r.session AND c.candidate = r.candidate
+), diffs AS (
+  SELECT a.symbol, a.session, a.ret - b.ret AS diff, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY a.symbol) AS n, sum(a.ret - b.ret) OVER (w ROWS UNBOUNDED PRECEDING) AS run
+  FROM routed_ret a JOIN cands b ON b.symbol = a.symbol AND b.session = a.session AND b.candidate = 'as_is' WINDOW w AS (PARTITION BY a.symbol ORDER BY a.session)
+), blocks_drawn AS (
+  SELECT symbol, n, sim, least(b, n - k * b) AS len, """
+    + _drawn(1, "symbol", "sim", "k")
+    + """ % (n - b + 1) AS s FROM (
+    SELECT symbol, n, b, sim, unnest(range(CAST(ceil(n / b) AS BIGINT))) AS k FROM (SELECT DISTINCT symbol, n, least(20, n) AS b FROM diffs) CROSS JOIN range("""
+    + str(m.SIMULATIONS)
+    + """) r(sim))
+), sim_means AS (
+  SELECT d.symbol, sim, sum(hi.run - coalesce(lo.run, 0)) / any_value(d.n) AS mean FROM blocks_drawn d JOIN diffs hi ON hi.symbol = d.symbol AND hi.i = d.s + d.len - 1 LEFT JOIN diffs lo ON lo.symbol = d.symbol AND lo.i = d.s - 1 GROUP BY d.symbol, sim
+), falls AS (
+  SELECT who, symbol, min(path / greatest(1, peak) - 1) AS dd FROM (SELECT who, symbol, path, max(path) OVER (PARTITION BY who, symbol ORDER BY session ROWS UNBOUNDED PRECEDING) AS peak FROM (
+    SELECT who, symbol, session, exp(sum(ln(1 + ret)) OVER (PARTITION BY who, symbol ORDER BY session ROWS UNBOUNDED PRECEDING)) AS path FROM (
+      SELECT 'r' AS who, symbol, session, ret FROM routed_ret UNION ALL SELECT 'g', symbol, session, ret FROM cands WHERE candidate = 'as_is'))) GROUP BY who, symbol
+), router_gate AS (
+  SELECT *, reason = 'accepted' AS accepted FROM (
+    SELECT q.symbol, mean_diff, low, high, CASE WHEN NOT low > 0 THEN 'bootstrap_improvement_not_positive' WHEN r.dd < g.dd THEN 'drawdown_not_improved' ELSE 'accepted' END AS reason
+    FROM (SELECT symbol, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM sim_means GROUP BY symbol) q JOIN (SELECT symbol, avg(diff) AS mean_diff FROM diffs GROUP BY symbol) m ON m.symbol = q.symbol
+    JOIN falls r ON r.symbol = q.symbol AND r.who = 'r' JOIN falls g ON g.symbol = q.symbol AND g.who = 'g')
+)"""
+)
+WALK = """
+walk_days AS (
+  SELECT f.symbol, f.session, t.side, t.entry_ts, t.exit_ts, t.entry_price, t.risk, 1 + 0.01 * coalesce(t.net_r, 0) AS gain, t.net_r IS NOT NULL AS traded
+  FROM session_folds f JOIN walked w ON w.symbol = f.symbol AND w.fold = f.fold AND f.role = 'test'
+  LEFT JOIN swept t ON t.symbol = f.symbol AND t.session = f.session AND t.side_mode = 'both' AND t.channel_bars::VARCHAR = w.params
+), walk_cash AS (
+  SELECT *, 100000 * exp(coalesce(sum(ln(gain)) OVER (PARTITION BY symbol ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS before FROM walk_days
+), walk_bars AS (
+  SELECT c.symbol, b.ts, before * CASE WHEN b.ts >= entry_ts AND b.ts < exit_ts THEN 1 + 0.01 * side * (b.close - entry_price) / risk WHEN b.ts >= exit_ts THEN gain ELSE 1 END AS equity,
+    coalesce((b.ts >= entry_ts AND b.ts < exit_ts)::INT, 0) AS held FROM walk_cash c JOIN tagged b ON b.symbol = c.symbol AND b.session = c.session
+), walk_fig AS (
+  SELECT f.symbol, t.trades, final_equity, max_drawdown_pct, exposure_pct, net_pnl FROM (
+    SELECT symbol, last(equity ORDER BY ts) AS final_equity, min(equity / greatest(100000, peak) - 1) * 100 AS max_drawdown_pct, avg(held) * 100 AS exposure_pct
+    FROM (SELECT *, max(equity) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak FROM walk_bars) GROUP BY symbol) f
+  JOIN (SELECT symbol, count(*) FILTER (traded) AS trades, sum(before * (gain - 1)) FILTER (traded) AS net_pnl FROM walk_cash GROUP BY symbol) t ON t.symbol = f.symbol
+)"""
+PLAIN = """
+hold_curve AS (
+  SELECT b.symbol, b.ts, 100000 + CASE WHEN h.entry_ts IS NULL OR b.ts < h.entry_ts THEN 0 WHEN b.ts >= h.exit_ts THEN h.net_pnl ELSE b.close - h.entry_price - 0.1 END AS equity
+  FROM tagged b LEFT JOIN (
+    SELECT symbol, max(open) FILTER (k = 2) + 0.25 AS entry_price, max(ts) FILTER (k = 2) AS entry_ts, max(ts) AS exit_ts, last(close ORDER BY ts) - 0.25 - max(open) FILTER (k = 2) - 0.25 - 0.2 AS net_pnl
+    FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM tagged) GROUP BY symbol HAVING first(session ORDER BY ts) = max(session) FILTER (k = 2)
+  ) h ON h.symbol = b.symbol
+), last_day AS (SELECT * FROM tagged WHERE session = (SELECT max(session) FROM tagged)
+), dated AS (SELECT * FROM tagged WHERE session BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'
+), closes AS (SELECT symbol, session, last(close ORDER BY ts) AS close FROM tagged GROUP BY ALL
+), look_back AS (
+  SELECT h.symbol, t.fold, h.session FROM (SELECT DISTINCT symbol, session FROM history) h
+  JOIN (SELECT symbol, fold, min(session) AS first FROM month_folds WHERE role = 'test' GROUP BY ALL) t ON t.symbol = h.symbol WHERE h.session < t.first AND h.session >= (t.first - INTERVAL 3 MONTH)::DATE)"""
+
 ALL: dict[str, Query] = {
     "bars_30m": Query(m.bars30, ("symbol", "ts"), OHLCV, "bars30"),
     "bars_2h_from_30m": Query(lambda s, d: bars.wider(m.bars30(s, d), "2 hours"), ("symbol", "ts"), OHLCV, "hours2"),
@@ -353,8 +492,25 @@ ALL: dict[str, Query] = {
     "fold_summary": Query(lambda s, d: reports.fold_summary(m.fold_results(s, d), ["symbol", "params"]), ("symbol", "params", "folds", "winning_folds"), ("mean_return", "median_return", "worst_return"), "fold_sum"),
     "parameter_stability": Query(lambda s, d: folds.stability(m.best_lengths(s, d), ["symbol"], ["channel_bars"]), ("symbol", "parameter", "distinct_values", "most_common", "changes"), ("share",), "stable"),
     "walk_forward": Query(m.walk, ("symbol", "fold", "params", "optimised"), ("result",), "walked"),
-    "router_gate": Query(m.gated, ("symbol", "accepted", "reason"), ("mean_diff", "low", "high")),
-    "monte_carlo": Query(m.monte_carlo, ("symbol", "method", "sims"), ("least", "p05", "median", "p95", "most")),
+    "router_gate": Query(m.gated, ("symbol", "accepted", "reason"), ("mean_diff", "low", "high"), "router_gate", more=GATE),
+    "monte_carlo": Query(m.monte_carlo, ("symbol", "method", "sims"), ("least", "p05", "median", "p95", "most"), "sims", more=SIMS),
+    "wilder_average_over_gaps": Query(
+        lambda s, d: breakout.recurrence(breakout.with_true_range(m.tagged(s, d)).withColumn("x", F.when(F.hour("ts") % 3 != 0, F.col("true_range"))), "x", "rma", ["symbol"], "ts", 14).filter("rma IS NOT NULL"),
+        ("symbol", "ts"), ("rma",), "rma_gaps", more=GAPS,
+    ),
+    "gated_trades": Query(m.gated_trades, ("symbol", "session", "use_bands", "use_vwap", "use_atr_buffer", "side", "entry_ts", "exit_ts"), ("factor", "net_points"), "gate_trades", more=GATED),
+    "gate_ablation": Query(m.ablation, ("symbol", "variant", "trades"), ("factor", "net_pnl", "net_pnl_difference"), "ablation", more=GATED),
+    "initial_risk_ledger": Query(lambda s, d: m.booked(s, d, "initial"), ("symbol", "session", "exit_ts"), ("units", "cash_before", "cash_after"), "at_risk", more=AT_RISK),
+    "walk_forward_figures": Query(m.walk_figures, ("symbol", "trades"), ("final_equity", "max_drawdown_pct", "exposure_pct", "net_pnl"), "walk_fig", more=WALK),
+    "benchmark_equity": Query(lambda s, d: trades.hold_equity(m.tagged(s, d), trades.buy_and_hold(m.tagged(s, d), costs=m.COSTS), m.CASH, costs=m.COSTS), ("symbol", "ts"), ("equity",), "hold_curve", more=PLAIN),
+    "last_session": Query(lambda s, d: bars.one_session(bars.select_session(m.tagged(s, d))), ("symbol", "ts", "session", "bucket"), OHLCV, "last_day", more=PLAIN),
+    "dated_bars": Query(lambda s, d: bars.between_dates(m.tagged(s, d), date(2024, 1, 10), date(2024, 1, 20)), ("symbol", "ts", "session", "bucket"), OHLCV, "dated", more=PLAIN),
+    "session_closes": Query(lambda s, d: selection.last_closes(m.tagged(s, d)), ("symbol", "session"), ("close",), "closes", more=PLAIN),
+    "lookback_sessions": Query(lambda s, d: folds.lookback_window(m.month_folds(s, d), m.history(s, d), 3), ("symbol", "fold", "session"), (), "look_back", more=PLAIN),
+    "robust_finalists": Query(m.finalists, ("symbol", "fold", "params_id", "rank"), ("score",)),
+    "gate_replay": Query(m.replayed, ("symbol", "fold", "policy", "session", "trades"), ("cash_before", "cash_after", "ret")),
+    "robust_gate": Query(m.robust_gate, ("symbol", "fold", "accepted", "reason", "trades"), ("mean_diff", "low", "high", "router_drawdown", "general_drawdown")),
+    "robust_walk_forward": Query(m.robust_walk, ("symbol", "fold", "policy", "cost", "session", "candidate", "routed"), ("ret", "cash")),
     "state_filter": Query(m.state_filter, ("symbol", "ts", "part", "state", "status", "allowed"), ("net_r",)),
     "content_fingerprint": Query(m.content, ("rows", "hash_sum", "digest")),
 }
@@ -373,7 +529,8 @@ def _plan(q: Query) -> Callable[..., DataFrame]:
 def _sql(q: Query) -> str:
     exact = [f"CAST({c} AS VARCHAR) AS {c}" if c == "session" else c for c in q.exact]
     columns = ", ".join([*exact, *[f"round(CAST({c} AS DOUBLE), {q.digits}) AS {c}" for c in q.rounded]])
-    return f"WITH RECURSIVE {CHAIN.strip()} SELECT {columns} FROM {q.source}"
+    chain = ", ".join(x.strip() for x in (CHAIN, q.more) if x)
+    return f"WITH RECURSIVE {chain} SELECT {columns} FROM {q.source}"
 
 
 QUERIES = {name: _plan(q) for name, q in ALL.items()}
