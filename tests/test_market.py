@@ -59,6 +59,92 @@ def test_recurrence_equals_a_loop(spark):
         assert got[i] is None if i < 13 else abs(got[i] - y) < 1e-9
 
 
+@pytest.mark.parametrize("length", [1, 2, 3])
+@pytest.mark.parametrize("xs", [[10.0, 10.0, None, 10.0, 10.0], [None, 10.0, 4.0, None, None, 7.0, 1.0], [None, None], [3.0, None, 5.0]])
+def test_recurrence_over_nulls_equals_a_loop(spark, xs, length):
+    t0 = datetime(2025, 1, 1)
+    df = spark.createDataFrame([("X", t0 + timedelta(minutes=i), x) for i, x in enumerate(xs)], "symbol string, ts timestamp_ntz, x double")
+    got = [r[0] for r in recurrence(df, "x", "y", ["symbol"], "ts", length, chunk=2).orderBy("ts").select("y").collect()]
+    y, n = None, 0
+    for i, x in enumerate(xs):
+        if x is not None:
+            y, n = x if y is None else y + (x - y) / length, n + 1
+        assert got[i] == (pytest.approx(y) if n >= length else None)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join"), df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_plans_do_not_grow_with_the_grid(spark):
+    from tidebars.plans import market
+
+    sf = "/root/testdata/sf0.001"
+    few = market.grid_trades(spark, sf, {"channel_bars": (6, 10), "side_mode": ("both", "long", "short")})
+    many = market.grid_trades(spark, sf, {"channel_bars": (4, 6, 8, 10), "side_mode": ("both", "long", "short"), "reward": (1.0, 2.0), "break_even": (True, False)}, (1.0, 2.0))
+    assert exchanges(few) == exchanges(many)
+    assert "events" not in few._jdf.queryExecution().executedPlan().toString()  # only the derived bars are read
+
+
+def test_replay_multiplies_and_marks_every_close(spark):
+    days = [date(2025, 1, d) for d in (2, 3, 4)]
+    t = lambda d, h: datetime(2025, 1, d, h)
+    bars_ = spark.createDataFrame([("X", d, t(d.day, h), 100.0 + h - 8) for d in days for h in (8, 9, 10)], "symbol string, session date, ts timestamp_ntz, close double")
+    won = [("X", "p", days[0], 1, t(2, 8), t(2, 10), 100.0, 10.0, 2.0), ("X", "p", days[2], -1, t(4, 9), t(4, 10), 101.0, 2.0, -1.0)]
+    taken = spark.createDataFrame(won, "symbol string, policy string, session date, side int, entry_ts timestamp_ntz, exit_ts timestamp_ntz, entry_price double, risk double, net_r double")
+    sessions = spark.createDataFrame([("X", "p", d) for d in days], "symbol string, policy string, session date")
+    by_day, curve = trades.replay(bars_, taken, sessions, 1000.0, ["symbol", "policy"], 0.1)
+    assert [(r["cash_before"], r["cash_after"], r["trades"]) for r in by_day.orderBy("session").collect()] == [(pytest.approx(1000), pytest.approx(1200), 1), (pytest.approx(1200), pytest.approx(1200), 0), (pytest.approx(1200), pytest.approx(1080), 1)]
+    got = [r["equity"] for r in curve.orderBy("ts").collect()]
+    assert got == pytest.approx([1000, 1010, 1200, 1200, 1200, 1200, 1200, 1200, 1080])
+
+
+def test_gates_open_and_close(spark):
+    rules = breakout.Rules(use_vwap=F.col("v"), use_bands=F.col("b"), use_atr_buffer=F.col("a"), atr_buffer=0.5)
+    row = [("X", date(2025, 1, 2), datetime(2025, 1, 2, 9), 100.0, 99.0, 103.0, 102.0, 99.5, 90.0, 101.0, 5.0, True, datetime(2025, 1, 2, 16), v, b, a, up) for v in (False, True) for b in (False, True) for a in (False, True) for up in (None, 104.0)]
+    names = "symbol string, session date, ts timestamp_ntz, range_high double, range_low double, high double, close double, low double, atr_stop double, vwap double, atr_session double, entry_allowed boolean, force_exit timestamp_ntz, v boolean, b boolean, a boolean, band_fe_pos_lower double"
+    df = spark.createDataFrame(row, names).withColumns({"band_ae_pos_upper": F.lit(101.0), "band_ae_neg_lower": F.lit(1.0), "band_fe_neg_upper": F.lit(0.0), "up": F.col("band_fe_pos_lower"), "next_ts": F.col("ts"), "next_open": F.col("close"), "next_session": F.col("session")})
+    got = {(r["v"], r["b"], r["a"], r["up"]) for r in breakout.signals(df, rules, variant=["v", "b", "a", "up"]).collect()}
+    assert got == {(v, b, False, up) for v in (False, True) for b in (False, True) for up in (None, 104.0) if not b or up}  # the buffer of 2.5 keeps 102 out
+
+
+def test_roles_follow_each_other(spark):
+    days = spark.createDataFrame([("X", date(2025, 1, 1) + timedelta(days=i)) for i in range(13)], "symbol string, session date")
+    got = {}
+    for r in folds.role_folds(days, [("search", 4), ("gate", 2), ("test", 3)], 3, ["symbol"]).collect():
+        got.setdefault((r["fold"], r["role"]), []).append(r["session"].day)
+    assert {k: sorted(v) for k, v in got.items()} == {(0, "search"): [1, 2, 3, 4], (0, "gate"): [5, 6], (0, "test"): [7, 8, 9], (1, "search"): [4, 5, 6, 7], (1, "gate"): [8, 9], (1, "test"): [10, 11, 12]}
+    assert folds.session_folds(days.filter("symbol = 'Y'"), 4, 2, 1).count() == 0
+
+
+def test_neighbourhood_median(spark):
+    near = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "c"), ("d", "d"), ("d", "x")], "of string, params_id string")
+    scores = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", None), ("d", 2.0)], "params_id string, score double")
+    got = {r["of"]: (r["median_score"], r["usable"]) for r in folds.neighbour_scores(near, scores).collect()}
+    assert got == {"a": (1.0, True), "d": (float("-inf"), False)}
+
+
+def test_robust_walk_forward_holds_together(spark):
+    from tidebars.plans import market
+
+    sf = "/root/testdata/sf0.01"
+    rows = market.robust_walk(spark, sf).collect()
+    tests = {(r["symbol"], r["fold"], r["session"]) for r in market.roles(spark, sf).filter("role = 'test'").collect()}
+    assert len(rows) == 4 * len(tests) and {(r["symbol"], r["fold"], r["session"]) for r in rows} == tests
+    final = {(r["symbol"], r["fold"], r["rank"]): r["params_id"] for r in market.finalists(spark, sf).collect()}
+    general = {(r["symbol"], r["fold"]): r["candidate"] for r in rows if r["policy"] == "general"}
+    assert all(c == final.get((*k, 1), "cash") for k, c in general.items())
+    streams = {}
+    for r in sorted(rows, key=lambda r: r["session"]):
+        before = streams.get((r["symbol"], r["policy"], r["cost"]), market.CASH)
+        assert r["cash"] == pytest.approx(before * (1 + r["ret"]))
+        streams[(r["symbol"], r["policy"], r["cost"])] = r["cash"]
+        if not r["routed"]:
+            assert r["candidate"] == general[(r["symbol"], r["fold"])]
+    ok = {(r["symbol"], r["fold"]) for r in market.robust_gate(spark, sf).filter("accepted").collect()}
+    assert {(r["symbol"], r["fold"]) for r in rows if r["routed"]} == ok & {k[:2] for k in tests}
+
+
 def test_drawdowns(spark):
     rows = [(1, datetime(2025, 5, 1), 95_000.0), (1, datetime(2026, 5, 1), 80_000.0), (1, datetime(2026, 6, 1), 100_000.0)]
     eq = spark.createDataFrame(rows, "k int, ts timestamp_ntz, equity double").withColumn("in_position", F.lit(0))

@@ -21,6 +21,29 @@ def test_fingerprint_sees_values_and_schema_but_not_order(spark):
     assert tables.composite_fingerprint([df], {"a": 1}) != tables.composite_fingerprint([df], {"a": 2})
 
 
+def test_ordered_fingerprint_sees_the_order_and_not_the_partitions(spark):
+    df = spark.range(200).selectExpr("id", "id % 7 AS v")
+    digest = lambda x, by: tables.fingerprint(x, by).first()["digest"]
+    assert digest(df, ["id"]) == digest(df.repartition(5), ["id"])
+    assert digest(df, ["id"]) != digest(df.withColumn("id", 199 - F.col("id")).withColumn("v", F.col("id") % 7), ["v", "id"])
+
+
+def test_derived_tables_follow_their_source(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    first = tables.source_version(spark, path)
+    assert first == tables.source_version(spark, path)
+    spark.range(9).write.mode("append").parquet(path)
+    assert first != tables.source_version(spark, path)
+
+
+def test_records_are_json(spark, tmp_path):
+    tables.save_records(spark.createDataFrame([(1, "x")], "k int, v string"), str(tmp_path / "r"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "r")).collect()] == ['{"k":1,"v":"x"}']
+    tables.save(spark.range(2), str(tmp_path / "c"), kind="csv")
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
+
+
 def test_save_refuses_and_materialize_rebuilds(spark, tmp_path):
     df = spark.range(3)
     tables.save(df, str(tmp_path / "t"))
@@ -50,7 +73,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["bars_30m", "session_wide", "session_bands", "target_rows", "channel_trades", "range_signals", "performance", "regime_library"])
+@pytest.mark.parametrize("name", ["bars_30m", "session_wide", "session_bands", "target_rows", "channel_trades", "range_signals", "performance", "regime_library", "wilder_average_over_gaps", "gated_trades", "walk_forward_figures", "router_gate"])
 def test_query_equals_sql(spark, duck, name):
     got = registry.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
