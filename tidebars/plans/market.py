@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +38,10 @@ def bars30(spark, sf) -> DataFrame:
     return bars.resample(ticks(spark, sf), "30 minutes")
 
 
-def derived(spark, sf, name: str, source: str, plan) -> DataFrame:
-    """A derived table of a source, built once for each state of it."""
-    return materialize(spark, f"{scratch(spark)}/{name}", source_version(spark, f"{sf}/{source}.parquet"), plan)
+def derived(spark, sf, name: str, source: str, plan, *settings: object) -> DataFrame:
+    """A derived table of a source, built once for each state of it and each of the settings."""
+    digest = hashlib.sha256(repr((source_version(spark, f"{sf}/{source}.parquet"), settings)).encode()).hexdigest()
+    return materialize(spark, f"{scratch(spark)}/{name}", digest, plan)
 
 
 def tagged(spark, sf) -> DataFrame:
@@ -252,16 +254,21 @@ def best_lengths(spark, sf) -> DataFrame:
 # -- the robust walk-forward: search, neighbours, calibration, gate, test ----------------------
 
 
+def step(spark, sf, name: str, plan) -> DataFrame:
+    """A step of the protocol as a derived table, so that the next one's plan starts from it and a lost executor does not go back further."""
+    return derived(spark, sf, f"robust-{name}", "events", plan, ROBUST, ROBUST_STEPS, ROLES, SHARE, SIMULATIONS, CHANNEL, COSTS, CASH)
+
+
 def robust_trades(spark, sf) -> DataFrame:
     """The trades of the whole search space at normal and stressed costs, built once for each state of the ticks."""
-    return derived(spark, sf, "robust-trades", "events", lambda: grid_trades(spark, sf, ROBUST, (1.0, 2.0)))
+    return step(spark, sf, "trades", lambda: grid_trades(spark, sf, ROBUST, (1.0, 2.0)))
 
 
 def roles(spark, sf) -> DataFrame:
-    return folds.role_folds(tagged(spark, sf).select("symbol", "session"), ROLES, ROLES[-1][1], ["symbol"])
+    return step(spark, sf, "roles", lambda: folds.role_folds(tagged(spark, sf).select("symbol", "session"), ROLES, ROLES[-1][1], ["symbol"]))
 
 
-def candidate_days(spark, sf) -> DataFrame:
+def _candidate_days(spark, sf) -> DataFrame:
     """(symbol, fold, role, params_id, session, ret, traded): what each set makes of its cash in each session of each role."""
     t = robust_trades(spark, sf).filter("factor = 1").select("symbol", "params_id", "session", "net_r")
     every = roles(spark, sf).join(t.select("symbol", "params_id").distinct(), "symbol")  # sets that never trade are not eligible
@@ -269,7 +276,7 @@ def candidate_days(spark, sf) -> DataFrame:
     return rows.select("symbol", "fold", "role", "params_id", "session", F.coalesce(SHARE * F.col("net_r"), F.lit(0.0)).alias("ret"), F.col("net_r").isNotNull().alias("traded"))
 
 
-def search_scores(spark, sf) -> DataFrame:
+def _search_scores(spark, sf) -> DataFrame:
     """Each set's score over the two halves of each fold's search sessions."""
     own = candidate_days(spark, sf).filter("role = 'search'")
     half = ROLES[0][1] // 2
@@ -278,7 +285,7 @@ def search_scores(spark, sf) -> DataFrame:
     return selection.block_scores(own.select("symbol", "fold", "params_id", "session", "ret"), own.filter("traded").select("symbol", "fold", "params_id", "session"), blocks, ["symbol", "fold", "params_id"], 2, 1)
 
 
-def finalists(spark, sf, shortlist: int = 4) -> DataFrame:
+def _finalists(spark, sf, shortlist: int = 4) -> DataFrame:
     """(symbol, fold, params_id, median_score, rank): the best sets of each fold by the median of their own and their neighbours' scores."""
     scores = search_scores(spark, sf)
     params = folds.grid(spark, ROBUST)
@@ -288,7 +295,7 @@ def finalists(spark, sf, shortlist: int = 4) -> DataFrame:
     return folds.top(found.select("symbol", "fold", F.col("of").alias("params_id"), F.col("median_score").alias("score")), shortlist, ["symbol", "fold"])
 
 
-def robust_routes(spark, sf) -> DataFrame:
+def _robust_routes(spark, sf) -> DataFrame:
     """(symbol, fold, role, session, candidate, general): the set in use in each gate and test session, by the regime's library."""
     keys = ["symbol", "fold"]
     final = finalists(spark, sf)
@@ -308,20 +315,41 @@ def robust_routes(spark, sf) -> DataFrame:
     return selection.route(routed, per_role, own, F.col("general")).join(general, keys)
 
 
+def candidate_days(spark, sf) -> DataFrame:
+    return step(spark, sf, "days", lambda: _candidate_days(spark, sf))
+
+
+def search_scores(spark, sf) -> DataFrame:
+    return step(spark, sf, "scores", lambda: _search_scores(spark, sf))
+
+
+def finalists(spark, sf) -> DataFrame:
+    return step(spark, sf, "finalists", lambda: _finalists(spark, sf))
+
+
+def robust_routes(spark, sf) -> DataFrame:
+    return step(spark, sf, "routes", lambda: _robust_routes(spark, sf))
+
+
+def robust_gate(spark, sf) -> DataFrame:
+    return step(spark, sf, "gate", lambda: _robust_gate(spark, sf))
+
+
 def gate_replay(spark, sf) -> tuple[DataFrame, DataFrame]:
     """The router and the general set on real capital through the gate sessions: by session, and bar by bar."""
     own = ["symbol", "fold", "policy"]
     pair = F.inline(F.array(F.struct(F.lit("router").alias("policy"), F.col("candidate").alias("params_id")), F.struct(F.lit("general").alias("policy"), F.col("general").alias("params_id"))))
     decided = robust_routes(spark, sf).filter("role = 'gate'").select("symbol", "fold", "session", pair)
     taken = decided.join(robust_trades(spark, sf).filter("factor = 1"), ["symbol", "params_id", "session"])
-    return trades.replay(tagged(spark, sf), taken, decided, CASH, own, SHARE)
+    days, curve = trades.replay(tagged(spark, sf), taken, decided, CASH, own, SHARE)
+    return step(spark, sf, "gate-days", lambda: days), step(spark, sf, "gate-curve", lambda: curve)
 
 
 def replayed(spark, sf) -> DataFrame:
     return gate_replay(spark, sf)[0]
 
 
-def robust_gate(spark, sf, least_trades: int = 1) -> DataFrame:
+def _robust_gate(spark, sf, least_trades: int = 1) -> DataFrame:
     """(symbol, fold, accepted, reason, ...): whether the router beat the general set, by bootstrap, trades and drawdowns at every close."""
     keys = ["symbol", "fold"]
     days, curve = gate_replay(spark, sf)
