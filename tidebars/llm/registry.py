@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidebars.llm.bpe import op9_bpe
+from tidebars.llm.exact_dedup import OP12_SQL, op12_exact_dedup
 from tidebars.llm.html_text import op5_html_text
 from tidebars.llm.jaccard_join import OP6_SQL, op6_jaccard_join
 from tidebars.llm.language_id import op2_language_id
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 ORACLES = {
     "op1_topk_search": OP1_SQL,
@@ -31,4 +33,5 @@ ORACLES = {
     "op6_jaccard_join": OP6_SQL,
     "op7_url_filter": OP7_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op12_exact_dedup": OP12_SQL,
 }
