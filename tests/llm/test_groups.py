@@ -4,10 +4,11 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 from pyspark.sql import functions as F
 
-from tidebars.llm import exact_dedup
+from tidebars.llm import conversation_trie, exact_dedup
 
 DOCS = "doc_id long, text string, n long, keep_id string, word long"
 
@@ -53,3 +54,81 @@ def test_a_unique_text_is_not_hashed_whole(spark):
     rows = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "n int, p long")
     got = exact_dedup.marked(rows, F.xxhash64("n", "p"), exact_dedup.bitmap(keys), "open").collect()
     assert {(x["n"], x["p"]): x["open"] for x in got} == {(1, 5): True, (1, 6): False, (2, 7): False}
+
+
+TURNS = "conv_id long, turn long, role string, text string, n long, depth string"
+
+
+def plain_turns(rows):
+    by = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            by[conv].append((turn is not None, turn or 0, role, hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).hexdigest(), text))
+    return {c: [(x[2], x[4]) for x in sorted(t)] for c, t in by.items()}
+
+
+def plain_grafts(convs):
+    out = {}
+    for c, own in convs.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        out[c] = convs.get(c - int(c % 5 if c >= 0 else -(-c % 5)), [])[:h] + own[h:]
+    return out
+
+
+def plain_trie(convs):
+    members = collections.defaultdict(list)
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    rows = {}
+    for node, held in members.items():
+        below = [x for x in members if x[: len(node)] == node]
+        kids = [x for x in below if len(x) == len(node) + 1]
+        leaves = sum(not any(z[: len(x)] == x and len(z) == len(x) + 1 for z in below) for x in below)
+        saved = sum((len(members[x]) - 1) * len(x[-1][1].encode()) for x in below if x)
+        ends = ",".join(str(c) for c in sorted(held) if len(convs[c]) == len(node))
+        parent = min(members[node[:-1]]) if node else None
+        rows[min(held), len(node)] = (parent, len(held), len(kids), leaves, saved, hashlib.sha256(ends.encode()).hexdigest())
+    return rows
+
+
+def trie_rows(df):
+    got = df.collect()
+    rows = {(x["conv_id"], x["depth"]): (x["parent_conv_id"], x["n_convs"], x["n_children"], x["n_leaves"], x["saved_tokens"], x["ends_sha256"]) for x in got}
+    assert len(rows) == len(got)
+    return rows
+
+
+def conversations(seed):
+    r = random.Random(seed)
+    rows = []
+    for c in range(60):  # few different turns: prefixes are shared, end inside others, and diverge inside blocks
+        conv = c if c % 7 else -c
+        rows += [(conv, k * 3 if k else None, r.choice(["user", "é", None]) if k > 2 else "user", "t" + "ü" * r.randrange(1 + (k > 1)) if k % 3 else None) for k in range(r.randrange(1, 11))]
+    same = [(0, "user", "hello"), (1, "assistant", "ä" * 300), (2, "user", "bye")]
+    for c in range(100, 140):  # many copies, and copies that go on
+        rows += [(c, *t) for t in same] + ([(c, 3, "user", f"more {c % 3}")] if c % 4 == 0 else [])
+    rows += [(200, k, "user", "x" * (k % 5)) for k in range(70)] + [(201, k, "user", "x" * (k % 5)) for k in range(66)] + [(201, 66, "user", "other")]
+    rows += [(300, 1, "user", "tie"), (300, 1, "user", "tie"), (300, 1, "assistant", "tie"), (None, 0, "user", "no id")]
+    r.shuffle(rows)
+    return rows
+
+
+def test_trie_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(conversation_trie, "CHUNK", 3)
+    rows = conversations(8)
+    df = spark.createDataFrame([(*x, 5, "clash") for x in rows], TURNS).repartition(5)
+    assert trie_rows(conversation_trie.prefix_trie(df)) == plain_trie(plain_turns(rows))
+    turns = conversation_trie.numbered(df)
+    want = plain_grafts(plain_turns(rows))
+    assert any(not t for t in want.values())
+    assert trie_rows(conversation_trie.trie(*conversation_trie.grafted(turns))) == plain_trie(want)
+
+
+def test_trie_of_nothing_and_of_turnless_conversations(spark):
+    assert conversation_trie.prefix_trie(spark.createDataFrame([], TURNS)).count() == 0
+    lone = next(c for c in range(1, 99) if c % 5 and zlib.crc32(str(c).encode()) % 9)
+    df = spark.createDataFrame([(lone, 0, "user", "gone", 0, "")], TURNS)
+    got = trie_rows(conversation_trie.trie(*conversation_trie.grafted(conversation_trie.numbered(df))))
+    assert got == {(lone, 0): (None, 1, 0, 1, 0, hashlib.sha256(str(lone).encode()).hexdigest())}

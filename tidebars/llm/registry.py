@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidebars.llm.bpe import op9_bpe
+from tidebars.llm.conversation_trie import OP13_SQL, op13_conversation_trie
 from tidebars.llm.exact_dedup import OP12_SQL, op12_exact_dedup
 from tidebars.llm.html_text import op5_html_text
 from tidebars.llm.jaccard_join import OP6_SQL, op6_jaccard_join
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 ORACLES = {
     "op1_topk_search": OP1_SQL,
@@ -34,4 +36,5 @@ ORACLES = {
     "op7_url_filter": OP7_SQL,
     "op10_quality_rules": OP10_SQL,
     "op12_exact_dedup": OP12_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }
