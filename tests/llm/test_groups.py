@@ -6,9 +6,11 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tidebars.llm import conversation_trie, exact_dedup
+from tidebars.llm import conversation_trie, exact_dedup, hard_negatives
 
 DOCS = "doc_id long, text string, n long, keep_id string, word long"
 
@@ -132,3 +134,55 @@ def test_trie_of_nothing_and_of_turnless_conversations(spark):
     df = spark.createDataFrame([(lone, 0, "user", "gone", 0, "")], TURNS)
     got = trie_rows(conversation_trie.trie(*conversation_trie.grafted(conversation_trie.numbered(df))))
     assert got == {(lone, 0): (None, 1, 0, 1, 0, hashlib.sha256(str(lone).encode()).hexdigest())}
+
+
+def plain_negatives(rows, every, positives=5, negatives=10):
+    rows = [(i, label, [int(np.floor(256 * float(x))) for x in v]) for i, label, v in rows if i is not None and label is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
+    out = set()
+    for i, label, v in rows:
+        if i % every:
+            continue
+        others = sorted((-dot(v, w), j, m == label) for j, m, w in rows if j != i)
+        for ps, p, _ in [x for x in others if x[2]][:positives]:
+            inside = [x for x in others if not x[2] and 30 * -ps <= 100 * -x[0] <= 90 * -ps][:negatives]
+            out |= {(i, p, r, j, -ps, -s) for r, (s, j, _) in enumerate(inside, 1)}
+    return out
+
+
+VECTORS = "vec_id long, label int, embedding array<float>, h long, place string"
+
+
+@pytest.mark.parametrize(("seed", "size", "block"), [(1, 1.0, 40), (2, 1.0, 8192), (3, 3000.0, 64)])
+def test_negatives_equal_brute_force(spark, monkeypatch, seed, size, block):
+    monkeypatch.setattr(hard_negatives, "BLOCK", block)
+    monkeypatch.setattr(hard_negatives, "ANCHOR_BLOCK", 9)
+    r = np.random.default_rng(seed)
+    rows = [(i, int(r.integers(0, 4)), [float(x) for x in np.float32(r.normal(0, 0.3, 6) * size)]) for i in range(240)]
+    rows += [(1000 + i, i % 2, rows[10][2]) for i in range(60)]  # the same vector many times: ties everywhere
+    rows += [(2000, None, rows[0][2]), (2010, 1, None), (2020, 1, [1.0, None] + [0.0] * 4), (2030, 1, [float("nan")] * 6), (2040, 2, [float("inf")] * 6), (2050, 1, []), (2060, 3, [0.5, 0.5]), (None, 1, rows[0][2])]
+    df = spark.createDataFrame([(*x, 7, "clash") for x in rows], VECTORS)
+    got = [tuple(x) for x in hard_negatives.mine(df, df.filter("vec_id % 10 = 0")).collect()]
+    assert len(got) == len(set(got)) and len(got) > 500
+    assert set(got) == plain_negatives(rows, 10)
+
+
+def test_packed_products_are_exact():
+    r = np.random.default_rng(6)
+    for most, kind in ((150, np.float64), (2**20, object)):
+        x, a = (r.integers(-most, most, (n, 64)) for n in (101, 7))
+        packed = hard_negatives.Packed(x, a)
+        assert packed.kind is kind and packed.fields >= 2
+        assert (packed.scores(a) == a @ x.T).all()
+    one = np.array([[3, 0]])
+    assert (hard_negatives.Packed(one, one).scores(one) == 9).all()
+    with pytest.raises(ValueError):
+        hard_negatives.Packed(np.full((2, 8), 2**40), np.full((2, 8), 2**40))
+
+
+def test_negatives_of_repeated_rows_and_of_nothing(spark):
+    assert hard_negatives.mine(spark.createDataFrame([], VECTORS), spark.createDataFrame([], VECTORS)).count() == 0
+    rows = [(0, 1, [1.0, 0.0]), (0, 1, [1.0, 0.0]), (5, 1, [0.9, 0.0]), (5, 1, [0.9, 0.0]), (6, 2, [0.5, 0.0]), (6, 2, [0.5, 0.0]), (0, 2, [0.5, 0.0]), (7, 1, [-1.0, 0.0])]
+    df = spark.createDataFrame([(*x, 0, "") for x in rows], VECTORS)
+    got = collections.Counter((x["anchor_id"], x["positive_id"], x["rank"], x["negative_id"]) for x in hard_negatives.mine(df.filter("label = 1 OR vec_id <> 0"), df.filter("vec_id = 0 AND label = 1")).collect())
+    assert got == collections.Counter({(0, 5, 1, 6): 2, (0, 5, 2, 6): 2})  # two positives, each with two negatives

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidebars.llm.bpe import op9_bpe
 from tidebars.llm.conversation_trie import OP13_SQL, op13_conversation_trie
 from tidebars.llm.exact_dedup import OP12_SQL, op12_exact_dedup
+from tidebars.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from tidebars.llm.html_text import op5_html_text
 from tidebars.llm.jaccard_join import OP6_SQL, op6_jaccard_join
 from tidebars.llm.language_id import op2_language_id
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_conversation_trie": op13_conversation_trie,
 }
@@ -35,6 +37,7 @@ ORACLES = {
     "op6_jaccard_join": OP6_SQL,
     "op7_url_filter": OP7_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
     "op12_exact_dedup": OP12_SQL,
     "op13_conversation_trie": OP13_SQL,
 }
