@@ -28,15 +28,6 @@ def test_ordered_fingerprint_sees_the_order_and_not_the_partitions(spark):
     assert digest(df, ["id"]) != digest(df.withColumn("id", 199 - F.col("id")).withColumn("v", F.col("id") % 7), ["v", "id"])
 
 
-def test_derived_tables_follow_their_source(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.range(3).write.parquet(path)
-    first = tables.source_version(spark, path)
-    assert first == tables.source_version(spark, path)
-    spark.range(9).write.mode("append").parquet(path)
-    assert first != tables.source_version(spark, path)
-
-
 def test_records_are_json(spark, tmp_path):
     tables.save_records(spark.createDataFrame([(1, "x")], "k int, v string"), str(tmp_path / "r"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "r")).collect()] == ['{"k":1,"v":"x"}']

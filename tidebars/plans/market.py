@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,15 @@ from tidebars.functions.rolling import over
 from tidebars.operators import bands, bars, breakout, folds, metrics, regimes, reports, resampling, selection, trades
 from tidebars.operators.breakout import Rules
 from tidebars.operators.trades import Costs
-from tidebars.sources.tables import fingerprint, load, materialize, renamed, scratch, source_version
+from tidebars.sources import incremental
+from tidebars.sources.tables import load, materialize, renamed, scratch, states
 
 CHANNEL = Rules(kind="channel", channel_bars=10, break_even=True)
 RANGE = Rules(kind="opening_range", stop="atr", entry_bars=8)
 COSTS = Costs(slippage=0.25, commission=0.1)
 CASH = 100_000.0
 N_VOL, N_BAND = 5, 5
+WIDTH, ZONE = "30 minutes", "America/New_York"
 CHANNELS = (6, 10, 14)
 SWEEP = {"channel_bars": CHANNELS, "side_mode": ("both", "long")}
 GATES = {"channel_bars": (10,), "use_bands": (False, True), "use_vwap": (False, True), "use_atr_buffer": (False, True)}
@@ -35,18 +38,116 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bars30(spark, sf) -> DataFrame:
-    return bars.resample(ticks(spark, sf), "30 minutes")
+    return bars.resample(ticks(spark, sf), WIDTH)
 
 
-def derived(spark, sf, name: str, source: str, plan, *settings: object) -> DataFrame:
-    """A derived table of a source, built once for each state of it and each of the settings."""
-    digest = hashlib.sha256(repr((source_version(spark, f"{sf}/{source}.parquet"), settings)).encode()).hexdigest()
-    return materialize(spark, f"{scratch(spark)}/{name}", digest, plan)
+PARTS = ("session", "symbol")
+
+
+def with_session(ticks_: DataFrame) -> DataFrame:
+    """Ticks with the session that their bar will be in; bars do not reach over its end."""
+    local = bars.tag_sessions(bars.to_zone(ticks_.withColumn("_ts", F.col("ts")), "UTC", ZONE))
+    return local.drop("ts").withColumnRenamed("_ts", "ts")
+
+
+def _as_ticks(events: DataFrame) -> DataFrame:
+    out = renamed(events, {"symbol": "event_type", "ts": "ts", "price": "value", "seq": "event_id"} | {c: c for c in incremental.FILE if c in events.columns})
+    return with_session(out)
+
+
+_STATE: dict | None = None
+
+
+@contextmanager
+def one_state() -> Iterator[None]:
+    """Inside, the ticks of a folder are looked at once, so that all tables of a query are of one state."""
+    global _STATE
+    before, _STATE = _STATE, {} if _STATE is None else _STATE
+    try:
+        yield
+    finally:
+        _STATE = before
+
+
+def _once(key: tuple, work: Callable[[], object]) -> object:
+    if _STATE is None:
+        return work()
+    if key not in _STATE:
+        _STATE[key] = work()
+    return _STATE[key]
+
+
+def tick_parts(spark, sf) -> tuple[DataFrame, str]:
+    """The content of the ticks by session and symbol, and the digest of all of it."""
+
+    def look() -> tuple[DataFrame, str]:
+        path = f"{sf}/events.parquet"
+        folder = f"{scratch(spark)}/tick-parts/{incremental.settings_digest(path)}"
+        parts = incremental.source_leaves(spark, path, folder, _as_ticks, PARTS, ["symbol", F.unix_micros(F.col("ts").cast("timestamp")), "price", "seq"])
+        return parts, incremental.root_of(parts, PARTS, states(spark, folder)[-1])
+
+    return _once(("ticks", sf), look)
+
+
+def derived(spark, sf, name: str, plan, *settings: object) -> DataFrame:
+    """A derived table of the ticks, built once for each content of theirs, each of the settings and each version of the code."""
+    return materialize(spark, f"{scratch(spark)}/{name}", incremental.settings_digest(tick_parts(spark, sf)[1], settings), plan)
+
+
+def refresh_tagged(spark, folder: str, ticks_: DataFrame, parts: DataFrame, root: str | None = None) -> dict:
+    """The tagged bars brought up to ``ticks_`` (with session) of which ``parts`` are the digests: sessions that changed are built again."""
+
+    def build(asked: DataFrame | None) -> DataFrame:
+        rows = ticks_
+        if asked is not None:  # the range of days reaches the scan, the parts decide
+            low, high = asked.agg(F.min("session"), F.max("session")).first()
+            rows = rows.filter(F.col("ts").between(F.lit(low) - F.expr("INTERVAL 2 DAYS"), F.lit(high) + F.expr("INTERVAL 2 DAYS"))).join(asked.filter("read").select(*PARTS), list(PARTS), "left_semi")
+        return bars.tagged_bars(bars.resample(rows.withColumn("volume", F.lit(1.0)), WIDTH), target=ZONE)
+
+    return incremental.refresh(spark, folder, parts, PARTS, build, "session", stored_by=["session"], root=root)
 
 
 def tagged(spark, sf) -> DataFrame:
-    """The tagged bars, which are far fewer than the ticks and which all that follows reads."""
-    return derived(spark, sf, "tagged-bars", "events", lambda: bars.tagged_bars(bars30(spark, sf)))
+    """The tagged bars, which are far fewer than the ticks and which all that follows reads: a table by session, of whose days only changed ones are built again."""
+
+    def look() -> DataFrame:
+        folder = f"{scratch(spark)}/tagged-bars/{incremental.settings_digest(sf, WIDTH, ZONE)}"
+        refresh_tagged(spark, folder, _as_ticks(load(spark, f"{sf}/events.parquet")), *tick_parts(spark, sf))
+        return incremental.current(spark, folder, PARTS).select("symbol", "ts", "session", "bucket", *bars.BAR)
+
+    return _once(("tagged", sf), look)
+
+
+def refresh_bands(spark, folder: str, tagged_: DataFrame) -> dict:
+    """The bands of each session as a table: a session is built again if its bars changed, or those of one that its windows reach."""
+
+    def build(asked: DataFrame | None) -> DataFrame:
+        rows = tagged_ if asked is None else tagged_.join(asked.filter("read").select(*PARTS), list(PARTS), "left_semi")
+        out = bands.with_bands(bands.with_volatility(bars.session_wide(rows), N_VOL), N_BAND)
+        return out if asked is None else out.join(asked.filter("rebuild").select(*PARTS), list(PARTS), "left_semi")
+
+    parts = incremental.leaves(tagged_, PARTS, ["symbol", F.unix_micros(F.col("ts").cast("timestamp")), "bucket", *bars.BAR])
+    return incremental.refresh(spark, folder, parts, PARTS, build, "session", N_VOL + 2 * N_BAND, stored_by=["session"])  # a band needs bodies, these a mean volatility, this one its own window
+
+
+def appended_bands(spark, sf, days: int = 2) -> DataFrame:
+    """The bands built from all but the last days of the ticks and brought up to all of them: what a daily run does."""
+    every = _as_ticks(load(spark, f"{sf}/events.parquet"))
+    last = every.agg(F.max("session").alias("last"))
+    early = every.join(F.broadcast(last), F.col("session") <= F.date_sub("last", days), "left_semi")  # one row
+    folder = f"{scratch(spark)}/appended/{incremental.settings_digest(sf, WIDTH, ZONE, N_VOL, N_BAND)}"
+    columns = ["symbol", F.unix_micros(F.col("ts").cast("timestamp")), "price", "seq"]
+    for ticks_ in (early, every):
+        refresh_tagged(spark, f"{folder}/bars", ticks_, incremental.leaves(ticks_, PARTS, columns))
+        refresh_bands(spark, f"{folder}/bands", incremental.current(spark, f"{folder}/bars", PARTS))
+    return incremental.current(spark, f"{folder}/bands", PARTS)
+
+
+def content_tree(spark, sf) -> DataFrame:
+    """(level, session, symbol, rows, digest): the tree of the ticks' content, prices to nine decimals."""
+    rows = _as_ticks(load(spark, f"{sf}/events.parquet"))
+    parts = incremental.leaves(rows, PARTS, ["symbol", F.unix_micros(F.col("ts").cast("timestamp")), F.col("price").cast("decimal(30,9)"), "seq"])
+    return incremental.flat(incremental.tree(parts, PARTS), PARTS)
 
 
 def wide(spark, sf) -> DataFrame:
@@ -219,7 +320,10 @@ def walk(spark, sf) -> DataFrame:
 
 
 def content(spark, sf) -> DataFrame:
-    return fingerprint(bars30(spark, sf)).select("rows", "hash_sum", "digest")
+    """One row (rows, hash_sum, digest) of the 30-minute bars' content, numbers to nine decimals."""
+    columns = ["symbol", F.unix_micros(F.col("ts").cast("timestamp")), *[F.col(c).cast("decimal(30,9)") for c in bars.BAR]]
+    found = incremental.with_digest(incremental.leaves(bars30(spark, sf), [], columns))
+    return found.select("rows", F.col("a").cast("string").alias("hash_sum"), "digest")
 
 
 def out_of_sample(spark, sf) -> DataFrame:
@@ -256,7 +360,7 @@ def best_lengths(spark, sf) -> DataFrame:
 
 def step(spark, sf, name: str, plan) -> DataFrame:
     """A step of the protocol as a derived table, so that the next one's plan starts from it and a lost executor does not go back further."""
-    return derived(spark, sf, f"robust-{name}", "events", plan, ROBUST, ROBUST_STEPS, ROLES, SHARE, SIMULATIONS, CHANNEL, COSTS, CASH)
+    return derived(spark, sf, f"robust-{name}", plan, ROBUST, ROBUST_STEPS, ROLES, SHARE, SIMULATIONS, CHANNEL, COSTS, CASH)
 
 
 def robust_trades(spark, sf) -> DataFrame:

@@ -434,6 +434,28 @@ hold_curve AS (
   SELECT h.symbol, t.fold, h.session FROM (SELECT DISTINCT symbol, session FROM history) h
   JOIN (SELECT symbol, fold, min(session) AS first FROM month_folds WHERE role = 'test' GROUP BY ALL) t ON t.symbol = h.symbol WHERE h.session < t.first AND h.session >= (t.first - INTERVAL 3 MONTH)::DATE)"""
 
+def _tree_sums(name: str, source: str, keys: str, row: str, rows: str) -> str:
+    return f"""{name} AS (
+  SELECT *, md5(concat_ws('|', rows, a, b)) AS digest FROM (
+    SELECT {keys}{', ' if keys else ''}CAST({rows} AS BIGINT) AS rows, sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR AS a, sum(('0x' || substr(h, 16, 15))::BIGINT)::VARCHAR AS b
+    FROM (SELECT *, md5(concat_ws('|', {row})) AS h FROM {source}) GROUP BY ALL)
+)"""
+
+
+_NINE = "CAST(CAST({} AS DECIMAL(30, 9)) AS VARCHAR)"
+CONTENT = ", ".join(
+    x.strip()
+    for x in (
+        "tick_rows AS (SELECT *, CAST(CASE WHEN hour(local_ts) >= 17 THEN local_ts::DATE + 1 ELSE local_ts::DATE END AS DATE) AS session FROM (SELECT event_type AS symbol, ts, ts - INTERVAL 5 HOUR AS local_ts, value, event_id FROM events))",
+        _tree_sums("content_2", "tick_rows", "session, symbol", f"'=' || symbol, '=' || epoch_us(ts), '=' || {_NINE.format('value')}, '=' || event_id", "count(*)"),
+        _tree_sums("content_1", "content_2", "session", "'=' || session, '=' || symbol, '=' || digest", "sum(rows)"),
+        _tree_sums("content_0", "content_1", "", "'=' || session, '=' || digest", "sum(rows)"),
+        """content_tree AS (SELECT 2 AS level, session, symbol, rows, digest FROM content_2 UNION ALL SELECT 1, session, NULL, rows, digest FROM content_1 UNION ALL SELECT 0, NULL, NULL, rows, digest FROM content_0)""",
+        _tree_sums("content_bars", "bars30", "", "'=' || symbol, '=' || epoch_us(ts), " + ", ".join(f"'=' || {_NINE.format(c)}" for c in OHLCV), "count(*)"),
+        "content AS (SELECT rows, a AS hash_sum, digest FROM content_bars)",
+    )
+)
+
 ALL: dict[str, Query] = {
     "bars_30m": Query(m.bars30, ("symbol", "ts"), OHLCV, "bars30"),
     "bars_2h_from_30m": Query(lambda s, d: bars.wider(m.bars30(s, d), "2 hours"), ("symbol", "ts"), OHLCV, "hours2"),
@@ -512,7 +534,9 @@ ALL: dict[str, Query] = {
     "robust_gate": Query(m.robust_gate, ("symbol", "fold", "accepted", "reason", "trades"), ("mean_diff", "low", "high", "router_drawdown", "general_drawdown")),
     "robust_walk_forward": Query(m.robust_walk, ("symbol", "fold", "policy", "cost", "session", "candidate", "routed"), ("ret", "cash")),
     "state_filter": Query(m.state_filter, ("symbol", "ts", "part", "state", "status", "allowed"), ("net_r",)),
-    "content_fingerprint": Query(m.content, ("rows", "hash_sum", "digest")),
+    "content_fingerprint": Query(m.content, ("rows", "hash_sum", "digest"), (), "content", more=CONTENT),
+    "content_tree": Query(m.content_tree, ("level", "session", "symbol", "rows", "digest"), (), "content_tree", more=CONTENT),
+    "appended_bands": Query(m.appended_bands, ("symbol", "session", "direction"), ("sigma", *BANDS), "banded"),
 }
 FLAGSHIP = "session_bands"
 
@@ -521,7 +545,8 @@ def _plan(q: Query) -> Callable[..., DataFrame]:
     # dates leave as text, which reads the same everywhere
     def run(spark, sf_dir: str) -> DataFrame:
         exact = [F.col(c).cast("string").alias(c) if c == "session" else F.col(c) for c in q.exact]
-        return q.plan(spark, sf_dir).select(*exact, *[F.round(c, q.digits).alias(c) for c in q.rounded])
+        with m.one_state():
+            return q.plan(spark, sf_dir).select(*exact, *[F.round(c, q.digits).alias(c) for c in q.rounded])
 
     return run
 

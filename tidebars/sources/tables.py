@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,8 +56,6 @@ def fingerprint(df: DataFrame, ordered_by: Sequence[str] = ()) -> DataFrame:
 
 def _ranked(df: DataFrame, ordered_by: Sequence[str]) -> DataFrame:
     """(h): each row's hash with its rank, numbered inside sorted partitions and moved on by the rows of those before."""
-    import uuid
-
     from pyspark.sql import Window
 
     path = f"{scratch(df.sparkSession)}/ranked-{uuid.uuid4().hex}"  # sorted once: a second sort may cut its ranges elsewhere
@@ -90,26 +89,45 @@ def scratch(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def source_version(spark: SparkSession, path: str) -> str:
-    """A digest of what a source holds by its name, size, number of files and last change, from the file system alone."""
-    import hashlib
+def file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path + "/_SUCCESS")
+    return fs.exists(p)
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """Write a table beside ``path`` and rename it there; where another application was first, its table stays."""
+    spark = df.sparkSession
+    folder, _, name = path.rpartition("/")
+    beside = f"{folder}/_{name}-{uuid.uuid4().hex}"
+    df.write.parquet(beside)
+    fs, to = file_system(spark, path)
+    if not (not exists(spark, path) and fs.rename(file_system(spark, beside)[1], to)):
+        fs.delete(file_system(spark, beside)[1], True)
+
 
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    held = fs.getContentSummary(hadoop)
-    parts = [path, held.getLength(), held.getFileCount(), fs.getFileStatus(hadoop).getModificationTime()]
-    return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
+def states(spark: SparkSession, folder: str) -> list[str]:
+    """The complete tables of a folder, in the order of their names."""
+    fs, p = file_system(spark, folder)
+    if not fs.exists(p):
+        return []
+    found = sorted(s.getPath().getName() for s in fs.listStatus(p))
+    return [f"{folder}/{n}" for n in found if not n.startswith("_") and exists(spark, f"{folder}/{n}")]
 
 
 def materialize(spark: SparkSession, path: str, digest: str, plan: Callable[[], DataFrame]) -> DataFrame:
     """A derived table: read if it was built under ``digest``, else built and written.
 
-    Each digest has a folder of its own, which Spark marks complete, so a half-written table is never read.
+    Each digest has a folder of its own, written beside and renamed, so a half-written table is
+    never read and two applications never write one.
     """
     own = f"{path.rstrip('/')}/{digest}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(own + "/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        plan().write.mode("overwrite").parquet(own)
+    if not exists(spark, own):
+        publish(plan(), own)
     return spark.read.parquet(own)
 
 
