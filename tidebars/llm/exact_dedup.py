@@ -70,7 +70,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("t"), n, prefix, *[c.alias(k) for k, c in carried.items()])
     rows = marked(rows, F.xxhash64("n", "p"), open_keys, "open").select("id", F.when(F.col("open"), F.sha2(ascii_lower(F.col("t")), 256)).alias("full"), *carried)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "hashed")
-    found = rows.filter("full IS NOT NULL").groupBy("full").agg(F.max(F.struct("id", "row")).alias("keep"), F.count("*").alias("size"))
+    found = written(rows.filter("full IS NOT NULL").groupBy("full").agg(F.max(F.struct("id", "row")).alias("keep"), F.count("*").alias("size")), "groups")  # a table on either side: the join of a large group can be split
     many = rows.filter("full IS NOT NULL").join(found, "full").select("id", F.col("keep.id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("row") == F.col("keep.row")).alias("kept"), *carried)
     alone = rows.filter("full IS NULL").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *carried)
     out = many.union(alone)
