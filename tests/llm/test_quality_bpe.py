@@ -189,6 +189,30 @@ def test_bpe_of_texts_without_blanks_equals_the_library(library, bits):
     check_bpe(library, [han, code, dotted, "a" * 20_000, " " * 5000 + "x", "'" * 3000, "\n" * 2000 + "\t", "1" * 4000, "a1" * 3000, han + code + dotted], bits)
 
 
+#: Letters, marks and digits of scripts whose words have no border inside for a pre-tokenizer that does not know them.
+SCRIPTS = {"arabic": (0x621, 0x64A), "hebrew": (0x5D0, 0x5EA), "devanagari": (0x905, 0x94D), "thai": (0xE01, 0xE4E), "armenian": (0x561, 0x586), "georgian": (0x10D0, 0x10F0), "ethiopic": (0x1200, 0x1248), "vai": (0xA500, 0xA60B)}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_bpe_of_other_scripts_equals_the_library_in_proportional_time(library, script):
+    import time
+
+    r = random.Random(script)
+    word = lambda: "".join(chr(r.randint(*SCRIPTS[script])) for _ in range(r.randint(1, 9)))
+    text = r.choice([" ", "، ", "\n"]).join(word() for _ in range(3000))
+    check_bpe(library, [text, text[:500] + " '" + text[5:900], text.replace(" ", ""), text.replace(" ", "  ")], bpe.CHUNK_BITS)
+    took = []
+    for n in (20_000, 80_000):
+        fresh, coder = " ".join(word() for _ in range(n)), bpe.Codec(*bpe_paths())
+        began = time.process_time()
+        assert sum(p.n for p in next(bpe.encode_texts([fresh], coder)))
+        took.append(time.process_time() - began)
+        began = time.process_time()
+        coder.ids(coder.bpe.encode_ordinary(fresh))
+        took.append(time.process_time() - began)
+    assert took[2] < 9 * took[0] and took[2] < 9 * took[3]  # it grows with the text, and is a few times plain encoding at most
+
+
 def test_bpe_of_documents_equals_the_library(spark, library):
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     coder = check_bpe(library, texts, bpe.CHUNK_BITS)

@@ -38,27 +38,27 @@ CACHE_BYTES = 96_000_000  # kept chunks of one Python worker
 
 _CODECS: dict[tuple[str, str, str], Codec] = {}
 
-# Ranges of characters whose class every Unicode version since 2015 agrees on, where they are assigned.
-_SETTLED = ((0x00, 0x36F), (0x370, 0x52F), (0x3000, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFF01, 0xFF5E))
+_SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 @lru_cache(65536)
 def _kind(c: str) -> str:
-    """L, N, S or O as the pre-tokenizer sees a character; ? where that is not settled."""
-    code = ord(c)
-    category = unicodedata.category(c)
-    if category == "Cn" or not any(a <= code <= b for a, b in _SETTLED):
-        return "?"
-    if c in " \t\n\x0b\x0c\r\x85\xa0\u3000":
-        return "S"
-    return category[0] if category[0] in "LN" else "O"
+    """L, N, S or O as the pre-tokenizer sees a character; ? where that is not settled.
+
+    Settled are the characters that Unicode 3.2, of 2002, had in the class that they have now: whichever version
+    the pre-tokenizer was built with lies in between.
+    """
+    now, then = (x[0] if x[0] in "LN" else "?" if x[0] == "Z" or x == "Cn" else "O" for x in (unicodedata.category(c), unicodedata.ucd_3_2_0.category(c)))
+    return "S" if c in _SPACES else now if now == then else "?"
 
 
 @lru_cache(65536)
 def is_border(a: str, b: str) -> bool:
     """Whether a new piece starts between the characters ``a`` and ``b``, whatever stands around them."""
     x, y = _kind(a), _kind(b)
-    return "?" not in (x, y) and x != y and x != "S" and not (a == "'" and y == "L")
+    if x == "?":  # a blank starts a piece after any sign; of what is not settled, only U+180E ever was one
+        return y == "S" and a != "\u180e"
+    return y != "?" and x != y and x != "S" and not (a == "'" and y == "L")
 
 
 class Ids(NamedTuple):
@@ -154,21 +154,23 @@ class Codec:
 
     def joined(self, chunks: list[bytes]) -> Iterator[Ids]:
         """The ids of the whole that the chunks are cut from, in parts."""
-        wait, own, last = "", None, ""  # text whose end is still open; its ids, if one chunk's tail is all of it
+        wait: list[str] = []  # text whose end is still open
+        own, last = None, ""  # its ids, if one chunk's tail is all of it
         for raw in chunks:
             c = self.chunk(raw)
             if wait and is_border(last, c.first):
-                yield own or self.window(wait)
-                wait, own = "", None
+                yield own or self.window("".join(wait))
+                wait, own = [], None
             last = c.last
             if c.tail_text is None:  # no border: the window grows over it
-                wait, own = wait + c.head_text, None if wait else c.head
+                own = None if wait else c.head
+                wait.append(c.head_text)
                 continue
-            yield self.window(wait + c.head_text) if wait else c.head
+            yield self.window("".join([*wait, c.head_text])) if wait else c.head
             yield c.middle
-            wait, own = c.tail_text, c.tail
+            wait, own = [c.tail_text], c.tail
         if wait:
-            yield own or self.window(wait)
+            yield own or self.window("".join(wait))
 
 
 def codec(ranks_path: str | None = None, tokenizer_path: str | None = None) -> Codec:
