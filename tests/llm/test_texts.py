@@ -371,11 +371,15 @@ def drawn(r, depth=0):
         t = run()
         return f"<blockquote>{t}</blockquote>", ["  " + t]
     if kind == "table":
-        rows = [[word() for _ in range(r.randint(1, 4))] for _ in range(r.randint(1, 4))]
-        wide = [max(len(x[c]) for x in rows if len(x) > c) for c in range(max(map(len, rows)))]
+        rows = [[drawn_table(r, depth) if depth < 4 and r.random() < 0.15 else (t := word(), [t]) for _ in range(r.randint(1, 4))] for _ in range(r.randint(1, 4))]
+        wide = [max(len(line) for x in rows if len(x) > c for line in x[c][1]) for c in range(max(map(len, rows)))]
         end = r.choice(["", "</td>"])
-        page = "<table>" + "".join("<tr>" + "".join(f"<td>{c}{end}" for c in x) for x in rows) + "</table>"
-        return page, [" | ".join(c.ljust(w) for c, w in zip(x, wide, strict=False)).rstrip() for x in rows]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td>{c}{end}" for c, _ in x) for x in rows) + "</table>"
+        lines = []
+        for x in rows:
+            for k in range(max(len(c) for _, c in x)):
+                lines.append(" | ".join((c[k] if k < len(c) else "").ljust(w) for (_, c), w in zip(x, wide, strict=False)).rstrip())
+        return page, lines
     page, lines = "", []
     for k in range(r.randint(1, 4)):
         t = run()
@@ -392,6 +396,14 @@ def drawn(r, depth=0):
     return f"<{kind}>{page}</{kind}>", lines
 
 
+def drawn_table(r, depth):
+    """A table inside a cell."""
+    while True:
+        page, lines = drawn(r, depth + 1)
+        if page.startswith("<table"):
+            return page, lines
+
+
 def test_layout_equals_what_random_trees_say():
     r = random.Random(21)
     for _ in range(1500):
@@ -410,6 +422,26 @@ def test_deep_and_long_pages_take_time_in_proportion():
         assert time.process_time() - began < 2.5
 
 
+@pytest.mark.parametrize("unit", ["<table><tr><td>a", "<table><tr><td>a<td>b", "<ul><li>a", "<ol><li>a<blockquote>b", "<dl><dd>a<table><caption>c<tr><td>b", "<li>a<pre>b</pre>"])
+def test_text_at_every_level_takes_time_and_room_in_proportion(unit):
+    import time
+
+    size, took = [], []
+    for n in (1000, 4000):
+        began = time.process_time()
+        text = html_text.extract(unit * n)
+        took.append(time.process_time() - began)
+        size.append(len(text))
+        letters = lambda x: {c: x.count(c) for c in "abc"}
+        assert letters(text) == letters(re.sub("<[^>]*>", "", unit * n))  # no text is lost, in whatever depth
+    assert took[1] < 3 and size[1] < 4.5 * size[0]
+
+
+def test_what_is_too_deep_keeps_its_marks_and_order():
+    deep = "<blockquote>" * 30
+    assert html_text.extract(deep + "<ol><li>a<li><li>b<ul><li>c</ul><table><td>d<td>e</table></ol>f").split() == ["1.", "a", "3.", "b", "-", "c", "d", "e", "f"]
+
+
 def test_script_ends_at_its_own_end_tag():
     assert html_text.extract("<script>a </scripting> b</script>c") == "c"
 

@@ -8,7 +8,10 @@ their own, paragraphs and headings apart by an empty line, list items marked and
 indented, preformatted text as it is, and table cells in aligned columns. A column is padded
 to its widest cell, but to 200 characters at most: wider cells stand as they are.
 
-What is open is counted by name and scope, so an element costs the same at any depth.
+What is open is counted by name and scope, and at most ``DEEPEST`` elements that are laid out as a
+whole (items, quotes, tables, cells) stand in one another: what lies deeper loses its indent
+or its columns, not its text, and goes line by line into the innermost of them. So a line is
+moved a bounded number of times, and an element costs the same at any depth.
 
 Defined results: null html and html without visible text give the empty text; unclosed
 and stray tags, comments and quotes end where a browser would end them or at the end of
@@ -64,6 +67,19 @@ HEAD_ONLY = frozenset("head title meta link base style script noscript template"
 SCOPE = frozenset({"table", "td", "th", "caption", "html"})
 REACHING = frozenset({"table", "tr", "thead", "tbody", "tfoot", "body", "html"})  # end tags that reach out of cells
 WIDEST = 200  # a column is padded to at most so many characters
+DEEPEST = 24  # elements with a layout of their own inside one another, at most
+OWN_BOX = frozenset({"li", "table", "td", "th", "pre", "caption", "blockquote", "dd"})
+
+
+class Mark(str):
+    """An item's mark, in front of its first line."""
+
+
+class Unmark:
+    """The end of an item, whose mark goes if no line took it."""
+
+
+UNMARK = Unmark()
 
 
 class Box:
@@ -88,16 +104,27 @@ class Box:
     def lines(self) -> list[str]:
         out: list[str] = []
         run: list[str] = []
+        marks: list[Mark] = []
         wait = 0
 
         def put(new: list[str]) -> None:
             nonlocal wait
             if out and wait > 1:
                 out.append("")
+            if marks:
+                new = ["".join(marks) + new[0], *new[1:]]
+                marks.clear()
             out.extend(new)
             wait = 0
 
         for x in [*self.pieces, 1]:
+            if isinstance(x, Mark):
+                marks.append(x)
+                continue
+            if x is UNMARK:
+                if marks:
+                    marks.pop()
+                continue
             if isinstance(x, str):
                 run.append(x)
                 continue
@@ -198,13 +225,17 @@ class Builder:
         if not self.hidden:
             if e.name in BLOCK:
                 self.boxes[-1].gap(self.strength(e.name))
-            if e.name in ("li", "table", "td", "th", "pre", "caption", "blockquote", "dd"):
+            if e.name in OWN_BOX and len(self.boxes) <= DEEPEST:
                 e.box = Box()
                 self.boxes.append(e.box)
+            elif e.name in ("td", "th"):
+                self.boxes[-1].gap(1)
+            elif e.name == "li":
+                self.boxes[-1].pieces.append(Mark(self.mark()))
             if e.name == "table":
-                e.rows = []
+                e.rows = [] if e.box is not None else ()  # too deep for columns
                 self.tables.append(e)
-            if e.name == "tr" and (t := self.table()) is not None:
+            if e.name == "tr" and (t := self.table()) is not None and t.rows != ():
                 t.rows.append([])
             if e.name == "pre":
                 self.pre += 1
@@ -258,21 +289,34 @@ class Builder:
                     out.gap(1)
                     out.fixed(aligned([r for r in e.rows if r]))
                 elif e.name == "li":
-                    at = self.last(("ul", "ol", "menu"))
-                    owner = self.stack[at] if at > 0 else None
-                    mark = "- "
-                    if owner is not None and owner.n is not None:
-                        mark = f"{owner.n}. "
-                        owner.n += 1
+                    mark = self.mark()
                     if lines:
                         out.fixed([mark + lines[0], *[(" " * len(mark) + x) if x else x for x in lines[1:]]])
                 elif e.name in ("blockquote", "dd"):
                     out.fixed(["  " + x if x else x for x in lines])
                 else:
                     out.fixed(lines)
+        elif e.name == "pre":
+            self.pre -= 1
+            if self.pre == 0:
+                self.boxes[-1].fixed([x.rstrip() for x in "".join(self.pre_text).strip("\n").split("\n")])
+        elif e.name in ("td", "th"):
+            self.boxes[-1].gap(1)
+        elif e.name == "li":
+            self.boxes[-1].gap(1)
+            self.boxes[-1].pieces.append(UNMARK)
         if e.name in BLOCK:
             self.boxes[-1].gap(self.strength(e.name))
 
+    def mark(self) -> str:
+        """Of the next item of the innermost list."""
+        at = self.last(("ul", "ol", "menu"))
+        owner = self.stack[at] if at > 0 else None
+        if owner is None or owner.n is None:
+            return "- "
+        owner.n += 1
+        return f"{owner.n - 1}. "
+
     def close(self, name: str) -> None:
         if name == "br":
             self.line_break()
