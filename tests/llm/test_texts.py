@@ -6,6 +6,7 @@ import html as html_module
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,16 +185,49 @@ def test_a_kind_that_was_kept_back_is_found(spark):
     assert got["findings"] >= 200 and got["found"] / got["findings"] > 0.7
 
 
-def test_secret_threshold_keeps_recall_and_precision(spark):
+def test_secret_threshold_keeps_recall(spark):
     _, df = noted(spark, 300, ["assign"], 7)
     scanned = secret_scan.scan(df)
     sample = secret_scan.sample_labels(scanned, 150)
     assert (sample["kind"] >= 0).sum() == 150 and (sample["kind"] < 0).sum() == 150
     net = secret_scan.train(sample)
-    assert net.recall >= 0.9 and net.precision >= 0.9 and 0 < net.threshold <= 1
+    assert net.recall >= 0.98 and net.precision >= 0.9 and 0 < net.threshold <= 1
     assert secret_scan.train(sample.iloc[:5]) is None
-    strict = secret_scan.train(sample, min_recall=1.0, min_precision=1.0)
-    assert strict.precision == 1.0
+    assert secret_scan.train(sample, min_recall=1.0).recall == 1.0
+    # examples that cannot be told apart: everything passes, and it says so
+    same = sample.assign(window=sample["window"].iloc[0])
+    net = secret_scan.train(same)
+    assert net.recall == 1.0 and net.precision < 0.7
+    found = secret_scan.find_secrets(df).select("model.*").distinct().collect()
+    assert len(found) == 1 and found[0]["recall"] >= 0.98
+    assert secret_scan.find_secrets(df.limit(2)).select("model").first()["model"] is None
+
+
+def test_network_gradients_are_those_of_its_loss():
+    r = np.random.default_rng(4)
+    net, x, y, w = secret_scan.CharCNN(), r.integers(0, 97, (6, secret_scan.WIDTH)), np.array([1, 0, 1, 0, 1, 0.0]), np.ones(6)
+
+    def loss():
+        p = 1 / (1 + np.exp(-net.forward(x)[-1]))
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    for name, g in net.gradients(x, y, w).items():
+        own = getattr(net, name)
+        for at in list(np.ndindex(own.shape))[:: max(1, own.size // 25)]:
+            was, found = own[at], []
+            for d in (1e-3, -1e-3):
+                own[at] = was + d
+                found.append(loss())
+            own[at] = was
+            assert abs((found[0] - found[1]) / 2e-3 - g[at]) < 2e-3, (name, at)
+
+
+@pytest.mark.parametrize("value", ["ab12cd", "x/" * 40_000 + "Ab1234567890"])
+def test_short_and_very_long_candidates(spark, value):
+    (_, own, _), = secret_scan.scan_texts([f"note {value} end"])
+    assert own and own[0][:2] == (5, 5 + len(value))
+    df = spark.createDataFrame([(1, f"note {value} end"), (2, None)], "doc_id long, text string")
+    assert secret_scan.find_secrets(df).count() == 2
 
 
 def test_candidates_are_seen_whole():
