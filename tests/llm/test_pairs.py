@@ -60,8 +60,20 @@ def test_jaccard_equals_brute_force(spark):
     assert got == want
 
 
-def test_long_lists_in_parts_equal_brute_force(spark, monkeypatch):
+def test_pairs_of_one_list_are_handed_on_as_they_are_found():
+    """A list of 60 000 entries that all fit has 1.8 billion pairs; what is gathered is one entry's."""
+    import itertools
+
+    n = np.full(60_000, 100)
+    found = jaccard_join.run_pairs(np.arange(60_000), n, np.zeros(60_000, int), np.arange(60_000), 80)
+    first = list(itertools.islice(found, 3))
+    assert [(i[0], len(j)) for i, j in first] == [(0, 59_999), (1, 59_998), (2, 59_997)]
+
+
+@pytest.mark.parametrize("pairs", [1, 10**6])
+def test_long_lists_in_parts_equal_brute_force(spark, monkeypatch, pairs):
     monkeypatch.setattr(jaccard_join, "LIST", 4)
+    monkeypatch.setattr(jaccard_join, "PAIRS", pairs)
     r = random.Random(14)
     texts = []
     for g in range(3):  # short texts out of few words: their shingles are common, and their lists long
@@ -100,7 +112,8 @@ def test_run_pairs_equals_all_pairs():
         m = rng.integers(2, 30)
         n = np.sort(rng.integers(10, 60, m))
         pos, comp = rng.integers(0, 12, m), rng.integers(0, 4, m)
-        i, j = jaccard_join.run_pairs(np.arange(m), n, pos, comp, 80)
+        found = list(jaccard_join.run_pairs(np.arange(m), n, pos, comp, 80))
+        i, j = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, int) for k in (0, 1))
         got = {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist(), strict=True)}
         ok = lambda a, b: comp[a] != comp[b] and 100 * min(n[a], n[b]) >= 80 * max(n[a], n[b]) and min(n[a] - pos[a], n[b] - pos[b]) >= -(-80 * (n[a] + n[b]) // 180)
         assert got == {(a, b) for a in range(m) for b in range(a + 1, m) if ok(a, b)}

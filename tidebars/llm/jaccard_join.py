@@ -18,7 +18,7 @@ similarity reaches the threshold share a shingle in their prefixes under that or
 The sets are compared exactly, on their 64-bit shingle hashes. Components then follow
 from the links. No pair inside a component found in step 1 is built. Lists stream through
 the tasks one after another; one list, five numbers an entry, is in memory at a time, and
-equal sets are one entry a task in it. A list of more than ``LIST`` entries is dealt to
+equal sets are one entry a task in it, and its pairs are handed on ``PAIRS`` at a time. A list of more than ``LIST`` entries is dealt to
 parts, and each two parts are a list of their own, of at most about twice as many.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are
@@ -49,6 +49,7 @@ KEY_BITS = 20  # buckets of the filter before the texts of nodes are fetched
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
 LIST = 200_000  # entries of a list in one task's memory, about
 SEEN = 2_000_000  # sets that a task remembers in order not to list them twice
+PAIRS = 1_000_000  # pairs that a task gathers before it hands them on, about
 
 
 def document_counts(docs: DataFrame) -> np.ndarray:
@@ -183,8 +184,8 @@ def star_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return met.filter((F.col("a") != F.col("node")) & fits).select("a", F.col("node").alias("b")).distinct()
 
 
-def run_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, percent: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of the pairs of one list, sorted by size, that may be linked and are of different components.
+def run_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, percent: int, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the pairs of one list, sorted by size, that may be linked and are of different components, for one entry i after another.
 
     The entries of the most frequent component meet only those of the others. For each
     entry the list is skipped to the block within the size ratio. With ``side`` only entries of
@@ -195,7 +196,6 @@ def run_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray
     firsts = np.arange(len(node)) if len(names) == len(node) else np.flatnonzero(~main)
     low = np.searchsorted(n, -(-percent * n[firsts] // 100), "left")
     high = np.searchsorted(n, 100 * n[firsts] // percent, "right")
-    out_i, out_j = [], []
     for i, a, b in zip(firsts, low, high, strict=True):
         j = np.arange(a, b)
         need = -(-percent * (n[i] + n[j]) // (100 + percent))
@@ -204,9 +204,8 @@ def run_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray
             good &= side[j] != side[i]
         j = j[good]
         j = j[main[j] | (j > i)] if len(names) != len(node) else j[j > i]
-        out_i.append(np.full(len(j), i))
-        out_j.append(j)
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, int), np.zeros(0, int))
+        if len(j):
+            yield np.full(len(j), i), j
 
 
 def list_pairs(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -241,16 +240,25 @@ def list_pairs(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
             h, cell = pdf["h"].to_numpy(), pdf["cell"].to_numpy()
             return np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (cell[1:] != cell[:-1])]))
 
-        def pairs(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        def pairs(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
             comp, cell = pdf["component"].to_numpy(), pdf["cell"].to_numpy()
             first = starts(pdf)
             size = np.diff(np.concatenate([first, [len(pdf)]]))
             lowest, highest = np.minimum.reduceat(comp, first), np.maximum.reduceat(comp, first)
             open_ = np.flatnonzero((size > 1) & (lowest != highest))
             if not len(open_):
-                return None
+                return
             node, n, pos, lead = (pdf[c].to_numpy().astype(np.int64) for c in ("node", "n", "pos", "lead"))
-            left, right = [], []
+            left, right, gathered = [], [], 0
+
+            def handed_on() -> pd.DataFrame:
+                nonlocal gathered
+                out = pd.DataFrame({"a": node[np.concatenate(left)], "b": lead[np.concatenate(right)]}).drop_duplicates()
+                left.clear()
+                right.clear()
+                gathered = 0
+                return out
+
             two = open_[(size[open_] == 2) & (cell[first[open_]] == 0)]  # by far the most
             i, j = first[two], first[two] + 1
             need = -(-percent * (n[i] + n[j]) // (100 + percent))
@@ -262,12 +270,14 @@ def list_pairs(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
                 c, side = int(cell[first[k]]), None
                 if c and (c >> 20) & 0xFFFFF != c & 0xFFFFF:  # two different parts: the pairs inside either are elsewhere
                     side = node[s] % (c >> 40)
-                i, j = run_pairs(node[s], n[s], pos[s], comp[s], percent, side)
-                left.append(i + first[k])
-                right.append(j + first[k])
-            i, j = np.concatenate(left), np.concatenate(right)
-            own = pd.DataFrame({"a": node[i], "b": lead[j]})
-            return own.drop_duplicates()
+                for i, j in run_pairs(node[s], n[s], pos[s], comp[s], percent, side):
+                    left.append(i + first[k])
+                    right.append(j + first[k])
+                    gathered += len(j)
+                    if gathered >= PAIRS:
+                        yield handed_on()
+            if left:
+                yield handed_on()
 
         held: list[pd.DataFrame] = []  # the list that the last batch ended in
         for pdf in batches:
@@ -280,10 +290,10 @@ def list_pairs(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
                 continue
             done = pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
             held = [pdf.iloc[cut:]]
-            if len(done) and (found := pairs(done)) is not None:
-                yield found
-        if held and (found := pairs(pd.concat(held, ignore_index=True))) is not None:
-            yield found
+            if len(done):
+                yield from pairs(done)
+        if held:
+            yield from pairs(pd.concat(held, ignore_index=True))
 
     return rows.mapInPandas(run, "a long, b long").distinct()
 
