@@ -1,7 +1,7 @@
 """A hidden-state filter for trade candidates: one small Gaussian model a group, fitted in parallel.
 
-``fit_and_filter`` is a grouped map: a group holds one row a session. All around it,
-the split, the state statistics, their ranking and the validation, are built-in functions.
+The fit is here, the tables of models and their use are in ``hidden``. All around, the
+split, the state statistics, their ranking and the validation, are built-in functions.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +35,8 @@ def forward(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray
     return out, evidence
 
 
-def fit(x: np.ndarray, states: int, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Baum and Welch's updates for a diagonal Gaussian model, from quantiles of the first feature on."""
+def fit(x: np.ndarray, states: int, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float, int]:
+    """Baum and Welch's updates for a diagonal Gaussian model, from quantiles of the first feature on; the log evidence before the last one, and their number."""
     order = np.argsort(x[:, 0], kind="stable")
     part = np.array_split(order, states)
     mean = np.array([x[p].mean(0) for p in part])
@@ -45,8 +44,8 @@ def fit(x: np.ndarray, states: int, rounds: int = 40, seed: int = 7) -> tuple[np
     var = np.maximum(np.array([x[p].var(0) for p in part]), floor)
     start, move = np.full(states, 1 / states), np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * (0.9 - 0.1 / max(1, states - 1))
     move /= move.sum(1, keepdims=True)
-    last = -np.inf
-    for _ in range(rounds):
+    last, took = -np.inf, 0
+    for took in range(1, rounds + 1):
         alpha, evidence = forward(x, start, move, mean, var)
         back = np.ones_like(alpha)
         dens = log_density(x, mean, var)
@@ -64,31 +63,20 @@ def fit(x: np.ndarray, states: int, rounds: int = 40, seed: int = 7) -> tuple[np
         start, move = gamma[0], (pairs + 1e-6) / (pairs + 1e-6).sum(1, keepdims=True)
         mean = (gamma.T @ x) / weight[:, None]
         var = np.maximum(np.stack([(gamma[:, [k]] * (x - mean[k]) ** 2).sum(0) / weight[k] for k in range(states)]), floor)
-        if evidence.sum() - last < 1e-6 * abs(evidence.sum()):
+        gain, last = evidence.sum() - last, evidence.sum()
+        if gain < 1e-6 * abs(last):
             break
-        last = evidence.sum()
-    return start, move, mean, var
+    return start, move, mean, var, float(last), took
 
 
 def fit_and_filter(rows: DataFrame, by: Sequence[str], features: Sequence[str], order: str = "ts", states: int = 3) -> DataFrame:
-    """``rows`` (with ``part`` head or tail) and their filtered ``state``: fitted on the head, carried on into the tail without it being seen before.
+    """``rows`` (with ``part`` head or not) and their filtered ``state``: fitted on the head, carried on into the rest without it being seen before.
 
     Groups with fewer head rows than five a state get no state.
     """
-    schema = rows.withColumn("state", F.lit(0)).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        x = pdf[list(features)].to_numpy(float)
-        head = (pdf["part"] == "head").to_numpy()
-        if head.sum() < 5 * states:
-            return pdf.assign(state=pd.array([None] * len(pdf), dtype="Int32"))
-        centre, spread = x[head].mean(0), x[head].std(0)
-        z = (x - centre) / np.where(spread > 0, spread, 1)
-        model = fit(z[head], states)
-        return pdf.assign(state=forward(z, *model)[0].argmax(1).astype("int32"))
-
-    return rows.groupBy(*by).applyInPandas(run, schema)
+    from tidebars.operators import hidden
+
+    return hidden.states_of(rows, hidden.fit_models(rows.filter("part = 'head'"), by, features, order, states), by, features, order)
 
 
 def state_figures(rows: DataFrame, by: Sequence[str], value: str = "net_r") -> DataFrame:

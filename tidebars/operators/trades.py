@@ -204,7 +204,7 @@ def replay(bars: DataFrame, trades: DataFrame, sessions: DataFrame, cash: float,
     days = days.withColumn("cash_before", F.when(F.coalesce(F.min(gain).over(before), F.lit(1.0)) > 0, cash * grown).otherwise(0.0)).withColumn("cash_after", F.col("cash_before") * gain)
     rows = days.join(bars.select(*keys, "session", "ts", "close"), [*keys, "session"])
     open_ = (F.col("ts") >= F.col("entry_ts")) & (F.col("ts") < F.col("exit_ts"))
-    floating = 1 + share * ratio(F.col("side") * (F.col("close") - F.col("entry_price")), F.col("risk"))
+    floating = 1 + share * F.coalesce(ratio(F.col("side") * (F.col("close") - F.col("entry_price")), F.col("risk")), F.lit(0.0))  # nothing is at risk without a distance to the stop
     relative = F.when(open_, floating).when(F.col("ts") >= F.col("exit_ts"), gain).otherwise(1.0)
     curve = rows.select(*by, "session", "ts", (F.col("cash_before") * relative).alias("equity"))
     ret = F.when(F.col("cash_before") > 0, F.col("cash_after") / F.col("cash_before") - 1).otherwise(0.0)
