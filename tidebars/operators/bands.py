@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.functions.rolling import clipped, full, over, ratio
+from tidebars.functions.rolling import clipped, finite, full, over, ratio
 from tidebars.operators.bars import KEYS, NAMES
 
 #: Columns of a volatility estimate: open, highs, lows, close, previous close.
@@ -38,27 +38,24 @@ def with_volatility(wide: DataFrame, n: int = 10, mode: str = "historical", keys
     return parts.withColumn("sigma", sigma).drop("_on", "_oc", "_rs")
 
 
-def with_bands(df: DataFrame, n: int = 20, tau_0: float = 0.4, tau_min: float = 0.26, tau_max: float = 1.75, k: float = 0.1, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Direction and the 4 centres and 8 edges of the bands, from ``sigma`` and the wide session row.
-
-    Only earlier sessions enter a session's bands, besides its own reference price.
-    """
-    w = over(keys, "session")
+def _with_excursions(df: DataFrame, mean_sigma: Column, tau_0: float, tau_min: float, tau_max: float) -> DataFrame:
+    """``direction``, and the session's excursions in units of its volatility (_ae, _fe); ``mean_sigma`` is that of the look-back."""
     sigma, ref, close = F.col("sigma"), F.col("o_ref"), F.col("c_target_2")
     z_body = ratio(F.abs(F.ln(close / ref)), sigma)
-    z_sigma = ratio(sigma, full(F.avg, sigma, w, n, lag=1))
-    out = df.withColumn("_z_body", z_body).withColumn("_tau", clipped(tau_0 * F.pow(z_sigma, F.lit(-0.5)), tau_min, tau_max))
+    out = df.withColumn("_z_body", z_body).withColumn("_tau", clipped(tau_0 * F.pow(ratio(sigma, mean_sigma), F.lit(-0.5)), tau_min, tau_max))
     strong = F.col("_z_body") > F.col("_tau")
     out = out.withColumn("direction", F.when(strong & (close > ref), "bullish").when(strong & (close < ref), "bearish").otherwise("neutral"))
     up, down = F.greatest(*[f"h_{b}" for b in NAMES]) - ref, ref - F.least(*[f"l_{b}" for b in NAMES])
     for name, bull, bear, flat in (("ae", down, up, F.greatest), ("fe", up, down, F.greatest)):
         eps = F.when(F.col("direction") == "bullish", bull).when(F.col("direction") == "bearish", bear).otherwise(flat(up, down))
         out = out.withColumn(f"_{name}", ratio(eps, sigma))
-    last = F.lag("sigma").over(w)
-    out = out.withColumn("_delta", k * last * ref)
-    for name in ("ae", "fe"):
-        out = out.withColumn(f"_mu_{name}", full(F.avg, F.col(f"_{name}"), w, n, lag=1) * last)
-    columns = {}
+    return out
+
+
+def _with_edges(df: DataFrame, means: dict[str, Column], last: Column, k: float) -> DataFrame:
+    """Centres and edges from the look-back's mean excursions and the last session's volatility."""
+    ref, columns = F.col("o_ref"), {}
+    out = df.withColumn("_delta", k * last * ref).withColumns({f"_mu_{name}": mean * last for name, mean in means.items()})
     for name in ("ae", "fe"):
         for side, sign in (("pos", 1), ("neg", -1)):
             centre = ref + sign * F.col(f"_mu_{name}")
@@ -67,13 +64,40 @@ def with_bands(df: DataFrame, n: int = 20, tau_0: float = 0.4, tau_min: float =
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
-def bands_by_lookback(df: DataFrame, lookbacks: Sequence[int], keys: Sequence[str] = KEYS, **options) -> DataFrame:
-    """The bands for each look-back, told apart by ``lookback``; sigma is used as it is."""
-    parts = [with_bands(df, n, keys=keys, **options).withColumn("lookback", F.lit(n)) for n in sorted(set(lookbacks))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def with_bands(df: DataFrame, n: int = 20, tau_0: float = 0.4, tau_min: float = 0.26, tau_max: float = 1.75, k: float = 0.1, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Direction and the 4 centres and 8 edges of the bands, from ``sigma`` and the wide session row.
+
+    Only earlier sessions enter a session's bands, besides its own reference price.
+    """
+    w = over(keys, "session")
+    out = _with_excursions(df, full(F.avg, F.col("sigma"), w, n, lag=1), tau_0, tau_min, tau_max)
+    return _with_edges(out, {x: full(F.avg, F.col(f"_{x}"), w, n, lag=1) for x in ("ae", "fe")}, F.lag("sigma").over(w), k)
+
+
+def _means_before(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """For each column x, ``{x}_mean`` over the ``lookback`` rows before this one (_i) of its keys and look-back, null unless all have a value.
+
+    Running sums and counts, less those at the frame's other end: one window and one equi-join, whatever the look-backs.
+    """
+    own = [*keys, "lookback"]
+    upto = over(own, "_i").rowsBetween(Window.unboundedPreceding, -1)
+    value = lambda x: finite(F.col(x))
+    sums = {f"{x}_sum": F.coalesce(F.sum(value(x)).over(upto), F.lit(0.0)) for x in columns} | {f"{x}_n": F.count(value(x)).over(upto) for x in columns}
+    rows = df.withColumns(sums)
+    ends = rows.select(*own, (F.col("_i") + F.col("lookback")).alias("_i"), *[F.col(c).alias(f"{c}_end") for c in sums])
+    out = rows.join(ends, [*own, "_i"], "left")
+    less = lambda c: F.col(c) - F.coalesce(f"{c}_end", F.lit(0))
+    out = out.withColumns({f"{x}_mean": F.when(less(f"{x}_n") == F.col("lookback"), less(f"{x}_sum") / F.col("lookback")) for x in columns})
+    return out.drop(*sums, *[f"{c}_end" for c in sums])
+
+
+def bands_by_lookback(df: DataFrame, lookbacks: Sequence[int], tau_0: float = 0.4, tau_min: float = 0.26, tau_max: float = 1.75, k: float = 0.1, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The bands of ``with_bands`` for each look-back, told apart by ``lookback``, in one pass; sigma is used as it is, and counts as missing where it is not finite."""
+    w = over(keys, "session")
+    rows = df.withColumns({"_i": F.row_number().over(w), "_last": F.lag("sigma").over(w)})
+    rows = rows.withColumn("lookback", F.explode(F.array(*map(F.lit, sorted(set(lookbacks))))))
+    rows = _with_excursions(_means_before(rows, ["sigma"], keys), F.col("sigma_mean"), tau_0, tau_min, tau_max).drop("sigma_mean")
+    return _with_edges(_means_before(rows, ["_ae", "_fe"], keys), {x: F.col(f"_{x}_mean") for x in ("ae", "fe")}, F.col("_last"), k)
 
 
 def band_overlays(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

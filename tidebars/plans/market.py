@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebars.functions.rolling import over
-from tidebars.operators import bands, bars, breakout, folds, metrics, regimes, reports, resampling, selection, trades
+from tidebars.operators import bands, bars, breakout, folds, hidden, metrics, regimes, reports, resampling, selection, trades
 from tidebars.operators.breakout import Rules
 from tidebars.operators.trades import Costs
 from tidebars.sources import incremental
@@ -493,14 +493,91 @@ def robust_walk(spark, sf) -> DataFrame:
     return reports.policy_capital(rows.drop("factor"), CASH, ["symbol"])
 
 
+def _stitched(spark, sf, taken: DataFrame, decided: DataFrame, by: list[str]) -> DataFrame:
+    """Figures of one curve a key, from the trades taken in its sessions."""
+    days, curve = trades.replay(tagged(spark, sf), taken, decided, CASH, by, SHARE)
+    flags = curve.join(taken.select(*by, "session", "entry_ts", "exit_ts"), [*by, "session"], "left")
+    held = F.coalesce((F.col("ts") >= F.col("entry_ts")) & (F.col("ts") < F.col("exit_ts")), F.lit(False)).cast("int")
+    curve = flags.select(*by, "session", "ts", "equity", held.alias("in_position"))
+    booked_ = days.filter("trades = 1").select(*by, "session", (F.col("cash_after") - F.col("cash_before")).alias("net_pnl"))
+    return metrics.figures(curve, booked_, CASH, by)
+
+
+def walk_picks(spark, sf) -> DataFrame:
+    """(symbol, fold, session, channel_bars): the length in use in every test session of the older walk-forward."""
+
+    def plan() -> DataFrame:
+        picked = walk(spark, sf).select("symbol", "fold", F.col("params").cast("int").alias("channel_bars"))
+        tests = folds.session_folds(tagged(spark, sf).select("symbol", "session"), 8, 4, 4, ["symbol"]).filter("role = 'test'").drop("role")
+        return tests.join(picked, ["symbol", "fold"])
+
+    return derived(spark, sf, "walk-picks", plan, CHANNELS, CHANNEL, COSTS)
+
+
+def length_trades(spark, sf) -> DataFrame:
+    """The trades of every channel length."""
+    return derived(spark, sf, "length-trades", lambda: grid_trades(spark, sf, {"channel_bars": CHANNELS}), CHANNELS, CHANNEL, COSTS)
+
+
 def walk_figures(spark, sf) -> DataFrame:
     """The older walk-forward as one curve: figures of the chosen lengths' test sessions, stitched from fold to fold."""
-    picked = walk(spark, sf).select("symbol", "fold", F.col("params").cast("int").alias("channel_bars"))
-    tests = folds.session_folds(tagged(spark, sf).select("symbol", "session"), 8, 4, 4, ["symbol"]).filter("role = 'test'").drop("role")
-    decided = tests.join(picked, ["symbol", "fold"])
-    taken = decided.join(grid_trades(spark, sf, {"channel_bars": CHANNELS}), ["symbol", "channel_bars", "session"])
-    days, curve = trades.replay(tagged(spark, sf), taken, decided, CASH, ["symbol"], SHARE)
-    flags = curve.join(taken.select("symbol", "session", "entry_ts", "exit_ts"), ["symbol", "session"], "left")
-    curve = flags.select("symbol", "session", "ts", "equity", F.coalesce((F.col("ts") >= F.col("entry_ts")) & (F.col("ts") < F.col("exit_ts")), F.lit(False)).cast("int").alias("in_position"))
-    booked_ = days.filter("trades = 1").select("symbol", "session", (F.col("cash_after") - F.col("cash_before")).alias("net_pnl"))
-    return metrics.figures(curve, booked_, CASH, ["symbol"])
+    decided = walk_picks(spark, sf)
+    return _stitched(spark, sf, decided.join(length_trades(spark, sf), ["symbol", "channel_bars", "session"]), decided, ["symbol"])
+
+
+# -- the regime filter inside the walk-forward -----------------------------------------------------
+
+MODEL_KEYS = ["symbol", "fold", "channel_bars"]
+LOOK, STATES = 16, 2  # sessions before a test part that its model learns from, and states
+
+
+def length_candidates(spark, sf) -> DataFrame:
+    """Of every channel length the first *resolvable* signal of each session, with its outcome and bar features: one that is not entered does not use the session up."""
+
+    def plan() -> DataFrame:
+        rules, b = replace(CHANNEL, channel_bars=CHANNELS), tagged(spark, sf)
+        rows = breakout.prepare(b, rules).filter("entry_allowed AND ts < force_exit")
+        entered = trades.entries(breakout.signals(rows, rules, variant=["channel_bars"]))
+        left = trades.outcomes(trades.exits(entered, b, variant=["channel_bars"]), COSTS).filter("net_r IS NOT NULL")
+        bars_ = breakout.with_features(prepared(spark, sf)).select("symbol", "ts", *breakout.FEATURES)
+        return breakout.first_of_session(left, ["symbol", "channel_bars"]).join(bars_, ["symbol", "ts"])
+
+    return derived(spark, sf, "length-candidates", plan, CHANNELS, CHANNEL, COSTS)
+
+
+def filter_rows(spark, sf) -> DataFrame:
+    """Each fold's own history and test part, for the length that it uses: (symbol, fold, channel_bars, session, ts, net_r, features, part)."""
+
+    def plan() -> DataFrame:
+        spans = folds.session_folds(tagged(spark, sf).select("symbol", "session"), LOOK, 4, 4, ["symbol"]).withColumn("fold", F.col("fold") + (LOOK - 8) // 4)
+        own = spans.join(walk_picks(spark, sf).select(*MODEL_KEYS).distinct(), ["symbol", "fold"])
+        rows = own.join(length_candidates(spark, sf), ["symbol", "channel_bars", "session"]).select(*MODEL_KEYS, "role", "session", "ts", "net_r", *breakout.FEATURES)
+        past = selection.head_and_tail(rows.filter("role = 'train'"), MODEL_KEYS, "ts", 0.3, 3)
+        return past.unionByName(rows.filter("role = 'test'").withColumn("part", F.lit("test"))).drop("role")
+
+    return derived(spark, sf, "filter-rows", plan, CHANNELS, CHANNEL, COSTS, LOOK)
+
+
+def filter_models(spark, sf) -> DataFrame:
+    """The model of every symbol, fold and length as a written table, with how it was fitted."""
+    return derived(spark, sf, "filter-models", lambda: hidden.fit_models(filter_rows(spark, sf).filter("part = 'head'"), MODEL_KEYS, breakout.FEATURES, states=STATES), CHANNELS, CHANNEL, COSTS, LOOK, STATES)
+
+
+def filtered_candidates(spark, sf) -> DataFrame:
+    """(symbol, fold, channel_bars, session, ts, state, status, allowed) of the test candidates, from the written models alone."""
+    rows = hidden.states_of(filter_rows(spark, sf), filter_models(spark, sf), MODEL_KEYS, breakout.FEATURES)
+    ok = regimes.tradable_states(regimes.state_figures(rows.filter("part = 'head'"), MODEL_KEYS), MODEL_KEYS, 1)
+    out = regimes.apply_filter(rows, ok, regimes.validate(rows, ok, MODEL_KEYS), MODEL_KEYS)
+    return out.filter("part = 'test'").select(*MODEL_KEYS, "session", "ts", "state", "status", "allowed")
+
+
+def walk_with_filter(spark, sf) -> DataFrame:
+    """The older walk-forward with (raw_hmm) and without (raw) the regime filter: figures of both curves. Folds without a model trade as they are."""
+    decided = walk_picks(spark, sf)
+    raw = trades.source_tag(decided.join(length_trades(spark, sf), ["symbol", "channel_bars", "session"]), False, False)
+    verdicts = filtered_candidates(spark, sf).select(*MODEL_KEYS, "ts", "allowed")
+    passed = decided.join(length_candidates(spark, sf), ["symbol", "channel_bars", "session"]).join(verdicts, [*MODEL_KEYS, "ts"], "left").filter(F.coalesce("allowed", F.lit(True)))
+    columns = ["symbol", "session", "source", "side", "entry_ts", "exit_ts", "entry_price", "risk", "net_r"]
+    taken = raw.select(*columns).unionByName(trades.source_tag(passed, False, True).select(*columns))
+    both = decided.select("symbol", "session", F.explode(F.array(F.lit("raw"), F.lit("raw_hmm"))).alias("source"))
+    return _stitched(spark, sf, taken, both, ["symbol", "source"])

@@ -434,6 +434,24 @@ hold_curve AS (
   SELECT h.symbol, t.fold, h.session FROM (SELECT DISTINCT symbol, session FROM history) h
   JOIN (SELECT symbol, fold, min(session) AS first FROM month_folds WHERE role = 'test' GROUP BY ALL) t ON t.symbol = h.symbol WHERE h.session < t.first AND h.session >= (t.first - INTERVAL 3 MONTH)::DATE)"""
 
+LOOKBACKS = (3, 5, 8)
+_FRAME = "(SELECT avg(b.{0}) FROM {1} b WHERE b.symbol = r.symbol{2} AND b.i BETWEEN r.i - r.n AND r.i - 1 HAVING count(b.{0}) = r.n)"
+BY_LOOKBACK = f"""
+lb_rows AS (
+  SELECT *, lag(sigma) OVER (PARTITION BY symbol ORDER BY session) AS last_sigma, row_number() OVER (PARTITION BY symbol ORDER BY session) AS i FROM vol
+), lb_one AS (SELECT * FROM lb_rows CROSS JOIN (VALUES {', '.join(f'({n})' for n in LOOKBACKS)}) x(n)
+), lb_tau AS (SELECT *, abs(ln(c_target_2 / o_ref)) / nullif(sigma, 0) AS z_body, sigma / nullif({_FRAME.format('sigma', 'lb_rows', '')}, 0) AS z_sigma FROM lb_one r
+), lb_dir AS (
+  SELECT *, CASE WHEN strong AND c_target_2 > o_ref THEN 'bullish' WHEN strong AND c_target_2 < o_ref THEN 'bearish' ELSE 'neutral' END AS direction FROM (
+    SELECT *, CASE WHEN z_sigma IS NOT NULL THEN z_body > least(greatest(0.4 * pow(z_sigma, -0.5), 0.26), 1.75) END AS strong, greatest({_HIGH}) - o_ref AS up, o_ref - least({_LOW}) AS down FROM lb_tau)
+), lb_eps AS (
+  SELECT *, CASE direction WHEN 'bullish' THEN down WHEN 'bearish' THEN up ELSE greatest(up, down) END / nullif(sigma, 0) AS ae,
+    CASE direction WHEN 'bullish' THEN up WHEN 'bearish' THEN down ELSE greatest(up, down) END / nullif(sigma, 0) AS fe FROM lb_dir
+), lb_mu AS (
+  SELECT *, {_FRAME.format('ae', 'lb_eps', ' AND b.n = r.n')} * last_sigma AS mu_ae, {_FRAME.format('fe', 'lb_eps', ' AND b.n = r.n')} * last_sigma AS mu_fe, 0.1 * last_sigma * o_ref AS delta FROM lb_eps r
+), by_lookback AS (SELECT symbol, session, n AS lookback, direction, {_EDGES} FROM lb_mu)"""
+
+
 def _tree_sums(name: str, source: str, keys: str, row: str, rows: str) -> str:
     return f"""{name} AS (
   SELECT *, md5(concat_ws('|', rows, a, b)) AS digest FROM (
@@ -534,6 +552,10 @@ ALL: dict[str, Query] = {
     "robust_gate": Query(m.robust_gate, ("symbol", "fold", "accepted", "reason", "trades"), ("mean_diff", "low", "high", "router_drawdown", "general_drawdown")),
     "robust_walk_forward": Query(m.robust_walk, ("symbol", "fold", "policy", "cost", "session", "candidate", "routed"), ("ret", "cash")),
     "state_filter": Query(m.state_filter, ("symbol", "ts", "part", "state", "status", "allowed"), ("net_r",)),
+    "bands_by_lookback": Query(lambda s, d: bands.bands_by_lookback(m.sigma_rows(s, d), LOOKBACKS), ("symbol", "session", "lookback", "direction"), BANDS, "by_lookback", more=BY_LOOKBACK),
+    "filter_models": Query(m.filter_models, ("symbol", "fold", "channel_bars", "n", "status", "rounds"), ("log_evidence",)),
+    "filtered_candidates": Query(m.filtered_candidates, ("symbol", "fold", "channel_bars", "session", "ts", "state", "status", "allowed")),
+    "walk_forward_filtered": Query(m.walk_with_filter, ("symbol", "source", "trades"), ("final_equity", "max_drawdown_pct", "exposure_pct", "net_pnl")),
     "content_fingerprint": Query(m.content, ("rows", "hash_sum", "digest"), (), "content", more=CONTENT),
     "content_tree": Query(m.content_tree, ("level", "session", "symbol", "rows", "digest"), (), "content_tree", more=CONTENT),
     "appended_bands": Query(m.appended_bands, ("symbol", "session", "direction"), ("sigma", *BANDS), "banded"),
