@@ -88,9 +88,75 @@ def grid(spark: SparkSession, values: dict[str, Sequence], most: int = 500_000)
     return identified(out, list(values))
 
 
-def stepped(low: float, high: float, step: float) -> list[float]:
-    """low, low + step, ... up to high."""
-    return [low + i * step for i in range(int((high - low) / step + 1e-9) + 1)]
+class Space:
+    """A stepped search space whose points are numbers: a digit an axis, worked out where it is used, so no list of points is kept anywhere.
+
+    ``axes``: name to {type: int or float, low, high, step} or {type: categorical, choices}.
+    """
+
+    def __init__(self, axes: dict[str, dict]):
+        for name, x in axes.items():
+            if x["type"] == "categorical":
+                if not x.get("choices"):
+                    raise ValueError(f"{name} has no choices")
+            elif x["type"] not in ("int", "float"):
+                raise ValueError(f"{name} has an unknown type")
+            elif not (x["low"] <= x["high"] and x["step"] > 0) or (x["type"] == "int" and any(type(x[k]) is not int for k in ("low", "high", "step"))):
+                raise ValueError(f"{name} has wrong bounds")
+        self.axes = axes
+        self.sizes = [len(x["choices"]) if x["type"] == "categorical" else int((x["high"] - x["low"]) / x["step"] + 1e-9) + 1 for x in axes.values()]
+        self.radix, self.size = [], 1
+        for n in self.sizes:
+            self.radix.append(self.size)
+            self.size *= n
+
+    def digit(self, k: int, point: Column) -> Column:
+        return F.pmod(F.floor(point / self.radix[k]), F.lit(self.sizes[k]))
+
+    def with_values(self, df: DataFrame, point: str = "point") -> DataFrame:
+        """``df`` with a column for each axis of its points."""
+        values = {}
+        for k, (name, x) in enumerate(self.axes.items()):
+            d = self.digit(k, F.col(point))
+            if x["type"] == "categorical":
+                values[name] = F.get(F.array(*map(F.lit, x["choices"])), d)
+            else:
+                values[name] = F.lit(x["low"]) + d * x["step"]
+                values[name] = values[name].cast("int") if x["type"] == "int" else F.round(values[name].cast("double"), 9)
+        return df.withColumns(values)
+
+    def number(self) -> Column:
+        """The number of the point that the axes' columns name."""
+        out = F.lit(0).cast("long")
+        for k, (name, x) in enumerate(self.axes.items()):
+            digit = F.array_position(F.array(*map(F.lit, x["choices"])), F.col(name)) - 1 if x["type"] == "categorical" else F.round((F.col(name) - x["low"]) / x["step"])
+            out = out + digit.cast("long") * self.radix[k]
+        return out
+
+    def neighbours(self, df: DataFrame, point: str = "point") -> DataFrame:
+        """``df`` with the points one step away in one numeric axis (``near``), a row each: a digit more or less, where there is one."""
+        moves = []
+        for k, x in enumerate(self.axes.values()):
+            if x["type"] != "categorical":
+                d = self.digit(k, F.col(point))
+                moves += [F.when(d > 0, F.col(point) - self.radix[k]), F.when(d < self.sizes[k] - 1, F.col(point) + self.radix[k])]
+        return df.withColumn("near", F.explode(F.filter(F.array(*moves), lambda p: p.isNotNull())))
+
+    def trials(self, searches: DataFrame, n: int, seed: int = 1) -> DataFrame:
+        """``searches`` (one row each) with ``n`` different points (trial, point) for every one, in the order of a hash.
+
+        A large space is drawn from, four draws a trial, and the first of each point counts; a small one, of up to 16 points a trial, is put in order whole.
+        """
+        key = F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in searches.columns])
+        hashed = lambda k: F.conv(F.substr(F.md5(F.concat_ws("|", key, k.cast("string"))), F.lit(1), F.lit(15)), 16, 10).cast("long")
+        if self.size > 16 * n:
+            rows = searches.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(4 * n - 1))))
+            rows = rows.withColumn("point", hashed(F.col("draw")) % self.size)
+            rows = rows.groupBy(*searches.columns, "point").agg(F.min("draw").alias("draw"))
+        else:
+            rows = searches.withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.size - 1).cast("long"))))
+            rows = rows.withColumn("draw", hashed(F.col("point")))
+        return rows.withColumn("trial", F.row_number().over(over(searches.columns, "draw", "point"))).filter(F.col("trial") <= n).select(*searches.columns, "trial", "point")
 
 
 def identified(params: DataFrame, names: Sequence[str]) -> DataFrame:

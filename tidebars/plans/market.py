@@ -28,6 +28,17 @@ GATES = {"channel_bars": (10,), "use_bands": (False, True), "use_vwap": (False,
 ROBUST = {"channel_bars": (4, 6, 8, 10, 12, 14), "reward": (1.0, 1.5, 2.0)}
 ROBUST_STEPS = {"channel_bars": (4, 14, 2), "reward": (1.0, 2.0, 0.5)}
 ROLES = (("search", 8), ("calibration", 4), ("gate", 4), ("test", 4))
+#: The steps of a search over channels with bands; 419 244 points.
+SPACE = folds.Space(
+    {
+        "channel_bars": {"type": "int", "low": 10, "high": 160, "step": 5},
+        "band_sessions": {"type": "int", "low": 10, "high": 120, "step": 5},
+        "atr_multiple": {"type": "float", "low": 0.75, "high": 4.0, "step": 0.25},
+        "reward": {"type": "float", "low": 1.0, "high": 6.0, "step": 0.25},
+        "break_even": {"type": "categorical", "choices": [False, True]},
+    }
+)
+TRIALS = 64
 SHARE = 0.01
 SIMULATIONS = 1000
 
@@ -294,9 +305,7 @@ def monte_carlo(spark, sf) -> DataFrame:
 
 def state_filter(spark, sf) -> DataFrame:
     """Channel candidates with features, split, states, and whether the filter lets them through."""
-    ready = breakout.with_features(prepared(spark, sf))
-    t = closed(spark, sf).join(ready.select("symbol", "ts", *breakout.FEATURES), ["symbol", "ts"])
-    rows = selection.head_and_tail(t.select("symbol", "ts", "session", "net_r", *breakout.FEATURES), ["symbol"], "ts", 0.3, 3)
+    rows = candidate_parts(spark, sf)
     rows = regimes.fit_and_filter(rows, ["symbol"], breakout.FEATURES, states=2)
     ok = regimes.tradable_states(regimes.state_figures(rows.filter("part = 'head'"), ["symbol"]), ["symbol"], 1)
     return regimes.apply_filter(rows, ok, regimes.validate(rows, ok, ["symbol"]), ["symbol"])
@@ -311,6 +320,43 @@ def chosen(spark, sf) -> DataFrame:
     return every.join(scored, ["symbol", "fold", "role", "params"], "left").fillna({"r": 0.0})
 
 
+def search_trials(spark, sf) -> DataFrame:
+    """The points of the search space that every fold tries."""
+    searches = folds.session_folds(tagged(spark, sf).select("symbol", "session"), 8, 4, 4, ["symbol"]).select("symbol", "fold").distinct()
+    return SPACE.with_values(SPACE.trials(searches, TRIALS))
+
+
+def trial_neighbours(spark, sf) -> DataFrame:
+    """(symbol, fold, trial, point, near and its values): the points one step from every trial."""
+    near = SPACE.neighbours(search_trials(spark, sf).select("symbol", "fold", "trial", "point"))
+    return SPACE.with_values(near, "near")
+
+
+def bar_features(spark, sf) -> DataFrame:
+    return breakout.with_features(prepared(spark, sf))
+
+
+def candidate_parts(spark, sf) -> DataFrame:
+    """The channel's trades with features, split into an earlier head and a later tail by symbol."""
+    t = closed(spark, sf).join(bar_features(spark, sf).select("symbol", "ts", *breakout.FEATURES), ["symbol", "ts"])
+    return selection.head_and_tail(t.select("symbol", "ts", "session", "net_r", *breakout.FEATURES), ["symbol"], "ts", 0.3, 3)
+
+
+def state_policy(spark, sf) -> DataFrame:
+    """What becomes of candidates whose states are known, here by their bar's body and range: the best state is traded where the tail bears it out."""
+    state = F.when(F.col("body_to_range") < 0.4, 0).when(F.col("bar_range_atr") < 0.2, 1).otherwise(2)
+    rows = candidate_parts(spark, sf).withColumn("state", state)
+    ok = regimes.tradable_states(regimes.state_figures(rows.filter("part = 'head'"), ["symbol"]), ["symbol"], 1, least=3)
+    return regimes.apply_filter(rows, ok, regimes.validate(rows, ok, ["symbol"], least=5), ["symbol"])
+
+
+def state_verdicts(spark, sf) -> DataFrame:
+    """The figures that the filter is judged by, a row a symbol."""
+    rows = state_policy(spark, sf).select("symbol", "ts", "part", "state", "net_r")
+    ok = regimes.tradable_states(regimes.state_figures(rows.filter("part = 'head'"), ["symbol"]), ["symbol"], 1, least=3)
+    return regimes.validate(rows, ok, ["symbol"], least=5)
+
+
 def walk(spark, sf) -> DataFrame:
     """Fold after fold: the parameters in use, renewed only after a losing fold."""
     scored = chosen(spark, sf)

@@ -434,6 +434,47 @@ hold_curve AS (
   SELECT h.symbol, t.fold, h.session FROM (SELECT DISTINCT symbol, session FROM history) h
   JOIN (SELECT symbol, fold, min(session) AS first FROM month_folds WHERE role = 'test' GROUP BY ALL) t ON t.symbol = h.symbol WHERE h.session < t.first AND h.session >= (t.first - INTERVAL 3 MONTH)::DATE)"""
 
+_DIGITS = [(f"point // {r} % {n}", x) for r, n, x in zip(m.SPACE.radix, m.SPACE.sizes, m.SPACE.axes.values(), strict=True)]
+_AXES = ", ".join(
+    f"({d} = 1) AS {name}" if x["type"] == "categorical" else f"CAST({x['low']} + {x['step']} * ({d}) AS {'INTEGER' if x['type'] == 'int' else 'DOUBLE'}) AS {name}" for name, (d, x) in zip(m.SPACE.axes, _DIGITS, strict=True)
+)
+TRIALS = f"""
+draws AS (
+  SELECT symbol, fold, {_drawn(1, 'symbol', 'fold', 'draw')} % {m.SPACE.size} AS point, min(draw) AS draw FROM (SELECT DISTINCT symbol, fold FROM session_folds) CROSS JOIN range({4 * m.TRIALS}) d(draw) GROUP BY 1, 2, 3
+), trials AS (SELECT symbol, fold, row_number() OVER (PARTITION BY symbol, fold ORDER BY draw) AS trial, point FROM draws QUALIFY trial <= {m.TRIALS}
+), search_trials AS (SELECT *, {_AXES} FROM trials
+), trial_moves AS ({' UNION ALL '.join(f"SELECT symbol, fold, trial, point AS origin, point {'+' if up else '-'} {r} AS point FROM trials WHERE {d} {'< ' + str(n - 1) if up else '> 0'}" for r, n, (d, x) in zip(m.SPACE.radix, m.SPACE.sizes, _DIGITS, strict=True) if x['type'] != 'categorical' for up in (0, 1))}
+), trial_near AS (SELECT symbol, fold, trial, origin, point AS near, {_AXES} FROM trial_moves)"""
+_KBAR = "close / nullif(lag(close, {k}) OVER w, 0) - 1"
+FEATURES = f"""
+feat_in AS (
+  SELECT t.*, s.atr_session, rma * 2 AS atr_stop, close / lag(close) OVER (PARTITION BY t.symbol ORDER BY t.ts) - 1 AS r1
+  FROM tr t LEFT JOIN rma ON rma.symbol = t.symbol AND rma.ts = t.ts LEFT JOIN spans s ON s.symbol = t.symbol AND s.session = t.session
+), feats AS (
+  SELECT symbol, ts, {', '.join(f'coalesce({_KBAR.format(k=k)}, 0) AS return_{k}' for k in (1, 3, 6))},
+    coalesce(CASE WHEN count(r1) OVER v >= 3 THEN stddev_samp(r1) OVER v END, 0) AS volatility_12, coalesce(greatest(high - low, 1e-9) / nullif(atr_session, 0), 0) AS bar_range_atr,
+    coalesce(abs(close - open) / greatest(high - low, 1e-9), 0) AS body_to_range, coalesce((close - vwap) / nullif(atr_session, 0), 0) AS close_vs_vwap_atr, coalesce(atr_stop / nullif(atr_session, 0), 0) AS atr_stop_atr_session
+  FROM feat_in WINDOW w AS (PARTITION BY symbol ORDER BY ts), v AS (PARTITION BY symbol ORDER BY ts ROWS 11 PRECEDING)
+), parts AS (
+  SELECT c.symbol, c.ts, c.session, net_r, {', '.join(f'f.{x}' for x in breakout.FEATURES)},
+    CASE WHEN row_number() OVER (PARTITION BY c.symbol ORDER BY c.ts) > count(*) OVER (PARTITION BY c.symbol) - greatest(3, CAST(round_even(0.3 * count(*) OVER (PARTITION BY c.symbol), 0) AS BIGINT)) THEN 'tail' ELSE 'head' END AS part
+  FROM ch c JOIN feats f ON f.symbol = c.symbol AND f.ts = c.ts
+), stated AS (SELECT *, CASE WHEN body_to_range < 0.4 THEN 0 WHEN bar_range_atr < 0.2 THEN 1 ELSE 2 END AS state FROM parts
+), state_fig AS (
+  SELECT symbol, state, count(*) AS n, sum(net_r) AS total, avg(net_r) AS expectancy, avg((net_r > 0)::INT) AS win FROM stated WHERE part = 'head' GROUP BY ALL
+), best_state AS (
+  -- of one state to trade: the first that qualifies, and the best of all whether it does or not
+  SELECT symbol, state FROM (SELECT *, row_number() OVER w AS place, n >= 3 AND expectancy > 0 AS fits, sum((n >= 3 AND expectancy > 0)::INT) OVER (w ROWS UNBOUNDED PRECEDING) AS q
+    FROM state_fig WINDOW w AS (PARTITION BY symbol ORDER BY expectancy DESC, total DESC, win DESC, n DESC, state DESC)) WHERE place = 1 OR (fits AND q = 1)
+), tails AS (
+  SELECT t.symbol, count(*) AS n, count(b.state) AS allowed, avg(net_r) AS baseline, avg(net_r) FILTER (b.state IS NOT NULL) AS filtered
+  FROM stated t LEFT JOIN best_state b ON b.symbol = t.symbol AND b.state = t.state WHERE part = 'tail' GROUP BY t.symbol
+), verdicts AS (
+  SELECT *, allowed / n AS allow_rate, filtered - baseline AS improvement,
+    CASE WHEN n < 5 THEN 'insufficient_validation_samples' WHEN allowed = 0 THEN 'no_allowed_candidates' WHEN allowed / n < 0.05 THEN 'allow_rate_too_low' WHEN filtered - baseline <= 0 THEN 'no_improvement' ELSE 'valid' END AS status FROM tails
+), policy AS (
+  SELECT t.*, v.status, CASE WHEN v.status = 'valid' THEN b.state IS NOT NULL ELSE TRUE END AS allowed FROM stated t LEFT JOIN verdicts v ON v.symbol = t.symbol LEFT JOIN best_state b ON b.symbol = t.symbol AND b.state = t.state
+)"""
 LOOKBACKS = (3, 5, 8)
 _FRAME = "(SELECT avg(b.{0}) FROM {1} b WHERE b.symbol = r.symbol{2} AND b.i BETWEEN r.i - r.n AND r.i - 1 HAVING count(b.{0}) = r.n)"
 BY_LOOKBACK = f"""
@@ -553,6 +594,14 @@ ALL: dict[str, Query] = {
     "robust_walk_forward": Query(m.robust_walk, ("symbol", "fold", "policy", "cost", "session", "candidate", "routed"), ("ret", "cash")),
     "state_filter": Query(m.state_filter, ("symbol", "ts", "part", "state", "status", "allowed"), ("net_r",)),
     "bands_by_lookback": Query(lambda s, d: bands.bands_by_lookback(m.sigma_rows(s, d), LOOKBACKS), ("symbol", "session", "lookback", "direction"), BANDS, "by_lookback", more=BY_LOOKBACK),
+    "search_trials": Query(m.search_trials, ("symbol", "fold", "trial", "point", "channel_bars", "band_sessions", "break_even"), ("atr_multiple", "reward"), "search_trials", more=TRIALS),
+    "trial_neighbours": Query(
+        lambda s, d: m.trial_neighbours(s, d).withColumnRenamed("point", "origin"), ("symbol", "fold", "trial", "origin", "near", "channel_bars", "band_sessions", "break_even"), ("atr_multiple", "reward"), "trial_near", more=TRIALS
+    ),
+    "bar_features": Query(m.bar_features, ("symbol", "ts"), breakout.FEATURES, "feats", 8, more=FEATURES),
+    "candidate_parts": Query(m.candidate_parts, ("symbol", "ts", "session", "part"), ("net_r", *breakout.FEATURES), "parts", more=FEATURES),
+    "state_policy": Query(m.state_policy, ("symbol", "ts", "part", "state", "status", "allowed"), ("net_r",), "policy", more=FEATURES),
+    "state_verdicts": Query(m.state_verdicts, ("symbol", "n", "allowed", "status"), ("baseline", "filtered", "allow_rate", "improvement"), "verdicts", more=FEATURES),
     "filter_models": Query(m.filter_models, ("symbol", "fold", "channel_bars", "n", "status", "rounds"), ("log_evidence",)),
     "filtered_candidates": Query(m.filtered_candidates, ("symbol", "fold", "channel_bars", "session", "ts", "state", "status", "allowed")),
     "walk_forward_filtered": Query(m.walk_with_filter, ("symbol", "source", "trades"), ("final_equity", "max_drawdown_pct", "exposure_pct", "net_pnl")),
