@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Sequence
 from datetime import date
 from typing import NamedTuple
@@ -64,7 +66,7 @@ def _slot(n: int) -> str:
     return f"SELECT symbol, session, {n} AS target_slot, c_target_2 AS daily_close, o_pre_target_1 AS o_ref, {', '.join(parts)} FROM wide"
 
 
-def _channel(name: str, n: int, mode: str = "both", source: str = "tagged", long: str = "close > rh", short: str = "close < rl") -> str:
+def _channel(name: str, n: int, mode: str = "both", source: str = "tagged", long: str = "close > rh", short: str = "close < rl", reward: float = 1.5) -> str:
     """From bars to priced trades of a channel of n bars, as a chain of relations that end in ``name``."""
     short = "FALSE" if mode == "long" else short
     return f"""
@@ -78,7 +80,7 @@ def _channel(name: str, n: int, mode: str = "both", source: str = "tagged", long
     SELECT *, CASE WHEN {long} THEN 1 WHEN {short} THEN -1 END AS side FROM {name}_p WHERE ts < force_exit AND rh IS NOT NULL AND rl IS NOT NULL
   ) WHERE side IS NOT NULL
 ), {name}_s AS (
-  SELECT symbol, session, ts, side, close, stop, close + side * 1.5 * risk0 AS target, close + side * risk0 AS trig, close AS moved_stop, force_exit, entry_ts, entry_open, nxt
+  SELECT symbol, session, ts, side, close, stop, close + side * {reward} * risk0 AS target, close + side * risk0 AS trig, close AS moved_stop, force_exit, entry_ts, entry_open, nxt
   FROM {name}_g WHERE risk0 > 0
 ), {name}_e AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, session ORDER BY ts) AS rn FROM {name}_s) WHERE rn = 1 AND nxt = session AND entry_ts < force_exit
@@ -475,6 +477,115 @@ feat_in AS (
 ), policy AS (
   SELECT t.*, v.status, CASE WHEN v.status = 'valid' THEN b.state IS NOT NULL ELSE TRUE END AS allowed FROM stated t LEFT JOIN verdicts v ON v.symbol = t.symbol LEFT JOIN best_state b ON b.symbol = t.symbol AND b.state = t.state
 )"""
+def _pid(n: int, reward: float) -> str:
+    return hashlib.sha256(json.dumps({"channel_bars": n, "reward": reward}, separators=(",", ":")).encode()).hexdigest()
+
+
+_SETS = [(f"rb{k}", n, r, _pid(n, r)) for k, (n, r) in enumerate((n, r) for n in m.ROBUST["channel_bars"] for r in m.ROBUST["reward"])]
+_SEARCH, _CALIBRATION, _TESTED = (m.ROLES[0][1], m.ROLES[0][1] + m.ROLES[1][1], m.ROLES[-1][1])
+_WHOLE = sum(n for _, n in m.ROLES)
+_RSTEP = m.ROBUST_STEPS["channel_bars"][2], m.ROBUST_STEPS["reward"][2]
+#: The robust walk-forward from the trades of the whole grid to the cash out of sample.
+ROBUST = (
+    ", ".join(_channel(name, n, reward=r).strip() for name, n, r, _ in _SETS)
+    + ", rb_all AS ("
+    + " UNION ALL ".join(f"SELECT '{pid}' AS pid, * FROM {name}" for name, _, _, pid in _SETS)
+    + f"""), rt AS (
+  SELECT symbol, session, pid, 1 AS factor, side, entry_ts, exit_ts, entry_price, risk, net_r FROM rb_all
+  UNION ALL SELECT symbol, session, pid, 2, side, entry_ts, exit_ts, e, abs(e - stop), (side * (x - e) - 0.4) / nullif(abs(e - stop), 0) FROM (SELECT *, entry_price + side * 0.25 AS e, exit_price - side * 0.25 AS x FROM rb_all)
+), sets(pid, n, reward) AS (VALUES {', '.join(f"('{pid}', {n}, {r}::DOUBLE)" for _, n, r, pid in _SETS)}
+), rroles AS (
+  SELECT d.symbol, f.fold::INT AS fold, session, CASE WHEN i - f.fold * {_TESTED} < {_SEARCH} THEN 'search' WHEN i - f.fold * {_TESTED} < {_CALIBRATION} THEN 'calibration' WHEN i - f.fold * {_TESTED} < {_WHOLE - _TESTED} THEN 'gate' ELSE 'test' END AS role
+  FROM fold_days d, range(200) f(fold) WHERE i >= f.fold * {_TESTED} AND i < f.fold * {_TESTED} + {_WHOLE} AND f.fold * {_TESTED} + {_WHOLE} <= (SELECT count(*) FROM fold_days x WHERE x.symbol = d.symbol)
+), cdays AS (
+  SELECT r.symbol, r.fold, r.role, p.pid, r.session, coalesce(0.01 * t.net_r, 0) AS ret, t.net_r IS NOT NULL AS traded
+  FROM rroles r JOIN (SELECT DISTINCT symbol, pid FROM rt WHERE factor = 1) p ON p.symbol = r.symbol LEFT JOIN rt t ON t.factor = 1 AND t.symbol = r.symbol AND t.pid = p.pid AND t.session = r.session
+), sdays AS (
+  SELECT *, CASE WHEN k <= {_SEARCH // 2} THEN 1 ELSE 2 END AS block, exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol, fold, pid ORDER BY k ROWS UNBOUNDED PRECEDING)) AS path
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol, fold, pid ORDER BY session) AS k FROM cdays WHERE role = 'search')
+), sblocks AS (SELECT symbol, fold, pid, block, avg(ret) AS mean, stddev_pop(ret) AS sd, count(*) FILTER (traded) AS t FROM sdays GROUP BY ALL
+), sfalls AS (
+  SELECT symbol, fold, pid, min(path / greatest(1, peak) - 1) AS dd, min(ret) AS least, count(*) FILTER (traded) AS total
+  FROM (SELECT *, max(path) OVER (PARTITION BY symbol, fold, pid ORDER BY k ROWS UNBOUNDED PRECEDING) AS peak FROM sdays) GROUP BY ALL
+), sscores AS (
+  SELECT b.symbol, b.fold, b.pid, quantile_cont(mean / sd * sqrt(252), 0.5) - 0.5 * (quantile_cont(mean / sd * sqrt(252), 0.75) - quantile_cont(mean / sd * sqrt(252), 0.25)) - abs(any_value(dd)) AS score
+  FROM sblocks b JOIN sfalls f ON f.symbol = b.symbol AND f.fold = b.fold AND f.pid = b.pid GROUP BY b.symbol, b.fold, b.pid HAVING any_value(least) > -1 AND any_value(total) >= 2 AND min(t) >= 1 AND min(sd) > 0
+), short_list AS (SELECT symbol, fold, pid FROM sscores QUALIFY row_number() OVER (PARTITION BY symbol, fold ORDER BY score DESC, pid) <= 4
+), near AS (SELECT a.pid AS origin, b.pid FROM sets a JOIN sets b ON a.pid = b.pid OR (a.reward = b.reward AND abs(a.n - b.n) = {_RSTEP[0]}) OR (a.n = b.n AND abs(a.reward - b.reward) = {_RSTEP[1]})
+), finals AS (
+  SELECT symbol, fold, params_id, score, row_number() OVER (PARTITION BY symbol, fold ORDER BY score DESC, params_id) AS rank FROM (
+    SELECT s.symbol, s.fold, s.pid AS params_id, quantile_cont(coalesce(c.score, -1e300), 0.5) AS score FROM short_list s JOIN near n ON n.origin = s.pid
+    LEFT JOIN sscores c ON c.symbol = s.symbol AND c.fold = s.fold AND c.pid = n.pid GROUP BY s.symbol, s.fold, s.pid) WHERE score > -1e200 QUALIFY rank <= 4
+), rgeneral AS (SELECT symbol, fold, params_id AS general FROM finals WHERE rank = 1
+), rvol AS (
+  SELECT symbol, session, CASE WHEN count(r) OVER w = 4 THEN stddev_pop(r) OVER w END AS volatility
+  FROM (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY session)) AS r FROM (SELECT symbol, session, last(close ORDER BY ts) AS close FROM tagged GROUP BY ALL))
+  WINDOW w AS (PARTITION BY symbol ORDER BY session ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)
+), rlimits AS (
+  SELECT r.symbol, r.fold, quantile_cont(volatility, 1 / 3.0) AS lower, quantile_cont(volatility, 2 / 3.0) AS upper FROM rroles r JOIN rvol v ON v.symbol = r.symbol AND v.session = r.session WHERE role = 'search' GROUP BY ALL
+), rtags AS (
+  SELECT r.symbol, r.fold, r.role, r.session, g.general, CASE WHEN volatility <= lower THEN 'low' WHEN volatility <= upper THEN 'normal' WHEN volatility > upper THEN 'high' ELSE 'unknown' END AS regime
+  FROM rroles r JOIN rvol v ON v.symbol = r.symbol AND v.session = r.session JOIN rgeneral g ON g.symbol = r.symbol AND g.fold = r.fold LEFT JOIN rlimits l ON l.symbol = r.symbol AND l.fold = r.fold
+), rcal AS (
+  SELECT c.symbol, c.fold, c.pid, c.session, c.ret, c.traded, t.regime FROM cdays c JOIN finals f ON f.symbol = c.symbol AND f.fold = c.fold AND f.params_id = c.pid
+  LEFT JOIN rtags t ON t.symbol = c.symbol AND t.fold = c.fold AND t.session = c.session AND t.role = 'calibration' WHERE c.role = 'calibration'
+), rper AS (SELECT symbol, fold, pid, regime, count(*) AS n, count(*) FILTER (traded) AS t, avg(ret) AS rm, avg(ret * ret) AS rq FROM rcal WHERE regime IN ('low', 'normal', 'high') GROUP BY ALL
+), rscores AS (
+  SELECT symbol, fold, pid, regime, mm / sqrt(v) * sqrt(252) AS score FROM (
+    SELECT *, greatest(w * rq + (1 - w) * gq - mm * mm, 0) AS v FROM (
+      SELECT p.*, g.gq, n / (n + 5.0) AS w, n / (n + 5.0) * rm + (1 - n / (n + 5.0)) * gm AS mm FROM rper p JOIN (SELECT symbol, fold, pid, avg(ret) AS gm, avg(ret * ret) AS gq FROM rcal GROUP BY ALL) g ON g.symbol = p.symbol AND g.fold = p.fold AND g.pid = p.pid))
+  WHERE n >= 1 AND t >= 1 AND v > 0
+), rlibrary AS (SELECT symbol, fold, regime, first(pid ORDER BY score DESC, pid) AS candidate FROM rscores GROUP BY ALL
+), rsteps AS (
+  SELECT t.symbol, t.fold, t.role, t.session, t.general, nullif(t.regime, 'unknown') AS regime, coalesce(l.candidate, t.general) AS goal, row_number() OVER (PARTITION BY t.symbol, t.fold, t.role ORDER BY t.session) AS k
+  FROM rtags t LEFT JOIN rlibrary l ON l.symbol = t.symbol AND l.fold = t.fold AND l.regime = t.regime WHERE t.role IN ('gate', 'test')
+), rroutes AS (
+  SELECT symbol, fold, role, session, k, general, general AS candidate, CASE WHEN regime IS NOT NULL AND goal <> general THEN regime END AS pending, CASE WHEN regime IS NOT NULL AND goal <> general THEN 1 ELSE 0 END AS n FROM rsteps WHERE k = 1
+  UNION ALL
+  SELECT symbol, fold, role, session, k, general, CASE WHEN regime IS NULL THEN general WHEN goal <> active AND c >= 2 THEN goal ELSE active END, CASE WHEN regime IS NULL OR goal = active OR c >= 2 THEN NULL ELSE regime END, CASE WHEN regime IS NULL OR goal = active OR c >= 2 THEN 0 ELSE c END
+  FROM (SELECT x.*, r.candidate AS active, CASE WHEN r.pending = x.regime THEN r.n + 1 ELSE 1 END AS c FROM rroutes r JOIN rsteps x ON x.symbol = r.symbol AND x.fold = r.fold AND x.role = r.role AND x.k = r.k + 1)
+), gdecided AS (
+  SELECT symbol, fold, session, 'router' AS policy, candidate AS pid FROM rroutes WHERE role = 'gate' UNION ALL SELECT symbol, fold, session, 'general', general FROM rroutes WHERE role = 'gate'
+), gdays AS (
+  SELECT *, cash_before * gain AS cash_after, CASE WHEN cash_before > 0 THEN gain - 1 ELSE 0 END AS ret, (entry_ts IS NOT NULL)::INT AS trades FROM (
+    SELECT *, 100000 * exp(coalesce(sum(ln(gain)) OVER (PARTITION BY symbol, fold, policy ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS cash_before FROM (
+      SELECT d.*, t.side, t.entry_ts, t.exit_ts, t.entry_price, t.risk, greatest(1 + 0.01 * coalesce(t.net_r, 0), 0) AS gain FROM gdecided d LEFT JOIN rt t ON t.factor = 1 AND t.symbol = d.symbol AND t.pid = d.pid AND t.session = d.session))
+), gcurve AS (
+  SELECT d.symbol, d.fold, d.policy, b.ts, cash_before * CASE WHEN b.ts >= entry_ts AND b.ts < exit_ts THEN 1 + 0.01 * coalesce(side * (b.close - entry_price) / nullif(risk, 0), 0) WHEN b.ts >= exit_ts THEN gain ELSE 1 END AS equity
+  FROM gdays d JOIN tagged b ON b.symbol = d.symbol AND b.session = d.session
+), gfalls AS (
+  SELECT symbol, fold, policy, min(equity / greatest(100000, peak) - 1) AS dd FROM (SELECT *, max(equity) OVER (PARTITION BY symbol, fold, policy ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak FROM gcurve) GROUP BY ALL
+), gdiffs AS (
+  SELECT a.symbol, a.fold, a.ret - b.ret AS diff, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY a.symbol, a.fold) AS n, sum(a.ret - b.ret) OVER (w ROWS UNBOUNDED PRECEDING) AS run
+  FROM gdays a JOIN gdays b ON a.policy = 'router' AND b.policy = 'general' AND b.symbol = a.symbol AND b.fold = a.fold AND b.session = a.session WINDOW w AS (PARTITION BY a.symbol, a.fold ORDER BY a.session)
+), gdrawn AS (
+  SELECT symbol, fold, n, sim, least(b, n - k * b) AS len, {_drawn(1, 'symbol', 'fold', 'sim', 'k')} % (n - b + 1) AS s FROM (
+    SELECT symbol, fold, n, b, sim, unnest(range(CAST(ceil(n / b) AS BIGINT))) AS k FROM (SELECT DISTINCT symbol, fold, n, least({m.ROLES[2][1]}, n) AS b FROM gdiffs) CROSS JOIN range({m.SIMULATIONS}) r(sim))
+), gmeans AS (
+  SELECT d.symbol, d.fold, sim, sum(hi.run - coalesce(lo.run, 0)) / any_value(d.n) AS mean FROM gdrawn d JOIN gdiffs hi ON hi.symbol = d.symbol AND hi.fold = d.fold AND hi.i = d.s + d.len - 1
+  LEFT JOIN gdiffs lo ON lo.symbol = d.symbol AND lo.fold = d.fold AND lo.i = d.s - 1 GROUP BY d.symbol, d.fold, sim
+), gpaths AS (
+  SELECT symbol, fold, policy, min(path / greatest(1, peak) - 1) AS dd FROM (SELECT *, max(path) OVER (PARTITION BY symbol, fold, policy ORDER BY session ROWS UNBOUNDED PRECEDING) AS peak FROM (
+    SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol, fold, policy ORDER BY session ROWS UNBOUNDED PRECEDING)) AS path FROM gdays)) GROUP BY ALL
+), ggate AS (
+  SELECT *, reason = 'accepted' AS accepted FROM (
+    SELECT q.symbol, q.fold, mean_diff, low, high, r.dd AS router_drawdown, g.dd AS general_drawdown, t.trades,
+      CASE WHEN t.trades < 1 THEN 'insufficient_gate_trades' WHEN NOT low > 0 THEN 'bootstrap_improvement_not_positive' WHEN pr.dd < pg.dd THEN 'drawdown_not_improved' WHEN r.dd < g.dd - 1e-12 THEN 'worse_close_marked_drawdown' ELSE 'accepted' END AS reason
+    FROM (SELECT symbol, fold, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM gmeans GROUP BY ALL) q JOIN (SELECT symbol, fold, avg(diff) AS mean_diff FROM gdiffs GROUP BY ALL) USING (symbol, fold)
+    JOIN (SELECT symbol, fold, min(n) AS trades FROM (SELECT symbol, fold, policy, sum(trades)::BIGINT AS n FROM gdays GROUP BY ALL) GROUP BY ALL) t USING (symbol, fold)
+    JOIN (SELECT * FROM gfalls WHERE policy = 'router') r USING (symbol, fold) JOIN (SELECT * FROM gfalls WHERE policy = 'general') g USING (symbol, fold)
+    JOIN (SELECT * FROM gpaths WHERE policy = 'router') pr USING (symbol, fold) JOIN (SELECT * FROM gpaths WHERE policy = 'general') pg USING (symbol, fold))
+), tdecided AS (
+  SELECT r.symbol, r.fold, r.session, x.candidate, x.general, coalesce(g.accepted, FALSE) AS ok FROM rroles r LEFT JOIN rroutes x ON x.role = 'test' AND x.symbol = r.symbol AND x.fold = r.fold AND x.session = r.session
+  LEFT JOIN ggate g ON g.symbol = r.symbol AND g.fold = r.fold WHERE r.role = 'test'
+), tpolicies AS (
+  SELECT symbol, fold, session, 'general' AS policy, coalesce(general, 'cash') AS candidate, FALSE AS routed FROM tdecided
+  UNION ALL SELECT symbol, fold, session, 'regime', coalesce(CASE WHEN ok THEN candidate ELSE general END, 'cash'), ok FROM tdecided
+), rwalk AS (
+  SELECT *, 100000 * exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol, policy, cost ORDER BY session ROWS UNBOUNDED PRECEDING)) AS cash FROM (
+    SELECT p.*, k.cost, coalesce(0.01 * t.net_r, 0) AS ret FROM tpolicies p CROSS JOIN (VALUES ('normal', 1), ('stress', 2)) k(cost, factor) LEFT JOIN rt t ON t.symbol = p.symbol AND t.pid = p.candidate AND t.session = p.session AND t.factor = k.factor)
+)"""
+)
 LOOKBACKS = (3, 5, 8)
 _FRAME = "(SELECT avg(b.{0}) FROM {1} b WHERE b.symbol = r.symbol{2} AND b.i BETWEEN r.i - r.n AND r.i - 1 HAVING count(b.{0}) = r.n)"
 BY_LOOKBACK = f"""
@@ -588,10 +699,11 @@ ALL: dict[str, Query] = {
     "dated_bars": Query(lambda s, d: bars.between_dates(m.tagged(s, d), date(2024, 1, 10), date(2024, 1, 20)), ("symbol", "ts", "session", "bucket"), OHLCV, "dated", more=PLAIN),
     "session_closes": Query(lambda s, d: selection.last_closes(m.tagged(s, d)), ("symbol", "session"), ("close",), "closes", more=PLAIN),
     "lookback_sessions": Query(lambda s, d: folds.lookback_window(m.month_folds(s, d), m.history(s, d), 3), ("symbol", "fold", "session"), (), "look_back", more=PLAIN),
-    "robust_finalists": Query(m.finalists, ("symbol", "fold", "params_id", "rank"), ("score",)),
-    "gate_replay": Query(m.replayed, ("symbol", "fold", "policy", "session", "trades"), ("cash_before", "cash_after", "ret")),
-    "robust_gate": Query(m.robust_gate, ("symbol", "fold", "accepted", "reason", "trades"), ("mean_diff", "low", "high", "router_drawdown", "general_drawdown")),
-    "robust_walk_forward": Query(m.robust_walk, ("symbol", "fold", "policy", "cost", "session", "candidate", "routed"), ("ret", "cash")),
+    "robust_finalists": Query(m.finalists, ("symbol", "fold", "params_id", "rank"), ("score",), "finals", more=ROBUST),
+    "robust_routes": Query(m.robust_routes, ("symbol", "fold", "role", "session", "candidate", "general"), (), "rroutes", more=ROBUST),
+    "gate_replay": Query(m.replayed, ("symbol", "fold", "policy", "session", "trades"), ("cash_before", "cash_after", "ret"), "gdays", more=ROBUST),
+    "robust_gate": Query(m.robust_gate, ("symbol", "fold", "accepted", "reason", "trades"), ("mean_diff", "low", "high", "router_drawdown", "general_drawdown"), "ggate", more=ROBUST),
+    "robust_walk_forward": Query(m.robust_walk, ("symbol", "fold", "policy", "cost", "session", "candidate", "routed"), ("ret", "cash"), "rwalk", more=ROBUST),
     "state_filter": Query(m.state_filter, ("symbol", "ts", "part", "state", "status", "allowed"), ("net_r",)),
     "bands_by_lookback": Query(lambda s, d: bands.bands_by_lookback(m.sigma_rows(s, d), LOOKBACKS), ("symbol", "session", "lookback", "direction"), BANDS, "by_lookback", more=BY_LOOKBACK),
     "search_trials": Query(m.search_trials, ("symbol", "fold", "trial", "point", "channel_bars", "band_sessions", "break_even"), ("atr_multiple", "reward"), "search_trials", more=TRIALS),
