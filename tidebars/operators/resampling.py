@@ -67,6 +67,16 @@ def highlights(sims: DataFrame, by: Sequence[str], col: str = "final_equity") ->
     return rows.groupBy(*by).agg(pick(0).alias("worst"), pick(F.floor(F.col("_n") / 2)).alias("median"), pick(F.col("_n") - 1).alias("best"))
 
 
+def path_bands(paths: DataFrame, by: Sequence[str], cash: float, shares: Sequence[float] = (0.05, 0.5, 0.95), accuracy: int = 1000) -> DataFrame:
+    """(by, step, sims, q): the quantiles of simulated equity after every step, from mergeable sketches that are off by a rank of at most 1 / ``accuracy``.
+
+    Simulations of a step are summed up where they are made, so no task holds all of a step's.
+    """
+    w = over([*by, "sim"], "step").rowsBetween(Window.unboundedPreceding, 0)
+    rows = paths.withColumn("equity", cash + F.sum("pnl").over(w))
+    return rows.groupBy(*by, "step").agg(F.count("*").alias("sims"), F.percentile_approx("equity", list(shares), accuracy).alias("q"))
+
+
 def capped_paths(paths: DataFrame, most: int) -> DataFrame:
     """The paths of the first simulations only, for drawing."""
     return paths.filter(F.col("sim") < most)

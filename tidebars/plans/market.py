@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebars.functions.rolling import over
@@ -23,6 +23,7 @@ CASH = 100_000.0
 N_VOL, N_BAND = 5, 5
 WIDTH, ZONE = "30 minutes", "America/New_York"
 CHANNELS = (6, 10, 14)
+SYMBOLS = ("click", "error", "purchase", "signup", "view")
 SWEEP = {"channel_bars": CHANNELS, "side_mode": ("both", "long")}
 GATES = {"channel_bars": (10,), "use_bands": (False, True), "use_vwap": (False, True), "use_atr_buffer": (False, True)}
 ROBUST = {"channel_bars": (4, 6, 8, 10, 12, 14), "reward": (1.0, 1.5, 2.0)}
@@ -245,7 +246,29 @@ def ablation(spark, sf) -> DataFrame:
     return reports.compared(metrics.trade_figures(found, ["symbol", "factor", "variant"], "net_points"), ["symbol", "factor"], "raw", "net_pnl")
 
 
+def order_root(spark, sf) -> str:
+    """The digest of the orders' content, kept by file."""
+    columns = ["o_orderpriority", "o_orderdate", "o_totalprice", "o_orderkey"]
+
+    def look() -> str:
+        path = f"{sf}/orders.parquet"
+        folder = f"{scratch(spark)}/order-parts/{incremental.settings_digest(path)}"
+        parts = incremental.source_leaves(spark, path, folder, lambda rows: rows, (), columns)
+        return incremental.root_of(parts, (), states(spark, folder)[-1])
+
+    return _once(("orders", sf), look)
+
+
+def of_orders(spark, sf, name: str, plan: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the orders, built once for each content of theirs and version of the code."""
+    return materialize(spark, f"{scratch(spark)}/{name}", incremental.settings_digest(order_root(spark, sf), name), plan)
+
+
 def history(spark, sf) -> DataFrame:
+    return of_orders(spark, sf, "order-history", lambda: _history(spark, sf))
+
+
+def _history(spark, sf) -> DataFrame:
     """(symbol, session, close, ret): each priority's last order value a day, and the log change squeezed into +-10%."""
     o = renamed(load(spark, f"{sf}/orders.parquet"), {"symbol": "o_orderpriority", "ts": "o_orderdate", "price": "o_totalprice", "seq": "o_orderkey"})
     day = o.groupBy("symbol", F.to_date("ts").alias("session")).agg(F.max_by("price", "seq").alias("close"))
@@ -258,6 +281,10 @@ def month_folds(spark, sf) -> DataFrame:
 
 
 def labelled(spark, sf) -> DataFrame:
+    return of_orders(spark, sf, "order-regimes", lambda: _labelled(spark, sf))
+
+
+def _labelled(spark, sf) -> DataFrame:
     vol = selection.session_volatility(history(spark, sf))
     return selection.regimes(vol, selection.thresholds(vol, ["symbol"]), ["symbol"])
 
@@ -282,6 +309,10 @@ def regime_library(spark, sf) -> DataFrame:
 
 
 def routing(spark, sf) -> DataFrame:
+    return of_orders(spark, sf, "order-routes", lambda: _routing(spark, sf))
+
+
+def _routing(spark, sf) -> DataFrame:
     return selection.route(labelled(spark, sf).select("symbol", "session", "regime"), regime_library(spark, sf), ["symbol"], "as_is")
 
 
@@ -303,6 +334,55 @@ def monte_carlo(spark, sf) -> DataFrame:
     return resampling.method_summary(sims, ["symbol"])
 
 
+def simulated(spark, sf) -> DataFrame:
+    return resampling.simulations(booked(spark, sf), ["symbol"], CASH, SIMULATIONS)
+
+
+def path_highlights(spark, sf) -> DataFrame:
+    """The numbers of the worst, the median and the best simulation of every method, by return to six decimals."""
+    return resampling.highlights(simulated(spark, sf).withColumn("pct", F.round("total_return_pct", 6)), ["symbol", "method"], "pct")
+
+
+def drawn_paths(spark, sf) -> DataFrame:
+    """Every symbol's first three bootstrapped paths, step by step."""
+    paths = resampling.capped_paths(resampling.bootstrap_trades(booked(spark, sf), ["symbol"], SIMULATIONS), 3)
+    return paths.withColumn("equity", CASH + F.sum("pnl").over(over(["symbol", "sim"], "step").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def path_bands(spark, sf) -> DataFrame:
+    found = resampling.path_bands(resampling.bootstrap_trades(booked(spark, sf), ["symbol"], SIMULATIONS), ["symbol"], CASH)
+    return found.select("symbol", "step", "sims", *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("p05", "median", "p95"))])
+
+
+def walk_summary(spark, sf) -> DataFrame:
+    """The older walk-forward's folds in figures, with those of the stitched curve beside them."""
+    results = walk(spark, sf).select("symbol", "fold", (SHARE * F.col("result")).alias("ret"), F.lit(1).alias("trades"))
+    return reports.summary_with(reports.fold_summary(results, ["symbol"]), walk_figures(spark, sf).select("symbol", "final_equity", "max_drawdown_pct"), ["symbol"])
+
+
+def stability_by_symbol(spark, sf) -> DataFrame:
+    found = folds.stability(best_lengths(spark, sf), ["symbol"], ["channel_bars"]).withColumnRenamed("symbol", "variant")
+    return reports.stability_pivot(found, SYMBOLS)
+
+
+def return_faults(spark, sf) -> DataFrame:
+    """Why candidates' returns could not be used: one of them is blown up fifteenfold."""
+    rows = candidates(spark, sf).withColumn("ret", F.when(F.col("candidate") == "turned", 15 * F.col("ret")).otherwise(F.col("ret")))
+    return metrics.returns_fault(rows, ["symbol", "candidate"])
+
+
+def allowed_signals(spark, sf) -> DataFrame:
+    """The channel's signals at the times that the state policy lets through."""
+    return breakout.allowed_times(signals(spark, sf), state_policy(spark, sf).filter("allowed"))
+
+
+def stop_fallbacks(spark, sf) -> DataFrame:
+    """Entered signals whose levels are taken away in odd hours and put at fixed distances from the entry."""
+    taken = trades.entries(breakout.first_of_session(signals(spark, sf)))
+    odd = F.hour("ts") % 2 == 1
+    return trades.fallback_levels(taken.withColumns({c: F.when(~odd, F.col(c)) for c in ("stop", "target")}), 5.0, 8.0)
+
+
 def state_filter(spark, sf) -> DataFrame:
     """Channel candidates with features, split, states, and whether the filter lets them through."""
     rows = candidate_parts(spark, sf)

@@ -626,6 +626,30 @@ CONTENT = ", ".join(
     )
 )
 
+HIGHLIGHTS = """
+sim_ranks AS (
+  SELECT symbol, method, sim, row_number() OVER (PARTITION BY symbol, method ORDER BY round(pct, 6), sim) - 1 AS k, count(*) OVER (PARTITION BY symbol, method) AS n FROM (SELECT * FROM bootstrap UNION ALL SELECT * FROM reshuffle UNION ALL SELECT * FROM dropout)
+), highlights AS (SELECT symbol, method, max(sim) FILTER (k = 0) AS worst, max(sim) FILTER (k = n // 2) AS median, max(sim) FILTER (k = n - 1) AS best FROM sim_ranks GROUP BY ALL
+), drawn AS (SELECT * FROM bootstrap_e WHERE sim < 3)"""
+SUMMARIES = """
+walk_sum AS (
+  SELECT w.symbol, count(*) AS folds, count(*) FILTER (result > 0) AS winning_folds, avg(result * 0.01) AS mean_return, median(result * 0.01) AS median_return, min(result * 0.01) AS worst_return,
+    any_value(f.final_equity) AS final_equity, any_value(f.max_drawdown_pct) AS max_drawdown_pct FROM walked w LEFT JOIN walk_fig f ON f.symbol = w.symbol GROUP BY w.symbol
+), stable_wide AS (SELECT parameter, """ + ", ".join(f"max(share) FILTER (symbol = '{x}') AS {x}" for x in m.SYMBOLS) + """ FROM stable GROUP BY parameter
+), faults AS (
+  SELECT symbol, candidate, CASE WHEN min(CASE WHEN candidate = 'turned' THEN 15 * ret ELSE ret END) <= -1 THEN 'bankrupt_return' END AS fault FROM cands GROUP BY ALL
+), search_blocks AS (
+  SELECT symbol, fold, session, (datesub('month', min(session) OVER (PARTITION BY symbol, fold), session) // 3)::INT AS block FROM month_folds WHERE role = 'search'
+), trade_days AS (SELECT c.symbol, c.entry_ts, b.session FROM ch c LEFT JOIN tagged b ON b.symbol = c.symbol AND b.ts = c.entry_ts
+), one_row AS (SELECT * FROM banded WHERE symbol = 'view' AND session = DATE '2024-01-20'
+), held_days AS (SELECT * FROM tagged WHERE session IN (SELECT session FROM valid)
+), fallbacks AS (
+  SELECT symbol, session, ts, side, CASE WHEN hour(ts) % 2 = 1 THEN entry_open - side * 5 ELSE stop END AS stop, CASE WHEN hour(ts) % 2 = 1 THEN entry_open + side * 8 ELSE target END AS target FROM ch_e
+)"""
+LET = """
+policy_sum AS (SELECT symbol, count(*) AS candidates, count(*) FILTER (allowed) AS allowed, max((status = 'valid')::INT) AS valid, count(*) FILTER (allowed) / count(*) AS allowed_rate FROM policy GROUP BY symbol
+), let_signals AS (SELECT * FROM channel_signals s WHERE EXISTS (SELECT 1 FROM policy p WHERE p.symbol = s.symbol AND p.ts = s.ts AND p.allowed))"""
+
 ALL: dict[str, Query] = {
     "bars_30m": Query(m.bars30, ("symbol", "ts"), OHLCV, "bars30"),
     "bars_2h_from_30m": Query(lambda s, d: bars.wider(m.bars30(s, d), "2 hours"), ("symbol", "ts"), OHLCV, "hours2"),
@@ -714,6 +738,19 @@ ALL: dict[str, Query] = {
     "candidate_parts": Query(m.candidate_parts, ("symbol", "ts", "session", "part"), ("net_r", *breakout.FEATURES), "parts", more=FEATURES),
     "state_policy": Query(m.state_policy, ("symbol", "ts", "part", "state", "status", "allowed"), ("net_r",), "policy", more=FEATURES),
     "state_verdicts": Query(m.state_verdicts, ("symbol", "n", "allowed", "status"), ("baseline", "filtered", "allow_rate", "improvement"), "verdicts", more=FEATURES),
+    "path_highlights": Query(m.path_highlights, ("symbol", "method", "worst", "median", "best"), (), "highlights", more=f"{SIMS}, {HIGHLIGHTS}"),
+    "drawn_paths": Query(m.drawn_paths, ("symbol", "sim", "step"), ("equity",), "drawn", more=f"{SIMS}, {HIGHLIGHTS}"),
+    "path_bands": Query(m.path_bands, ("symbol", "step", "sims"), ("p05", "median", "p95")),
+    "walk_summary": Query(m.walk_summary, ("symbol", "folds", "winning_folds"), ("mean_return", "median_return", "worst_return", "final_equity", "max_drawdown_pct"), "walk_sum", more=f"{WALK}, {SUMMARIES}"),
+    "stability_by_symbol": Query(m.stability_by_symbol, ("parameter",), m.SYMBOLS, "stable_wide", more=f"{WALK}, {SUMMARIES}"),
+    "return_faults": Query(m.return_faults, ("symbol", "candidate", "fault"), (), "faults", more=f"{WALK}, {SUMMARIES}"),
+    "search_blocks": Query(lambda s, d: folds.with_blocks(m.month_folds(s, d), "search", 3), ("symbol", "fold", "session", "block"), (), "search_blocks", more=f"{WALK}, {SUMMARIES}"),
+    "trade_sessions": Query(lambda s, d: reports.with_session(m.booked(s, d), m.tagged(s, d)), ("symbol", "entry_ts", "session"), (), "trade_days", more=f"{WALK}, {SUMMARIES}"),
+    "one_band_row": Query(lambda s, d: bands.one_band_row(m.banded(s, d).filter("symbol = 'view'"), date(2024, 1, 20)), ("symbol", "session", "direction"), ("sigma", *BANDS), "one_row", more=f"{WALK}, {SUMMARIES}"),
+    "bars_of_sessions": Query(lambda s, d: bars.in_sessions(m.tagged(s, d), bars.sessions_of(m.valid(s, d))), ("symbol", "ts", "session", "bucket"), OHLCV, "held_days", more=f"{WALK}, {SUMMARIES}"),
+    "stop_fallbacks": Query(m.stop_fallbacks, ("symbol", "session", "ts", "side"), ("stop", "target"), "fallbacks", more=f"{WALK}, {SUMMARIES}"),
+    "policy_summary": Query(lambda s, d: reports.state_summary(m.state_policy(s, d), ["symbol"]), ("symbol", "candidates", "allowed", "valid"), ("allowed_rate",), "policy_sum", more=f"{FEATURES}, {LET}"),
+    "allowed_signals": Query(lambda s, d: m.allowed_signals(s, d).withColumnRenamed("trigger", "trigger_level"), ("symbol", "session", "ts", "side"), ("stop", "target", "trigger_level"), "let_signals", more=f"{FEATURES}, {LET}"),
     "filter_models": Query(m.filter_models, ("symbol", "fold", "channel_bars", "n", "status", "rounds"), ("log_evidence",)),
     "filtered_candidates": Query(m.filtered_candidates, ("symbol", "fold", "channel_bars", "session", "ts", "state", "status", "allowed")),
     "walk_forward_filtered": Query(m.walk_with_filter, ("symbol", "source", "trades"), ("final_equity", "max_drawdown_pct", "exposure_pct", "net_pnl")),
