@@ -4,7 +4,7 @@ from datetime import date, datetime
 
 import pytest
 
-from tidebars.operators import reports
+from tidebars.operators import bands, folds, reports, resampling, trades
 
 
 def test_union_keeps_the_target(spark):
@@ -51,3 +51,44 @@ def test_trial_rows(spark):
     skipped = spark.createDataFrame([("v", 2)], "variant string, fold int")
     assert [r["status"] for r in reports.trial_rows(s, ["variant", "fold"], skipped).orderBy("fold").collect()] == ["evaluated", "ineligible", "skipped"]
     assert reports.combinations_per_fold(s, ["variant"]).first()["combinations"] == 1.0
+
+
+def test_quantile_bands_of_paths_are_near_the_exact_ones(spark):
+    """The sketch's ranks are off by a thousandth of the simulations at most."""
+    import random
+
+    r = random.Random(4)
+    rows = [("a", s, k, r.gauss(0, 5)) for s in range(900) for k in range(6)]
+    paths = spark.createDataFrame(rows, "symbol string, sim int, step int, pnl double").repartition(6)
+    for accuracy in (50, 1000):
+        got = {x["step"]: (x["sims"], x["q"]) for x in resampling.path_bands(paths, ["symbol"], 100.0, (0.05, 0.5, 0.95), accuracy).collect()}
+        for step in range(6):
+            equity = sorted(100 + sum(p for _, s, k, p in rows[6 * sim : 6 * sim + step + 1]) for sim in range(900))
+            sims, found = got[step]
+            assert sims == 900
+            for share, q in zip((0.05, 0.5, 0.95), found, strict=True):
+                rank = sum(x < q - 1e-9 for x in equity)
+                assert abs(rank - share * 900) <= 900 / accuracy + 1
+
+
+def test_shapes_follow_their_switches(spark):
+    names = [f"band_{n}_{s}_{e}" for n in ("ae", "fe") for s in ("neg", "pos") for e in ("lower", "upper", "center")]
+    df = spark.createDataFrame([("a", "2024-01-02", *map(float, range(12))), ("a", "2024-01-03", None, *map(float, range(11)))], "symbol string, session string, " + ", ".join(f"{n} double" for n in names))
+    of = lambda **k: sorted((r["session"][-1], r["label"], r["kind"], r["low"], r["high"]) for r in bands.band_shapes(df, **k).collect())
+    every = of()
+    assert len([x for x in every if x[0] == "2"]) == 4 + 12 and ("2", "band_ae_neg", "zone", 0.0, 1.0) in every
+    assert len([x for x in every if x[0] == "3"]) == 3 + 11  # a band without an edge has no zone
+    assert {x[1].split("_")[1] for x in of(favourable=False)} == {"ae"} and not any("center" in x[1] for x in of(centers=False))
+    assert of(adverse=False, favourable=False) == []
+
+
+def test_a_trade_without_a_distance_to_its_stop_leaves_the_curve_whole(spark):
+    bars = spark.createDataFrame([("a", "d", k, 10.0 + k) for k in range(4)], "symbol string, session string, ts int, close double")
+    taken = spark.createDataFrame([("a", "d", 1, 1, 3, 11.0, 0.0, None)], "symbol string, session string, side int, entry_ts int, exit_ts int, entry_price double, risk double, net_r double")
+    days, curve = trades.replay(bars, taken, taken.select("symbol", "session"), 100.0, ["symbol"])
+    assert [r["equity"] for r in curve.orderBy("ts").collect()] == [100.0] * 4 and days.first()["cash_after"] == 100.0
+
+
+def test_parameter_sets_without_some_parameters(spark):
+    found = folds.without(folds.grid(spark, {"a": (1, 2), "b": (False, True), "c": (5,)}), ["b"])
+    assert sorted((r["a"], r["c"]) for r in found.collect()) == [(1, 5), (2, 5)] and found.select("params_id").distinct().count() == 2

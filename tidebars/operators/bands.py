@@ -106,6 +106,22 @@ def band_overlays(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return df.unpivot([*keys, "session"], names, "overlay", "level").filter("level IS NOT NULL")
 
 
+def band_shapes(df: DataFrame, centers: bool = True, adverse: bool = True, favourable: bool = True, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, session, label, kind, low, high): what to draw of each session's bands, zones between their edges and lines at edges and centres; missing levels are left out.
+
+    ``adverse`` and ``favourable`` choose the bands, ``centers`` the lines in their middle.
+    """
+    shapes = []
+    for name, shown in (("ae", adverse), ("fe", favourable)):
+        for side in ("neg", "pos") if shown else ():
+            at = {e: F.col(f"band_{name}_{side}_{e}") for e in ("lower", "upper", "center")}
+            shapes.append((f"band_{name}_{side}", "zone", at["lower"], at["upper"]))
+            shapes += [(f"band_{name}_{side}_{e}", "line", at[e], at[e]) for e in ("lower", "upper", *(["center"] if centers else []))]
+    fields = [F.struct(F.lit(label).alias("label"), F.lit(kind).alias("kind"), low.alias("low"), high.alias("high")) for label, kind, low, high in shapes]
+    none = F.array().cast("array<struct<label:string,kind:string,low:double,high:double>>")
+    return df.select(*keys, "session", F.inline(F.array(*fields) if fields else none)).filter("low IS NOT NULL AND high IS NOT NULL")
+
+
 def one_band_row(df: DataFrame, session) -> DataFrame:
     """The band row of a session; an error if there is none or more than one."""
     found = df.filter(F.col("session") == F.lit(session))

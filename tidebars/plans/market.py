@@ -400,6 +400,15 @@ def chosen(spark, sf) -> DataFrame:
     return every.join(scored, ["symbol", "fold", "role", "params"], "left").fillna({"r": 0.0})
 
 
+def decision_log(spark, sf) -> DataFrame:
+    """Every decision out of sample with what it rested on: the regime, whether the gate let the router trade and why, and the cash before and after."""
+    keys = ["symbol", "fold"]
+    tags = robust_tags(spark, sf).filter("role = 'test'").select(*keys, "session", "regime")
+    rows = robust_walk(spark, sf).join(tags, [*keys, "session"], "left").join(robust_gate(spark, sf).select(*keys, F.col("reason").alias("gate_reason")), keys, "left")
+    before = F.lag("cash", 1, CASH).over(over(["symbol", "policy", "cost"], "session"))
+    return rows.withColumn("starting_cash", before).withColumn("daily_return", F.when(F.col("starting_cash") > 0, F.col("cash") / F.col("starting_cash") - 1).otherwise(0.0))
+
+
 def search_trials(spark, sf) -> DataFrame:
     """The points of the search space that every fold tries."""
     searches = folds.session_folds(tagged(spark, sf).select("symbol", "session"), 8, 4, 4, ["symbol"]).select("symbol", "fold").distinct()
@@ -525,15 +534,24 @@ def _finalists(spark, sf, shortlist: int = 4) -> DataFrame:
     return folds.top(found.select("symbol", "fold", F.col("of").alias("params_id"), F.col("median_score").alias("score")), shortlist, ["symbol", "fold"])
 
 
+def robust_tags(spark, sf) -> DataFrame:
+    """(symbol, fold, role, session, volatility, regime, general): the regime of each session by the limits of its fold's search part; folds without a finalist have none."""
+
+    def plan() -> DataFrame:
+        keys = ["symbol", "fold"]
+        general = finalists(spark, sf).filter("rank = 1").select(*keys, F.col("params_id").alias("general"))
+        vol = selection.session_volatility(selection.last_closes(tagged(spark, sf)), n=4)
+        by_role = roles(spark, sf).join(vol, ["symbol", "session"])
+        return selection.regimes(by_role, selection.thresholds(by_role.filter("role = 'search'"), keys), keys).join(general, keys)
+
+    return step(spark, sf, "tags", plan)
+
+
 def _robust_routes(spark, sf) -> DataFrame:
     """(symbol, fold, role, session, candidate, general): the set in use in each gate and test session, by the regime's library."""
     keys = ["symbol", "fold"]
-    final = finalists(spark, sf)
+    final, tags = finalists(spark, sf), robust_tags(spark, sf)
     general = final.filter("rank = 1").select(*keys, F.col("params_id").alias("general"))
-    vol = selection.session_volatility(selection.last_closes(tagged(spark, sf)), n=4)
-    by_role = roles(spark, sf).join(vol, ["symbol", "session"])
-    limits = selection.thresholds(by_role.filter("role = 'search'"), keys)
-    tags = selection.regimes(by_role, limits, keys).join(general, keys)
     days = candidate_days(spark, sf).join(final.select(*keys, "params_id"), [*keys, "params_id"]).filter("role = 'calibration'").withColumnRenamed("params_id", "candidate")
     scores = selection.regime_scores(
         days.select(*keys, "candidate", "session", "ret"), days.filter("traded").select(*keys, "candidate", "session"), tags.filter("role = 'calibration'").select(*keys, "session", "regime"), keys, 1, 1, 5.0
@@ -619,6 +637,13 @@ def robust_walk(spark, sf) -> DataFrame:
     return reports.policy_capital(rows.drop("factor"), CASH, ["symbol"])
 
 
+def stitched_returns(spark, sf) -> DataFrame:
+    """(symbol, session, ret): the daily returns of the older walk-forward's stitched curve."""
+    decided = walk_picks(spark, sf)
+    _, curve = trades.replay(tagged(spark, sf), decided.join(length_trades(spark, sf), ["symbol", "channel_bars", "session"]), decided, CASH, ["symbol"], SHARE)
+    return metrics.session_returns(curve, decided.select("symbol", "session"), CASH, ["symbol"])
+
+
 def _stitched(spark, sf, taken: DataFrame, decided: DataFrame, by: list[str]) -> DataFrame:
     """Figures of one curve a key, from the trades taken in its sessions."""
     days, curve = trades.replay(tagged(spark, sf), taken, decided, CASH, by, SHARE)

@@ -626,6 +626,21 @@ CONTENT = ", ".join(
     )
 )
 
+SHAPES = """
+shapes AS (""" + " UNION ALL ".join(
+    f"SELECT symbol, session, '{label}' AS label, '{kind}' AS kind, {low} AS low, {high} AS high FROM banded WHERE {low} IS NOT NULL AND {high} IS NOT NULL"
+    for b in ("ae_neg", "ae_pos", "fe_neg", "fe_pos")
+    for label, kind, low, high in ((f"band_{b}", "zone", f"band_{b}_lower", f"band_{b}_upper"), *((f"band_{b}_{e}", "line", f"band_{b}_{e}", f"band_{b}_{e}") for e in ("lower", "upper", "center")))
+) + ")"
+RETURNS = """
+walk_ends AS (SELECT c.symbol, c.session, c.before * c.gain AS known, last(w.equity ORDER BY w.ts) AS e FROM walk_cash c LEFT JOIN tagged b ON b.symbol = c.symbol AND b.session = c.session LEFT JOIN walk_bars w ON w.symbol = b.symbol AND w.ts = b.ts GROUP BY ALL
+), walk_ret AS (SELECT symbol, session, e / lag(e, 1, 100000.0) OVER (PARTITION BY symbol ORDER BY session) - 1 AS ret FROM walk_ends)"""
+DECISIONS = """
+walk_tags AS (SELECT symbol, fold, session, regime FROM rtags WHERE role = 'test'
+), decisions AS (
+  SELECT w.*, t.regime, g.reason AS gate_reason, lag(cash, 1, 100000.0) OVER (PARTITION BY w.symbol, policy, cost ORDER BY w.session) AS starting_cash, cash / lag(cash, 1, 100000.0) OVER (PARTITION BY w.symbol, policy, cost ORDER BY w.session) - 1 AS daily_return
+  FROM rwalk w LEFT JOIN walk_tags t ON t.symbol = w.symbol AND t.fold = w.fold AND t.session = w.session LEFT JOIN ggate g ON g.symbol = w.symbol AND g.fold = w.fold
+)"""
 HIGHLIGHTS = """
 sim_ranks AS (
   SELECT symbol, method, sim, row_number() OVER (PARTITION BY symbol, method ORDER BY round(pct, 6), sim) - 1 AS k, count(*) OVER (PARTITION BY symbol, method) AS n FROM (SELECT * FROM bootstrap UNION ALL SELECT * FROM reshuffle UNION ALL SELECT * FROM dropout)
@@ -751,6 +766,9 @@ ALL: dict[str, Query] = {
     "stop_fallbacks": Query(m.stop_fallbacks, ("symbol", "session", "ts", "side"), ("stop", "target"), "fallbacks", more=f"{WALK}, {SUMMARIES}"),
     "policy_summary": Query(lambda s, d: reports.state_summary(m.state_policy(s, d), ["symbol"]), ("symbol", "candidates", "allowed", "valid"), ("allowed_rate",), "policy_sum", more=f"{FEATURES}, {LET}"),
     "allowed_signals": Query(lambda s, d: m.allowed_signals(s, d).withColumnRenamed("trigger", "trigger_level"), ("symbol", "session", "ts", "side"), ("stop", "target", "trigger_level"), "let_signals", more=f"{FEATURES}, {LET}"),
+    "band_shapes": Query(lambda s, d: bands.band_shapes(m.banded(s, d)), ("symbol", "session", "label", "kind"), ("low", "high"), "shapes", more=SHAPES),
+    "stitched_returns": Query(m.stitched_returns, ("symbol", "session"), ("ret",), "walk_ret", more=f"{WALK}, {RETURNS}"),
+    "decision_log": Query(m.decision_log, ("symbol", "fold", "policy", "cost", "session", "candidate", "routed", "regime", "gate_reason"), ("starting_cash", "cash", "daily_return"), "decisions", more=f"{ROBUST}, {DECISIONS}"),
     "filter_models": Query(m.filter_models, ("symbol", "fold", "channel_bars", "n", "status", "rounds"), ("log_evidence",)),
     "filtered_candidates": Query(m.filtered_candidates, ("symbol", "fold", "channel_bars", "session", "ts", "state", "status", "allowed")),
     "walk_forward_filtered": Query(m.walk_with_filter, ("symbol", "source", "trades"), ("final_equity", "max_drawdown_pct", "exposure_pct", "net_pnl")),
@@ -766,14 +784,18 @@ def _plan(q: Query) -> Callable[..., DataFrame]:
     def run(spark, sf_dir: str) -> DataFrame:
         exact = [F.col(c).cast("string").alias(c) if c == "session" else F.col(c) for c in q.exact]
         with m.one_state():
-            return q.plan(spark, sf_dir).select(*exact, *[F.round(c, q.digits).alias(c) for c in q.rounded])
+            out = q.plan(spark, sf_dir)
+            types = dict(out.dtypes)
+            rounded = {c: F.round(c, q.digits) for c in q.rounded}
+            rounded = {c: x + F.lit(0.0) if types[c] == "double" else x for c, x in rounded.items()}  # a rounded -0.0 is 0.0
+            return out.select(*exact, *[x.alias(c) for c, x in rounded.items()])
 
     return run
 
 
 def _sql(q: Query) -> str:
     exact = [f"CAST({c} AS VARCHAR) AS {c}" if c == "session" else c for c in q.exact]
-    columns = ", ".join([*exact, *[f"round(CAST({c} AS DOUBLE), {q.digits}) AS {c}" for c in q.rounded]])
+    columns = ", ".join([*exact, *[f"round(CAST({c} AS DOUBLE), {q.digits}) + 0.0::DOUBLE AS {c}" for c in q.rounded]])
     chain = ", ".join(x.strip() for x in (CHAIN, q.more) if x)
     return f"WITH RECURSIVE {chain} SELECT {columns} FROM {q.source}"
 
