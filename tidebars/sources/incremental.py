@@ -15,6 +15,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -107,8 +108,9 @@ def reached(before: DataFrame, now: DataFrame, stale: DataFrame, by: Sequence[st
     return rows.filter("read").select(*by, "rebuild", "read").union(gone)
 
 
+@lru_cache(1)
 def code_version() -> str:
-    """A digest of the library's code, the operators of llm apart."""
+    """A digest of the library's code as this process started with it, the operators of llm apart."""
     top = Path(__file__).resolve().parents[1]
     files = sorted(p for p in top.rglob("*.py") if p.relative_to(top).parts[0] != "llm")
     return hashlib.md5(b"".join(str(p.relative_to(top)).encode() + p.read_bytes() for p in files)).hexdigest()
