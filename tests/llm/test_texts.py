@@ -406,7 +406,7 @@ def drawn(r, depth=0):
         return f"<blockquote>{t}</blockquote>", ["  " + t]
     if kind == "table":
         rows = [[drawn_table(r, depth) if depth < 4 and r.random() < 0.15 else (t := word(), [t]) for _ in range(r.randint(1, 4))] for _ in range(r.randint(1, 4))]
-        wide = [max(len(line) for x in rows if len(x) > c for line in x[c][1]) for c in range(max(map(len, rows)))]
+        wide = [min(html_text.WIDEST, max(len(line) for x in rows if len(x) > c for line in x[c][1])) for c in range(max(map(len, rows)))]
         end = r.choice(["", "</td>"])
         page = "<table>" + "".join("<tr>" + "".join(f"<td>{c}{end}" for c, _ in x) for x in rows) + "</table>"
         lines = []
