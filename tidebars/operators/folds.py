@@ -248,3 +248,14 @@ def stability(choices: DataFrame, by: Sequence[str], params: Sequence[str]) -> D
         F.count("value").alias("distinct_values"), F.min_by("value", F.struct(-F.col("_n"), F.col("value"))).alias("most_common"),
         (F.max("_n") / F.sum("_n")).alias("share"), F.sum("_c").alias("changes"),
     )
+
+
+def finalists(scores: DataFrame, params: DataFrame, steps: dict[str, tuple], by: Sequence[str], shortlist: int = 4) -> DataFrame:
+    """(by, params_id, score, rank): the best sets by the median of their own and their neighbours' scores, of those that are best by their own.
+
+    ``scores``: (by, params_id, score, eligible); ``params``: the whole grid; ``steps`` as for ``neighbours``.
+    """
+    near = neighbours(params, steps).select("of", "params_id").unionByName(params.select(F.col("params_id").alias("of"), "params_id"))
+    short = top(scores.filter("eligible"), shortlist, by).select(*by, F.col("params_id").alias("of"))
+    found = neighbour_scores(short.join(near, "of"), scores, by).filter("usable")
+    return top(found.select(*by, F.col("of").alias("params_id"), F.col("median_score").alias("score")), shortlist, by)

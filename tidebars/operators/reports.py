@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebars.functions.rolling import over, ratio
@@ -103,6 +103,14 @@ def policies(routes: DataFrame, returns: DataFrame, general: str, by: Sequence[s
     return rows.withColumn("ret", F.when(r.isNull() | (r == 0), 0.0).otherwise(r - F.col("_off"))).drop("_off")
 
 
+def two_policies(decided: DataFrame, accepted: Column, keep: Sequence[str]) -> DataFrame:
+    """(keep, policy, candidate, routed): the general candidate, and the routed one where its gate was accepted; cash where there is none."""
+    general = F.coalesce("general", F.lit("cash"))
+    chosen = F.coalesce(F.when(accepted, F.col("candidate")).otherwise(F.col("general")), F.lit("cash"))
+    pair = [F.struct(F.lit(n).alias("policy"), c.alias("candidate"), r.alias("routed")) for n, c, r in (("general", general, F.lit(False)), ("regime", chosen, accepted))]
+    return decided.select(*keep, F.inline(F.array(*pair)))
+
+
 def policy_capital(decisions: DataFrame, cash: float, by: Sequence[str]) -> DataFrame:
     """The decisions with the cash after each session; a policy that loses everything stays at 0."""
     w = over([*by, "policy", "cost"], "session").rowsBetween(Window.unboundedPreceding, 0)

@@ -118,6 +118,22 @@ def route(regime: DataFrame, chosen: DataFrame, by: Sequence[str], general: str
     return all_.select(*by, F.inline(F.aggregate("_all", start, step)["out"]))
 
 
+def routes_by_role(final: DataFrame, days: DataFrame, tags: DataFrame, by: Sequence[str], min_sessions: int, min_trades: int, shrink: float) -> DataFrame:
+    """(by, role, session, candidate, general): the candidate in use in each gate and test session, by what the finalists did in the calibration part's regimes.
+
+    ``final``: (by, params_id, rank); ``days``: (by, role, params_id, session, ret, traded); ``tags``: (by, role, session, regime, general).
+    """
+    general = final.filter("rank = 1").select(*by, F.col("params_id").alias("general"))
+    own = days.join(final.select(*by, "params_id"), [*by, "params_id"]).filter("role = 'calibration'").withColumnRenamed("params_id", "candidate")
+    scores = regime_scores(
+        own.select(*by, "candidate", "session", "ret"), own.filter("traded").select(*by, "candidate", "session"), tags.filter("role = 'calibration'").select(*by, "session", "regime"), by, min_sessions, min_trades, shrink
+    )
+    chosen = library(scores.join(general, list(by)), by, F.col("general"))
+    per_role = chosen.select(*by, "regime", "candidate").withColumn("role", F.explode(F.array(F.lit("gate"), F.lit("test"))))
+    routed = tags.filter("role IN ('gate', 'test')").select(*by, "role", "session", "regime", "general")
+    return route(routed, per_role, [*by, "role"], F.col("general")).join(general, list(by))
+
+
 def routed_returns(returns: DataFrame, routes: DataFrame, by: Sequence[str]) -> DataFrame:
     """The returns of the candidate in use, session by session; 0 where it has none."""
     return routes.join(returns.select(*by, "session", "candidate", "ret"), [*by, "session", "candidate"], "left").fillna({"ret": 0.0})

@@ -526,12 +526,7 @@ def _search_scores(spark, sf) -> DataFrame:
 
 def _finalists(spark, sf, shortlist: int = 4) -> DataFrame:
     """(symbol, fold, params_id, median_score, rank): the best sets of each fold by the median of their own and their neighbours' scores."""
-    scores = search_scores(spark, sf)
-    params = folds.grid(spark, ROBUST)
-    near = folds.neighbours(params, ROBUST_STEPS).select("of", "params_id").unionByName(params.select(F.col("params_id").alias("of"), "params_id"))
-    short = folds.top(scores.filter("eligible"), shortlist, ["symbol", "fold"]).select("symbol", "fold", F.col("params_id").alias("of"))
-    found = folds.neighbour_scores(short.join(near, "of"), scores, ["symbol", "fold"]).filter("usable")
-    return folds.top(found.select("symbol", "fold", F.col("of").alias("params_id"), F.col("median_score").alias("score")), shortlist, ["symbol", "fold"])
+    return folds.finalists(search_scores(spark, sf), folds.grid(spark, ROBUST), ROBUST_STEPS, ["symbol", "fold"], shortlist)
 
 
 def robust_tags(spark, sf) -> DataFrame:
@@ -549,18 +544,7 @@ def robust_tags(spark, sf) -> DataFrame:
 
 def _robust_routes(spark, sf) -> DataFrame:
     """(symbol, fold, role, session, candidate, general): the set in use in each gate and test session, by the regime's library."""
-    keys = ["symbol", "fold"]
-    final, tags = finalists(spark, sf), robust_tags(spark, sf)
-    general = final.filter("rank = 1").select(*keys, F.col("params_id").alias("general"))
-    days = candidate_days(spark, sf).join(final.select(*keys, "params_id"), [*keys, "params_id"]).filter("role = 'calibration'").withColumnRenamed("params_id", "candidate")
-    scores = selection.regime_scores(
-        days.select(*keys, "candidate", "session", "ret"), days.filter("traded").select(*keys, "candidate", "session"), tags.filter("role = 'calibration'").select(*keys, "session", "regime"), keys, 1, 1, 5.0
-    )
-    chosen = selection.library(scores.join(general, keys), keys, F.col("general"))
-    own = [*keys, "role"]
-    routed = tags.filter("role IN ('gate', 'test')").select(*own, "session", "regime", "general")
-    per_role = chosen.select(*keys, "regime", "candidate").withColumn("role", F.explode(F.array(F.lit("gate"), F.lit("test"))))
-    return selection.route(routed, per_role, own, F.col("general")).join(general, keys)
+    return selection.routes_by_role(finalists(spark, sf), candidate_days(spark, sf), robust_tags(spark, sf), ["symbol", "fold"], 1, 1, 5.0)
 
 
 def candidate_days(spark, sf) -> DataFrame:
@@ -623,15 +607,9 @@ def robust_walk(spark, sf) -> DataFrame:
     keys = ["symbol", "fold"]
     tests = roles(spark, sf).filter("role = 'test'").drop("role")
     decided = tests.join(robust_routes(spark, sf).filter("role = 'test'").select(*keys, "session", "candidate", "general"), [*keys, "session"], "left").join(robust_gate(spark, sf).select(*keys, "accepted"), keys, "left")
-    ok = F.coalesce("accepted", F.lit(False))
-    both = F.inline(
-        F.array(
-            F.struct(F.lit("general").alias("policy"), F.coalesce("general", F.lit("cash")).alias("candidate"), F.lit(False).alias("routed")),
-            F.struct(F.lit("regime").alias("policy"), F.coalesce(F.when(ok, F.col("candidate")).otherwise(F.col("general")), F.lit("cash")).alias("candidate"), ok.alias("routed")),
-        )
-    )
+    both = reports.two_policies(decided, F.coalesce("accepted", F.lit(False)), [*keys, "session"])
     levels = F.inline(F.array(F.struct(F.lit("normal").alias("cost"), F.lit(1.0).alias("factor")), F.struct(F.lit("stress").alias("cost"), F.lit(2.0).alias("factor"))))
-    rows = decided.select(*keys, "session", both).select("*", levels)
+    rows = both.select("*", levels)
     made = robust_trades(spark, sf).select("symbol", F.col("params_id").alias("candidate"), "session", "factor", (SHARE * F.col("net_r")).alias("ret"))
     rows = rows.join(made, ["symbol", "candidate", "session", "factor"], "left").fillna({"ret": 0.0})
     return reports.policy_capital(rows.drop("factor"), CASH, ["symbol"])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidebars.operators import bands, bars, breakout, folds, metrics, reports, selection, trades
 from tidebars.plans import market as m
+from tidebars.plans import months
 
 DIGITS = 6
 
@@ -485,6 +486,59 @@ _SETS = [(f"rb{k}", n, r, _pid(n, r)) for k, (n, r) in enumerate((n, r) for n in
 _SEARCH, _CALIBRATION, _TESTED = (m.ROLES[0][1], m.ROLES[0][1] + m.ROLES[1][1], m.ROLES[-1][1])
 _WHOLE = sum(n for _, n in m.ROLES)
 _RSTEP = m.ROBUST_STEPS["channel_bars"][2], m.ROBUST_STEPS["reward"][2]
+
+
+def _selected(sessions: int, trades: int, shrink: float) -> str:
+    """From (sscores, near, rvol, rroles, cdays) to finals and rroutes."""
+    return f"""), short_list AS (SELECT symbol, fold, pid FROM sscores QUALIFY row_number() OVER (PARTITION BY symbol, fold ORDER BY score DESC, pid) <= 4
+), finals AS (
+  SELECT symbol, fold, params_id, score, row_number() OVER (PARTITION BY symbol, fold ORDER BY score DESC, params_id) AS rank FROM (
+    SELECT s.symbol, s.fold, s.pid AS params_id, quantile_cont(coalesce(c.score, -1e300), 0.5) AS score FROM short_list s JOIN near n ON n.origin = s.pid
+    LEFT JOIN sscores c ON c.symbol = s.symbol AND c.fold = s.fold AND c.pid = n.pid GROUP BY s.symbol, s.fold, s.pid) WHERE score > -1e200 QUALIFY rank <= 4
+), rgeneral AS (SELECT symbol, fold, params_id AS general FROM finals WHERE rank = 1
+), rlimits AS (
+  SELECT r.symbol, r.fold, quantile_cont(volatility, 1 / 3.0) AS lower, quantile_cont(volatility, 2 / 3.0) AS upper FROM rroles r JOIN rvol v ON v.symbol = r.symbol AND v.session = r.session WHERE role = 'search' GROUP BY ALL
+), rtags AS (
+  SELECT r.symbol, r.fold, r.role, r.session, g.general, CASE WHEN volatility <= lower THEN 'low' WHEN volatility <= upper THEN 'normal' WHEN volatility > upper THEN 'high' ELSE 'unknown' END AS regime
+  FROM rroles r JOIN rvol v ON v.symbol = r.symbol AND v.session = r.session JOIN rgeneral g ON g.symbol = r.symbol AND g.fold = r.fold LEFT JOIN rlimits l ON l.symbol = r.symbol AND l.fold = r.fold
+), rcal AS (
+  SELECT c.symbol, c.fold, c.pid, c.session, c.ret, c.traded, t.regime FROM cdays c JOIN finals f ON f.symbol = c.symbol AND f.fold = c.fold AND f.params_id = c.pid
+  LEFT JOIN rtags t ON t.symbol = c.symbol AND t.fold = c.fold AND t.session = c.session AND t.role = 'calibration' WHERE c.role = 'calibration'
+), rper AS (SELECT symbol, fold, pid, regime, count(*) AS n, count(*) FILTER (traded) AS t, avg(ret) AS rm, avg(ret * ret) AS rq FROM rcal WHERE regime IN ('low', 'normal', 'high') GROUP BY ALL
+), rscores AS (
+  SELECT symbol, fold, pid, regime, mm / sqrt(v) * sqrt(252) AS score FROM (
+    SELECT *, greatest(w * rq + (1 - w) * gq - mm * mm, 0) AS v FROM (
+      SELECT p.*, g.gq, n / (n + {shrink}) AS w, n / (n + {shrink}) * rm + (1 - n / (n + {shrink})) * gm AS mm FROM rper p JOIN (SELECT symbol, fold, pid, avg(ret) AS gm, avg(ret * ret) AS gq FROM rcal GROUP BY ALL) g ON g.symbol = p.symbol AND g.fold = p.fold AND g.pid = p.pid))
+  WHERE n >= {sessions} AND t >= {trades} AND v > 0
+), rlibrary AS (SELECT symbol, fold, regime, first(pid ORDER BY score DESC, pid) AS candidate FROM rscores GROUP BY ALL
+), rsteps AS (
+  SELECT t.symbol, t.fold, t.role, t.session, t.general, nullif(t.regime, 'unknown') AS regime, coalesce(l.candidate, t.general) AS goal, row_number() OVER (PARTITION BY t.symbol, t.fold, t.role ORDER BY t.session) AS k
+  FROM rtags t LEFT JOIN rlibrary l ON l.symbol = t.symbol AND l.fold = t.fold AND l.regime = t.regime WHERE t.role IN ('gate', 'test')
+), rroutes AS (
+  SELECT symbol, fold, role, session, k, general, general AS candidate, CASE WHEN regime IS NOT NULL AND goal <> general THEN regime END AS pending, CASE WHEN regime IS NOT NULL AND goal <> general THEN 1 ELSE 0 END AS n FROM rsteps WHERE k = 1
+  UNION ALL
+  SELECT symbol, fold, role, session, k, general, CASE WHEN regime IS NULL THEN general WHEN goal <> active AND c >= 2 THEN goal ELSE active END, CASE WHEN regime IS NULL OR goal = active OR c >= 2 THEN NULL ELSE regime END, CASE WHEN regime IS NULL OR goal = active OR c >= 2 THEN 0 ELSE c END
+  FROM (SELECT x.*, r.candidate AS active, CASE WHEN r.pending = x.regime THEN r.n + 1 ELSE 1 END AS c FROM rroutes r JOIN rsteps x ON x.symbol = r.symbol AND x.fold = r.fold AND x.role = r.role AND x.k = r.k + 1)
+"""
+
+
+def _bootstrapped(block: int) -> str:
+    """From gdays to the bootstrapped means of their differences and the falls of their paths."""
+    return f"""), gdiffs AS (
+  SELECT a.symbol, a.fold, a.ret - b.ret AS diff, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY a.symbol, a.fold) AS n, sum(a.ret - b.ret) OVER (w ROWS UNBOUNDED PRECEDING) AS run
+  FROM gdays a JOIN gdays b ON a.policy = 'router' AND b.policy = 'general' AND b.symbol = a.symbol AND b.fold = a.fold AND b.session = a.session WINDOW w AS (PARTITION BY a.symbol, a.fold ORDER BY a.session)
+), gdrawn AS (
+  SELECT symbol, fold, n, sim, least(b, n - k * b) AS len, {_drawn(1, 'symbol', 'fold', 'sim', 'k')} % (n - b + 1) AS s FROM (
+    SELECT symbol, fold, n, b, sim, unnest(range(CAST(ceil(n / b) AS BIGINT))) AS k FROM (SELECT DISTINCT symbol, fold, n, least({block}, n) AS b FROM gdiffs) CROSS JOIN range({m.SIMULATIONS}) r(sim))
+), gmeans AS (
+  SELECT d.symbol, d.fold, sim, sum(hi.run - coalesce(lo.run, 0)) / any_value(d.n) AS mean FROM gdrawn d JOIN gdiffs hi ON hi.symbol = d.symbol AND hi.fold = d.fold AND hi.i = d.s + d.len - 1
+  LEFT JOIN gdiffs lo ON lo.symbol = d.symbol AND lo.fold = d.fold AND lo.i = d.s - 1 GROUP BY d.symbol, d.fold, sim
+), gpaths AS (
+  SELECT symbol, fold, policy, min(path / greatest(1, peak) - 1) AS dd FROM (SELECT *, max(path) OVER (PARTITION BY symbol, fold, policy ORDER BY session ROWS UNBOUNDED PRECEDING) AS peak FROM (
+    SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol, fold, policy ORDER BY session ROWS UNBOUNDED PRECEDING)) AS path FROM gdays)) GROUP BY ALL
+"""
+
+
 #: The robust walk-forward from the trades of the whole grid to the cash out of sample.
 ROBUST = (
     ", ".join(_channel(name, n, reward=r).strip() for name, n, r, _ in _SETS)
@@ -510,41 +564,14 @@ ROBUST = (
 ), sscores AS (
   SELECT b.symbol, b.fold, b.pid, quantile_cont(mean / sd * sqrt(252), 0.5) - 0.5 * (quantile_cont(mean / sd * sqrt(252), 0.75) - quantile_cont(mean / sd * sqrt(252), 0.25)) - abs(any_value(dd)) AS score
   FROM sblocks b JOIN sfalls f ON f.symbol = b.symbol AND f.fold = b.fold AND f.pid = b.pid GROUP BY b.symbol, b.fold, b.pid HAVING any_value(least) > -1 AND any_value(total) >= 2 AND min(t) >= 1 AND min(sd) > 0
-), short_list AS (SELECT symbol, fold, pid FROM sscores QUALIFY row_number() OVER (PARTITION BY symbol, fold ORDER BY score DESC, pid) <= 4
 ), near AS (SELECT a.pid AS origin, b.pid FROM sets a JOIN sets b ON a.pid = b.pid OR (a.reward = b.reward AND abs(a.n - b.n) = {_RSTEP[0]}) OR (a.n = b.n AND abs(a.reward - b.reward) = {_RSTEP[1]})
-), finals AS (
-  SELECT symbol, fold, params_id, score, row_number() OVER (PARTITION BY symbol, fold ORDER BY score DESC, params_id) AS rank FROM (
-    SELECT s.symbol, s.fold, s.pid AS params_id, quantile_cont(coalesce(c.score, -1e300), 0.5) AS score FROM short_list s JOIN near n ON n.origin = s.pid
-    LEFT JOIN sscores c ON c.symbol = s.symbol AND c.fold = s.fold AND c.pid = n.pid GROUP BY s.symbol, s.fold, s.pid) WHERE score > -1e200 QUALIFY rank <= 4
-), rgeneral AS (SELECT symbol, fold, params_id AS general FROM finals WHERE rank = 1
 ), rvol AS (
   SELECT symbol, session, CASE WHEN count(r) OVER w = 4 THEN stddev_pop(r) OVER w END AS volatility
   FROM (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY session)) AS r FROM (SELECT symbol, session, last(close ORDER BY ts) AS close FROM tagged GROUP BY ALL))
   WINDOW w AS (PARTITION BY symbol ORDER BY session ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)
-), rlimits AS (
-  SELECT r.symbol, r.fold, quantile_cont(volatility, 1 / 3.0) AS lower, quantile_cont(volatility, 2 / 3.0) AS upper FROM rroles r JOIN rvol v ON v.symbol = r.symbol AND v.session = r.session WHERE role = 'search' GROUP BY ALL
-), rtags AS (
-  SELECT r.symbol, r.fold, r.role, r.session, g.general, CASE WHEN volatility <= lower THEN 'low' WHEN volatility <= upper THEN 'normal' WHEN volatility > upper THEN 'high' ELSE 'unknown' END AS regime
-  FROM rroles r JOIN rvol v ON v.symbol = r.symbol AND v.session = r.session JOIN rgeneral g ON g.symbol = r.symbol AND g.fold = r.fold LEFT JOIN rlimits l ON l.symbol = r.symbol AND l.fold = r.fold
-), rcal AS (
-  SELECT c.symbol, c.fold, c.pid, c.session, c.ret, c.traded, t.regime FROM cdays c JOIN finals f ON f.symbol = c.symbol AND f.fold = c.fold AND f.params_id = c.pid
-  LEFT JOIN rtags t ON t.symbol = c.symbol AND t.fold = c.fold AND t.session = c.session AND t.role = 'calibration' WHERE c.role = 'calibration'
-), rper AS (SELECT symbol, fold, pid, regime, count(*) AS n, count(*) FILTER (traded) AS t, avg(ret) AS rm, avg(ret * ret) AS rq FROM rcal WHERE regime IN ('low', 'normal', 'high') GROUP BY ALL
-), rscores AS (
-  SELECT symbol, fold, pid, regime, mm / sqrt(v) * sqrt(252) AS score FROM (
-    SELECT *, greatest(w * rq + (1 - w) * gq - mm * mm, 0) AS v FROM (
-      SELECT p.*, g.gq, n / (n + 5.0) AS w, n / (n + 5.0) * rm + (1 - n / (n + 5.0)) * gm AS mm FROM rper p JOIN (SELECT symbol, fold, pid, avg(ret) AS gm, avg(ret * ret) AS gq FROM rcal GROUP BY ALL) g ON g.symbol = p.symbol AND g.fold = p.fold AND g.pid = p.pid))
-  WHERE n >= 1 AND t >= 1 AND v > 0
-), rlibrary AS (SELECT symbol, fold, regime, first(pid ORDER BY score DESC, pid) AS candidate FROM rscores GROUP BY ALL
-), rsteps AS (
-  SELECT t.symbol, t.fold, t.role, t.session, t.general, nullif(t.regime, 'unknown') AS regime, coalesce(l.candidate, t.general) AS goal, row_number() OVER (PARTITION BY t.symbol, t.fold, t.role ORDER BY t.session) AS k
-  FROM rtags t LEFT JOIN rlibrary l ON l.symbol = t.symbol AND l.fold = t.fold AND l.regime = t.regime WHERE t.role IN ('gate', 'test')
-), rroutes AS (
-  SELECT symbol, fold, role, session, k, general, general AS candidate, CASE WHEN regime IS NOT NULL AND goal <> general THEN regime END AS pending, CASE WHEN regime IS NOT NULL AND goal <> general THEN 1 ELSE 0 END AS n FROM rsteps WHERE k = 1
-  UNION ALL
-  SELECT symbol, fold, role, session, k, general, CASE WHEN regime IS NULL THEN general WHEN goal <> active AND c >= 2 THEN goal ELSE active END, CASE WHEN regime IS NULL OR goal = active OR c >= 2 THEN NULL ELSE regime END, CASE WHEN regime IS NULL OR goal = active OR c >= 2 THEN 0 ELSE c END
-  FROM (SELECT x.*, r.candidate AS active, CASE WHEN r.pending = x.regime THEN r.n + 1 ELSE 1 END AS c FROM rroutes r JOIN rsteps x ON x.symbol = r.symbol AND x.fold = r.fold AND x.role = r.role AND x.k = r.k + 1)
-), gdecided AS (
+"""
+    + _selected(1, 1, 5.0)
+    + """), gdecided AS (
   SELECT symbol, fold, session, 'router' AS policy, candidate AS pid FROM rroutes WHERE role = 'gate' UNION ALL SELECT symbol, fold, session, 'general', general FROM rroutes WHERE role = 'gate'
 ), gdays AS (
   SELECT *, cash_before * gain AS cash_after, CASE WHEN cash_before > 0 THEN gain - 1 ELSE 0 END AS ret, (entry_ts IS NOT NULL)::INT AS trades FROM (
@@ -555,19 +582,9 @@ ROBUST = (
   FROM gdays d JOIN tagged b ON b.symbol = d.symbol AND b.session = d.session
 ), gfalls AS (
   SELECT symbol, fold, policy, min(equity / greatest(100000, peak) - 1) AS dd FROM (SELECT *, max(equity) OVER (PARTITION BY symbol, fold, policy ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak FROM gcurve) GROUP BY ALL
-), gdiffs AS (
-  SELECT a.symbol, a.fold, a.ret - b.ret AS diff, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY a.symbol, a.fold) AS n, sum(a.ret - b.ret) OVER (w ROWS UNBOUNDED PRECEDING) AS run
-  FROM gdays a JOIN gdays b ON a.policy = 'router' AND b.policy = 'general' AND b.symbol = a.symbol AND b.fold = a.fold AND b.session = a.session WINDOW w AS (PARTITION BY a.symbol, a.fold ORDER BY a.session)
-), gdrawn AS (
-  SELECT symbol, fold, n, sim, least(b, n - k * b) AS len, {_drawn(1, 'symbol', 'fold', 'sim', 'k')} % (n - b + 1) AS s FROM (
-    SELECT symbol, fold, n, b, sim, unnest(range(CAST(ceil(n / b) AS BIGINT))) AS k FROM (SELECT DISTINCT symbol, fold, n, least({m.ROLES[2][1]}, n) AS b FROM gdiffs) CROSS JOIN range({m.SIMULATIONS}) r(sim))
-), gmeans AS (
-  SELECT d.symbol, d.fold, sim, sum(hi.run - coalesce(lo.run, 0)) / any_value(d.n) AS mean FROM gdrawn d JOIN gdiffs hi ON hi.symbol = d.symbol AND hi.fold = d.fold AND hi.i = d.s + d.len - 1
-  LEFT JOIN gdiffs lo ON lo.symbol = d.symbol AND lo.fold = d.fold AND lo.i = d.s - 1 GROUP BY d.symbol, d.fold, sim
-), gpaths AS (
-  SELECT symbol, fold, policy, min(path / greatest(1, peak) - 1) AS dd FROM (SELECT *, max(path) OVER (PARTITION BY symbol, fold, policy ORDER BY session ROWS UNBOUNDED PRECEDING) AS peak FROM (
-    SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol, fold, policy ORDER BY session ROWS UNBOUNDED PRECEDING)) AS path FROM gdays)) GROUP BY ALL
-), ggate AS (
+"""
+    + _bootstrapped(m.ROLES[2][1])
+    + """), ggate AS (
   SELECT *, reason = 'accepted' AS accepted FROM (
     SELECT q.symbol, q.fold, mean_diff, low, high, r.dd AS router_drawdown, g.dd AS general_drawdown, t.trades,
       CASE WHEN t.trades < 1 THEN 'insufficient_gate_trades' WHEN NOT low > 0 THEN 'bootstrap_improvement_not_positive' WHEN pr.dd < pg.dd THEN 'drawdown_not_improved' WHEN r.dd < g.dd - 1e-12 THEN 'worse_close_marked_drawdown' ELSE 'accepted' END AS reason
@@ -586,6 +603,76 @@ ROBUST = (
     SELECT p.*, k.cost, coalesce(0.01 * t.net_r, 0) AS ret FROM tpolicies p CROSS JOIN (VALUES ('normal', 1), ('stress', 2)) k(cost, factor) LEFT JOIN rt t ON t.symbol = p.symbol AND t.pid = p.candidate AND t.session = p.session AND t.factor = k.factor)
 )"""
 )
+
+
+def _month_id(length: int, width: float) -> str:
+    return hashlib.sha256(json.dumps({"length": length, "width": width}, separators=(",", ":")).encode()).hexdigest()
+
+
+_LENGTH, _WIDTH = months.STEPS["length"][2], months.STEPS["width"][2]
+_ENDS = [sum(n for _, n in months.ROLES[: k + 1]) for k in range(len(months.ROLES))]
+_SPANS = ", ".join(f"('{name}', {end - n}, {end})" for (name, n), end in zip(months.ROLES, _ENDS, strict=True))
+#: The same protocol over calendar months of the orders' history, to six series out of sample.
+MONTHS = (
+    f"""sets(pid, n, width) AS (VALUES {', '.join(f"('{_month_id(n, x)}', {n}, {x}::DOUBLE)" for n in months.SETS['length'] for x in months.SETS['width'])}
+), mmoves AS (
+  """
+    + " UNION ALL ".join(
+        f"SELECT symbol, session, ret, {n} AS n, sum(ret) OVER w AS move, stddev_pop(ret) OVER w AS sd FROM history WINDOW w AS (PARTITION BY symbol ORDER BY session ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) QUALIFY count(*) OVER w = {n}"
+        for n in months.SETS["length"]
+    )
+    + f"""
+), mgains AS (
+  SELECT symbol, session, pid, -{months.SHARE} * sign(round(move, 9)) * ret AS gain, round(move, 9) <> 0 AND round(abs(move) - width * sd, 9) > 0 AS banded, round(move, 9) <> 0 AS plain FROM mmoves m JOIN sets s ON s.n = m.n
+), rroles AS (
+  SELECT h.symbol, f.k::INT AS fold, r.role, session FROM (SELECT symbol, session, min(session) OVER (PARTITION BY symbol) AS earliest, max(session) OVER (PARTITION BY symbol) AS latest FROM history) h, range(100) f(k), (VALUES {_SPANS}) r(role, a, z)
+  WHERE session >= (earliest + INTERVAL 1 MONTH * (f.k * {months.ROLES[-1][1]} + r.a))::DATE AND session < (earliest + INTERVAL 1 MONTH * (f.k * {months.ROLES[-1][1]} + r.z))::DATE
+    AND (earliest + INTERVAL 1 MONTH * (f.k * {months.ROLES[-1][1]} + {_ENDS[-1]}))::DATE <= latest + 1
+), cdays AS (
+  SELECT r.symbol, r.fold, r.role, g.pid, r.session, CASE WHEN banded THEN gain - {months.COST} ELSE 0 END AS ret, banded AS traded FROM rroles r JOIN mgains g ON g.symbol = r.symbol AND g.session = r.session
+), mstarts AS (SELECT symbol, fold, min(session) AS start FROM rroles WHERE role = 'search' GROUP BY ALL
+), sdays AS (
+  SELECT c.*, datesub('month', start, session) // {months.BLOCK_MONTHS} AS block, exp(sum(ln(1 + ret)) OVER (PARTITION BY c.symbol, c.fold, pid ORDER BY session ROWS UNBOUNDED PRECEDING)) AS path
+  FROM cdays c JOIN mstarts m ON m.symbol = c.symbol AND m.fold = c.fold WHERE role = 'search'
+), sblocks AS (SELECT symbol, fold, pid, block, avg(ret) AS mean, stddev_pop(ret) AS sd, count(*) FILTER (traded) AS t FROM sdays GROUP BY ALL
+), sfalls AS (
+  SELECT symbol, fold, pid, min(path / greatest(1, peak) - 1) AS dd, count(*) FILTER (traded) AS total
+  FROM (SELECT *, max(path) OVER (PARTITION BY symbol, fold, pid ORDER BY session ROWS UNBOUNDED PRECEDING) AS peak FROM sdays) GROUP BY ALL
+), sscores AS (
+  SELECT b.symbol, b.fold, b.pid, quantile_cont(mean / sd * sqrt(252), 0.5) - 0.5 * (quantile_cont(mean / sd * sqrt(252), 0.75) - quantile_cont(mean / sd * sqrt(252), 0.25)) - abs(any_value(dd)) AS score
+  FROM sblocks b JOIN sfalls f ON f.symbol = b.symbol AND f.fold = b.fold AND f.pid = b.pid GROUP BY b.symbol, b.fold, b.pid
+  HAVING count(*) = {months.ROLES[0][1] // months.BLOCK_MONTHS} AND any_value(total) >= {months.LEAST_TRADES} AND min(t) >= {months.LEAST_BLOCK} AND min(sd) > 0
+), near AS (SELECT a.pid AS origin, b.pid FROM sets a JOIN sets b ON a.pid = b.pid OR (a.width = b.width AND abs(a.n - b.n) = {_LENGTH}) OR (a.n = b.n AND abs(a.width - b.width) = {_WIDTH})
+), rvol AS (SELECT * FROM vol20
+"""
+    + _selected(10, 3, 10.0)
+    + """), gdays AS (
+  SELECT d.symbol, d.fold, d.session, d.policy, c.ret FROM (
+    SELECT symbol, fold, session, 'router' AS policy, candidate AS pid FROM rroutes WHERE role = 'gate' UNION ALL SELECT symbol, fold, session, 'general', general FROM rroutes WHERE role = 'gate') d
+  JOIN cdays c ON c.role = 'gate' AND c.symbol = d.symbol AND c.fold = d.fold AND c.session = d.session AND c.pid = d.pid
+"""
+    + _bootstrapped(months.BOOTSTRAP_BLOCK)
+    + f"""), ggate AS (
+  SELECT *, reason = 'accepted' AS accepted FROM (
+    SELECT symbol, fold, mean_diff, low, high, CASE WHEN NOT low > 0 THEN 'bootstrap_improvement_not_positive' WHEN pr.dd < pg.dd THEN 'drawdown_not_improved' ELSE 'accepted' END AS reason
+    FROM (SELECT symbol, fold, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM gmeans GROUP BY ALL) JOIN (SELECT symbol, fold, avg(diff) AS mean_diff FROM gdiffs GROUP BY ALL) USING (symbol, fold)
+    JOIN (SELECT * FROM gpaths WHERE policy = 'router') pr USING (symbol, fold) JOIN (SELECT * FROM gpaths WHERE policy = 'general') pg USING (symbol, fold))
+), tdecided AS (
+  SELECT r.symbol, r.fold, r.session, x.candidate, x.general, coalesce(g.accepted, FALSE) AS ok FROM rroles r LEFT JOIN rroutes x ON x.role = 'test' AND x.symbol = r.symbol AND x.fold = r.fold AND x.session = r.session
+  LEFT JOIN ggate g ON g.symbol = r.symbol AND g.fold = r.fold WHERE r.role = 'test'
+), tpolicies AS (
+  SELECT symbol, fold, session, 'general' AS policy, coalesce(general, 'cash') AS candidate, FALSE AS routed FROM tdecided
+  UNION ALL SELECT symbol, fold, session, 'regime', coalesce(CASE WHEN ok THEN candidate ELSE general END, 'cash'), ok FROM tdecided
+), mseries AS (
+  SELECT p.*, k.cost, k.factor, g.gain, coalesce(CASE WHEN k.banded THEN g.banded ELSE g.plain END, FALSE) AS traded
+  FROM tpolicies p CROSS JOIN (VALUES {', '.join(f"('{n}', {x}, {b})" for n, x, b in months.SERIES)}) k(cost, factor, banded) LEFT JOIN mgains g ON g.symbol = p.symbol AND g.pid = p.candidate AND g.session = p.session
+), mwalk AS (
+  SELECT *, 100000 * exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol, policy, cost ORDER BY session ROWS UNBOUNDED PRECEDING)) AS cash FROM (SELECT *, CASE WHEN traded THEN gain - {months.COST} * factor ELSE 0 END AS ret FROM mseries)
+), mfigures AS (
+  SELECT symbol, policy, cost, count(*) AS sessions, count(*) FILTER (traded) AS trades, last(cash ORDER BY session) AS final_cash, min(cash / greatest(100000, peak) - 1) AS max_drawdown
+  FROM (SELECT *, max(cash) OVER (PARTITION BY symbol, policy, cost ORDER BY session ROWS UNBOUNDED PRECEDING) AS peak FROM mwalk) GROUP BY ALL
+)"""
+)
 LOOKBACKS = (3, 5, 8)
 _FRAME = "(SELECT avg(b.{0}) FROM {1} b WHERE b.symbol = r.symbol{2} AND b.i BETWEEN r.i - r.n AND r.i - 1 HAVING count(b.{0}) = r.n)"
 BY_LOOKBACK = f"""
@@ -769,6 +856,11 @@ ALL: dict[str, Query] = {
     "band_shapes": Query(lambda s, d: bands.band_shapes(m.banded(s, d)), ("symbol", "session", "label", "kind"), ("low", "high"), "shapes", more=SHAPES),
     "stitched_returns": Query(m.stitched_returns, ("symbol", "session"), ("ret",), "walk_ret", more=f"{WALK}, {RETURNS}"),
     "decision_log": Query(m.decision_log, ("symbol", "fold", "policy", "cost", "session", "candidate", "routed", "regime", "gate_reason"), ("starting_cash", "cash", "daily_return"), "decisions", more=f"{ROBUST}, {DECISIONS}"),
+    "month_finalists": Query(months.finalists, ("symbol", "fold", "params_id", "rank"), ("score",), "finals", more=MONTHS),
+    "month_routes": Query(months.routes, ("symbol", "fold", "role", "session", "candidate", "general"), (), "rroutes", more=MONTHS),
+    "month_gate": Query(months.gate, ("symbol", "fold", "accepted", "reason"), ("mean_diff", "low", "high"), "ggate", more=MONTHS),
+    "month_walk_forward": Query(months.walk, ("symbol", "fold", "policy", "cost", "session", "candidate", "routed", "traded"), ("ret",), "mwalk", more=MONTHS),
+    "month_series": Query(months.series_figures, ("symbol", "policy", "cost", "sessions", "trades"), ("final_cash", "max_drawdown"), "mfigures", 4, more=MONTHS),
     "filter_models": Query(m.filter_models, ("symbol", "fold", "channel_bars", "n", "status", "rounds"), ("log_evidence",)),
     "filtered_candidates": Query(m.filtered_candidates, ("symbol", "fold", "channel_bars", "session", "ts", "state", "status", "allowed")),
     "walk_forward_filtered": Query(m.walk_with_filter, ("symbol", "source", "trades"), ("final_equity", "max_drawdown_pct", "exposure_pct", "net_pnl")),
