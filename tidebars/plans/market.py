@@ -189,10 +189,13 @@ def signals(spark, sf, rules: Rules = CHANNEL) -> DataFrame:
 
 
 def closed(spark, sf, rules: Rules = CHANNEL, costs: Costs = COSTS) -> DataFrame:
-    """Trades: the first signal of each session, entered, left and priced."""
-    b = tagged(spark, sf)
-    taken = breakout.first_of_session(signals(spark, sf, rules))
-    return trades.outcomes(trades.exits(trades.entries(taken), b), costs)
+    """Trades: the first signal of each session, entered, left and priced; a derived table, since ledgers, curves and figures all start from it."""
+
+    def plan() -> DataFrame:
+        taken = breakout.first_of_session(signals(spark, sf, rules))
+        return trades.outcomes(trades.exits(trades.entries(taken), tagged(spark, sf)), costs)
+
+    return derived(spark, sf, "trades", plan, rules, costs)
 
 
 def booked(spark, sf, mode: str = "fixed", rules: Rules = CHANNEL) -> DataFrame:
@@ -235,7 +238,7 @@ def sweep(spark, sf) -> DataFrame:
 
 def gated_trades(spark, sf) -> DataFrame:
     """Trades with and without each gate, at normal and double costs."""
-    return grid_trades(spark, sf, GATES, (1.0, 2.0))
+    return derived(spark, sf, "gated-trades", lambda: grid_trades(spark, sf, GATES, (1.0, 2.0)), GATES, CHANNEL, COSTS, N_VOL, N_BAND)
 
 
 def ablation(spark, sf) -> DataFrame:
@@ -393,7 +396,7 @@ def state_filter(spark, sf) -> DataFrame:
 
 def chosen(spark, sf) -> DataFrame:
     """The best channel length of every session fold's training part, and what every length makes in its test part."""
-    results = grid_trades(spark, sf, {"channel_bars": CHANNELS}).select("symbol", "session", F.col("channel_bars").cast("string").alias("params"), "net_r")
+    results = length_trades(spark, sf).select("symbol", "session", F.col("channel_bars").cast("string").alias("params"), "net_r")
     spans = folds.session_folds(tagged(spark, sf).select("symbol", "session"), 8, 4, 4, ["symbol"])
     every = spans.select("symbol", "fold", "role").distinct().select("*", F.explode(F.array(*[F.lit(str(n)) for n in CHANNELS])).alias("params"))
     scored = spans.join(results, ["symbol", "session"]).groupBy("symbol", "fold", "role", "params").agg(F.sum("net_r").alias("r"))
@@ -427,8 +430,12 @@ def bar_features(spark, sf) -> DataFrame:
 
 def candidate_parts(spark, sf) -> DataFrame:
     """The channel's trades with features, split into an earlier head and a later tail by symbol."""
-    t = closed(spark, sf).join(bar_features(spark, sf).select("symbol", "ts", *breakout.FEATURES), ["symbol", "ts"])
-    return selection.head_and_tail(t.select("symbol", "ts", "session", "net_r", *breakout.FEATURES), ["symbol"], "ts", 0.3, 3)
+
+    def plan() -> DataFrame:
+        t = closed(spark, sf).join(bar_features(spark, sf).select("symbol", "ts", *breakout.FEATURES), ["symbol", "ts"])
+        return selection.head_and_tail(t.select("symbol", "ts", "session", "net_r", *breakout.FEATURES), ["symbol"], "ts", 0.3, 3)
+
+    return derived(spark, sf, "candidate-parts", plan, CHANNEL, COSTS)
 
 
 def state_policy(spark, sf) -> DataFrame:
