@@ -117,3 +117,17 @@ def test_six_series_out_of_sample(spark):
     first, last = (tests[tests["role"] == "test"].groupby(["symbol", "fold"])["session"].agg(f) for f in ("min", "max"))
     search = tests[tests["role"] == "search"].groupby(["symbol", "fold"])["session"].max()
     assert (search < first).all() and (last.groupby("symbol").shift(1).dropna() < first[last.groupby("symbol").shift(1).notna()]).all()
+
+
+def test_a_fall_that_both_share_is_not_a_deeper_one(spark):
+    """Both lose the same in the end, after gains that differ, so that the falls differ by rounding only."""
+    draw = random.Random(3)
+    rows = []
+    for symbol in range(60):
+        for k in range(12):
+            general = draw.uniform(0.001, 0.01) if k < 9 else -draw.uniform(0.01, 0.09)
+            rows.append((symbol, k, general + (0.003 if k < 9 else 0.0), general))
+    both = spark.createDataFrame(rows, "symbol int, session int, router double, general double")
+    of = lambda c: both.select("symbol", "session", F.col(c).alias("ret"))
+    out = selection.gate(of("router"), of("general"), ["symbol"], 200, 6).collect()
+    assert {r["reason"] for r in out} == {"accepted"}

@@ -12,6 +12,7 @@ from tidebars.operators.metrics import with_drawdown, with_path
 
 REGIMES = ("low", "normal", "high")
 DAYS = 252
+EVEN = 1e-12  # falls as near as this are the same: paths of equal returns differ by rounding
 
 
 def session_volatility(closes: DataFrame, keys: Sequence[str] = ("symbol",), n: int = 20) -> DataFrame:
@@ -149,7 +150,7 @@ def paired(router: DataFrame, general: DataFrame, by: Sequence[str]) -> DataFram
 def gate(router: DataFrame, general: DataFrame, by: Sequence[str], simulations: int = 1000, block: int = 20, seed: int = 1) -> DataFrame:
     """(by, accepted, reason, mean_diff, low, high): whether a router beats the general candidate.
 
-    The resampled mean difference must lie above 0 with 97.5%, and the router's drawdown may not be the deeper one.
+    The resampled mean difference must lie above 0 with 97.5%, and the router's drawdown may not be the deeper one by more than rounding.
     """
     from tidebars.operators.resampling import block_bootstrap
 
@@ -159,7 +160,7 @@ def gate(router: DataFrame, general: DataFrame, by: Sequence[str], simulations:
     fall = lambda x, name: with_drawdown(with_path(x, by), 1.0, by, order="session", col="path").groupBy(*by).agg(F.min("drawdown").alias(name))
     out = diff.groupBy(*by).agg(F.avg("diff").alias("mean_diff"), F.max("unpaired").alias("_u")).join(q, list(by), "left").join(fall(router, "_dr"), list(by)).join(fall(general, "_dg"), list(by))
     low = F.get("_q", F.lit(0))
-    reason = F.when(F.col("_u"), "unpaired_sessions").when(~F.coalesce(low > 0, F.lit(False)), "bootstrap_improvement_not_positive").when(F.col("_dr") < F.col("_dg"), "drawdown_not_improved").otherwise("accepted")
+    reason = F.when(F.col("_u"), "unpaired_sessions").when(~F.coalesce(low > 0, F.lit(False)), "bootstrap_improvement_not_positive").when(F.col("_dr") < F.col("_dg") - EVEN, "drawdown_not_improved").otherwise("accepted")
     return out.select(*by, (reason == "accepted").alias("accepted"), reason.alias("reason"), "mean_diff", low.alias("low"), F.get("_q", F.lit(1)).alias("high"))
 
 

@@ -402,7 +402,7 @@ routed_ret AS (SELECT r.symbol, r.session, coalesce(c.ret, 0) AS ret FROM routes
       SELECT 'r' AS who, symbol, session, ret FROM routed_ret UNION ALL SELECT 'g', symbol, session, ret FROM cands WHERE candidate = 'as_is'))) GROUP BY who, symbol
 ), router_gate AS (
   SELECT *, reason = 'accepted' AS accepted FROM (
-    SELECT q.symbol, mean_diff, low, high, CASE WHEN NOT low > 0 THEN 'bootstrap_improvement_not_positive' WHEN r.dd < g.dd THEN 'drawdown_not_improved' ELSE 'accepted' END AS reason
+    SELECT q.symbol, mean_diff, low, high, CASE WHEN NOT low > 0 THEN 'bootstrap_improvement_not_positive' WHEN r.dd < g.dd - 1e-12 THEN 'drawdown_not_improved' ELSE 'accepted' END AS reason
     FROM (SELECT symbol, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM sim_means GROUP BY symbol) q JOIN (SELECT symbol, avg(diff) AS mean_diff FROM diffs GROUP BY symbol) m ON m.symbol = q.symbol
     JOIN falls r ON r.symbol = q.symbol AND r.who = 'r' JOIN falls g ON g.symbol = q.symbol AND g.who = 'g')
 )"""
@@ -587,7 +587,7 @@ ROBUST = (
     + """), ggate AS (
   SELECT *, reason = 'accepted' AS accepted FROM (
     SELECT q.symbol, q.fold, mean_diff, low, high, r.dd AS router_drawdown, g.dd AS general_drawdown, t.trades,
-      CASE WHEN t.trades < 1 THEN 'insufficient_gate_trades' WHEN NOT low > 0 THEN 'bootstrap_improvement_not_positive' WHEN pr.dd < pg.dd THEN 'drawdown_not_improved' WHEN r.dd < g.dd - 1e-12 THEN 'worse_close_marked_drawdown' ELSE 'accepted' END AS reason
+      CASE WHEN t.trades < 1 THEN 'insufficient_gate_trades' WHEN NOT low > 0 THEN 'bootstrap_improvement_not_positive' WHEN pr.dd < pg.dd - 1e-12 THEN 'drawdown_not_improved' WHEN r.dd < g.dd - 1e-12 THEN 'worse_close_marked_drawdown' ELSE 'accepted' END AS reason
     FROM (SELECT symbol, fold, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM gmeans GROUP BY ALL) q JOIN (SELECT symbol, fold, avg(diff) AS mean_diff FROM gdiffs GROUP BY ALL) USING (symbol, fold)
     JOIN (SELECT symbol, fold, min(n) AS trades FROM (SELECT symbol, fold, policy, sum(trades)::BIGINT AS n FROM gdays GROUP BY ALL) GROUP BY ALL) t USING (symbol, fold)
     JOIN (SELECT * FROM gfalls WHERE policy = 'router') r USING (symbol, fold) JOIN (SELECT * FROM gfalls WHERE policy = 'general') g USING (symbol, fold)
@@ -654,7 +654,7 @@ MONTHS = (
     + _bootstrapped(months.BOOTSTRAP_BLOCK)
     + f"""), ggate AS (
   SELECT *, reason = 'accepted' AS accepted FROM (
-    SELECT symbol, fold, mean_diff, low, high, CASE WHEN NOT low > 0 THEN 'bootstrap_improvement_not_positive' WHEN pr.dd < pg.dd THEN 'drawdown_not_improved' ELSE 'accepted' END AS reason
+    SELECT symbol, fold, mean_diff, low, high, CASE WHEN NOT low > 0 THEN 'bootstrap_improvement_not_positive' WHEN pr.dd < pg.dd - 1e-12 THEN 'drawdown_not_improved' ELSE 'accepted' END AS reason
     FROM (SELECT symbol, fold, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM gmeans GROUP BY ALL) JOIN (SELECT symbol, fold, avg(diff) AS mean_diff FROM gdiffs GROUP BY ALL) USING (symbol, fold)
     JOIN (SELECT * FROM gpaths WHERE policy = 'router') pr USING (symbol, fold) JOIN (SELECT * FROM gpaths WHERE policy = 'general') pg USING (symbol, fold))
 ), tdecided AS (
