@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-TICKS = "/root/testdata/sf0.001/events.parquet"
+TICKS = "/root/testdata/sf0.01/events.parquet"
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +16,14 @@ def zeros(tmp_path_factory):
     return str(folder)
 
 
+@pytest.fixture(scope="module")
+def quiet(tmp_path_factory):
+    """Ticks of which two symbols always cost the same, so that they are never traded."""
+    folder = tmp_path_factory.mktemp("quiet")
+    duckdb.sql(f"COPY (SELECT * REPLACE (CASE WHEN event_type IN ('click', 'view') THEN 5.0 ELSE value END AS value) FROM '{TICKS}') TO '{folder}/events.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
 def check(spark, folder, name):
     """The rows as text, in which null, NaN and infinities differ; and the rows themselves."""
     con = duckdb.connect()
@@ -26,7 +34,13 @@ def check(spark, folder, name):
     return want
 
 
-@pytest.mark.parametrize("name", ["volatility", "volatility_today"])
+@pytest.mark.parametrize("name", ["volatility", "volatility_today", "session_bands", "one_band_row", "band_overlays", "band_shapes", "appended_bands", "bands_by_lookback"])
 def test_prices_of_zero(spark, zeros, name):
     values = {x for r in check(spark, zeros, name) for x in r if isinstance(x, float)}
     assert float("inf") in values or any(x != x for x in values)
+
+
+@pytest.mark.parametrize("name", ["performance", "walk_forward_figures"])
+def test_symbols_without_trades(spark, quiet, name):
+    rows = {r[0]: r for r in check(spark, quiet, name)}
+    assert [None in rows[x] and rows[x][1] == 0 for x in ("click", "view")] == [True, True]
