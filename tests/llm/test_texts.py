@@ -203,6 +203,21 @@ def test_secret_threshold_keeps_recall(spark):
     assert secret_scan.find_secrets(df.limit(2)).select("model").first()["model"] is None
 
 
+def test_secret_network_learns_from_all_labels(spark, monkeypatch):
+    _, df = noted(spark, 400, ["assign", "hex"], 8)
+    all_labels = secret_scan.labels(secret_scan.scan(df))
+    seen = []
+    kept = secret_scan.written
+    monkeypatch.setattr(secret_scan, "written", lambda rows, name: seen.append((name, kept(rows, name))) or seen[-1][1])
+    net = secret_scan.learn(all_labels, piece=200)
+    pieces = dict(seen)["secret-pieces"].collect()
+    assert len(pieces) > 3 and sum(len(r["part"]) for r in pieces) == all_labels.count() == all_labels.distinct().count()
+    assert net.recall >= 0.98 and net.precision >= 0.9
+    one = secret_scan.learn(all_labels, piece=10**6)
+    plain = secret_scan.train(all_labels.toPandas().sort_values(["o", "kind", "window"], ignore_index=True))
+    assert one.recall >= 0.98 and plain.recall >= 0.98 and plain.precision >= 0.9 and one.precision >= 0.9
+
+
 def test_network_gradients_are_those_of_its_loss():
     r = np.random.default_rng(4)
     net, x, y, w = secret_scan.CharCNN(), r.integers(0, 97, (6, secret_scan.WIDTH)), np.array([1, 0, 1, 0, 1, 0.0]), np.ones(6)
